@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import language, mixing, pieces, secret_scan, sharding
+from . import chat, language, mixing, pieces, pii, quality, secret_scan, sharding
 
 QUERIES = {
     "op2_pieces": pieces.op2_pieces,
+    "op3_pii": pii.op3_pii,
     "op4_language": language.op4_language,
+    "op5_quality": quality.op5_quality,
     "op6_secrets": secret_scan.op6_secrets,
+    "op7_chat": chat.op7_chat,
     "op8_mix": mixing.op8_mix,
     "op9_shard": sharding.op9_shard,
 }
 
 SQL = {
+    "op7_chat": chat.SQL,
     "op8_mix": mixing.SQL,
 }
