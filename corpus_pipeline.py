@@ -1,8 +1,69 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: from documents to token ids.
+
+Language identification drops documents without a determined language, the
+n-gram Jaccard join keeps one document of each class of near duplicates, the
+secret scan blots secrets out, the mixture repeats or drops documents so that
+sources meet their target weights, and the SentencePiece codec turns what is
+left into ids.  Every stage but the last returns the columns of documents.
+
+SQL can't express the first stage's mixture inference, so there is no SQL for
+the result; tests hold the stages against brute force on small tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexweave.llm import language, mixing, near_join, pieces, secret_scan
+from lexweave.llm.common import cut, table
+
+#: A document stays if this share of its words, at least, is in its language.
+LEAST_LANGUAGE_SHARE = 0.35
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter and those in which no language holds the share."""
+    names = docs.columns
+    found = language.predict(docs, language.train(docs))
+    return found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SHARE)).select(*names)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of every class of near duplicates."""
+    return near_join.representatives(docs)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces every secret in the texts."""
+    return secret_scan.redact(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Emits each document as often as the mixture takes it."""
+    return mixing.mix(docs)
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_tokens and the digest of the text that the ids decode to."""
+    coded = pieces.encode_decode(docs, pieces.model_file())
+    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language", language_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("secrets", secret_stage),
+    ("mixing", mixing_stage),
+    ("pieces", pieces_stage),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order, each but the last written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, language, mixing, pieces, pii, quality, secret_scan, sharding
+from . import chat, language, mixing, near_join, pieces, pii, quality, secret_scan, sharding, vectors
 
 QUERIES = {
+    "op1_near_join": near_join.op1_near_join,
     "op2_pieces": pieces.op2_pieces,
     "op3_pii": pii.op3_pii,
     "op4_language": language.op4_language,
@@ -13,9 +14,12 @@ QUERIES = {
     "op7_chat": chat.op7_chat,
     "op8_mix": mixing.op8_mix,
     "op9_shard": sharding.op9_shard,
+    "op10_vectors": vectors.op10_vectors,
 }
 
 SQL = {
+    "op1_near_join": near_join.SQL,
     "op7_chat": chat.SQL,
     "op8_mix": mixing.SQL,
+    "op10_vectors": vectors.SQL,
 }
