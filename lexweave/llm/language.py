@@ -12,9 +12,9 @@ proportions are fitted anew; the set with the best
 log likelihood - penalty * languages * log(words) / 2 wins.  The prediction is
 the language with the largest share, its score that share.
 
-The classifier is fitted on a bounded sample of labelled rows: at most
-``TRAIN_ROWS`` texts for each language, those with the smallest hash of their
-id.  The prediction sees the text only.
+The classifier is fitted on a bounded sample of labelled rows: the hash of a
+row's id picks rows of each language at the rate at which ``TRAIN_ROWS`` are
+expected of it (all rows, if it has fewer).  The prediction sees the text only.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
 equal languages in share are told apart by name; without any labelled row every
@@ -23,19 +23,20 @@ text is ``und``; very long texts are read whole; other columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, table
 from .pieces import slices
 
 UNDETERMINED = "und"
-#: Labelled texts that a language is learned from, at most.
+#: Labelled texts that are expected in the sample of a language with more.
 TRAIN_ROWS = 400
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
@@ -169,14 +170,20 @@ class Model:
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model:
-    """Fits the model on at most ``rows`` labelled texts a language.
+    """Fits the model on about ``rows`` labelled texts a language.
 
-    The driver gets one sum for each language and n-gram bucket, a table whose
+    The sample is drawn by a filter, so no text is exchanged for it.  The driver
+    gets one count for each language and one sum for each language and n-gram bucket, a table whose
     size the languages and ``BUCKETS`` bound.
     """
     bounded_batches(docs.sparkSession)
-    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(id_col).alias("id"))
-    sample = labelled.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", F.length("text")))).filter(F.col("k") <= rows).select("lang", "text")
+    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    lang = F.col(lang_col).cast("string")
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    step = 1 << 30
+    limits = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(step, math.ceil(step * rows / n))))]) if sizes else F.create_map().cast("map<string,int>")
+    drawn = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("train")), F.lit(step))
+    sample = labelled.filter(drawn < F.element_at(limits, lang)).select(lang.alias("lang"), F.col(text_col).alias("text"))
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
