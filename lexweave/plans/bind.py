@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import search_queries, text_queries  # noqa: F401
+from . import record_queries, search_queries, text_queries  # noqa: F401
