@@ -176,7 +176,7 @@ def dedup_key(c: Column) -> Column:
 
 # Version marks in file names, tried in this order.
 VERSION_PATTERNS = (
-    (r"(?i)[_\s-]?v(\d+(?:\.\d+)*)", "v"),
+    (r"(?i)(?:^|[^a-z])v(\d+(?:\.\d+)*)", "v"),
     (r"(?i)[_\s-]?rev(\d+(?:\.\d+)*)", "rev"),
     (r"第(\d+)版", None),
     (r"(\d{4}-\d{2}-\d{2})", ""),

@@ -172,7 +172,7 @@ NAMES = "['plan_v3.2.pdf', 'plan_rev2_20240115.docx', 'permit_2024-03-01.pdf', '
 
 @query("x22_version_mark", rf"""
 WITH n AS (SELECT p_partkey, ({NAMES})[(p_partkey % 7 + 1)::INT] AS f FROM part)
-SELECT p_partkey, CASE WHEN regexp_extract(f, '(?i)[_\s-]?v(\d+(?:\.\d+)*)', 1) <> '' THEN 'v' || regexp_extract(f, '(?i)[_\s-]?v(\d+(?:\.\d+)*)', 1)
+SELECT p_partkey, CASE WHEN regexp_extract(f, '(?i)(?:^|[^a-z])v(\d+(?:\.\d+)*)', 1) <> '' THEN 'v' || regexp_extract(f, '(?i)(?:^|[^a-z])v(\d+(?:\.\d+)*)', 1)
  WHEN regexp_extract(f, '(?i)[_\s-]?rev(\d+(?:\.\d+)*)', 1) <> '' THEN 'rev' || regexp_extract(f, '(?i)[_\s-]?rev(\d+(?:\.\d+)*)', 1)
  WHEN regexp_extract(f, '第(\d+)版', 1) <> '' THEN '第' || regexp_extract(f, '第(\d+)版', 1) || '版' WHEN regexp_extract(f, '(\d{{4}}-\d{{2}}-\d{{2}})', 1) <> '' THEN regexp_extract(f, '(\d{{4}}-\d{{2}}-\d{{2}})', 1)
  WHEN regexp_extract(f, '(最終|final)', 1) <> '' THEN regexp_extract(f, '(最終|final)', 1) WHEN regexp_extract(f, '\((\d+)\)', 1) <> '' THEN regexp_extract(f, '\((\d+)\)', 1) ELSE '1.0' END AS version FROM n""")

@@ -1 +1 @@
-
+"""Status tracking on a stream: an extension of the batch operators."""
