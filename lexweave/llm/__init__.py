@@ -1,11 +1 @@
-"""Training-data operators.  Nothing outside this subpackage imports it.
-
-Functions that run on executors are sent with their code, so that a cluster
-needs no copy of this package.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Training-data operators.  Nothing outside this subpackage imports it."""

@@ -1,18 +1,12 @@
-"""Helpers shared by the training-data operators.
-
-Tables that cut lineage are written as Parquet below the folder that the
-session names in ``spark.checkpoint.dir`` (a folder that the driver and all
-executors share), so a lost executor only costs the tasks that ran on it.
-"""
+"""Helpers shared by the training-data operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut, discard, shared_dir  # noqa: F401
+
 #: A word is a maximal run of characters other than ASCII white space.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -21,41 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables; a temporary one only where the setting is unset (tests)."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="lexweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def _path(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` as a Parquet table in the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexweave/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    p, fs = _path(spark, path)
-    fs.deleteOnExit(p)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes a table made by :func:`cut` that nothing will read again."""
-    path = getattr(df, "_cut_path", None)
-    if path:
-        p, fs = _path(df.sparkSession, path)
-        fs.delete(p, True)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of bounded bytes: rows can be very long texts."""
     for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", "8388608"), ("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")):
