@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import numbered
+
 
 def problems(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """(key, problem), one row for each rule that holds."""
@@ -37,10 +39,13 @@ def length_statistics(rows: DataFrame, length: Column) -> DataFrame:
 
 
 def split_parts(rows: DataFrame, key: Column, shares: tuple[float, ...] = (0.85, 0.10), names: tuple[str, ...] = ("train", "val", "test"), seed: str = "42") -> DataFrame:
-    """A split column; sizes are the floors of the shares of n and the rest, in the order of a seeded digest."""
+    """A split column; sizes are the floors of the shares of n and the rest, in the order of a seeded digest.
+
+    Places are exact and no task sees all rows.
+    """
     order = F.md5(F.concat(F.lit(seed), key))
     n = rows.count()
     cuts = [int(n * s) for s in shares]
-    ranked = rows.withColumn("__o", order).withColumn("__k", F.row_number().over(Window.orderBy("__o")))
+    ranked = numbered(rows, [], [order], "__k")
     part = F.when(F.col("__k") <= cuts[0], names[0]).when(F.col("__k") <= cuts[0] + cuts[1], names[1]).otherwise(names[2])
-    return ranked.withColumn("split", part).drop("__o", "__k")
+    return ranked.withColumn("split", part).drop("__k")

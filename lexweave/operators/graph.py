@@ -7,10 +7,11 @@ a vertex may have very many.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import cut, discard
+from .ranking import numbered
 
 
 def reference_edges(mentions: DataFrame) -> DataFrame:
@@ -114,9 +115,9 @@ def communities(edges: DataFrame, nodes: DataFrame, small: int = 5) -> DataFrame
     The halves are by rank in descending degree, ties by node.
     """
     deg = degrees(nodes, edges).select("node", (F.col("in_degree") + F.col("out_degree")).alias("degree"))
-    rows = components(edges, nodes).join(deg, "node")
-    w = Window.partitionBy("component")
-    rows = rows.withColumn("size", F.count(F.lit(1)).over(w)).withColumn("k", F.row_number().over(w.orderBy(F.desc("degree"), "node")))
+    rows = cut(components(edges, nodes), "communities")
+    size = rows.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    rows = numbered(rows.join(deg, "node"), ["component"], [-F.col("degree"), F.col("node")]).join(size, "component")
     half = F.when((F.col("size") > small) & (F.col("k") > F.expr("size div 2")), 1).otherwise(0)
     return rows.select("node", F.concat(F.col("component").cast("string"), F.lit("/"), half.cast("string")).alias("community"))
 

@@ -129,6 +129,21 @@ def dictionary(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame
     return spark.createDataFrame(rows, schema)
 
 
+def yaml_dictionary(spark: SparkSession, path: str):
+    """The content of a YAML dictionary file, read through Spark; needs a YAML parser on the driver."""
+    try:
+        import yaml
+    except ImportError as missing:
+        raise RuntimeError("reading YAML needs the yaml module") from missing
+    return yaml.safe_load(spark.read.text(path, wholetext=True).first()["value"])
+
+
+def register_views(spark: SparkSession, folder: str, names: list[str]) -> None:
+    """Temporary views of the Parquet tables in a folder, for SQL."""
+    for name in names:
+        spark.read.parquet(f"{folder}/{name}.parquet").createOrReplaceTempView(name)
+
+
 READERS = {"json": json_array, "documents": documents, "mail": mail, "titles": comment_titles}
 
 
