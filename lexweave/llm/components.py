@@ -28,16 +28,17 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
             break
         before = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that both sides of the join below come from exchanges of their own and a hot node can be split
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         # large star: neighbours above u go to the smallest around u
         large = now.select(F.col("v").alias("c"), F.col("u").alias("w")).join(least.withColumnRenamed("u", "c"), "c").select(F.col("w").alias("u"), F.col("m").alias("v"))
         large = cut(large.distinct(), "edges")
         # small star: u and its neighbours below go to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        discard(now)
-        discard(large)
+        for old in (now, least, large, low):
+            discard(old)
         now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

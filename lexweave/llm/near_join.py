@@ -345,7 +345,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
     links = found.groupBy("set").agg(F.sum("links").alias("links"))
     classes = connected_components(found.filter("set <> root"), "set", "root").withColumnRenamed("node", "set")
     summary = sets.select("set", "copies", "doc_id", "mark").join(links, "set", "left").join(classes, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    named = summary.groupBy("component").agg(pick.alias("one")).select("component", F.col("one.doc_id").alias("class_id"), F.col("one.mark").alias("class_mark"))
+    # written, so that a large class can be split in the join
+    named = cut(summary.groupBy("component").agg(pick.alias("one")).select("component", F.col("one.doc_id").alias("class_id"), F.col("one.mark").alias("class_mark")), "named")
     summary = summary.join(named, "component").select("set", "class_id", "class_mark", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = rows.select("doc_id", "mark", "set").join(summary, "set", "left")
     alone = F.col("set").isNull()
