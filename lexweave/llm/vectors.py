@@ -21,8 +21,8 @@ while vectors without any structure in many dimensions lie near most borders;
 then the join approaches one of all blocks with all blocks, which is exact and
 bounded in memory but quadratic in work.
 
-Defined cases: vectors that are null, zero, of another length than the first
-one's, or hold null or non-finite components link with nothing and keep
+Defined cases: vectors that are null, zero, of another length than most, or
+hold null or non-finite components link with nothing and keep
 themselves; equal vectors link; rows with equal ids count as vectors of their
 own; null ids order first; an empty table gives an empty result; other columns
 are not read.
@@ -80,11 +80,12 @@ def link(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
     sound = F.col("x").isNotNull() & (F.size("x") > 0) & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = rows.withColumn("norm", F.when(sound, norm)).withColumn("ok", F.coalesce((F.col("norm") > 0) & (F.col("norm") < float("inf")), F.lit(False)))
-    first = rows.filter("ok").agg(F.min(F.struct("vec_id", F.size("x").alias("n")))["n"].alias("n")).first()["n"]
-    if first is None:
+    common = rows.filter("ok").groupBy(F.size("x").alias("n")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), "n").limit(1).collect()
+    if not common:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    first = common[0]["n"]
     rows = rows.withColumn("ok", F.col("ok") & (F.size("x") == first))
-    # equal directions are one node; its key is a digest of the components
+    # equal vectors are one node; its key is a digest of the components
     keyed = rows.withColumn("node", F.when(F.col("ok"), F.unhex(F.md5(F.to_binary(F.array_join(F.transform("x", lambda v: F.hex((v + 0.0).cast("string"))), ","), F.lit("utf-8"))))))
     keyed = cut(keyed.select("vec_id", "node", F.when(F.col("ok"), F.transform("x", lambda v: v / F.col("norm"))).alias("x")), "vectors")
     nodes = cut(keyed.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"), F.first("x").alias("x")), "nodes")
@@ -145,7 +146,8 @@ def link(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected_components(found.filter("node <> root"), "node", "root")
     summary = nodes.select("node", "copies", "least").join(links, "node", "left").join(parts.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = summary.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that a large component can be split in the join
+    named = cut(summary.groupBy("root").agg(F.min("least").alias("component_id")), "named")
     summary = summary.join(named, "root").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = keyed.select("vec_id", "node").join(summary, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
