@@ -22,8 +22,7 @@ def term_counts(chunks: DataFrame, queries: DataFrame, key: str, tokens: str = "
     wanted = queries.select(F.explode("terms").alias("term")).distinct()
     found = [r["term"] for r in wanted.limit(MOST_TERMS + 1).collect()]
     if len(found) <= MOST_TERMS:
-        names = F.array(*[F.lit(x) for x in found]) if found else F.array().cast("array<string>")
-        own = F.filter(tokens, lambda x: F.array_contains(names, x))
+        own = F.filter(tokens, lambda x: x.isin(found) if found else F.lit(False))
         rows = chunks.select(key, F.size(tokens).alias("dl"), F.explode(own).alias("term"))
     else:
         rows = chunks.select(key, F.size(tokens).alias("dl"), F.explode(tokens).alias("term")).join(wanted, "term", "left_semi")
