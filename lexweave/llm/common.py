@@ -9,6 +9,7 @@ from ..storage import cut, discard, shared_dir  # noqa: F401
 
 #: A word is a maximal run of characters other than ASCII white space.
 WORD_GAP = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]++"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,5 +24,4 @@ def bounded_batches(spark: SparkSession) -> None:
 
 def word_count(text):
     """Number of words; 0 for null."""
-    t = F.trim(F.regexp_replace(text, WORD_GAP, " "))
-    return F.when(text.isNull() | (t == ""), F.lit(0)).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

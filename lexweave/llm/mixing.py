@@ -99,8 +99,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """
     id_col = options.get("id_col", "doc_id")
     plan = copies(docs, **options).filter("copies > 0").groupBy("doc_id", "size").agg(F.max("copies").alias("copies"))
-    size = word_count(F.col(options.get("text_col", "text")))
-    picked = docs.alias("d").join(plan.alias("p"), F.col(f"d.{id_col}").eqNullSafe(F.col("p.doc_id")) & (size == F.col("p.size")))
+    sized = docs.withColumn("__size", word_count(F.col(options.get("text_col", "text"))))
+    picked = sized.alias("d").join(plan.alias("p"), F.col(f"d.{id_col}").eqNullSafe(F.col("p.doc_id")) & (F.col("d.__size") == F.col("p.size")))
     return picked.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("p.copies").cast("int")))).select(*[F.col(f"d.`{c}`") for c in docs.columns])
 
 
