@@ -25,3 +25,19 @@ def bounded_batches(spark: SparkSession) -> None:
 def word_count(text):
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def span_sql(patterns: list[tuple[str, str]]) -> str:
+    """DuckDB CTEs ``d(r, doc_id, t)`` and ``spans(r, k, kind, g, b, e)`` of the leftmost matches of each (kind, pattern).
+
+    Offsets follow from the lengths of the matches and of the pieces between
+    them; b is the first code point of a match, e the one behind it.
+    """
+    quoted = [(kind, "'" + p.replace("'", "''") + "'") for kind, p in patterns]
+    parts = [f"SELECT r, {k} AS k, '{kind}' AS kind, regexp_extract_all(t, {p}) AS m, regexp_split_to_array(t, {p}) AS s FROM d" for k, (kind, p) in enumerate(quoted)]
+    return (
+        "d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), found AS (" + " UNION ALL ".join(parts) + "), "
+        "places AS (SELECT r, k, kind, m, s, unnest(range(1, len(m) + 1)) AS i FROM found WHERE len(m) > 0), "
+        "begun AS (SELECT r, k, kind, m[i] AS g, coalesce(list_sum(list_transform(s[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS b FROM places), "
+        "spans AS (SELECT r, k, kind, g, b::BIGINT AS b, (b + length(g))::BIGINT AS e FROM begun)"
+    )

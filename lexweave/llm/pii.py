@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import span_sql, table
 
 
 @dataclass(frozen=True)
@@ -38,18 +38,18 @@ class Kind:
     pattern: str
     score: float
     near: str
-    against: str = r"\b(?:example|sample|version|chapter|order no)\b"
+    against: str = r"(?:^|[^a-z])(?:example|sample|version|chapter|order no)(?:$|[^a-z])"
     base: bool = True
 
 
 #: In the order in which spans are listed.
 KINDS = (
-    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, r"\b(?:mail|e-mail|email|contact|write|correo)\b"),
-    Kind("ip", r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, r"\b(?:ip|host|server|address|login)\b"),
-    Kind("card", r"[0-9](?:[\x20-]?+[0-9]){15,}+", 0.8, r"\b(?:card|visa|mastercard|credit|carte|karte|tarjeta)\b"),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, r"\b(?:phone|tel|call|mobile|fax|telefon)\b"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.8, r"\b(?:iban|bank|account|konto|compte|cuenta)\b", base=False),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, r"\b(?:ssn|social security)\b", base=False),
+    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, r"(?:^|[^a-z])(?:mail|e-mail|email|contact|write|correo)(?:$|[^a-z])"),
+    Kind("ip", r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, r"(?:^|[^a-z])(?:ip|host|server|address|login)(?:$|[^a-z])"),
+    Kind("card", r"[0-9](?:[\x20-]?+[0-9]){15,}+", 0.8, r"(?:^|[^a-z])(?:card|visa|mastercard|credit|carte|karte|tarjeta)(?:$|[^a-z])"),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, r"(?:^|[^a-z])(?:phone|tel|call|mobile|fax|telefon)(?:$|[^a-z])"),
+    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+", 0.8, r"(?:^|[^a-z])(?:iban|bank|account|konto|compte|cuenta)(?:$|[^a-z])", base=False),
+    Kind("ssn", r"[0-9-]{11,}+", 0.3, r"(?:^|[^a-z])(?:ssn|social security)(?:$|[^a-z])", base=False),
 )
 LEAST_SCORE = 0.5
 #: Code points on each side of a span in which context words count.
@@ -75,6 +75,7 @@ _VALID = {
     "ip": lambda m: m.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"),
     "card": lambda m: F.length(_digits(m)).between(16, 19) & F.call_function("luhn_check", _digits(m)),
     "phone": lambda m: F.length(_digits(m)).between(8, 15),
+    "ssn": lambda m: m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"),
     "iban": lambda m: F.length(F.replace(m, F.lit(" "), F.lit(""))).between(15, 34) & (mod97(m) == 1),
 }
 _SPAN = "array<struct<start:int,end:int,text:string>>"
@@ -112,6 +113,8 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", kin
         found = F.col(f"s_{k.name}")
         if k.name in _VALID:
             found = F.filter(found, lambda s: _VALID[k.name](s["text"]))
+        if k.name == "iban":  # not the tail of a longer word
+            found = F.filter(found, lambda s: (s["start"] == 0) | ~F.substr(F.col("t"), s["start"], F.lit(1)).rlike("[A-Za-z0-9]"))
         scored = F.transform(found, lambda s: F.struct(F.lit(k.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _score(k, F.col("t"), s).alias("score")))
         return scored if k.base else F.filter(scored, lambda s: s["score"] >= LEAST_SCORE)
 
@@ -130,3 +133,30 @@ def digest(found: DataFrame) -> DataFrame:
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find(table(spark, sf_dir, "documents")))
+
+
+# Plain forms of the patterns: matching is linear there, so they need no possessive quantifiers.
+_PLAIN = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"),
+    ("card", r"[0-9](?:[ -]?[0-9])+"),
+    ("phone", r"\+[0-9][ ().0-9-]+[0-9]"),
+    ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}"),
+    ("ssn", r"[0-9-]{11,}"),
+]
+_SHOW = "coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY k, b){}, '')"
+SQL = f"""
+WITH {span_sql(_PLAIN)},
+x AS (SELECT *, regexp_replace(g, '[^0-9]', '', 'g') AS n, replace(g, ' ', '') AS u FROM spans),
+y AS (SELECT x.*, lower(substr(t, greatest(b - 48, 0) + 1, b - greatest(b - 48, 0)) || ' ' || substr(t, e + 1, 48)) AS near,
+  list_sum(list_transform(range(1, length(n) + 1), lambda i: CASE WHEN (length(n) - i) % 2 = 0 THEN substr(n, i, 1)::INT ELSE 2 * substr(n, i, 1)::INT - CASE WHEN substr(n, i, 1)::INT > 4 THEN 9 ELSE 0 END END)) AS luhn,
+  CASE WHEN kind = 'iban' THEN list_reduce(list_transform(string_split(substr(u, 5) || substr(u, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END), lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) END AS rest,
+  substr(t, b, 1) AS before FROM x JOIN d USING (r)),
+z AS (SELECT * FROM y WHERE CASE kind WHEN 'email' THEN true WHEN 'ip' THEN len(list_filter(string_split(g, '.'), lambda p: length(ltrim(p, '0')) > 3 OR (length(ltrim(p, '0')) = 3 AND ltrim(p, '0') > '255'))) = 0
+  WHEN 'card' THEN length(n) BETWEEN 16 AND 19 AND luhn % 10 = 0 WHEN 'phone' THEN length(n) BETWEEN 8 AND 15
+  WHEN 'iban' THEN length(u) BETWEEN 15 AND 34 AND rest = 1 AND (b = 0 OR NOT regexp_matches(before, '[A-Za-z0-9]'))
+  ELSE regexp_matches(g, '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$') AND regexp_matches(near, '(^|[^a-z])(ssn|social security)($|[^a-z])') AND NOT regexp_matches(near, '(^|[^a-z])(example|sample|version|chapter|order no)($|[^a-z])') END)
+SELECT d.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+  sha256({_SHOW.format(" FILTER (k < 4)")}) AS base_sha256, {_SHOW.format(" FILTER (kind IS NOT NULL)")} AS spans
+FROM d LEFT JOIN z USING (r) GROUP BY d.r, d.doc_id
+"""

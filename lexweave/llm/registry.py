@@ -19,6 +19,8 @@ QUERIES = {
 
 SQL = {
     "op1_near_join": near_join.SQL,
+    "op3_pii": pii.SQL,
+    "op6_secrets": secret_scan.SQL,
     "op7_chat": chat.SQL,
     "op8_mix": mixing.SQL,
     "op10_vectors": vectors.SQL,

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import bounded_batches, span_sql, table
 from .pieces import slices
 
 BATCH_CHARS = 1 << 20
@@ -71,7 +71,7 @@ RULES: tuple[Rule, ...] = (
     Rule("chat_token", r"xox[abprs]-[0-9A-Za-z-]{12,}"),
     Rule("cloud_key", r"AIza[0-9A-Za-z_-]{35}", _mixed),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("url_login", r"[a-z][a-z0-9+]{1,20}://[^\s/:@]{1,80}:[^\s/:@]{3,80}@[A-Za-z0-9.-]+"),
+    Rule("url_login", r"[a-z][a-z0-9+]{1,20}://[^\x00-\x20/:@]{1,80}:[^\x00-\x20/:@]{3,80}@[A-Za-z0-9.-]+"),
 )
 
 # A query is True (all documents), ("all", ...) or ("any", ...) of trigrams and queries.
@@ -279,3 +279,14 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(table(spark, sf_dir, "documents")))
+
+
+_SHOW = "coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, k, e){}, '')"
+SQL = f"""
+WITH {span_sql([(r.kind, r.pattern.replace("(?ai:", "(?i:")) for r in RULES])},
+z AS (SELECT * FROM spans WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(g, '^(?i:password|passwd|secret|token|api_?key)["'']? *[:=] *["'']?(.*)$', 1)) >= 6
+  WHEN 'cloud_key' THEN regexp_matches(g, '[0-9]') AND regexp_matches(g, '[a-z]') AND regexp_matches(g, '[A-Z]') ELSE true END)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256({_SHOW.format(" FILTER (k < 3)")}) AS base_sha256, {_SHOW.format(" FILTER (kind IS NOT NULL)")} AS spans
+FROM d LEFT JOIN z USING (r) GROUP BY d.r, d.doc_id
+"""

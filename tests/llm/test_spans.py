@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 
+from compare import connect, same
 from odd import empty, odd
 
 from lexweave.llm import pii, secret_scan
@@ -119,3 +120,9 @@ def test_redact(spark):
     assert [tuple(r) for r in secret_scan.redact(docs).orderBy("doc_id").collect()] == [(0, "a [secret] b", 12, "k"), (1, "clean", 5, "k"), (2, None, None, "k")]
     assert secret_scan.scan(odd(spark)).count() == odd(spark).count()
     assert secret_scan.scan(empty(spark)).count() == 0 and secret_scan.redact(empty(spark)).count() == 0
+
+
+def test_queries(spark, data):
+    con = connect(data)
+    same(pii.op3_pii(spark, data), con, pii.SQL)
+    same(secret_scan.op6_secrets(spark, data), con, secret_scan.SQL)
