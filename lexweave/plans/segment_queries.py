@@ -12,12 +12,28 @@ from ..sources import writers
 from ..streaming import status
 
 
-@query("t1_greedy_chunks")
+GREEDY_SQL = r"""
+WITH p AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[^。\n]*[。\n]|[^。\n]+'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> '') AS p FROM documents),
+f AS (SELECT doc_id, list_reduce(list_transform(p, lambda x: {'held': x, 'made': []::VARCHAR[]}), lambda a, x: CASE WHEN length(a.held) + length(x.held) > 800
+  THEN {'held': right(a.held, 100) || x.held, 'made': list_append(a.made, a.held)} ELSE {'held': a.held || x.held, 'made': a.made} END) AS f FROM p WHERE len(p) > 0),
+c AS (SELECT doc_id, unnest(list_append(f.made, f.held)) AS c, generate_subscripts(list_append(f.made, f.held), 1) - 1 AS k FROM f)
+SELECT doc_id, k::INT AS chunk_idx, doc_id::VARCHAR || '_' || k::VARCHAR AS chunk_id, md5(regexp_replace(c, '^\s+|\s+$', '', 'g')) AS text_md5 FROM c"""
+
+PARAGRAPH_SQL = r"""
+WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents),
+s AS (SELECT doc_id, flatten(list_transform(p, lambda x: CASE WHEN length(x) > 1600 THEN regexp_extract_all(x, '\s*([^。.!?]*[。.!?]|[^。.!?]+)', 1) ELSE [x] END)) AS s FROM p),
+f AS (SELECT doc_id, list_reduce(list_transform(s, lambda x: {'held': x, 'made': []::VARCHAR[]}), lambda a, x: CASE WHEN length(a.held) + length(x.held) + 1 > 800
+  THEN {'held': right(a.held, 128) || chr(10) || x.held, 'made': CASE WHEN length(a.held) >= 50 THEN list_append(a.made, a.held) ELSE a.made END} ELSE {'held': a.held || chr(10) || x.held, 'made': a.made} END) AS f FROM s WHERE len(s) > 0),
+l AS (SELECT doc_id, CASE WHEN length(f.held) >= 50 THEN list_append(f.made, f.held) ELSE f.made END AS l FROM f)
+SELECT doc_id, (generate_subscripts(l, 1) - 1)::INT AS chunk_idx, md5(unnest(l)) AS text_md5 FROM l"""
+
+
+@query("t1_greedy_chunks", GREEDY_SQL)
 def t1(t):
     return S.chunk(t.documents).select("doc_id", "chunk_idx", "chunk_id", F.md5("text").alias("text_md5"))
 
 
-@query("t2_paragraph_chunks")
+@query("t2_paragraph_chunks", PARAGRAPH_SQL)
 def t2(t):
     return S.chunk(t.documents, S.paragraph_chunks).select("doc_id", "chunk_idx", F.md5("text").alias("text_md5"))
 
