@@ -111,7 +111,7 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float, pieces: int = 1)
             for i in wanted[k:]:
                 found[i] = ((p << width) + (1 << width), start + width, n, size)
         waiting, below, start = next_waiting, next_below, start + width
-    edges = [found.get(i, (0, 1, 0, 0)) for i in range(runs - 1)]
+    edges = sorted((found.get(i, (0, 1, 0, 0)) for i in range(runs - 1)), key=lambda e: e[0] << (128 - e[1]))
     return [(e[0], e[1]) for e in edges], [(e[2], e[3]) for e in edges], rounds
 
 
