@@ -56,21 +56,25 @@ def paragraph_chunks(text: str, size: int = SIZE, overlap: int = 128, least: int
 
 
 def overlapping_pieces(text: str, size: int = 400, overlap: int = 50) -> Iterator[str]:
-    """Windows of ``size`` characters that end at the best boundary of their second half; always moves forward."""
+    """Windows of ``size`` characters that end at the last boundary of the best kind.
+
+    A boundary within ``overlap`` characters of the start would move the next
+    window backwards and isn't taken, so every window moves forward.
+    """
     start = 0
     while start < len(text):
         end = min(start + size, len(text))
         if end < len(text):
             for b in BOUNDARIES:
                 at = text.rfind(b, start, end)
-                if at > start:
+                if at + len(b) - overlap > start:
                     end = at + len(b)
                     break
         if piece := text[start:end].strip():
             yield piece
         if end >= len(text):
             return
-        start = max(end - overlap, start + 1)
+        start = max(end - overlap, start + 1)  # the sum matters only where size <= overlap
 
 
 def chunk(docs: DataFrame, cut: Callable[[str], Iterator[str]] = greedy_chunks, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

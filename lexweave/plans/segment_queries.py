@@ -38,7 +38,24 @@ def t2(t):
     return S.chunk(t.documents, S.paragraph_chunks).select("doc_id", "chunk_idx", F.md5("text").alias("text_md5"))
 
 
-@query("t6_overlapping_pieces")
+_AT = "CASE WHEN strpos(x, {0}) > 0 THEN length(x) - strpos(reverse(x), reverse({0})) - length({0}) + 1 ELSE -1 END"
+_ENDS = [f"WHEN {_AT.format(b)} + length({b}) > 50 THEN s + {_AT.format(b)} + length({b})" for b in ("('。' || chr(10))", "'。'", "chr(10)", "'、'")]
+WINDOW_SQL = f"""
+WITH RECURSIVE w(doc_id, s, e) AS (
+  SELECT doc_id, 0::BIGINT, 0::BIGINT FROM documents WHERE length(text) > 0
+  UNION ALL
+  SELECT doc_id, CASE WHEN stop >= n THEN n ELSE greatest(stop - 50, s + 1) END, stop FROM (
+    SELECT doc_id, s, n, CASE WHEN s + 400 >= n THEN n {' '.join(_ENDS)} ELSE s + 400 END AS stop FROM (
+      SELECT w.doc_id, w.s, length(d.text) AS n, substr(d.text, w.s + 1, 400) AS x FROM w JOIN documents d ON d.doc_id = w.doc_id WHERE w.s < length(d.text)))
+), p AS (
+  SELECT doc_id, lag(s) OVER (PARTITION BY doc_id ORDER BY s, e) AS s, e FROM w
+), c AS (
+  SELECT p.doc_id, p.s, regexp_replace(substr(text, p.s + 1, e - p.s), '^\\s+|\\s+$', '', 'g') AS c FROM p JOIN documents d ON d.doc_id = p.doc_id WHERE p.s IS NOT NULL
+)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INT AS chunk_idx, md5(c) AS text_md5 FROM c WHERE c <> ''"""
+
+
+@query("t6_overlapping_pieces", WINDOW_SQL)
 def t6(t):
     return S.chunk(t.documents, S.overlapping_pieces).select("doc_id", "chunk_idx", F.md5("text").alias("text_md5"))
 
