@@ -192,12 +192,13 @@ def _candidates(sets: DataFrame, threshold: float, recall: float, depth: int, le
     leaves = []
     stars = None
     for d in range(1, depth + 1):
-        size = level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        # written: small sizes are then broadcast without an exchange of the paths, large ones joined with a hot node split
+        size = cut(level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
         sized = cut(level.join(size, "node"), "paths")
         leaves.append(sized.filter(F.col("size") <= leaf).select("node", "set"))
         large = sized.filter(F.col("size") > leaf).select("node", "set")
         if d == depth:
-            least = large.groupBy("node").agg(F.min("set").alias("v"))
+            least = cut(large.groupBy("node").agg(F.min("set").alias("v")), "least")
             stars = large.join(least, "node").select(F.col("set").alias("u"), "v").filter("u <> v").distinct()
         elif large.isEmpty():
             break
