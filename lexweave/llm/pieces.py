@@ -36,7 +36,7 @@ from .common import bounded_batches, table
 MARK = "▁"
 LONG_WORD = 512
 #: Characters encoded at a time, and words kept between batches, by one task.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 19
 CACHE_WORDS = 150_000
 _NO_RANK = np.int64(1) << 31
 _SHIFT = 21
