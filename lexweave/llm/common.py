@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of bounded bytes: rows can be very long texts."""
-    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", "8388608"), ("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")):
+    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", "4194304"), ("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")):
         spark.conf.set(key, value)
 
 
