@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dimension import small
+
 
 def contained(queries: DataFrame, terms: DataFrame, text: str = "text", term: str = "term") -> DataFrame:
     """Queries with every dictionary term that they contain."""
-    return queries.crossJoin(F.broadcast(terms)).filter(F.contains(F.col(text), F.col(term)))
+    return queries.crossJoin(small(terms)).filter(F.contains(F.col(text), F.col(term)))
 
 
 def expand_synonyms(queries: DataFrame, synonyms: DataFrame, key: str = "query_id") -> DataFrame:
@@ -36,7 +38,7 @@ def substitutions(text: Column, pairs: list[tuple[str, list[str]]], most: int =
 
 def first_procedure(queries: DataFrame, rules: DataFrame, key: str = "query_id") -> DataFrame:
     """(key, rule): the first rule (position, pattern, rule) whose pattern is found."""
-    hits = queries.crossJoin(F.broadcast(rules)).filter(F.regexp_like("text", F.col("pattern")))
+    hits = queries.crossJoin(small(rules)).filter(F.regexp_like("text", F.col("pattern")))
     return hits.groupBy(key).agg(F.min_by("rule", "position").alias("rule"))
 
 
@@ -61,7 +63,7 @@ def detect_domains(queries: DataFrame, domains: DataFrame, glossary: DataFrame |
         q = q.join(formal, key, "left")
     else:
         q = q.withColumns({"formal": F.lit(None).cast("string"), "points": F.array().cast("array<string>")})
-    rows = q.crossJoin(F.broadcast(words))
+    rows = q.crossJoin(small(words))
     text, kw = F.col("text"), F.col("kw")
     literal = F.contains(text, kw)
     wide = F.contains(F.concat_ws(" ", "text", "formal"), kw)
@@ -77,7 +79,7 @@ def detect_domains(queries: DataFrame, domains: DataFrame, glossary: DataFrame |
 
 def route(queries: DataFrame, rules: DataFrame, default: str, key: str = "query_id") -> DataFrame:
     """(key, role, confidence): the role with the largest weight of matching patterns (role, pattern, weight), ties by role."""
-    hits = queries.crossJoin(F.broadcast(rules)).filter(F.regexp_like("text", F.col("pattern"))).groupBy(key, "role").agg(F.sum("weight").alias("w"))
+    hits = queries.crossJoin(small(rules)).filter(F.regexp_like("text", F.col("pattern"))).groupBy(key, "role").agg(F.sum("weight").alias("w"))
     w = Window.partitionBy(key).orderBy(F.desc("w"), "role")
     best = hits.withColumn("k", F.row_number().over(w)).groupBy(key).agg(F.max(F.when(F.col("k") == 1, F.col("role"))).alias("role"), F.max(F.when(F.col("k") == 1, F.col("w"))).alias("a"), F.coalesce(F.max(F.when(F.col("k") == 2, F.col("w"))), F.lit(0.0)).alias("b"))
     rows = queries.join(best, key, "left")

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dimension import small
+
 
 def abbreviations_in(texts: DataFrame, abbreviations: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, abbr, full) of dictionary abbreviations that stand alone in the text: no letter before, no letter or digit after."""
     pattern = F.concat(F.lit(r"(?:^|[^A-Za-z])\Q"), F.col("abbr"), F.lit(r"\E(?:$|[^A-Za-z0-9])"))
-    return texts.crossJoin(F.broadcast(abbreviations)).filter(F.contains(F.col(text), F.col("abbr")) & F.regexp_like(F.col(text), pattern)).select(key, "abbr", "full")
+    return texts.crossJoin(small(abbreviations)).filter(F.contains(F.col(text), F.col("abbr")) & F.regexp_like(F.col(text), pattern)).select(key, "abbr", "full")
 
 
 def enhance(queries: DataFrame, abbreviations: DataFrame, terms: DataFrame, key: str = "query_id", most: int = 2) -> DataFrame:
     """(key, enhanced): the query, ``ABBR: full`` of its abbreviations, and up to ``most`` English terms that it doesn't hold yet."""
     a = abbreviations_in(queries, abbreviations, key).groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(F.concat("abbr", F.lit(": "), "full"))), " ").alias("a"))
-    hit = queries.crossJoin(F.broadcast(terms)).filter(F.contains("text", F.col("term")) & ~F.contains(F.lower("text"), F.lower(F.col("english"))))
+    hit = queries.crossJoin(small(terms)).filter(F.contains("text", F.col("term")) & ~F.contains(F.lower("text"), F.lower(F.col("english"))))
     b = hit.groupBy(key).agg(F.array_join(F.slice(F.array_sort(F.collect_set("english")), 1, most), " ").alias("b"))
     return queries.join(a, key, "left").join(b, key, "left").select(key, F.concat_ws(" ", "text", "a", "b").alias("enhanced"))
 
@@ -24,7 +26,7 @@ def lookup(names: DataFrame, abbreviations: DataFrame, key: str = "name") -> Dat
     """(key, full): the entry of the name in capitals, else of the name as it is."""
     upper = abbreviations.select(F.col("abbr").alias("u"), F.col("full").alias("first"))
     plain = abbreviations.select(F.col("abbr").alias("p"), F.col("full").alias("second"))
-    rows = names.join(F.broadcast(upper), F.upper(F.col(key)) == F.col("u"), "left").join(F.broadcast(plain), F.col(key) == F.col("p"), "left")
+    rows = names.join(small(upper), F.upper(F.col(key)) == F.col("u"), "left").join(small(plain), F.col(key) == F.col("p"), "left")
     return rows.select(key, F.coalesce("first", "second").alias("full"))
 
 
@@ -37,7 +39,7 @@ def grouped_text(entries: DataFrame, group: str, name: str, meaning: str) -> Dat
 def category_score(queries: DataFrame, abbreviations: DataFrame, terms: DataFrame, key: str = "query_id") -> DataFrame:
     """(key, category, score): 2 for each abbreviation of a category in the query, or 1 for each term; terms win where both exist."""
     a = abbreviations_in(queries, abbreviations.select("abbr", F.col("category").alias("full")), key).groupBy(key, F.col("full").alias("category")).agg((2 * F.count(F.lit(1))).alias("a"))
-    t = queries.crossJoin(F.broadcast(terms)).filter(F.contains("text", F.col("term"))).groupBy(key, "category").agg(F.count(F.lit(1)).alias("t"))
+    t = queries.crossJoin(small(terms)).filter(F.contains("text", F.col("term"))).groupBy(key, "category").agg(F.count(F.lit(1)).alias("t"))
     return a.join(t, [key, "category"], "full_outer").select(key, "category", F.coalesce("t", "a").alias("score"))
 
 

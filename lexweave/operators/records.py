@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dimension import small
+
 
 def latest(log: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The last row of each key in the given order: an upsert of an event log."""
@@ -33,7 +35,7 @@ def number_versions(versions: DataFrame, doc: str, order: list[str]) -> DataFram
 
 def attach_tags(docs: DataFrame, bridge: DataFrame, tags: DataFrame, doc: str, tag: str, name: str) -> DataFrame:
     """docs with a sorted array of tag names; empty if none."""
-    named = bridge.join(F.broadcast(tags), tag).groupBy(doc).agg(F.array_sort(F.collect_set(name)).alias("tags"))
+    named = bridge.join(small(tags), tag).groupBy(doc).agg(F.array_sort(F.collect_set(name)).alias("tags"))
     return docs.join(named, doc, "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
 

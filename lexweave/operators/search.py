@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dimension import small
+
 K1, B, EPSILON = 1.5, 0.75, 0.25
 MOST_TERMS = 2000
 
@@ -49,12 +51,12 @@ def bm25_plus_one(chunks: DataFrame, queries: DataFrame, *, key: str = "chunk_id
     stats = corpus_statistics(chunks, tokens)
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    rows = tf.join(F.broadcast(df), "term").join(F.broadcast(asked), "term").crossJoin(F.broadcast(stats))
+    rows = tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     scored = rows.groupBy("query_id", key).agg(F.sum(F.col("times") * idf * _weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("score"))
     if not keep_zero:
         return scored
-    every = chunks.filter(F.size(tokens) > 0).select(key).crossJoin(F.broadcast(queries.select("query_id")))
+    every = chunks.filter(F.size(tokens) > 0).select(key).crossJoin(small(queries.select("query_id")))
     return every.join(scored, ["query_id", key], "left").select("query_id", key, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
@@ -64,8 +66,8 @@ def bm25_okapi(chunks: DataFrame, queries: DataFrame, *, key: str = "chunk_id",
     vocabulary = document_frequencies(chunks, tokens).crossJoin(F.broadcast(stats)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = vocabulary.agg((epsilon * F.avg("raw")).alias("floor"))
     asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    idf = vocabulary.join(F.broadcast(asked), "term").crossJoin(F.broadcast(floor)).select("query_id", "term", "times", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    rows = term_counts(chunks, queries, key, tokens).join(F.broadcast(idf), "term")
+    idf = vocabulary.join(asked, "term").crossJoin(F.broadcast(floor)).select("query_id", "term", "times", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    rows = term_counts(chunks, queries, key, tokens).join(idf, "term")
     scored = rows.groupBy("query_id", key).agg(F.sum(F.col("times") * F.col("idf") * _weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("score"))
     return scored.filter("score > 0")
 
@@ -101,7 +103,7 @@ def cosine(a: Column, b: Column, kind: str = "each") -> Column:
 
 def vector_search(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: str = "embedding", kind: str = "each", threshold: float | None = None) -> DataFrame:
     """(query_id, key, score) of all vectors against the query vectors (query_id, q), which are few and are broadcast."""
-    rows = vectors.select(key, vector).crossJoin(F.broadcast(queries)).select("query_id", key, cosine(F.col(vector), F.col("q"), kind).alias("score"))
+    rows = vectors.select(key, vector).crossJoin(small(queries)).select("query_id", key, cosine(F.col(vector), F.col("q"), kind).alias("score"))
     return rows if threshold is None else rows.filter(F.col("score") >= threshold)
 
 

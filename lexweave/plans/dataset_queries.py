@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import dataset as D
+from ..operators.dimension import small
 from ..registry import query
 
 FP = r"md5(regexp_replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g'))"
@@ -60,7 +61,7 @@ def a4(t):
 def a5(t):
     by = t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     total = by.agg(F.sum("n").alias("all"))
-    return by.crossJoin(F.broadcast(total)).select("lang", "n", F.round(100.0 * F.col("n") / F.col("all"), 4).alias("percent")).orderBy(F.desc("n")).limit(5)
+    return by.crossJoin(small(total)).select("lang", "n", F.round(100.0 * F.col("n") / F.col("all"), 4).alias("percent")).orderBy(F.desc("n")).limit(5)
 
 
 @query("a6_length_statistics", "SELECT count(*)::BIGINT AS n, min(length(text))::INT AS least, max(length(text))::INT AS most, round(avg(length(text)), 6) AS mean, list_sort(list(length(text)))[(count(*) // 2 + 1)::INT]::INT AS median FROM documents")

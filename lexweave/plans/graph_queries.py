@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import expand as E
 from ..operators import graph as G
+from ..operators.dimension import small
 from ..registry import query
 
 EDGES_SQL = "e AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 100 + 1 AS b FROM lineitem WHERE l_quantity > 48)"
@@ -65,8 +66,8 @@ def g3(t):
 def g4(t):
     concepts = nodes(t).filter("node <= 10")
     e = edges(t)
-    left = e.join(F.broadcast(concepts.withColumnRenamed("node", "from")), "from", "left_semi").select("from", "to")
-    return left.unionByName(e.join(F.broadcast(concepts.withColumnRenamed("node", "to")), "to", "left_semi").select("from", "to")).distinct()
+    left = e.join(small(concepts.withColumnRenamed("node", "from")), "from", "left_semi").select("from", "to")
+    return left.unionByName(e.join(small(concepts.withColumnRenamed("node", "to")), "to", "left_semi").select("from", "to")).distinct()
 
 
 PR_ROUND = "r{i} AS (SELECT s_suppkey AS node, 0.15 / (SELECT count(*) FROM supplier) + 0.85 * (coalesce(g.got, 0) + (SELECT coalesce(sum(rank), 0) FROM r{p} WHERE node NOT IN (SELECT a FROM e)) / (SELECT count(*) FROM supplier)) AS rank FROM supplier LEFT JOIN (SELECT b, sum(rank / deg) AS got FROM e JOIN o USING (a) JOIN r{p} ON r{p}.node = a GROUP BY b) g ON g.b = s_suppkey)"

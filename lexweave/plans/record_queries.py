@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import records as R
+from ..operators.dimension import small
 from ..registry import query
 
 AS_OF = "1998-01-01"
@@ -71,7 +72,7 @@ def j4(t):
 def j5(t):
     n = t.nation.select("n_nationkey", "n_name")
     a, b = n.toDF("k1", "first"), n.toDF("k2", "second")
-    rows = t.supplier.join(F.broadcast(a), F.col("s_suppkey") == F.col("k1"), "left").join(F.broadcast(b), F.expr("s_suppkey div 10 = k2"), "left")
+    rows = t.supplier.join(small(a), F.col("s_suppkey") == F.col("k1"), "left").join(small(b), F.expr("s_suppkey div 10 = k2"), "left")
     return rows.select("s_suppkey", F.coalesce("first", "second").alias("name"))
 
 
@@ -179,7 +180,7 @@ def z21(t):
 
 @query("z25_template", "SELECT n_nationkey, n_regionkey, DATE '2024-01-01' + (n_nationkey * 3)::INT AS due, coalesce(r_name, 'nobody') AS assignee, lag(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS depends_on FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON r_regionkey = n_regionkey")
 def z25(t):
-    rows = t.nation.join(F.broadcast(t.region.filter("r_regionkey < 3").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")), "n_regionkey", "left")
+    rows = t.nation.join(small(t.region.filter("r_regionkey < 3").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")), "n_regionkey", "left")
     w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
     return rows.select("n_nationkey", "n_regionkey", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("n_nationkey") * 3).cast("int")).alias("due"), F.coalesce("r_name", F.lit("nobody")).alias("assignee"), F.lag("n_nationkey").over(w).alias("depends_on"))
 

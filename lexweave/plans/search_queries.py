@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import search as S
+from ..operators.dimension import small
 from ..registry import query
 from .text_queries import TOKENS_SQL
 
@@ -39,7 +40,7 @@ def _round(df, *names):
 @query("a3_corpus_statistics", f"WITH {BASE_SQL} SELECT term, df, n, round(avgdl, 6) AS avgdl FROM f CROSS JOIN s")
 def a3(t):
     c = chunks(t)
-    return S.document_frequencies(c).crossJoin(F.broadcast(S.corpus_statistics(c))).select("term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
+    return S.document_frequencies(c).crossJoin(small(S.corpus_statistics(c))).select("term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query("r1_bm25_okapi", f"WITH {BASE_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM okapi WHERE score > 0) WHERE rank <= 10")
@@ -135,7 +136,7 @@ WITH x AS (SELECT item_id, doc_id, {PAIRS.format("b.text")} AS q, {PAIRS.format(
 SELECT item_id, doc_id, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, p)) / len(q) END, 6) AS overlap FROM x""")
 def r11(t):
     q = t.benchmark.select("item_id", F.col("text").alias("q"))
-    return t.documents.crossJoin(F.broadcast(q)).select("item_id", "doc_id", F.round(S.pair_overlap(F.col("q"), F.col("text")), 6).alias("overlap"))
+    return t.documents.crossJoin(small(q)).select("item_id", "doc_id", F.round(S.pair_overlap(F.col("q"), F.col("text")), 6).alias("overlap"))
 
 
 RERANK = RANKS_SQL + f""", base AS (SELECT query_id, doc_id, rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS rank FROM rrf),

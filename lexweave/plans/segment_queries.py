@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import diff as V
 from ..operators import segment as S
+from ..operators.dimension import small
 from ..registry import query
 from ..sources import writers
 from ..streaming import status
@@ -135,7 +136,7 @@ def j17(t):
 def j19(t):
     first = t.supplier.withColumn("k", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))).filter("k <= 5").select("s_suppkey", "s_nationkey", "k")
     refs = t.nation.select("n_nationkey", ((F.col("n_nationkey") + 1) % 25).alias("s_nationkey"))
-    return first.join(F.broadcast(refs), "s_nationkey").select("n_nationkey", "s_suppkey", "k")
+    return first.join(small(refs), "s_nationkey").select("n_nationkey", "s_suppkey", "k")
 
 
 @query("j20_parent_text", "SELECT c.doc_id, p.doc_id AS parent, length(p.text)::INT AS parent_chars FROM documents c LEFT JOIN documents p ON p.doc_id = c.doc_id // 10 * 10")
@@ -146,7 +147,7 @@ def j20(t):
 
 @query("z17_hit_hierarchy", "SELECT n_nationkey, r_name || ' > ' || n_name AS path FROM nation JOIN region ON r_regionkey = n_regionkey")
 def z17(t):
-    return t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.array_join(F.array("r_name", "n_name"), " > ").alias("path"))
+    return t.nation.join(small(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.array_join(F.array("r_name", "n_name"), " > ").alias("path"))
 
 
 @query("x24_line_diff")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import threads as T
+from ..operators.dimension import small
 from ..registry import query
 
 
@@ -52,9 +53,9 @@ def j12(t):
 @query("j15_reply_tasks", "SELECT conv_id, turn, n_nationkey FROM conversations JOIN nation ON n_nationkey = conv_id % 30 UNION ALL SELECT conv_id, turn, n_nationkey FROM conversations JOIN nation ON conv_id % 30 > 24 AND list_has_any(string_split(lower(role), ' '), string_split(lower(n_name), ' '))")
 def j15(t):
     c, n = t.conversations.select("conv_id", "turn", "role"), t.nation.select("n_nationkey", "n_name")
-    same = c.join(F.broadcast(n), F.col("conv_id") % 30 == F.col("n_nationkey"))
-    rest = c.join(F.broadcast(n.select("n_nationkey")), F.col("conv_id") % 30 == F.col("n_nationkey"), "left_anti")
-    words = rest.join(F.broadcast(n), F.arrays_overlap(F.split(F.lower("role"), " "), F.split(F.lower("n_name"), " ")))
+    same = c.join(small(n), F.col("conv_id") % 30 == F.col("n_nationkey"))
+    rest = c.join(small(n.select("n_nationkey")), F.col("conv_id") % 30 == F.col("n_nationkey"), "left_anti")
+    words = rest.join(small(n), F.arrays_overlap(F.split(F.lower("role"), " "), F.split(F.lower("n_name"), " ")))
     return same.select("conv_id", "turn", "n_nationkey").unionByName(words.select("conv_id", "turn", "n_nationkey"))
 
 
@@ -97,7 +98,7 @@ def w15(t):
     s = t.events.groupBy("user_id").agg(F.max("ts").alias("updated"))
     # the newest 50 by a bounded sort, not a rank over all sessions
     newest = s.orderBy(F.desc("updated"), "user_id").limit(50).select("user_id", F.lit(True).alias("new"))
-    rows = s.join(F.broadcast(newest), "user_id", "left")
+    rows = s.join(small(newest), "user_id", "left")
     return rows.select("user_id", "updated", ((F.date_diff(F.lit("2024-01-31").cast("date"), F.to_date("updated")) > 3) | F.col("new").isNull()).alias("archived"))
 
 
@@ -135,7 +136,7 @@ def r22(t):
 @query("r23_procedures", "SELECT item_id, n_nationkey, len(list_filter(string_split(lower(n_name || ' the onth en'), ' '), lambda w: contains(lower(text), w)))::INT AS score FROM benchmark CROSS JOIN nation WHERE len(list_filter(string_split(lower(n_name || ' the onth en'), ' '), lambda w: contains(lower(text), w))) > 0")
 def r23(t):
     words = F.split(F.lower(F.concat("n_name", F.lit(" the onth en"))), " ")
-    rows = t.benchmark.crossJoin(F.broadcast(t.nation.select("n_nationkey", words.alias("words"))))
+    rows = t.benchmark.crossJoin(small(t.nation.select("n_nationkey", words.alias("words"))))
     return rows.select("item_id", "n_nationkey", F.size(F.filter("words", lambda w: F.contains(F.lower("text"), w))).alias("score")).filter("score > 0")
 
 
