@@ -23,5 +23,7 @@ def idle_sessions(events: DataFrame, *, at: str = "ts", key: str = "user_id", ga
 
 
 def once(events: DataFrame, *, at: str = "ts", key: str = "event_id", late: str = "2 hours") -> DataFrame:
-    """Each event once, as long as the watermark remembers it."""
+    """Each event once; on a stream, as long as the watermark remembers it."""
+    if not events.isStreaming:
+        return events.dropDuplicates([key])
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark([key])

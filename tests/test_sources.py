@@ -73,6 +73,7 @@ def test_stream(spark, data, tmp_path):
         got = {(r["start"], r["event_type"]): r["n"] for r in spark.table("counts").collect()}
     finally:
         q.stop()
+    assert status.once(stream).isStreaming
     assert status.once(spark.read.parquet(str(source))).count() == spark.read.parquet(str(source)).count()
     want = {(r["start"], r["event_type"]): r["n"] for r in status.counts(spark.read.parquet(str(source))).collect()}
     assert got and all(want[k] == n for k, n in got.items())
