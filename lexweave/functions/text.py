@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 CJK = "぀-鿿"
 HEADER = r"[A-Z]{4}-\d+-\d+[\w-]*\s*\n\s*(?:[ivxIVX]+|\d{1,4})\s*\n"
 PAGE_LINE = r"(?m)^[ \t]*(?:[ivxIVX]+|\d{1,4})[ \t]*$\n?"
-DOT_LINE = r"[^\n]*\.{5,}[^\n]*\n?"
+#: Begins at the start of a line only, so that a line is read once.
+DOT_LINE = r"(?<![^\n])[^\n]*?\.{5}[^\n]*\n?"
 SYMBOL_LINE = r"(?m)^[ \t]*[─━\-=_*#~]{5,}[ \t]*$\n?"
 DISCLAIMER = r"(?i)免責条項|disclaimer"
 REFERENCES = r"関連文書|参考文書|参照文書|適用文書|関係文書"

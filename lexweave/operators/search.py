@@ -148,10 +148,17 @@ def pairs_of(text: Column) -> Column:
     return F.filter(F.array_distinct(grams), lambda g: (F.length(g) == 2) & (F.trim(g) != ""))
 
 
+def pair_share(query: Column, text: Column) -> Column:
+    """The share of the query's pairs among the text's; both are arrays of distinct pairs."""
+    return F.when(F.size(query) == 0, 0.0).otherwise(F.size(F.array_intersect(query, text)) / F.size(query))
+
+
 def pair_overlap(query: Column, text: Column, most: int = 500) -> Column:
-    """The share of the query's character pairs that the head of the text has; 0 without pairs."""
-    q = pairs_of(query)
-    return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, pairs_of(F.substring(text, 1, most)))) / F.size(q))
+    """The share of the query's character pairs that the head of the text has; 0 without pairs.
+
+    Where many queries meet many texts, form the pairs of each side once and use ``pair_share``.
+    """
+    return pair_share(pairs_of(query), pairs_of(F.substring(text, 1, most)))
 
 
 def blend_rerank(hits: DataFrame, query: Column, text: Column, *, alpha: float = 0.5, head: int = 20, key: str = "chunk_id") -> DataFrame:

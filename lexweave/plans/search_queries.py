@@ -135,8 +135,9 @@ PAIRS = "list_filter(list_distinct(list_transform(range(1, length({0})), lambda
 WITH x AS (SELECT item_id, doc_id, {PAIRS.format("b.text")} AS q, {PAIRS.format("substr(d.text, 1, 500)")} AS p FROM benchmark b CROSS JOIN documents d)
 SELECT item_id, doc_id, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, p)) / len(q) END, 6) AS overlap FROM x""")
 def r11(t):
-    q = t.benchmark.select("item_id", F.col("text").alias("q"))
-    return t.documents.crossJoin(small(q)).select("item_id", "doc_id", F.round(S.pair_overlap(F.col("q"), F.col("text")), 6).alias("overlap"))
+    q = t.benchmark.select("item_id", S.pairs_of(F.col("text")).alias("q"))
+    d = t.documents.select("doc_id", S.pairs_of(F.substring("text", 1, 500)).alias("p"))
+    return d.crossJoin(small(q)).select("item_id", "doc_id", F.round(S.pair_share(F.col("q"), F.col("p")), 6).alias("overlap"))
 
 
 RERANK = RANKS_SQL + f""", base AS (SELECT query_id, doc_id, rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS rank FROM rrf),
