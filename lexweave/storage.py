@@ -32,7 +32,8 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back; the session's end deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexweave/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # nothing waits for a marker of success: the table is read by its own path only after the write has returned
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     p, fs = _path(spark, path)
     fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
