@@ -34,10 +34,10 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         large = now.select(F.col("v").alias("c"), F.col("u").alias("w")).join(least.withColumnRenamed("u", "c"), "c").select(F.col("w").alias("u"), F.col("m").alias("v"))
         large = cut(large.distinct(), "edges")
         # small star: u and its neighbours below go to the smallest of them
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        for old in (now, least, large, low):
+        for old in (now, least, large):
             discard(old)
         now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
