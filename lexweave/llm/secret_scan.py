@@ -61,12 +61,22 @@ def _mixed(m: re.Match) -> bool:
     return any(c.isdigit() for c in s) and any(c.islower() for c in s) and any(c.isupper() for c in s)
 
 
+# A private key runs from BEGIN to its END line.  Without one, or with another BEGIN or END before it, it is the base64
+# after the header: lines, or words of one line, of 16 characters at least, then shorter lines up to one that isn't base64.
+# Line ends may be written as escapes; fields such as Proc-Type may come first.
+_EOL = r"[\x20\t]*+(?:\r\n?|\n|(?:\\r)?\\n)[\x20\t]*+"
+_B64 = r"[A-Za-z0-9+/]{16,}+={0,2}"
+_FIELDS = rf"(?:{_EOL}[A-Za-z][A-Za-z0-9-]*+:\x20[^\r\n\\]*+)*+"
+_SHORT = rf"{_EOL}[A-Za-z0-9+/]{{1,15}}+={{0,2}}(?=[\x20\t\"']*+(?:[\r\n\\]|\Z))"
+_KEY_BODY = rf"(?:{_FIELDS}(?:{_EOL}|[\x20\t])++{_B64}(?:(?:{_EOL}|[\x20\t]++){_B64}|[\x20\t]++[A-Za-z0-9+/]{{0,15}}+={{1,2}}|{_SHORT})*+)?"
+_PRIVATE_KEY = rf"-----BEGIN ((?:[A-Z]+ )*)PRIVATE KEY-----(?:[^-]*+(?:-(?!----(?:BEGIN|END)\x20)[^-]*+)*+-----END \1PRIVATE KEY-----|{_KEY_BODY})"
+
 #: Base kinds first, in the order in which equal starts are listed.
 RULES: tuple[Rule, ...] = (
     Rule("assign", r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", _long_value, True),
     Rule("access", r"AKIA[A-Z0-9]{16,}", None, True),
     Rule("hex", r"[0-9a-f]{24,}", None, True),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", _PRIVATE_KEY),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[0-9A-Za-z-]{12,}"),
     Rule("cloud_key", r"AIza[0-9A-Za-z_-]{35}", _mixed),
@@ -281,9 +291,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(table(spark, sf_dir, "documents")))
 
 
+# SQL has its own forms of these kinds: its engine knows neither back references nor possessive quantifiers.
+_PLAIN = {"private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"}
 _SHOW = "coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, k, e){}, '')"
 SQL = f"""
-WITH {span_sql([(r.kind, r.pattern.replace("(?ai:", "(?i:")) for r in RULES])},
+WITH {span_sql([(r.kind, _PLAIN.get(r.kind, r.pattern).replace("(?ai:", "(?i:")) for r in RULES])},
 z AS (SELECT * FROM spans WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(g, '^(?i:password|passwd|secret|token|api_?key)["'']? *[:=] *["'']?(.*)$', 1)) >= 6
   WHEN 'cloud_key' THEN regexp_matches(g, '[0-9]') AND regexp_matches(g, '[a-z]') AND regexp_matches(g, '[A-Z]') ELSE true END)
 SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
