@@ -81,7 +81,7 @@ RULES: tuple[Rule, ...] = (
     Rule("chat_token", r"xox[abprs]-[0-9A-Za-z-]{12,}"),
     Rule("cloud_key", r"AIza[0-9A-Za-z_-]{35}", _mixed),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("url_login", r"[a-z][a-z0-9+]{1,20}://[^\x00-\x20/:@]{1,80}:[^\x00-\x20/:@]{3,80}@[A-Za-z0-9.-]+"),
+    Rule("url_login", r"[a-z][a-z0-9+]{1,20}://[^\x00-\x20/:@]*+:[^\x00-\x20/@]{3,}+@[A-Za-z0-9.-]+"),
 )
 
 # A query is True (all documents), ("all", ...) or ("any", ...) of trigrams and queries.
@@ -292,7 +292,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # SQL has its own forms of these kinds: its engine knows neither back references nor possessive quantifiers.
-_PLAIN = {"private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"}
+_PLAIN = {
+    "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----",
+    "url_login": r"[a-z][a-z0-9+]{1,20}://[^\x00-\x20/:@]{1,80}:[^\x00-\x20/:@]{3,80}@[A-Za-z0-9.-]+",
+}
 _SHOW = "coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, k, e){}, '')"
 SQL = f"""
 WITH {span_sql([(r.kind, _PLAIN.get(r.kind, r.pattern).replace("(?ai:", "(?i:")) for r in RULES])},

@@ -139,6 +139,20 @@ def test_private_keys_go_with_their_bodies(spark):
     assert [r["text"] for r in secret_scan.redact(docs).orderBy("doc_id").collect()] == [w for _, w in KEYS]
 
 
+LOGINS = [
+    ("see https://bot:github_pat_" + "a1B2" * 20 + "xyz@github.com/x ok", "see [secret]/x ok"),
+    ("redis://:pa55word@host:6379", "[secret]:6379"),
+    ("ftp://" + "u" * 100 + ":pw:with:colons@h.org/ and http://host:8080/a@b", "[secret]/ and http://host:8080/a@b"),
+    ("https://a:" + "x" * 300000 + "@h.org", "[secret]"),
+    ("ab://" * 50000 + " " + "x" * 100000 + "://" + "y" * 100000, "ab://" * 50000 + " " + "x" * 100000 + "://" + "y" * 100000),
+]
+
+
+def test_logins_of_any_length(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(LOGINS)], "doc_id long, text string")
+    assert [r["text"] for r in secret_scan.redact(docs).orderBy("doc_id").collect()] == [w for _, w in LOGINS]
+
+
 def test_queries(spark, data):
     con = connect(data)
     same(pii.op3_pii(spark, data), con, pii.SQL)
