@@ -11,11 +11,18 @@ words nearby that belong to the kind raise it, words that speak against it
 lower it, and spans of the further kinds need ``LEAST_SCORE``; spans of the
 base kinds (email, ip, card, phone) stay whatever their score.
 
+A bank account begins with two capitals and two digits at the start of a word.
+Capitals and digits, each after at most one space, may follow, and words behind
+the account may look like more of it.  Its end is a space or the end of that
+run, where mod 97 holds: at the length of its country, or, for countries that
+aren't in ``ACCOUNT_LENGTHS``, the last such place within 34 characters.
+
 Quantifiers are possessive wherever giving characters back can't lead to a
 match, so that long runs cost linear time and no stack.
 
 Defined cases: null text is the empty text and has no span; a match that fails
-its check is dropped and the search goes on behind it; spans of different kinds
+its check is dropped and the search goes on behind it, for accounts behind the
+first four characters; of accounts that overlap the first counts; spans of different kinds
 may overlap; equal rows are searched each; an empty table gives an empty
 result; other columns are not read.
 """
@@ -48,9 +55,19 @@ KINDS = (
     Kind("ip", r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, r"(?:^|[^a-z])(?:ip|host|server|address|login)(?:$|[^a-z])"),
     Kind("card", r"[0-9](?:[\x20-]?+[0-9]){15,}+", 0.8, r"(?:^|[^a-z])(?:card|visa|mastercard|credit|carte|karte|tarjeta)(?:$|[^a-z])"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, r"(?:^|[^a-z])(?:phone|tel|call|mobile|fax|telefon)(?:$|[^a-z])"),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+", 0.8, r"(?:^|[^a-z])(?:iban|bank|account|konto|compte|cuenta)(?:$|[^a-z])", base=False),
+    Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+[A-Z0-9]?+))[A-Z]{2}[0-9]{2}", 0.8, r"(?:^|[^a-z])(?:iban|bank|account|konto|compte|cuenta)(?:$|[^a-z])", base=False),
     Kind("ssn", r"[0-9-]{11,}+", 0.3, r"(?:^|[^a-z])(?:ssn|social security)(?:$|[^a-z])", base=False),
 )
+#: Characters of an account number by country, without spaces.
+ACCOUNT_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 LEAST_SCORE = 0.5
 #: Code points on each side of a span in which context words count.
 WINDOW = 48
@@ -76,7 +93,6 @@ _VALID = {
     "card": lambda m: F.length(_digits(m)).between(16, 19) & F.call_function("luhn_check", _digits(m)),
     "phone": lambda m: F.length(_digits(m)).between(8, 15),
     "ssn": lambda m: m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"),
-    "iban": lambda m: F.length(F.replace(m, F.lit(" "), F.lit(""))).between(15, 34) & (mod97(m) == 1),
 }
 _SPAN = "array<struct<start:int,end:int,text:string>>"
 
@@ -96,6 +112,37 @@ def _places(text: Column, matches: Column, pattern: str) -> Column:
     return F.when(F.size(matches) == 0, none).otherwise(folded)
 
 
+def _account(run: Column) -> Column:
+    """The account that a run of capitals, digits and spaces begins with; null if there is none."""
+    groups = F.split(run, " ")
+    begun = F.transform(F.sequence(F.lit(1), F.size(groups)), lambda k: F.array_join(F.slice(groups, 1, k), " "))
+    known = F.create_map(*[F.lit(x) for pair in ACCOUNT_LENGTHS.items() for x in pair])
+    want = F.try_element_at(known, F.substr(run, F.lit(1), F.lit(2)))
+
+    def holds(m):
+        n = F.length(F.replace(m, F.lit(" "), F.lit("")))
+        return n.between(15, 34) & F.coalesce(n == want, F.lit(True)) & (mod97(m) == 1)
+
+    return F.try_element_at(F.filter(begun, holds), F.lit(-1))
+
+
+def _accounts(text: Column, runs: Column, pattern: str) -> Column:
+    """(start, end, text) of the accounts that the runs begin with and that don't overlap; a match of the pattern is four characters."""
+    pieces = F.slice(F.split(text, pattern, -1), 1, F.size(runs))
+    steps = F.zip_with(pieces, F.transform(runs, _account), lambda p, a: F.struct(F.length(p).alias("gap"), a.alias("a")))
+    none = F.array().cast(_SPAN)
+
+    def step(acc, x):
+        start = acc["pos"] + x["gap"]
+        end = start + F.length(x["a"])
+        fits = x["a"].isNotNull() & (start >= acc["free"])
+        out = F.when(fits, F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["a"].alias("text"))))).otherwise(acc["out"])
+        return F.struct((start + 4).alias("pos"), F.when(fits, end).otherwise(acc["free"]).alias("free"), out.alias("out"))
+
+    folded = F.aggregate(steps, F.struct(F.lit(0).alias("pos"), F.lit(0).alias("free"), none.alias("out")), step, lambda acc: acc["out"])
+    return F.when(F.size(runs) == 0, none).otherwise(folded)
+
+
 def _score(kind: Kind, text: Column, s: Column) -> Column:
     from_ = F.greatest(s["start"] - WINDOW, F.lit(0))
     around = F.lower(F.concat_ws(" ", F.substr(text, from_ + 1, s["start"] - from_), F.substr(text, s["end"] + 1, F.lit(WINDOW))))
@@ -106,15 +153,13 @@ def _score(kind: Kind, text: Column, s: Column) -> Column:
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """doc_id and spans (kind, start, end, score), by kind as listed and start, of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    rows = rows.select("doc_id", "t", *[F.regexp_extract_all("t", F.lit(k.pattern), F.lit(0)).alias(f"m_{k.name}") for k in kinds])
-    rows = rows.select("doc_id", "t", *[_places(F.col("t"), F.col(f"m_{k.name}"), k.pattern).alias(f"s_{k.name}") for k in kinds])
+    rows = rows.select("doc_id", "t", *[F.regexp_extract_all("t", F.lit(k.pattern), F.lit(int(k.name == "iban"))).alias(f"m_{k.name}") for k in kinds])
+    rows = rows.select("doc_id", "t", *[(_accounts if k.name == "iban" else _places)(F.col("t"), F.col(f"m_{k.name}"), k.pattern).alias(f"s_{k.name}") for k in kinds])
 
     def confirmed(k: Kind) -> Column:
         found = F.col(f"s_{k.name}")
         if k.name in _VALID:
             found = F.filter(found, lambda s: _VALID[k.name](s["text"]))
-        if k.name == "iban":  # not the tail of a longer word
-            found = F.filter(found, lambda s: (s["start"] == 0) | ~F.substr(F.col("t"), s["start"], F.lit(1)).rlike("[A-Za-z0-9]"))
         scored = F.transform(found, lambda s: F.struct(F.lit(k.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _score(k, F.col("t"), s).alias("score")))
         return scored if k.base else F.filter(scored, lambda s: s["score"] >= LEAST_SCORE)
 

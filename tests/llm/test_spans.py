@@ -71,6 +71,25 @@ def test_pii_checks_and_context(spark):
     assert phone["score"] > next(k.score for k in pii.KINDS if k.name == "phone")
 
 
+ACCOUNTS = [
+    ("to DE89 3704 0044 0532 0130 00 The bank", ["DE89 3704 0044 0532 0130 00"]),
+    ("DE89370400440532013000 BIC COBADEFF", ["DE89370400440532013000"]),
+    ("GB82 WEST 1234 5698 7654 32 2024", ["GB82 WEST 1234 5698 7654 32"]),
+    ("😀 DE89370400440532013000 GB82WEST12345698765432 NO93 8601 1117 947 A", ["DE89370400440532013000", "GB82WEST12345698765432", "NO93 8601 1117 947"]),
+    ("AB12 DE89 3704 0044 0532 0130 00", ["DE89 3704 0044 0532 0130 00"]),
+    ("ZZ22 3704 0044 0532 0130 00 THE BANK", ["ZZ22 3704 0044 0532 0130 00"]),
+    ("XDE89370400440532013000 DE89 3704 0044 0532 0130 01 and DE89 3704", []),
+    ("AA11 " * 20000, []),
+]
+
+
+def test_accounts_before_capitals_and_digits(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(ACCOUNTS)], "doc_id long, text string")
+    for r in pii.find(docs).collect():
+        text, want = ACCOUNTS[r["doc_id"]]
+        assert [text[s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "iban"] == want, text[:60]
+
+
 def test_pii_odd(spark):
     assert pii.find(odd(spark)).count() == odd(spark).count()
     assert pii.find(empty(spark)).count() == 0
