@@ -9,8 +9,10 @@ and sets that share the token there go on together to the child of that
 coordinate.  Pairs below the threshold die out, pairs above it are expected to
 stay together at least once on every level.  A node of at most ``LEAF`` sets is
 brute-forced on the signatures; one that is still larger at ``DEPTH`` hands on
-all its sets as candidates.  Runs are repeated until the recall that is
-guaranteed at full depth, 1 - (1 - survival) ** runs, reaches ``RECALL``.
+all its sets as candidates.  Runs are repeated until the recall at full depth
+reaches ``RECALL``.  All runs read the same signatures, so their misses are
+independent only for a given number of coordinates in which a pair agrees: the
+miss is the mean of (1 - survival) ** runs over that number's distribution.
 
 What the leaves found are candidate links.  Their connected components, found
 by joins, are small, and each is sent once to a task that forms the exact
@@ -137,18 +139,29 @@ def choices(threshold: float) -> tuple[int, float]:
     return int(1 / threshold), 1 / threshold - int(1 / threshold)
 
 
-def survival(depth: int, threshold: float = THRESHOLD) -> float:
-    """The chance that a pair at the threshold shares a node at ``depth`` in one run."""
+def survival(depth: int, threshold: float = THRESHOLD, agree: float | None = None) -> float:
+    """The chance that a pair that agrees in this share of the coordinates, else the threshold, shares a node at ``depth`` in one run."""
+    agree = threshold if agree is None else agree
     sure, more = choices(threshold)
     s = 1.0
     for _ in range(depth):
-        miss = 1 - threshold * s
+        miss = 1 - agree * s
         s = 1 - miss**sure * (1 - more + more * miss)
     return s
 
 
+def missed(runs: int, depth: int = DEPTH, threshold: float = THRESHOLD) -> float:
+    """The chance that a pair at the threshold shares no node at ``depth`` in any run; one without an agreeing coordinate is left to no run."""
+    n = COORDINATES
+    chance = lambda k: math.comb(n, k) * threshold**k * (1 - threshold) ** (n - k)
+    return sum(chance(k) * (1 - survival(depth, threshold, k / n)) ** runs for k in range(1, n + 1))
+
+
 def runs_needed(recall: float = RECALL, depth: int = DEPTH, threshold: float = THRESHOLD) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(depth, threshold))))
+    runs = 1
+    while missed(runs, depth, threshold) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

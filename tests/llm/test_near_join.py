@@ -95,6 +95,16 @@ def test_recall_formula():
     assert 1 - (1 - N.survival(N.DEPTH)) ** N.runs_needed() >= N.RECALL
 
 
+def test_recall_over_shared_coordinates():
+    """Runs on one signature: pairs at the threshold that agree by chance in few coordinates are missed by all of them."""
+    rng = np.random.default_rng(4)
+    agree = rng.binomial(N.COORDINATES, N.THRESHOLD, 20000) / N.COORDINATES
+    s = np.ones(len(agree))
+    for _ in range(N.DEPTH):
+        s = 1 - (1 - agree * s) * (0.75 + 0.25 * (1 - agree * s))
+    assert ((1 - s) ** N.runs_needed()).mean() <= 1 - N.RECALL
+
+
 def test_word_hashes_match_split():
     for text in ["", " a  bb\tc\n\x0bd ", "é ü x y", "a" * 5000 + " b"]:
         data = np.frombuffer(text.encode(), np.uint8)
