@@ -21,9 +21,12 @@ while vectors without any structure in many dimensions lie near most borders;
 then the join approaches one of all blocks with all blocks, which is exact and
 bounded in memory but quadratic in work.
 
-Defined cases: vectors that are null, zero, of another length than most, or
-hold null or non-finite components link with nothing and keep
-themselves; equal vectors link; rows with equal ids count as vectors of their
+Vectors of each length have pivots and cells of their own and join with each
+other alone.
+
+Defined cases: vectors that are null, zero, or hold null or non-finite
+components link with nothing and keep themselves; vectors of different lengths
+don't link; equal vectors link; rows with equal ids count as vectors of their
 own; null ids order first; an empty table gives an empty result; other columns
 are not read.
 """
@@ -80,41 +83,57 @@ def link(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
     sound = F.col("x").isNotNull() & (F.size("x") > 0) & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = rows.withColumn("norm", F.when(sound, norm)).withColumn("ok", F.coalesce((F.col("norm") > 0) & (F.col("norm") < float("inf")), F.lit(False)))
-    common = rows.filter("ok").groupBy(F.size("x").alias("n")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), "n").limit(1).collect()
-    if not common:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    first = common[0]["n"]
-    rows = rows.withColumn("ok", F.col("ok") & (F.size("x") == first))
     # equal vectors are one node; its key is a digest of the components
     keyed = rows.withColumn("node", F.when(F.col("ok"), F.unhex(F.md5(F.to_binary(F.array_join(F.transform("x", lambda v: F.hex((v + 0.0).cast("string"))), ","), F.lit("utf-8"))))))
     keyed = cut(keyed.select("vec_id", "node", F.when(F.col("ok"), F.transform("x", lambda v: v / F.col("norm"))).alias("x")), "vectors")
     nodes = cut(keyed.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"), F.first("x").alias("x")), "nodes")
-    count = nodes.count()
-    n_pivots = max(1, min(MOST_PIVOTS, math.ceil(count / cell)))
-    # node keys are digests, so the smallest are a sample; their number is bounded
-    pivots = np.array([r["x"] for r in nodes.orderBy("node").limit(n_pivots).collect()], np.float64).reshape(-1, first)
-    apart = np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 1e-12))
+    counts = {r["n"]: r["k"] for r in nodes.groupBy(F.size("x").alias("n")).agg(F.count(F.lit(1)).alias("k")).orderBy("n").collect()}
+    if not counts:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    wanted = {n: math.ceil(k / cell) for n, k in counts.items()}
+    most = min(1.0, MOST_PIVOTS / sum(wanted.values()))
+    # by length: the first of its cells, its pivots and their distances; a length of one cell needs no pivot
+    cells_of, n_cells = {}, 0
+    for n, k in wanted.items():
+        k = max(1, int(k * most))
+        pivots = apart = None
+        if k > 1:
+            # node keys are digests, so the smallest are a sample; their number is bounded
+            pivots = np.array([r["x"] for r in nodes.filter(F.size("x") == n).orderBy("node").limit(k).collect()], np.float64)
+            apart = np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 1e-12))
+        cells_of[n] = (n_cells, pivots, apart)
+        n_cells += k
+
+    def place_equal(x):
+        """Home and list of cells of each row of a matrix."""
+        first, pivots, apart = cells_of[x.shape[1]]
+        if pivots is None:
+            return np.full(len(x), first), np.arange(len(x)), np.full(len(x), first)
+        square = np.maximum(2 - 2 * (x @ pivots.T), 0)
+        home = square.argmin(1)
+        own = square[np.arange(len(x)), home]
+        # distance to the plane between the two pivots, and the plain triangle bound
+        beyond = (square - own[:, None]) / (2 * apart[home])
+        near = (beyond <= radius + 1e-9) & (np.sqrt(square) - np.sqrt(own)[:, None] <= 2 * radius + 1e-9)
+        near[np.arange(len(x)), home] = True
+        at, cells = np.nonzero(near)
+        return home + first, at, cells + first
 
     def place(batches):
         for batch in batches:
-            x = _matrix(batch.column(2))
-            square = np.maximum(2 - 2 * (x @ pivots.T), 0)
-            home = square.argmin(1)
-            own = square[np.arange(len(x)), home]
-            # distance to the plane between the two pivots, and the plain triangle bound
-            beyond = (square - own[:, None]) / (2 * apart[home])
-            near = (beyond <= radius + 1e-9) & (np.sqrt(square) - np.sqrt(own)[:, None] <= 2 * radius + 1e-9)
-            near[np.arange(len(x)), home] = True
-            at, cells = np.nonzero(near)
-            cuts = np.searchsorted(at, np.arange(len(x) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(home.astype(np.int32)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(cells.astype(np.int32)))], names=["node", "copies", "x", "home", "cells"])
+            lengths = batch.column(2).value_lengths().to_numpy()
+            for n in np.unique(lengths):
+                own = batch if (lengths == n).all() else batch.take(pa.array(np.flatnonzero(lengths == n)))
+                home, at, cells = place_equal(_matrix(own.column(2)))
+                cuts = np.searchsorted(at, np.arange(own.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), pa.array(home.astype(np.int32)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(cells.astype(np.int32)))], names=["node", "copies", "x", "home", "cells"])
 
     placed = cut(nodes.select("node", "copies", "x").mapInArrow(place, "node binary, copies bigint, x array<double>, home int, cells array<int>"), "placed")
     # one counter for each cell
     inner = {r["home"]: r["n"] for r in placed.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}
     outer = {r["c"]: r["n"] for r in placed.select(F.explode("cells").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_in = F.array(*[F.lit(math.ceil(inner.get(c, 0) / block) or 1) for c in range(len(pivots))])
-    n_out = F.array(*[F.lit(math.ceil(outer.get(c, 0) / block) or 1) for c in range(len(pivots))])
+    n_in = F.array(*[F.lit(math.ceil(inner.get(c, 0) / block) or 1) for c in range(n_cells)])
+    n_out = F.array(*[F.lit(math.ceil(outer.get(c, 0) / block) or 1) for c in range(n_cells)])
     h = F.xxhash64("node")
     copied = placed.select("node", "copies", "x", "home", F.explode("cells").alias("cell"))
     copied = copied.withColumns({"own": F.col("home") == F.col("cell"), "a": F.pmod(h, F.element_at(n_in, F.col("cell") + 1)).cast("int"), "b": F.pmod(h, F.element_at(n_out, F.col("cell") + 1)).cast("int")})

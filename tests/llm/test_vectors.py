@@ -43,6 +43,23 @@ def test_against_brute_force(spark, cell, block):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in out)
 
 
+@pytest.mark.parametrize("cell, block", [(4096, 4096), (20, 16)])
+def test_each_length_joins_on_its_own(spark, cell, block):
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for n, size in ((8, 90), (5, 60), (3, 7), (1, 2)):
+        base = [rng.normal(size=8) for _ in range(9)]
+        padded = []
+        for k in range(size):
+            x = ((base[k % 9] + rng.normal(size=8) * 0.05)[:n]).tolist()
+            rows.append((len(rows), x))
+            padded.append((rows[-1][0], x + [0.0] * (8 - n)))
+        want |= brute(padded)
+    random.Random(2).shuffle(rows)
+    out = V.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cell=cell, block=block).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out} == want
+
+
 def test_query(spark, data):
     same(V.op10_vectors(spark, data), connect(data), V.SQL)
 
