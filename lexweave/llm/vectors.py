@@ -11,6 +11,12 @@ all its neighbours in its home cell, links are counted there, and no pair is
 found twice or sent on: a block returns one count for each vector and a
 spanning forest of the links it saw.
 
+The number of pivots grows with the table: one for every ``CELL`` vectors, or
+the square root of their number where that is less, so that finding the home of
+n vectors and comparing them within their cells both cost about n ** 1.5 if the
+vectors are well separated.  Pivots are drawn by digest and lie more than r
+apart: a dense region gets its share of them, and a group of near copies one.
+
 Equal vectors are one vector with a number of copies before anything else, so
 a very common vector costs nothing.  A cell of any size is cut into blocks of
 bounded size, each pair of blocks a task of its own.  Distances are computed in
@@ -24,11 +30,12 @@ bounded in memory but quadratic in work.
 Vectors of each length have pivots and cells of their own and join with each
 other alone.
 
-Defined cases: vectors that are null, zero, or hold null or non-finite
-components link with nothing and keep themselves; vectors of different lengths
-don't link; equal vectors link; rows with equal ids count as vectors of their
-own; null ids order first; an empty table gives an empty result; other columns
-are not read.
+Defined cases: vectors that are null, zero, empty, or hold null or non-finite
+components link with nothing and keep themselves; all others take part whatever
+the size of their components, which are divided by the largest before the norm;
+vectors of different lengths don't link; equal vectors link; rows with equal ids
+count as vectors of their own; null ids order first; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +43,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,10 +51,15 @@ from .common import bounded_batches, cut, table
 from .components import connected_components, forest
 
 THRESHOLD = 0.95
-#: Vectors to a cell that are aimed at, vectors in a block at most (about), pivots at most.
+#: Vectors to a cell that are aimed at, as long as the cells are fewer than the square root of the vectors.
 CELL = 4096
+#: Vectors in a block at most (about), and their components; one vector is a block at least.
 BLOCK = 4096
-MOST_PIVOTS = 2048
+BLOCK_COMPONENTS = 1 << 19
+#: Vectors looked at for each pivot that is wanted.
+_TRIES = 4
+#: Distances in one matrix of the search for homes.
+_DISTANCES = 1 << 21
 #: Covers the rounding of single-precision products.
 _MARGIN = 1e-4
 
@@ -65,8 +76,8 @@ def _block_links(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.nda
     left, right = [], []
     for i in range(0, len(a), 1024):
         x, y = np.nonzero(a4[i : i + 1024] @ b4.T >= threshold - _MARGIN)
-        for k in range(0, len(x), 1 << 18):
-            p, q = x[k : k + (1 << 18)] + i, y[k : k + (1 << 18)]
+        for k in range(0, len(x), 1 << 16):
+            p, q = x[k : k + (1 << 16)] + i, y[k : k + (1 << 16)]
             ok = np.einsum("ij,ij->i", a[p], b[q]) >= threshold
             left.append(p[ok])
             right.append(q[ok])
@@ -74,51 +85,81 @@ def _block_links(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.nda
     return (np.concatenate(left), np.concatenate(right)) if left else (empty, empty)
 
 
+def unit(x, largest):
+    """A vector of length one: divided by its largest component first, so that squares neither overflow nor vanish."""
+    scaled = F.transform(x, lambda v: v / largest)
+    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, v: a + v * v))
+    return F.zip_with(scaled, F.array_repeat(norm, F.size(x)), lambda v, n: v / n)
+
+
+def spread(candidates: np.ndarray, count: int, radius: float) -> np.ndarray:
+    """Up to ``count`` of the candidates, in their order, that are more than the radius apart; one at least."""
+    chosen = np.empty((count, candidates.shape[1]))
+    n = 0
+    for x in candidates:
+        if n == count:
+            break
+        if not n or (2 - 2 * (chosen[:n] @ x)).min() > radius * radius:
+            chosen[n] = x
+            n += 1
+    return chosen[:n]
+
+
 def link(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, cell: int = CELL, block: int = BLOCK) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row."""
+    """vec_id, n_links, component_id and kept of every row.
+
+    The driver gets the candidates for pivots, ``_TRIES`` times the pivots in
+    number, and one counter for each cell: a share of the vectors that falls as
+    their number grows.
+    """
     spark = vectors.sparkSession
     bounded_batches(spark)
     radius = math.sqrt(2 - 2 * threshold)
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
     sound = F.col("x").isNotNull() & (F.size("x") > 0) & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    rows = rows.withColumn("norm", F.when(sound, norm)).withColumn("ok", F.coalesce((F.col("norm") > 0) & (F.col("norm") < float("inf")), F.lit(False)))
+    largest = F.array_max(F.transform("x", lambda v: F.abs(v)))
+    rows = rows.withColumn("largest", F.when(sound & (largest > 0), largest))
     # equal vectors are one node; its key is a digest of the components
-    keyed = rows.withColumn("node", F.when(F.col("ok"), F.unhex(F.md5(F.to_binary(F.array_join(F.transform("x", lambda v: F.hex((v + 0.0).cast("string"))), ","), F.lit("utf-8"))))))
-    keyed = cut(keyed.select("vec_id", "node", F.when(F.col("ok"), F.transform("x", lambda v: v / F.col("norm"))).alias("x")), "vectors")
+    node = F.unhex(F.md5(F.to_binary(F.array_join(F.transform("x", lambda v: F.hex((v + 0.0).cast("string"))), ","), F.lit("utf-8"))))
+    heard = F.col("largest").isNotNull()
+    keyed = cut(rows.select("vec_id", F.when(heard, node).alias("node"), F.when(heard, unit(F.col("x"), F.col("largest"))).alias("x")), "vectors")
     nodes = cut(keyed.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"), F.first("x").alias("x")), "nodes")
     counts = {r["n"]: r["k"] for r in nodes.groupBy(F.size("x").alias("n")).agg(F.count(F.lit(1)).alias("k")).orderBy("n").collect()}
     if not counts:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    wanted = {n: math.ceil(k / cell) for n, k in counts.items()}
-    most = min(1.0, MOST_PIVOTS / sum(wanted.values()))
-    # by length: the first of its cells, its pivots and their distances; a length of one cell needs no pivot
-    cells_of, n_cells = {}, 0
-    for n, k in wanted.items():
-        k = max(1, int(k * most))
-        pivots = apart = None
-        if k > 1:
-            # node keys are digests, so the smallest are a sample; their number is bounded
-            pivots = np.array([r["x"] for r in nodes.filter(F.size("x") == n).orderBy("node").limit(k).collect()], np.float64)
-            apart = np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 1e-12))
-        cells_of[n] = (n_cells, pivots, apart)
-        n_cells += k
-
-    def place_equal(x):
+    # by length: the first of its cells and its pivots; a length of one cell needs no pivot
+    cells_of, sizes = {}, []
+    for n, k in counts.items():
+        wanted = max(1, min(math.ceil(k / cell), math.isqrt(k)))
+        pivots = None
+        if wanted > 1:
+            # node keys are digests, so the smallest are a sample
+            pivots = spread(np.array([r["x"] for r in nodes.filter(F.size("x") == n).orderBy("node").limit(_TRIES * wanted).collect()], np.float64), wanted, radius)
+            wanted = len(pivots)
+        cells_of[n] = (len(sizes), pivots)
+        sizes += [max(1, min(block, BLOCK_COMPONENTS // n))] * wanted
+    shared = spark.sparkContext.broadcast(cells_of)
+
+    def place_some(x, first, pivots):
         """Home and list of cells of each row of a matrix."""
-        first, pivots, apart = cells_of[x.shape[1]]
-        if pivots is None:
-            return np.full(len(x), first), np.arange(len(x)), np.full(len(x), first)
         square = np.maximum(2 - 2 * (x @ pivots.T), 0)
         home = square.argmin(1)
         own = square[np.arange(len(x)), home]
         # distance to the plane between the two pivots, and the plain triangle bound
-        beyond = (square - own[:, None]) / (2 * apart[home])
-        near = (beyond <= radius + 1e-9) & (np.sqrt(square) - np.sqrt(own)[:, None] <= 2 * radius + 1e-9)
+        apart = np.sqrt(np.maximum(2 - 2 * (pivots[home] @ pivots.T), 1e-12))
+        near = ((square - own[:, None]) / (2 * apart) <= radius + 1e-9) & (np.sqrt(square) - np.sqrt(own)[:, None] <= 2 * radius + 1e-9)
         near[np.arange(len(x)), home] = True
         at, cells = np.nonzero(near)
         return home + first, at, cells + first
 
+    def place_equal(x):
+        first, pivots = shared.value[x.shape[1]]
+        if pivots is None:
+            return np.full(len(x), first), np.arange(len(x)), np.full(len(x), first)
+        step = max(1, _DISTANCES // len(pivots))
+        parts = [(k, *place_some(x[k : k + step], first, pivots)) for k in range(0, len(x), step)]
+        return np.concatenate([h for _, h, _, _ in parts]), np.concatenate([at + k for k, _, at, _ in parts]), np.concatenate([c for _, _, _, c in parts])
+
     def place(batches):
         for batch in batches:
             lengths = batch.column(2).value_lengths().to_numpy()
@@ -132,8 +173,8 @@ def link(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
     # one counter for each cell
     inner = {r["home"]: r["n"] for r in placed.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}
     outer = {r["c"]: r["n"] for r in placed.select(F.explode("cells").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_in = F.array(*[F.lit(math.ceil(inner.get(c, 0) / block) or 1) for c in range(n_cells)])
-    n_out = F.array(*[F.lit(math.ceil(outer.get(c, 0) / block) or 1) for c in range(n_cells)])
+    blocks = lambda rows_in: F.split(F.lit(",".join(str(math.ceil(rows_in.get(c, 0) / size) or 1) for c, size in enumerate(sizes))), ",").cast("array<int>")
+    n_in, n_out = blocks(inner), blocks(outer)
     h = F.xxhash64("node")
     copied = placed.select("node", "copies", "x", "home", F.explode("cells").alias("cell"))
     copied = copied.withColumns({"own": F.col("home") == F.col("cell"), "a": F.pmod(h, F.element_at(n_in, F.col("cell") + 1)).cast("int"), "b": F.pmod(h, F.element_at(n_out, F.col("cell") + 1)).cast("int")})
@@ -141,27 +182,31 @@ def link(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
     home_rows = copied.filter("own").select("node", "copies", "x", "cell", "a", F.explode(F.sequence(F.lit(0), F.element_at(n_out, F.col("cell") + 1) - 1)).alias("b"), F.lit(True).alias("asks"))
     other_rows = copied.select("node", "copies", "x", "cell", F.explode(F.sequence(F.lit(0), F.element_at(n_in, F.col("cell") + 1) - 1)).alias("a"), "b", F.lit(False).alias("asks"))
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks = pdf["asks"].to_numpy(bool)
-        out = pd.DataFrame({"node": pd.Series([], dtype=object), "links": pd.Series([], dtype="int64"), "root": pd.Series([], dtype=object)})
-        if not asks.any() or asks.all():
-            return out
-        x = np.stack(pdf["x"].to_numpy())
-        names = pdf["node"].to_numpy()
+    def join(group: pa.Table) -> pa.Table:
+        def told(names, links, roots):
+            return pa.table({"node": names, "links": pa.array(links, pa.int64()), "root": roots})
+
+        group = group.combine_chunks()
+        names = pa.array(group.column("node").to_pylist(), pa.binary())
+        asks = group.column("asks").to_numpy()
         mine, theirs = np.flatnonzero(asks), np.flatnonzero(~asks)
+        column = group.column("x")
+        column = column.chunk(0) if column.num_chunks else pa.array([], pa.list_(pa.float64()))
+        if not len(mine) or not len(theirs):
+            return told(names.slice(0, 0), [], names.slice(0, 0))
+        x = _matrix(column)
+        keys, code = np.unique(np.array(names.to_pylist(), dtype=object), return_inverse=True)
         p, q = _block_links(x[mine], x[theirs], threshold)
         p, q = mine[p], theirs[q]
-        different = names[p] != names[q]
+        different = code[p] != code[q]
         p, q = p[different], q[different]
-        if not len(p):
-            return out
-        links = np.bincount(p, weights=pdf["copies"].to_numpy()[q], minlength=len(x)).astype(np.int64)
-        keys, code = np.unique(names, return_inverse=True)
-        node, root = forest(len(keys), code[p], code[q])
+        links = np.bincount(p, weights=group.column("copies").to_numpy()[q], minlength=len(x)).astype(np.int64)
         have = np.flatnonzero(links)
-        return pd.concat([pd.DataFrame({"node": names[have], "links": links[have], "root": names[have]}), pd.DataFrame({"node": keys[node], "links": 0, "root": keys[root]})])
+        node, root = forest(len(keys), code[p], code[q])
+        own = keys[code[have]].tolist()
+        return told(pa.array(own + keys[node].tolist(), pa.binary()), np.concatenate([links[have], np.zeros(len(node), np.int64)]), pa.array(own + keys[root].tolist(), pa.binary()))
 
-    found = cut(home_rows.unionByName(other_rows).groupBy("cell", "a", "b").applyInPandas(join, "node binary, links bigint, root binary"), "links")
+    found = cut(home_rows.unionByName(other_rows).groupBy("cell", "a", "b").applyInArrow(join, "node binary, links bigint, root binary"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected_components(found.filter("node <> root"), "node", "root")
     summary = nodes.select("node", "copies", "least").join(links, "node", "left").join(parts.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -180,12 +225,16 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH RECURSIVE e AS (
   SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+), g AS (
+  SELECT vec_id, x, list_max(list_transform(x, lambda v: abs(v))) AS largest FROM e
+  WHERE len(list_filter(x, lambda v: v IS NULL OR NOT isfinite(v))) = 0
 ), n AS (
-  SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda v: v * v))) AS norm FROM e
+  SELECT vec_id, list_transform(x, lambda v: v / largest) AS x FROM g WHERE largest > 0
 ), u AS (
-  SELECT vec_id, list_transform(x, lambda v: v / norm) AS x FROM n WHERE norm > 0 AND isfinite(norm)
+  SELECT vec_id, list_transform(x, lambda v: v / sqrt(list_sum(list_transform(x, lambda w: w * w)))) AS x FROM n
 ), l AS (
-  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_inner_product(a.x, b.x) >= 0.95
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b
+  ON a.vec_id <> b.vec_id AND CASE WHEN len(a.x) = len(b.x) THEN list_inner_product(a.x, b.x) >= 0.95 ELSE false END
 ), r(a, b) AS (
   SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
 ), m AS (

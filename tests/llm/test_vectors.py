@@ -60,6 +60,35 @@ def test_each_length_joins_on_its_own(spark, cell, block):
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out} == want
 
 
+def test_components_of_any_size_and_every_length(spark):
+    """Norms that overflow or vanish, and lengths that few vectors have."""
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e198]), (2, [1.0, 0.0]), (3, [1e-200, 1e-203]), (4, [5e-324, 0.0]), (5, [0.0, 1e300]), (6, [1.0, 1.0]), (7, [2.0, 2.01])]
+    rows += [(10 + k, [1.0, float(k), 0.0]) for k in range(3)] + [(20, []), (21, [1e308, 1e308, 1e308]), (22, [1.0, 1.0, 1.0])]
+    out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in V.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(out[k] == (4, 0) for k in range(5)) and out[5] == (0, 5) and out[6] == out[7] == (1, 6)
+    assert out[20] == (0, 20) and out[21] == out[22] == (1, 21)
+
+
+def test_pivots_are_spread():
+    rng = np.random.default_rng(3)
+    group = rng.normal(size=16) + rng.normal(size=(50, 16)) * 0.01
+    other = rng.normal(size=(20, 16))
+    x = np.concatenate([group, other])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    pivots = V.spread(x, 10, 0.3)
+    assert len(pivots) == 10 and (pivots @ pivots.T - np.eye(10) * 2).max() < 1 - 0.3**2 / 2
+    assert len(V.spread(x[:50], 10, 0.3)) == 1
+
+
+def test_a_vector_longer_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK_COMPONENTS", 4)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=8)
+    rows = [(k, (base + rng.normal(size=8) * 0.05).tolist()) for k in range(12)]
+    out = V.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out} == brute(rows)
+
+
 def test_query(spark, data):
     same(V.op10_vectors(spark, data), connect(data), V.SQL)
 
