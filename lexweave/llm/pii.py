@@ -18,9 +18,12 @@ run, where mod 97 holds: at the length of its country, or, for countries that
 aren't in ``ACCOUNT_LENGTHS``, the last such place within 34 characters.
 
 Quantifiers are possessive wherever giving characters back can't lead to a
-match, so that long runs cost linear time and no stack.
+match, so that long runs cost linear time and no stack; places are running
+sums over stretches, and context is looked up in short stretches of the text, so that many
+matches cost linear time too.
 
-Defined cases: null text is the empty text and has no span; a match that fails
+Defined cases: null text is the empty text and has no span; very long texts are
+searched whole; a match that fails
 its check is dropped and the search goes on behind it, for accounts behind the
 first four characters; of accounts that overlap the first counts; spans of different kinds
 may overlap; equal rows are searched each; an empty table gives an empty
@@ -34,7 +37,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import span_sql, table
+from .common import cut_out, running, span_sql, stretches, sums_before, table
 
 
 @dataclass(frozen=True)
@@ -52,7 +55,7 @@ class Kind:
 #: In the order in which spans are listed.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, r"(?:^|[^a-z])(?:mail|e-mail|email|contact|write|correo)(?:$|[^a-z])"),
-    Kind("ip", r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, r"(?:^|[^a-z])(?:ip|host|server|address|login)(?:$|[^a-z])"),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, r"(?:^|[^a-z])(?:ip|host|server|address|login)(?:$|[^a-z])"),
     Kind("card", r"[0-9](?:[\x20-]?+[0-9]){15,}+", 0.8, r"(?:^|[^a-z])(?:card|visa|mastercard|credit|carte|karte|tarjeta)(?:$|[^a-z])"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, r"(?:^|[^a-z])(?:phone|tel|call|mobile|fax|telefon)(?:$|[^a-z])"),
     Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+[A-Z0-9]?+))[A-Z]{2}[0-9]{2}", 0.8, r"(?:^|[^a-z])(?:iban|bank|account|konto|compte|cuenta)(?:$|[^a-z])", base=False),
@@ -87,7 +90,7 @@ def mod97(account: Column) -> Column:
     return F.aggregate(code, F.lit(0), step)
 
 
-_PART = "0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+_PART = "0*+(?:[0-9]{0,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _VALID = {
     "ip": lambda m: m.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"),
     "card": lambda m: F.length(_digits(m)).between(16, 19) & F.call_function("luhn_check", _digits(m)),
@@ -99,17 +102,11 @@ _SPAN = "array<struct<start:int,end:int,text:string>>"
 
 def _places(text: Column, matches: Column, pattern: str) -> Column:
     """(start, end, text) of the matches of a pattern."""
-    pieces = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
-    steps = F.zip_with(pieces, matches, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
-    none = F.array().cast(_SPAN)
-
-    def step(acc, x):
-        start = acc["pos"] + x["gap"]
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text")))).alias("out"))
-
-    folded = F.aggregate(steps, F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(matches) == 0, none).otherwise(folded)
+    gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(matches)), lambda p: F.length(p))
+    before = sums_before(F.zip_with(gaps, matches, lambda g, m: g + F.length(m)))
+    starts = F.zip_with(before, gaps, lambda b, g: b + g)
+    found = F.zip_with(starts, matches, lambda s, m: F.struct(s.alias("start"), (s + F.length(m)).alias("end"), m.alias("text")))
+    return F.when(F.size(matches) == 0, F.array().cast(_SPAN)).otherwise(found)
 
 
 def _account(run: Column) -> Column:
@@ -128,24 +125,23 @@ def _account(run: Column) -> Column:
 
 def _accounts(text: Column, runs: Column, pattern: str) -> Column:
     """(start, end, text) of the accounts that the runs begin with and that don't overlap; a match of the pattern is four characters."""
-    pieces = F.slice(F.split(text, pattern, -1), 1, F.size(runs))
-    steps = F.zip_with(pieces, F.transform(runs, _account), lambda p, a: F.struct(F.length(p).alias("gap"), a.alias("a")))
-    none = F.array().cast(_SPAN)
+    gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(runs)), lambda p: F.length(p))
+    starts = F.zip_with(sums_before(F.transform(gaps, lambda g: g + 4)), gaps, lambda b, g: b + g)
+    spans = F.zip_with(starts, F.transform(runs, _account), lambda s, a: F.struct(s.alias("start"), (s + F.length(a)).alias("end"), a.alias("text")))
+    spans = F.filter(spans, lambda s: s["text"].isNotNull())
+    fits = lambda free, s: s["start"] >= free
+    stays = running(spans, F.lit(0), "int", lambda free, s: F.when(fits(free, s), s["end"]).otherwise(free), fits, "boolean")
+    found = F.filter(F.zip_with(spans, stays, lambda s, stay: F.when(stay, s)), lambda s: s.isNotNull())
+    return F.when(F.size(runs) == 0, F.array().cast(_SPAN)).otherwise(found)
 
-    def step(acc, x):
-        start = acc["pos"] + x["gap"]
-        end = start + F.length(x["a"])
-        fits = x["a"].isNotNull() & (start >= acc["free"])
-        out = F.when(fits, F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["a"].alias("text"))))).otherwise(acc["out"])
-        return F.struct((start + 4).alias("pos"), F.when(fits, end).otherwise(acc["free"]).alias("free"), out.alias("out"))
 
-    folded = F.aggregate(steps, F.struct(F.lit(0).alias("pos"), F.lit(0).alias("free"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(runs) == 0, none).otherwise(folded)
+def _around(parts: Column, s: Column) -> Column:
+    """The text on both sides of a span, in lower case; ``parts`` are the text's stretches."""
+    begin = F.greatest(s["start"] - WINDOW, F.lit(0))
+    return F.lower(F.concat_ws(" ", cut_out(parts, begin, s["start"] - begin), cut_out(parts, s["end"], F.lit(WINDOW))))
 
 
-def _score(kind: Kind, text: Column, s: Column) -> Column:
-    from_ = F.greatest(s["start"] - WINDOW, F.lit(0))
-    around = F.lower(F.concat_ws(" ", F.substr(text, from_ + 1, s["start"] - from_), F.substr(text, s["end"] + 1, F.lit(WINDOW))))
+def _score(kind: Kind, around: Column) -> Column:
     raw = F.lit(kind.score) + F.when(around.rlike(kind.near), _RAISE).otherwise(0.0) - F.when(around.rlike(kind.against), _LOWER).otherwise(0.0)
     return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)), 3)
 
@@ -156,11 +152,21 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", kin
     rows = rows.select("doc_id", "t", *[F.regexp_extract_all("t", F.lit(k.pattern), F.lit(int(k.name == "iban"))).alias(f"m_{k.name}") for k in kinds])
     rows = rows.select("doc_id", "t", *[(_accounts if k.name == "iban" else _places)(F.col("t"), F.col(f"m_{k.name}"), k.pattern).alias(f"s_{k.name}") for k in kinds])
 
-    def confirmed(k: Kind) -> Column:
+
+    def valid(k: Kind) -> Column:
         found = F.col(f"s_{k.name}")
-        if k.name in _VALID:
-            found = F.filter(found, lambda s: _VALID[k.name](s["text"]))
-        scored = F.transform(found, lambda s: F.struct(F.lit(k.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _score(k, F.col("t"), s).alias("score")))
+        return (F.filter(found, lambda s: _VALID[k.name](s["text"])) if k.name in _VALID else found).alias(f"s_{k.name}")
+
+    rows = rows.select("doc_id", "t", *map(valid, kinds))
+    any_span = F.lit(0)
+    for k in kinds:
+        any_span = any_span + F.size(f"s_{k.name}")
+    parts = F.when(any_span > 0, stretches(F.col("t"))).otherwise(F.array().cast("array<string>"))
+    rows = rows.select("doc_id", parts.alias("parts"), *[f"s_{k.name}" for k in kinds])
+
+    def confirmed(k: Kind) -> Column:
+        seen = F.transform(f"s_{k.name}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _around(F.col("parts"), s).alias("around")))
+        scored = F.transform(seen, lambda s: F.struct(F.lit(k.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _score(k, s["around"]).alias("score")))
         return scored if k.base else F.filter(scored, lambda s: s["score"] >= LEAST_SCORE)
 
     parts = [confirmed(k) for k in kinds]

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 
 from compare import connect, same
 from odd import empty, odd
@@ -20,6 +21,7 @@ TEXTS = [
     "-----BEGIN RSA PRIVATE KEY----- postgres://u:pass@h.org xoxb-123456789012-abc ſecret=abcdefgh",
     None,
     "",
+    "10.0.0.1 0.0.0.0 00.000.1.255 1.2.3.0256 127.0.0.1.",
 ]
 
 
@@ -90,6 +92,21 @@ def test_accounts_before_capitals_and_digits(spark):
         assert [text[s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "iban"] == want, text[:60]
 
 
+def test_very_many_matches(spark):
+    """Linear work in the matches of one text, and in long runs that hold none."""
+    texts = [
+        "".join(f"a{k}@b.co, " for k in range(100_000)),
+        "".join("10.0.0.1 call +49 30 1234567 DE89370400440532013000 " for _ in range(25_000)),
+        "1" * 500_000 + "." + "2" * 500_000,
+    ]
+    began = time.time()
+    out = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert time.time() - began < 60
+    assert [(s["start"], s["end"]) for s in out[0]] == [m.span() for m in re.finditer(r"a[0-9]+@b\.co", texts[0])]
+    assert collections.Counter(s["kind"] for s in out[1]) == {"ip": 25_000, "phone": 25_000, "iban": 25_000}
+    assert all(s["score"] == 0.95 for s in out[1] if s["kind"] == "phone") and not out[2]
+
+
 def test_pii_odd(spark):
     assert pii.find(odd(spark)).count() == odd(spark).count()
     assert pii.find(empty(spark)).count() == 0
