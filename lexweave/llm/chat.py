@@ -16,7 +16,8 @@ Defined cases: null text, role and part are empty; a null part type is text and
 an unknown one a document; turns with equal numbers are ordered by role and
 content, null numbers come first; a null conversation id is a conversation of
 its own; equal rows are turns of their own; an empty table gives an empty
-result; other columns are not read.  A conversation is one output string and
+result; other columns are not read; very long texts are kept whole, and the work
+grows in proportion to the characters and turns of a conversation.  A conversation is one output string and
 therefore lies in one row; its turns are gathered by a partial aggregate.
 """
 
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut_out, stretches, sums_before, table
 
 HEAD, MID, END = "<|turn:", "|>", "<|end|>\n"
 #: Parts: their type, text, reference, and what their token count depends on.
@@ -69,33 +70,28 @@ def format_chats(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("turns"))
     media = lambda ps: F.filter(ps, lambda p: _type(p) != "text")
     # the number of a placeholder counts through the conversation
-    chats = chats.withColumn("first", F.transform("turns", lambda x, i: F.aggregate(F.slice(F.col("turns"), 1, i), F.lit(0), lambda a, y: a + F.size(media(y["parts"])))))
+    chats = chats.withColumn("first", sums_before(F.transform("turns", lambda x: F.size(media(x["parts"])))))
 
     def visit(x: Column, first: Column) -> Column:
-        def placeholder(p, i):
-            number = first + F.size(media(F.slice(x["parts"], 1, i)))
-            return F.concat(F.lit("<|"), _type(p), F.lit(":"), number.cast("string"), F.lit("|>"))
-
-        return F.transform(x["parts"], lambda p, i: F.when(_type(p) == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(placeholder(p, i)))
+        before = sums_before(F.transform(x["parts"], lambda p: (_type(p) != "text").cast("int")))
+        placeholder = lambda p, n: F.concat(F.lit("<|"), _type(p), F.lit(":"), (first + n).cast("string"), F.lit("|>"))
+        return F.zip_with(x["parts"], before, lambda p, n: F.when(_type(p) == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(placeholder(p, n)))
 
     written = F.zip_with("turns", "first", lambda x, first: F.struct(F.concat(F.lit(HEAD), escape(x["role"]), F.lit(MID)).alias("head"), visit(x, first).alias("body"), x["role"].alias("role"), F.transform(x["parts"], _type).alias("types")))
     chats = chats.withColumn("written", written)
     text = F.array_join(F.transform("written", lambda w: F.concat(w["head"], F.array_join(w["body"], ""), F.lit(END))), "")
-    span = "array<struct<start:int,end:int>>"
-
-    def turn_spans(acc, w):
-        start = acc["pos"] + F.length(w["head"])
-        inside = F.aggregate(
-            F.zip_with(w["body"], w["types"], lambda b, t: F.struct(b.alias("b"), t.alias("t"))),
-            F.struct(start.alias("pos"), acc["out"].alias("out")),
-            lambda a, p: F.struct(
-                (a["pos"] + F.length(p["b"])).alias("pos"),
-                F.when((w["role"] == "assistant") & (p["t"] == "text") & (p["b"] != ""), F.concat(a["out"], F.array(F.struct(a["pos"].alias("start"), (a["pos"] + F.length(p["b"])).alias("end"))))).otherwise(a["out"]).alias("out"),
-            ),
-        )
-        return F.struct((inside["pos"] + len(END)).alias("pos"), inside["out"].alias("out"))
-
-    loss = F.aggregate("written", F.struct(F.lit(0).alias("pos"), F.array().cast(span).alias("out")), turn_spans, lambda a: a["out"])
+    # where turns begin, and the parts of the assistant's turns
+    chars = lambda w: F.length(w["head"]) + F.aggregate(w["body"], F.lit(0), lambda n, b: n + F.length(b)) + len(END)
+    chats = chats.withColumn("begun", sums_before(F.transform("written", chars)))
+
+    def learned(w: Column, begun: Column) -> Column:
+        lengths = F.transform(w["body"], lambda b: F.length(b))
+        starts = F.transform(sums_before(lengths), lambda n: begun + F.length(w["head"]) + n)
+        spans = F.zip_with(starts, lengths, lambda start, n: F.struct(start.alias("start"), (start + n).alias("end")))
+        own = F.zip_with(spans, w["types"], lambda s, t: F.when((t == "text") & (s["end"] > s["start"]), s))
+        return F.when(w["role"] == "assistant", F.filter(own, lambda s: s.isNotNull())).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+
+    loss = F.flatten(F.zip_with("written", "begun", learned))
     found = F.flatten(F.transform("turns", lambda x: F.transform(media(x["parts"]), lambda p: F.struct(x["turn"].alias("turn"), _type(p).alias("type"), p["ref"].alias("ref"), expanded_tokens(p).alias("tokens")))))
     numbered = F.transform(found, lambda a, i: F.struct(a["turn"].alias("turn"), i.alias("number"), a["type"].alias("type"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))
     out = chats.select("conv_id", text.alias("text"), loss.alias("loss"), numbered.alias("attachments"))
@@ -126,9 +122,10 @@ HARD = "\\### Assistant: </turn> ok"
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", HARD), (-7, 1, "assistant", HARD)], "conv_id long, turn long, role string, text string")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD).alias("text"))
     chats = format_chats(as_parts(rows.unionByName(extra)))
-    read = chats.select("conv_id", "text", parse(F.col("text")).alias("turns"), F.array_join(F.transform("loss", lambda s: unescape(F.substr(F.col("text"), s["start"] + 1, s["end"] - s["start"]))), "").alias("learned"))
+    chats = chats.select("conv_id", "text", "loss", stretches(F.col("text")).alias("parts"))
+    read = chats.select("conv_id", "text", parse(F.col("text")).alias("turns"), F.array_join(F.transform("loss", lambda s: unescape(cut_out(F.col("parts"), s["start"], s["end"] - s["start"]))), "").alias("learned"))
     told = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.encode(told, "UTF-8"), 256).alias("turns_sha256"),

@@ -1,5 +1,8 @@
 """Chat formatting: exact round trips."""
 
+import hashlib
+import time
+
 from compare import connect, same
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -31,6 +34,24 @@ def test_round_trip(spark):
         assert len(learned) == sum(role == "assistant" and text != "" for role, text in turns)
 
 
+def test_a_long_conversation(spark, tmp_path):
+    """100,000 turns, and one turn of many parts: linear work, exact places."""
+    rows = [(1, k, "assistant" if k % 2 else "user", f"turn {k} \\<|é" + "😀" * (k % 7)) for k in range(100_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    began = time.time()
+    out = {r["conv_id"]: r for r in C.op7_chat(spark, str(tmp_path)).collect()}
+    assert time.time() - began < 60
+    told = "".join(t for _, _, role, t in rows if role == "assistant")
+    assert out[1]["n_turns"] == 100_000 and out[1]["loss_chars"] == len(told)
+    assert out[1]["loss_sha256"] == hashlib.sha256(told.encode()).hexdigest()
+    assert out[1]["turns_sha256"] == hashlib.sha256("".join(f"{role}\n{t}\n" for _, _, role, t in rows).encode()).hexdigest()
+    pair = "array(named_struct('type','image','text','','ref','r','width',28,'height',28,'seconds',0D,'pages',0),named_struct('type','text','text','ab','ref','','width',0,'height',0,'seconds',0D,'pages',0))"
+    chat = C.format_chats(spark.sql(f"select 1L conv_id, 0L turn, 'assistant' role, flatten(array_repeat({pair}, 20000)) parts")).first()
+    assert chat["text"].startswith("<|turn:assistant|><|image:0|>ab<|image:1|>ab") and "<|image:19999|>ab" in chat["text"]
+    assert len(chat["loss"]) == 20000 and {chat["text"][s["start"] : s["end"]] for s in chat["loss"]} == {"ab"} and chat["attachment_tokens"] == 20000
+
+
 def test_query(spark, data):
     same(C.op7_chat(spark, data), connect(data), C.SQL)
 
