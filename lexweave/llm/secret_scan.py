@@ -13,7 +13,8 @@ shuffled or collected.
 Trigrams are taken from the UTF-8 bytes with A-Z folded to a-z, which keeps
 every match of a case-sensitive or ASCII case-insensitive rule a candidate.
 
-Defined cases: null text is the empty text; matches of one rule are leftmost
+Defined cases: null text is the empty text; very long texts are searched whole,
+in time that grows with their length; matches of one rule are leftmost
 and do not overlap, those of different rules may; a match that fails the rule's
 check is dropped and the search goes on behind it; equal rows are scanned each;
 an empty table gives an empty result; other columns are kept by :func:`redact`
@@ -23,8 +24,6 @@ and not read by :func:`scan`.
 from __future__ import annotations
 
 import re
-import re._constants as rc
-import re._parser as rp
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -49,6 +48,8 @@ class Rule:
     pattern: str
     accept: Callable[[re.Match], bool] | None = None
     base: bool = False
+    #: The group that is the secret.
+    group: int = 0
 
 
 def _long_value(m: re.Match) -> bool:
@@ -80,7 +81,8 @@ RULES: tuple[Rule, ...] = (
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[0-9A-Za-z-]{12,}"),
     Rule("cloud_key", r"AIza[0-9A-Za-z_-]{35}", _mixed),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    # of a run of token characters only the first eyJ can begin a match: what fails behind it fails behind later ones
+    Rule("web_token", r"(?<![A-Za-z0-9_-])(?:(?!eyJ)[A-Za-z0-9_-])*+(eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)", group=1),
     Rule("url_login", r"[a-z][a-z0-9+]{1,20}://[^\x00-\x20/:@]*+:[^\x00-\x20/@]{3,}+@[A-Za-z0-9.-]+"),
 )
 
@@ -104,68 +106,133 @@ def _of_strings(strings: set[str]):
     return _both("any", out)
 
 
-def _strings(items) -> tuple[set[str] | None, object]:
-    """(all strings that a sequence can match, if few; the query that any match implies)."""
-    known: set[str] | None = {""}
-    whole, queries = True, []
-
-    def close():
-        nonlocal known, whole
-        if known != {""}:
-            queries.append(_of_strings(known))
-        known, whole = {""}, False
-
-    for op, arg in items:
-        exact, query = _one(op, arg)
-        if exact is not None and len(exact) * len(known) <= _MOST:
-            known = {a + b for a in known for b in exact}
+class _Reader:
+    """Reads a regular expression into what its matches must contain.
+
+    Every part gives (all strings that it can match, if few; the query that any
+    match implies).  Whatever isn't literal text, a small character class, a
+    group, an alternative or a repetition may match anything.
+    """
+
+    def __init__(self, pattern: str):
+        self.text, self.at = pattern, 0
+
+    def more(self, token: str = "") -> bool:
+        return self.text.startswith(token, self.at) if token else self.at < len(self.text)
+
+    def take(self, token: str) -> bool:
+        found = self.more(token)
+        self.at += len(token) * found
+        return found
+
+    def next(self) -> str:
+        self.at += 1
+        return self.text[self.at - 1]
+
+    def branches(self) -> tuple[set[str] | None, object]:
+        found = [self.sequence()]
+        while self.take("|"):
+            found.append(self.sequence())
+        if len(found) == 1:
+            return found[0]
+        query = _both("any", [q for _, q in found])
+        few = all(e is not None for e, _ in found) and sum(len(e) for e, _ in found) <= _MOST
+        return (set().union(*(e for e, _ in found)) if few else None), query
+
+    def sequence(self) -> tuple[set[str] | None, object]:
+        known: set[str] = {""}
+        whole, queries = True, []
+        while self.more() and not self.more("|") and not self.more(")"):
+            exact, query = self.repeated(*self.atom())
+            if exact is not None and len(exact) * len(known) <= _MOST:
+                known = {a + b for a in known for b in exact}
+                continue
+            queries += [_of_strings(known), query if exact is None else _of_strings(exact)]
+            known, whole = {""}, False
+        if whole:
+            return known, _of_strings(known)
+        return None, _both("all", [*queries, _of_strings(known)])
+
+    def repeated(self, exact, query):
+        low, high = 1, 1
+        if self.take("*"):
+            low, high = 0, None
+        elif self.take("+"):
+            low, high = 1, None
+        elif self.take("?"):
+            low, high = 0, 1
+        elif m := re.compile(r"\{(\d*)(,?)(\d*)\}").match(self.text, self.at):
+            self.at = m.end()
+            low = int(m[1] or 0)
+            high = low if not m[2] else int(m[3]) if m[3] else None
         else:
-            close()
-            queries.append(query if exact is None else _of_strings(exact))
-    if whole:
-        return known, _of_strings(known)
-    close()
-    return None, _both("all", queries)
-
-
-def _one(op, arg) -> tuple[set[str] | None, object]:
-    if op is rc.LITERAL:
-        c = chr(arg)
-        return {c.lower() if c.isascii() else c}, True
-    if op is rc.IN:
-        chars: set[str] = set()
-        for kind, value in arg:
-            if kind is rc.LITERAL:
-                chars.add(chr(value))
-            elif kind is rc.RANGE and value[1] - value[0] < 8:
-                chars |= {chr(c) for c in range(value[0], value[1] + 1)}
-            else:
-                return None, True
-        chars = {c.lower() if c.isascii() else c for c in chars}
-        return (chars, True) if len(chars) <= 8 else (None, True)
-    if op is rc.SUBPATTERN:
-        return _strings(arg[3])
-    if op is rc.BRANCH:
-        found = [_strings(b) for b in arg[1]]
-        if all(e is not None for e, _ in found) and sum(len(e) for e, _ in found) <= _MOST:
-            return set().union(*(e for e, _ in found)), _both("any", [q for _, q in found])
-        return None, _both("any", [q for _, q in found])
-    if op in (rc.MAX_REPEAT, rc.MIN_REPEAT, rc.POSSESSIVE_REPEAT):
-        low, high, sub = arg
-        exact, query = _strings(sub)
+            return exact, query
+        self.take("+") or self.take("?")  # possessive or lazy
+        if (low, high) == (1, 1):
+            return exact, query
         if (low, high) == (0, 1) and exact is not None:
             return exact | {""}, True
-        if low == high == 1:
-            return exact, query
         return None, (query if exact is None else _of_strings(exact)) if low else True
-    if op is rc.AT:
-        return {""}, True
-    return None, True
+
+    def atom(self) -> tuple[set[str] | None, object]:
+        c = self.next()
+        if c == "(":
+            return self.group()
+        if c == "[":
+            chars = self.members()
+            return ({_fold(x) for x in chars}, True) if chars is not None and len(chars) <= 8 else (None, True)
+        if c == "\\":
+            chars = self.escape()
+            return ({_fold(chars)}, True) if chars is not None else (None, True)
+        if c in "^$":
+            return {""}, True
+        return (None, True) if c == "." else ({_fold(c)}, True)
+
+    def group(self) -> tuple[set[str] | None, object]:
+        looks = any(self.take(x) for x in ("?=", "?!", "?<=", "?<!"))
+        if not looks and self.take("?"):
+            if not re.compile(r"[aims]*:").match(self.text, self.at):
+                raise ValueError(f"a group that isn't known at {self.at} of {self.text}")
+            self.at = self.text.index(":", self.at) + 1
+        found = self.branches()
+        if not self.take(")"):
+            raise ValueError(f"a group without an end in {self.text}")
+        return ({""}, True) if looks else found
+
+    def escape(self) -> str | None:
+        """The character that an escape stands for; None for a class, a place or an earlier group."""
+        c = self.next()
+        if c == "x":
+            self.at += 2
+            return chr(int(self.text[self.at - 2 : self.at], 16))
+        return {"n": "\n", "r": "\r", "t": "\t"}.get(c) if c.isalnum() else c
+
+    def members(self) -> set[str] | None:
+        """The characters of a class; None if they are many."""
+        chars: set[str] | None = None if self.take("^") else set()
+        first = True
+        while first or not self.more("]"):
+            first = False
+            c = self.next()
+            low = self.escape() if c == "\\" else c
+            high = low
+            if self.more("-") and not self.more("-]"):
+                self.at += 1
+                c = self.next()
+                high = self.escape() if c == "\\" else c
+            few = low is not None and high is not None and ord(high) - ord(low) < 8
+            chars = chars | {chr(x) for x in range(ord(low), ord(high) + 1)} if few and chars is not None else None
+        self.at += 1
+        return chars
+
+
+def _fold(c: str) -> str:
+    return c.lower() if c.isascii() else c
 
 
 def trigram_query(pattern: str):
     """The Boolean trigram query of a regular expression; True if nothing is mandatory."""
-    exact, query = _strings(rp.parse(pattern))
+    exact, query = _Reader(pattern).branches()
     return _of_strings(exact) if exact is not None else query
 
 
@@ -221,7 +288,7 @@ class Scanner:
             for i in self.candidates(query, index, len(texts)).tolist():
                 for m in pattern.finditer(texts[i]):
                     if rule.accept is None or rule.accept(m):
-                        out[i].append((m.start(), k, m.end()))
+                        out[i].append((m.start(rule.group), k, m.end(rule.group)))
         for found in out:
             found.sort()
         return out
@@ -293,6 +360,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # SQL has its own forms of these kinds: its engine knows neither back references nor possessive quantifiers.
 _PLAIN = {
+    "web_token": r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
     "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----",
     "url_login": r"[a-z][a-z0-9+]{1,20}://[^\x00-\x20/:@]{1,80}:[^\x00-\x20/:@]{3,80}@[A-Za-z0-9.-]+",
 }

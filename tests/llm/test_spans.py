@@ -139,11 +139,34 @@ def test_index_loses_no_match(spark, data):
     scanner = secret_scan.Scanner()
     found = scanner.scan(texts)
     for text, spans in zip(texts, found, strict=True):
-        assert spans == sorted((m.start(), k, m.end()) for k, (r, p, _) in enumerate(scanner.rules) for m in p.finditer(text) if r.accept is None or r.accept(m))
+        assert spans == sorted((m.start(r.group), k, m.end(r.group)) for k, (r, p, _) in enumerate(scanner.rules) for m in p.finditer(text) if r.accept is None or r.accept(m))
     assert {r.kind for r, _, q in scanner.rules if q is True} == {"hex"}
 
 
+def test_web_tokens(spark):
+    """As many as the plain pattern finds, in linear time on a run that never ends as a token."""
+    plain = r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"
+    part = "eyJhbGciOiJIUzI1"
+    texts = [f"x_{part}.{part}.{part}", f"{part}.{part}.short {part}.{part}.{part}.{part}.{part}.{part}", f"eyJ.{part}.{part}.{part} é{part}.{part}.{part}", f"eyJeyJ{part}.ey.{part}"]
+    for text, found in zip(texts, secret_scan.Scanner().scan(texts), strict=True):
+        assert [(s, e) for s, k, e in found if secret_scan.RULES[k].kind == "web_token"] == [m.span() for m in re.finditer(plain, text)]
+    began = time.time()
+    secret_scan.Scanner().scan(["eyJ" * 400_000 + "." + "eyJ" * 400_000])
+    assert time.time() - began < 10
+
+
+def test_many_secrets_in_a_text(spark):
+    text = "".join(f"token=abcdef{k} " for k in range(100_000))
+    began = time.time()
+    spans = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"]
+    assert time.time() - began < 30
+    assert [(s["start"], s["end"]) for s in spans] == [m.span() for m in re.finditer(r"token=\w+", text)]
+
+
 def test_trigram_queries():
+    assert secret_scan.trigram_query(r"a\x62[c]d") == ("all", b"abc", b"bcd")
+    assert secret_scan.trigram_query(r"(?<![a-z])(?:(?!eyJ)[a-z])*+(eyJ[a-z_]{10,}+\.eyJ)") == ("all", b"eyj", ("all", b".ey", b"eyj"))
+    assert secret_scan.trigram_query(r"(?ai:ABC)\1[^]x]{2}") == b"abc"
     assert secret_scan.trigram_query("abcd") == ("all", b"abc", b"bcd")
     assert secret_scan.trigram_query("x*") is True
     assert secret_scan.trigram_query("abc|abd") == ("any", b"abc", b"abd")
