@@ -2,12 +2,14 @@
 
 DataFrame functions only.  Every rule looks at one statistic of a text and
 votes good, bad or abstains.  How far a rule can be trusted is estimated without
-labels: texts with the same votes are counted (at most 3 to the number of rules
-patterns, whatever the corpus), and expectation-maximisation over those counts
-fits, for good and for bad texts, how often each rule casts each vote, and the
-share of good texts.  A text is kept if the posterior probability of good given
-its votes is at least ``LEAST_POSTERIOR`` and the base rule holds; no single
-rule of the others can reject it.
+labels: texts that pass the base rule are counted by their votes (at most 3 to
+the number of rules patterns, whatever the corpus), and expectation-maximisation
+over those counts fits how often each rule, where it votes, calls a bad text bad
+and a good text bad, and the share of good texts.  An abstention says nothing.  A text is
+kept if the posterior probability of good given its votes is at least
+``LEAST_POSTERIOR`` and the base rule holds.  Good votes weigh against bad ones:
+a bad vote of a rule that the others seldom bear out is outvoted, one of a rule
+that mostly agrees with others isn't.
 
 Statistics are computed in one pass and written; the pattern counts and the
 verdicts read that narrow table.  Repeated five-word windows are found inside
@@ -35,31 +37,33 @@ WINDOW = 5
 LEAST_POSTERIOR = 0.5
 EM_ROUNDS = 100
 #: The share of good texts that expectation-maximisation starts from.
-PRIOR = 0.85
+PRIOR = 0.9
+#: Where a rule votes it is believed to call this share of bad and of good texts bad; the belief weighs like this share of the texts.
+BELIEF = (0.3, 0.03)
+BELIEF_WEIGHT = 0.1
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes 1 where ``good`` holds, -1 where ``bad`` holds, else 0; both are SQL over the statistics."""
+    """Votes -1 where ``bad`` holds, else 1 where ``good`` holds, else 0; both are SQL over the statistics."""
 
     name: str
     good: str
     bad: str
 
 
+#: Shares of few words say little: those rules don't call a text of less than 20 words bad.
 RULES = (
-    Rule("prose", "n_words >= 40 and 20 * n_symbols <= n_words and 100 * n_letters >= 85 * word_chars and 100 * n_capitals <= 15 * n_letters and 100 * n_repeat_words <= 5 * n_words", "false"),
-    Rule("word_length", "false", "word_chars < 2 * n_words or word_chars > 14 * n_words"),
-    Rule("symbols", "false", "10 * n_symbols > n_words"),
-    Rule("letters", "false", "100 * n_letters < 75 * word_chars"),
-    Rule("lines", "false", "100 * n_dup_lines > 50 * n_lines"),
-    Rule("repeats", "false", "100 * n_repeat_words > 20 * n_words"),
-    Rule("capitals", "false", "100 * n_capitals > 40 * n_letters"),
-    Rule("shouts", "false", "10 * n_shouts > n_words"),
-    Rule("variety", "false", "10 * n_distinct < least(n_words, 1000)"),
+    Rule("length", "n_words >= 50", "n_words < 20"),
+    Rule("word_length", "word_chars between 4 * n_words and 7 * n_words", "n_words >= 20 and (word_chars < 3 * n_words or word_chars > 9 * n_words)"),
+    Rule("symbols", "50 * n_symbols <= n_words", "10 * n_symbols > n_words"),
+    Rule("letters", "100 * n_letters >= 90 * word_chars", "n_words >= 20 and 100 * n_letters < 75 * word_chars"),
+    Rule("lines", "n_lines >= 3 and n_dup_lines = 0", "100 * n_dup_lines > 30 * n_lines"),
+    Rule("repeats", "100 * n_repeat_words <= n_words", "100 * n_repeat_words > 10 * n_words"),
+    Rule("capitals", "1000 * n_capitals between 2 * n_letters and 100 * n_letters", "n_words >= 20 and 100 * n_capitals > 30 * n_letters"),
+    Rule("shouts", "n_shouts = 0", "10 * n_shouts > n_words"),
+    Rule("variety", "10 * n_distinct >= 5 * least(n_words, 1000)", "n_words >= 20 and 10 * n_distinct < 2 * least(n_words, 1000)"),
 )
-#: A rule is taken to cast a bad vote on at most this share of good texts.
-MOST_FALSE_ALARMS = 0.02
 
 
 def _without(text: Column, pattern: str) -> Column:
@@ -107,46 +111,47 @@ def _vote(rule: Rule) -> Column:
 
 @dataclass
 class Trust:
-    """Fitted by EM: the share of good texts and, for each rule, P(vote | bad) and P(vote | good) for votes -1, 0, 1."""
+    """Fitted by EM: the share of good texts and, for each rule, P(bad vote | bad text) and P(bad vote | good text) where it votes."""
 
     prior: float
-    votes: list[tuple[tuple[float, float, float], tuple[float, float, float]]]
+    rules: list[tuple[float, float]]
 
     def log_odds(self, k: int, vote: int) -> float:
-        bad, good = self.votes[k]
-        return math.log(good[vote + 1] / bad[vote + 1])
+        bad, good = self.rules[k]
+        return math.log(good / bad) if vote < 0 else math.log((1 - good) / (1 - bad)) if vote else 0.0
 
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = EM_ROUNDS, prior: float = PRIOR) -> Trust:
     """Expectation-maximisation over counted vote patterns.
 
-    Rules start as better than chance, and stay so: a rule whose votes turn out
-    to say nothing, or the opposite, ends with log odds of 0.  Bad votes on good
-    texts are held below ``MOST_FALSE_ALARMS``; without that bound the fit may
-    call the commonest kind of junk alone bad and every rarer kind good.
+    The belief keeps a rule that hardly ever calls a text bad near ``BELIEF``
+    and no share is 0 or 1; a rule whose votes turn out to say nothing, or the
+    opposite, ends with log odds of 0.
     """
-    trust = Trust(prior, [((0.3, 0.5, 0.2), (0.01, 0.39, 0.6))] * rules)
+    trust = Trust(prior, [BELIEF] * rules)
     total = sum(n for _, n in patterns)
     for _ in range(rounds if total else 0):
         good = 0.0
-        sums = [[[1.0] * 3, [1.0] * 3] for _ in range(rules)]
+        # bad votes on bad texts, votes on bad texts, and the same for good ones
+        sums = [[0.0] * 4 for _ in range(rules)]
         for votes, n in patterns:
             odds = math.log(trust.prior / (1 - trust.prior)) + sum(trust.log_odds(k, v) for k, v in enumerate(votes))
             p = 1 / (1 + math.exp(-max(-60.0, min(60.0, odds))))
             good += n * p
             for k, v in enumerate(votes):
-                sums[k][0][v + 1] += n * (1 - p)
-                sums[k][1][v + 1] += n * p
+                if v:
+                    sums[k][0] += n * (1 - p) * (v < 0)
+                    sums[k][1] += n * (1 - p)
+                    sums[k][2] += n * p * (v < 0)
+                    sums[k][3] += n * p
         fitted = []
-        for counts in sums:
-            (b_neg, _, b_pos), (g_neg, _, g_pos) = ([x / sum(s) for x in s] for s in counts)
-            g_neg = min(g_neg, MOST_FALSE_ALARMS)
-            pooled = [(x + y) / sum(map(sum, counts)) for x, y in zip(*counts, strict=True)]
-            if b_neg < g_neg:
-                b_neg = g_neg = pooled[0]
-            if g_pos < b_pos:
-                b_pos = g_pos = pooled[2]
-            fitted.append(((b_neg, 1 - b_neg - b_pos, b_pos), (g_neg, 1 - g_neg - g_pos, g_pos)))
+        for bad_on_bad, on_bad, bad_on_good, on_good in sums:
+            w_bad, w_good = BELIEF_WEIGHT * on_bad + 1, BELIEF_WEIGHT * on_good + 1
+            high = (bad_on_bad + w_bad * BELIEF[0]) / (on_bad + w_bad)
+            low = (bad_on_good + w_good * BELIEF[1]) / (on_good + w_good)
+            if high < low:
+                high = low = (bad_on_bad + bad_on_good + w_bad * BELIEF[0] + w_good * BELIEF[1]) / (on_bad + on_good + w_bad + w_good)
+            fitted.append((high, low))
         trust = Trust(min(0.99, max(0.5, good / total)), fitted)
     return trust
 
@@ -154,17 +159,19 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = E
 def judge(stats: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = LEAST_POSTERIOR) -> DataFrame:
     """The statistics with votes (array of int), posterior, base_failed and kept added.
 
-    The driver gets the pattern counts, at most 3 ** len(rules) rows.
+    The driver gets the pattern counts, at most 2 * 3 ** len(rules) rows.
     """
-    voted = stats.withColumn("votes", F.array(*map(_vote, rules)))
-    patterns = [(tuple(r["votes"]), r["n"]) for r in voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()]
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
+    voted = stats.withColumn("base_failed", failed).withColumn("votes", F.array(*map(_vote, rules)))
+    # counted with the base rule's verdict: a filter on it would be pushed below the statistics and compute them twice
+    counts = voted.groupBy("base_failed", "votes").agg(F.count(F.lit(1)).alias("n")).collect()
+    patterns = [(tuple(r["votes"]), r["n"]) for r in counts if not r["base_failed"]]
     trust = fit(sorted(patterns), len(rules))
     odds = F.lit(math.log(trust.prior / (1 - trust.prior)))
     for k in range(len(rules)):
         v = F.element_at("votes", k + 1)
-        odds = odds + F.when(v == -1, trust.log_odds(k, -1)).when(v == 1, trust.log_odds(k, 1)).otherwise(trust.log_odds(k, 0))
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    out = voted.withColumn("posterior", 1 / (1 + F.exp(-odds))).withColumn("base_failed", failed)
+        odds = odds + F.when(v == -1, trust.log_odds(k, -1)).when(v == 1, trust.log_odds(k, 1)).otherwise(0.0)
+    out = voted.withColumn("posterior", 1 / (1 + F.exp(-odds)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= least))
 
 

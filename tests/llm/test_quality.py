@@ -37,18 +37,34 @@ def test_agrees_with_labels(spark):
 
 
 def test_fit_recovers_a_planted_model():
-    """Votes drawn from two known classes: the posterior separates them, and a rule of pure noise says nothing."""
+    """Votes drawn from two known classes, with abstentions at random: rates are found, and a rule of pure noise says nothing."""
     import random
 
     rng = random.Random(1)
     counts = collections.Counter()
     for _ in range(20000):
         good = rng.random() < 0.8
-        vote = lambda p: -1 if rng.random() < p else 0
-        counts[(vote(0.005 if good else 0.7), vote(0.01 if good else 0.6), vote(0.002 if good else 0.5), 1 if rng.random() < 0.5 else 0)] += 1
-    t = Q.fit(sorted(counts.items()), 4)
+        vote = lambda bad, clean: 0 if rng.random() < 0.2 else -1 if rng.random() < (clean if good else bad) else 1
+        counts[(vote(0.7, 0.01), vote(0.6, 0.05), vote(0.8, 0.02), vote(0.9, 0.2), vote(0.3, 0.3))] += 1
+    t = Q.fit(sorted(counts.items()), 5)
     assert abs(t.prior - 0.8) < 0.05
-    assert t.log_odds(0, -1) < -2 and t.log_odds(1, -1) < -2 and abs(t.log_odds(3, 1)) < 0.3
+    shrink = lambda x, k: (x + Q.BELIEF_WEIGHT * Q.BELIEF[k]) / (1 + Q.BELIEF_WEIGHT)
+    for k, (bad, clean) in enumerate([(0.7, 0.01), (0.6, 0.05), (0.8, 0.02), (0.9, 0.2)]):
+        assert abs(t.rules[k][0] - shrink(bad, 0)) < 0.1 and abs(t.rules[k][1] - shrink(clean, 1)) < 0.03
+    assert abs(t.log_odds(4, -1)) < 0.3 and t.log_odds(0, 0) == 0
+    assert t.log_odds(0, -1) < t.log_odds(3, -1) < 0 < t.log_odds(3, 1)
+
+
+def test_a_weak_bad_vote_is_outvoted(spark):
+    """The verdict isn't that every rule must pass, nor that one good vote is enough."""
+    out = [r for r in Q.judge(Q.statistics(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).cache()).collect() if not r["base_failed"]]
+    bad = lambda r: sum(v < 0 for v in r["votes"])
+    assert all(r["kept"] for r in out if not bad(r))
+    once = [r for r in out if bad(r) == 1 and sum(v > 0 for v in r["votes"]) >= 4]
+    assert any(r["kept"] for r in once) and any(not r["kept"] for r in out if bad(r) == 1)
+    assert any(not r["kept"] and any(v > 0 for v in r["votes"]) for r in out)
+    short = [r for r in out if r["votes"][0] == -1 and bad(r) == 1]
+    assert short and all(r["kept"] for r in short)
 
 
 def test_odd(spark):
