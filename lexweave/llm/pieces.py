@@ -4,14 +4,17 @@ A model file is read on the driver; the executors get its tables with the
 task.  A batch of texts is cut into words (a run of space marks and what
 follows up to the next one; no piece of an accepted model crosses such a
 border, so words merge independently), and every distinct word is encoded once.
-All new words of a batch are laid end to end in one flat symbol array.  A round
-finds the smallest (pair rank, position) of every word by a segmented minimum,
-merges the leftmost best pair of all words at once, looks up only the pairs
-that changed, and compacts the arrays; words without a pair leave.  Rounds go
-on until no pair remains.  A model's ranks need not be monotone (a merge may
-open a better pair), so a word makes one merge a round; words of more than
-``LONG_WORD`` symbols use a heap of pairs instead, which is the same order of
-merges in n log n.
+All new words of a batch are laid end to end in one flat symbol array, and cut
+further into runs wherever no piece can hold what stands on both sides: a piece
+across two characters would be just the two, or hold one more neighbour of
+theirs, and neither is part of any piece.
+
+A round finds the smallest pair rank of every run by a segmented minimum and
+merges all its leftmost occurrences that don't overlap at once, looks up only
+the pairs that changed, and compacts the arrays; runs without a pair leave.  A
+model's ranks need not be monotone: where a merge opens a pair that isn't worse
+than the one merged, the merges to its right wait for the next round, so the
+order is that of one merge at a time.  Rounds go on until no pair remains.
 
 Defined cases: null text is encoded as the empty text, which has no ids and
 decodes to the empty text; characters without a piece become byte pieces;
@@ -22,7 +25,6 @@ result; other columns are not read.
 
 from __future__ import annotations
 
-import heapq
 import re
 from dataclasses import dataclass, field
 
@@ -34,7 +36,6 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, table
 
 MARK = "▁"
-LONG_WORD = 512
 #: Characters encoded at a time, and words kept between batches, by one task.
 BATCH_CHARS = 1 << 19
 CACHE_WORDS = 150_000
@@ -146,6 +147,7 @@ class Codec:
         self.keys = np.append(np.array(keys, np.int64)[order], np.int64(1) << 62)
         self.merged = np.append(np.array(merged, np.int64)[order], -1)
         self.rank = np.append(np.array(rank, np.int64)[order], _NO_RANK)
+        self.small, self.inner = self._neighbours([p for p in ids if len(p) > 1])
         # what each piece adds to a decoded text, as bytes
         surface = []
         for p, k in zip(model.pieces, model.kinds, strict=True):
@@ -170,88 +172,98 @@ class Codec:
         hit = self.keys[i] == q
         return np.where(hit, self.rank[i], _NO_RANK), self.merged[i]
 
+    @staticmethod
+    def _neighbours(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the pieces of two characters, and of all three characters side by side in a piece."""
+        small, inner = [], []
+        for p in pieces:
+            c = list(map(ord, p))
+            if len(c) == 2:
+                small.append(c[0] << _SHIFT | c[1])
+            inner += [c[k] << 2 * _SHIFT | c[k + 1] << _SHIFT | c[k + 2] for k in range(len(c) - 2)]
+        end = np.int64((1 << 63) - 1)
+        return np.append(np.unique(np.array(small, np.int64)), end), np.append(np.unique(np.array(inner, np.int64)), end)
+
+    def _runs(self, char: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The number of each character's run: a run ends with its word, or where no piece crosses."""
+        if not len(char):
+            return word
+        within = word[1:] == word[:-1]
+        two = char[:-1] << _SHIFT | char[1:]
+        three = char[:-2] << 2 * _SHIFT | two[1:]
+        is_small = self.small[np.searchsorted(self.small, two)] == two
+        is_inner = (self.inner[np.searchsorted(self.inner, three)] == three) & within[:-1] & within[1:] if len(three) else np.zeros(0, bool)
+        crossed = is_small.copy()
+        crossed[1:] |= is_inner
+        crossed[:-1] |= is_inner
+        return np.concatenate([[0], np.cumsum(~(crossed & within))])
+
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all words, flat, and where each word's begin."""
         lens = np.fromiter(map(len, words), np.int64, len(words))
-        sym = self.char[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        char = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        sym = self.char[char]
         word = np.repeat(np.arange(len(words)), lens)
-        done_word, done_sym = [], []
-        if len(lens) and lens.max() > LONG_WORD:
-            at = np.concatenate([[0], np.cumsum(lens)])
-            for w in np.flatnonzero(lens > LONG_WORD):
-                out = self._merge_long(sym[at[w] : at[w + 1]].tolist())
-                done_word.append(np.full(len(out), w))
-                done_sym.append(np.array(out, np.int64))
-            short = lens[word] <= LONG_WORD
-            sym, word = sym[short], word[short]
+        run = self._runs(char, word)
+        first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else np.zeros(0, np.int64)
+        word_of = word[first]
         rank = np.full(len(sym), _NO_RANK)
         made = np.full(len(sym), -1, np.int64)
-        inner = np.flatnonzero(word[1:] == word[:-1])
+        inner = np.flatnonzero(run[1:] == run[:-1])
         rank[inner], made[inner] = self._pairs(sym[inner], sym[inner + 1])
+        done_run, done_sym = [], []
         while len(sym):
-            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            best = np.minimum.reduceat(rank << 31 | np.arange(len(sym)), first)
-            ended = best >> 31 >= _NO_RANK
+            first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+            count = np.diff(np.append(first, len(sym)))
+            low = np.minimum.reduceat(rank, first)
+            ended = low >= _NO_RANK
             if ended.any():
-                count = np.diff(np.append(first, len(sym)))
                 leave = np.repeat(ended, count)
-                done_word.append(word[leave])
+                done_run.append(run[leave])
                 done_sym.append(sym[leave])
                 stay = ~leave
-                moved = np.cumsum(stay) - 1
-                at = moved[best[~ended] & 0x7FFFFFFF]
-                sym, word, rank, made = sym[stay], word[stay], rank[stay], made[stay]
-            else:
-                at = best & 0x7FFFFFFF
-            if not len(sym):
-                break
+                sym, run, rank, made = sym[stay], run[stay], rank[stay], made[stay]
+                low, count = low[~ended], count[~ended]
+                if not len(sym):
+                    break
+            # the leftmost occurrences that don't overlap: every other one of those that follow each other
+            hit = np.flatnonzero(rank == np.repeat(low, count))
+            new = np.concatenate([[True], hit[1:] != hit[:-1] + 1])
+            begin = np.flatnonzero(new)
+            at = hit[(np.arange(len(hit)) - np.repeat(begin, np.diff(np.append(begin, len(hit))))) % 2 == 0]
+            own, best = run[at], rank[at]
+            # the pairs that each merge opens, given the merges to its left: with the symbol before, and with the one behind
+            joined = np.concatenate([[False], (at[1:] == at[:-1] + 2) & (own[1:] == own[:-1])])
+            before = np.where(joined, at - 2, at - 1)
+            has_left = (before >= 0) & (run[before] == own)
+            left, left_made = np.full(len(at), _NO_RANK), np.full(len(at), -1, np.int64)
+            k = np.flatnonzero(has_left)
+            left[k], left_made[k] = self._pairs(np.where(joined[k], made[before[k]], sym[before[k]]), made[at[k]])
+            right, right_made = np.full(len(at), _NO_RANK), np.full(len(at), -1, np.int64)
+            k = np.flatnonzero(at + 2 < len(sym))
+            k = k[run[at[k] + 2] == own[k]]
+            right[k], right_made[k] = self._pairs(made[at[k]], sym[at[k] + 2])
+            # merges to the right of one that opens a pair as good as its own wait
+            opens = (left <= best) | (right <= best)
+            if opens.any():
+                before_it = np.cumsum(opens) - opens
+                head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                since = before_it - np.repeat(before_it[head], np.diff(np.append(head, len(at))))
+                go = since == 0
+                at, before, has_left = at[go], before[go], has_left[go]
+                left, left_made, right, right_made = left[go], left_made[go], right[go], right_made[go]
             sym[at] = made[at]
+            rank[at], made[at] = right, right_made
+            # a neighbour on the left that was merged too gets the pair of both
+            rank[before[has_left]], made[before[has_left]] = left[has_left], left_made[has_left]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
-            at = at - np.arange(len(at))  # one symbol before it is gone for each earlier word
-            sym, word, rank, made = sym[keep], word[keep], rank[keep], made[keep]
-            rank[at] = _NO_RANK
-            right = at[at + 1 < len(sym)]
-            right = right[word[right] == word[right + 1]]
-            left = at[at > 0] - 1
-            left = left[word[left] == word[left + 1]]
-            near = np.concatenate([left, right])
-            rank[near], made[near] = self._pairs(sym[near], sym[near + 1])
-        if not done_word:
+            sym, run, rank, made = sym[keep], run[keep], rank[keep], made[keep]
+        if not done_run:
             return np.zeros(0, np.int64), np.zeros(len(words) + 1, np.int64)
-        word, sym = np.concatenate(done_word), np.concatenate(done_sym)
-        sym = sym[np.argsort(word, kind="stable")]
-        return sym, np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(words)))]).astype(np.int64)
-
-    def _merge_long(self, sym: list[int]) -> list[int]:
-        """The same merges for one long word: a heap of (rank, position)."""
-        table = self.__dict__.setdefault("_table", None)
-        if table is None:
-            table = self._table = {int(k): (int(r), int(m)) for k, r, m in zip(self.keys[:-1], self.rank[:-1], self.merged[:-1], strict=True)}
-        n = len(sym)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = []
-
-        def push(i):
-            j = after[i]
-            if j >= 0 and (found := table.get(sym[i] << _SHIFT | sym[j])):
-                heapq.heappush(heap, (found[0], i, sym[i], sym[j], found[1]))
-
-        for i in range(n - 1):
-            push(i)
-        while heap:
-            _, i, a, b, m = heapq.heappop(heap)
-            j = after[i]
-            if sym[i] != a or j < 0 or sym[j] != b:
-                continue
-            sym[i], sym[j] = m, -1
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            if before[i] >= 0:
-                push(before[i])
-            push(i)
-        return [s for s in sym if s >= 0]
+        run, sym = np.concatenate(done_run), np.concatenate(done_sym)
+        order = np.argsort(run, kind="stable")
+        return sym[order], np.concatenate([[0], np.cumsum(np.bincount(word_of[run], minlength=len(words)))]).astype(np.int64)
 
     def _to_ids(self, sym, at):
         """Piece ids of symbols; characters without a piece become their bytes."""

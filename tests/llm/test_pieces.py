@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import sentencepiece
@@ -35,13 +36,50 @@ def test_long_words_and_runs_of_spaces():
     assert ids == [LIBRARY.encode(t) for t in texts] and decoded == texts
 
 
-def test_rounds_and_heap_agree():
+def one_at_a_time(sym, table):
+    """The plain order of merges: always the best pair, the leftmost of equals."""
+    sym = list(sym)
+    while True:
+        pairs = [(*table[k], i) for i in range(len(sym) - 1) if (k := sym[i] << P._SHIFT | sym[i + 1]) in table]
+        if not pairs:
+            return sym
+        _, made, i = min(pairs, key=lambda x: (x[0], x[2]))
+        sym[i : i + 2] = [made]
+
+
+def test_rounds_are_one_merge_at_a_time():
     rng = random.Random(4)
-    words = ["▁" + "".join(rng.choice("thereandinof") for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    table = {int(k): (int(r), int(m)) for k, r, m in zip(CODEC.keys[:-1], CODEC.rank[:-1], CODEC.merged[:-1], strict=True)}
+    words = ["▁" + "".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for letters in ("thereandinof", "aab", "anananbnb", "e0x1", "-=*") for _ in range(100)]
     sym, at = CODEC.merge(words)
     for w, a, b in zip(words, at, at[1:], strict=False):
-        start = CODEC.char[np.array([ord(c) for c in w])].tolist()
-        assert sym[a:b].tolist() == CODEC._merge_long(start)
+        assert sym[a:b].tolist() == one_at_a_time(CODEC.char[np.array([ord(c) for c in w])].tolist(), table), w
+
+
+def test_rounds_with_ranks_that_are_not_monotone():
+    """Random tables, in which a merge often opens a better pair."""
+    rng = random.Random(6)
+    for _ in range(60):
+        pieces = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(2, 5))) for _ in range(25)})
+        kinds = [P._UNKNOWN, *[P._NORMAL] * (3 + len(pieces))]
+        model = P.Model(["<unk>", "a", "b", "c", *pieces], np.array([0, 0, 0, 0, *(-float(rng.randint(1, 12)) for _ in pieces)], np.float32), kinds)
+        codec = P.Codec(model)
+        table = {}
+        for k, r, m in zip(codec.keys[:-1].tolist(), codec.rank[:-1].tolist(), codec.merged[:-1].tolist(), strict=True):
+            table[k] = (r, m)
+        words = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 40))) for _ in range(40)]
+        sym, at = codec.merge(words)
+        for w, a, b in zip(words, at, at[1:], strict=False):
+            assert sym[a:b].tolist() == one_at_a_time(codec.char[np.array([ord(c) for c in w])].tolist(), table), w
+
+
+def test_words_of_any_length_are_quick():
+    rng = random.Random(7)
+    texts = ["x" * 200_000, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)), "".join(rng.choice("ABCDEFabcdef0123456789+/") for _ in range(200_000))]
+    began = time.time()
+    ids, _ = own(texts)
+    assert time.time() - began < 60
+    assert ids == [LIBRARY.encode(t) for t in texts]
 
 
 def test_decode_of_any_ids():
