@@ -18,6 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A name that none of the columns has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of bounded bytes: rows can be very long texts."""
     for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", "4194304"), ("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")):

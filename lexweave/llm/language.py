@@ -18,7 +18,9 @@ expected of it (all rows, if it has fewer).  The prediction sees the text only.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
 equal languages in share are told apart by name; without any labelled row every
-text is ``und``; very long texts are read whole; other columns are not read.
+text is ``und``; rows that repeat are predicted, and counted in training, each;
+an empty table gives an empty result; very long texts and words are read whole;
+other columns are not read, and :func:`predict` keeps them.
 """
 
 from __future__ import annotations
@@ -31,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-from .common import bounded_batches, table
+from .common import bounded_batches, quoted, table, unused
 from .pieces import slices
 
 UNDETERMINED = "und"
@@ -48,8 +51,8 @@ LEAST_SHARE = 0.02
 ITERATIONS = 8
 BATCH_CHARS = 1 << 20
 CACHE_WORDS = 150_000
-#: Letters; a longer run is read as several words.
-_WORD = re.compile(r"[^\W\d_]{1,24}")
+#: A run of letters of any length.
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str | None) -> list[str]:
@@ -207,25 +210,33 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     return Model([r["lang"] for r in found], log_p)
 
 
-def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """The rows with lang_pred, score and shares (array of double, languages in the model's order) added."""
+#: Columns that :func:`predict` adds.
+ADDED = ("lang_pred", "score", "shares")
+
+
+def predict(docs: DataFrame, model: Model, *, text_col: str = "text", added: tuple[str, str, str] = ADDED) -> DataFrame:
+    """The rows with the language, its score and all shares (array of double, languages in the model's order) added.
+
+    Columns of ``docs`` that have the names of the added ones are replaced by them.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast((model.languages, model.log_p))
-    names = docs.columns
-    at = names.index(text_col)
+    text = unused(docs.columns, "text_to_read")
+    docs = docs.select(*[quoted(c) for c in docs.columns if c.lower() not in {a.lower() for a in added}], quoted(text_col).cast("string").alias(text))
+    names = docs.columns[:-1]
 
     def run(batches):
         cache: dict = {}
         own = Model(*shared.value)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
+            texts = batch.column(len(names)).to_pylist()
             for a, b in slices(texts, BATCH_CHARS):
                 lang, score, share = own.predict(texts[a:b], cache)
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(lang, pa.string()), pa.array(score), pa.array(list(share), pa.list_(pa.float64()))], names=[*names, "lang_pred", "score", "shares"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(lang, pa.string()), pa.array(score), pa.array(list(share), pa.list_(pa.float64()))], names=[*names, *added])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, shares array<double>")
+    schema = StructType([*docs.schema.fields[:-1], StructField(added[0], StringType()), StructField(added[1], DoubleType()), StructField(added[2], ArrayType(DoubleType()))])
+    return docs.mapInArrow(run, schema)
 
 
 def held_out(doc_id):

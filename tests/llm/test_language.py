@@ -1,5 +1,7 @@
 """Language identification: held-out accuracy, mixtures, and the fit against a plain loop."""
 
+import itertools
+
 import numpy as np
 from odd import empty, odd
 from pyspark.sql import functions as F
@@ -30,27 +32,68 @@ def test_mixture():
     assert lang[1] == "de" and 0.4 < score[1] < 0.8 and (share[1] > 0.2).all()
 
 
-def test_fit_against_a_loop():
-    """With one language kept out of question, proportions are those of a plain EM loop."""
-    m = model()
-    text = "the dog und die katze the house"
+def three():
+    """A model of three made-up languages that share some of their letters."""
+    import random
+
+    rng = random.Random(3)
+    letters = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "ijklmnab"}
+    vocabulary = {k: ["".join(rng.choice(v) for _ in range(rng.randint(2, 6))) for _ in range(200)] for k, v in letters.items()}
+    counts = [np.bincount(L.grams([rng.choice(vocabulary[k]) for _ in range(2000)])[0], minlength=L.BUCKETS) for k in sorted(letters)]
+    log_p = np.stack([np.log((n + 0.5) / (n.sum() + 0.5 * L.BUCKETS)) for n in counts], 1)
+    return L.Model(sorted(letters), log_p), vocabulary, rng
+
+
+def best_set(m, text):
+    """The best set of languages by penalised likelihood, each fitted by a plain EM loop from equal shares, over all sets."""
     ws = sorted(set(L.words(text)))
-    times = np.array([L.words(text).count(w) for w in ws])
+    weight = 1 + np.log([L.words(text).count(w) for w in ws])
     bucket, own = L.grams(ws)
-    ll = np.zeros((len(ws), 2))
+    ll = np.zeros((len(ws), len(m.languages)))
     np.add.at(ll, own, m.log_p[bucket])
-    like, weight = np.exp(ll - ll.max(1, keepdims=True)), 1 + np.log(times)
-    pi = np.array([0.5, 0.5])
-    for _ in range(L.ITERATIONS + L.ITERATIONS // 2):
-        r = like * pi
-        r /= r.sum(1, keepdims=True)
-        pi = (r * weight[:, None]).sum(0) / weight.sum()
-    share = m.predict([text])[2][0]
-    assert np.allclose(share, pi, atol=1e-6) or share.max() == 1.0
+    found = []
+    for n in range(1, len(m.languages) + 1):
+        for chosen in itertools.combinations(range(len(m.languages)), n):
+            pi = np.zeros(len(m.languages))
+            pi[list(chosen)] = 1 / n
+            for _ in range(300):
+                joint = np.exp(ll - ll.max(1, keepdims=True)) * pi
+                joint /= joint.sum(1, keepdims=True) + 1e-300
+                pi = (joint * weight[:, None]).sum(0) / weight.sum()
+            top = ll.max(1)
+            fit = (weight * (top + np.log((np.exp(ll - top[:, None]) * pi).sum(1) + 1e-300))).sum()
+            found.append((fit - L.PENALTY * n * np.log(weight.sum() + 1) / 2, chosen, pi))
+    return max(found, key=lambda x: x[0])
+
+
+def test_language_set_against_all_sets():
+    """The set found by taking out languages is the best of all sets, and its proportions are those of a plain loop."""
+    m, vocabulary, rng = three()
+    texts = []
+    for _ in range(120):
+        n = rng.choice([1, 1, 2, 3])
+        parts = rng.sample(sorted(vocabulary), n)
+        texts.append(" ".join(rng.choice(vocabulary[p]) for p in parts for _ in range(rng.randint(3, 40))))
+    share = m.predict(texts)[2]
+    same = 0
+    for text, own in zip(texts, share, strict=True):
+        _, chosen, pi = best_set(m, text)
+        same += tuple(np.flatnonzero(own > 0)) == chosen
+        if tuple(np.flatnonzero(own > 0)) == chosen:
+            assert np.abs(own - pi).max() < 0.02
+    assert same >= 0.97 * len(texts) and len({(s > 0).sum() for s in share}) == 3
+
+
+def test_added_columns(spark):
+    docs = spark.createDataFrame([(1, "the cat and the dog", "x", "y", "z")], "doc_id long, text string, score string, LANG_pred string, text_to_read string")
+    r = L.predict(docs, model())
+    assert r.columns == ["doc_id", "text", "text_to_read", "lang_pred", "score", "shares"] and r.first()["lang_pred"] == "en"
+    kept = L.predict(docs, model(), added=("a", "b", "c")).first()
+    assert (kept["score"], kept["LANG_pred"], kept["a"]) == ("x", "y", "en")
 
 
 def test_odd(spark):
-    out = {r["doc_id"]: r for r in L.predict(odd(spark).drop("spans"), L.train(odd(spark))).collect()}
+    out = {r["doc_id"]: r for r in L.predict(odd(spark), L.train(odd(spark))).collect()}
     assert out[0]["lang_pred"] == out[1]["lang_pred"] == "und"
     assert 0 <= out[5]["score"] <= 1
     assert L.predict(empty(spark), L.train(empty(spark))).count() == 0
