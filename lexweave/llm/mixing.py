@@ -8,15 +8,17 @@ for every integer that its own step crosses.  Laying out by size stratifies the
 sample: the words taken differ from the target by no more than about one
 largest document.
 
-The running total needs a rank within the source.  No source is ever gathered
+Words are counted in one pass over the texts, whose result is written; the rest
+reads that narrow table.  The running total needs a rank within the source.  No source is ever gathered
 in one task: rows are dealt by range of (source, size, doc_id) and written,
 each range counts its rows per source, and a row's rank is its rank within the
 range plus the rows of the ranges before it.
 
 Defined cases: a null source is a source of its own, ordered last; null or
 empty text has size 0 and is laid out like any other document (a source without
-words has target 0 and takes nothing); equal rows are separate documents; an
-empty table gives an empty result; columns other than the id, text and source
+words has target 0 and takes nothing); very long texts are counted whole; equal
+rows are separate documents; documents of one size and id are laid out by a hash
+of the text; an empty table gives an empty result; columns other than the id, text and source
 are not read.
 """
 
@@ -27,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, word_count
+from .common import cut, quoted, table, unused, word_count
 
 #: Parameters of the production query.
 WEIGHTS = (3, 1, 2)
@@ -65,15 +67,18 @@ def offset(source, seed: str = SEED):
 
 
 def copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, share: tuple[int, int] = SHARE, cap: int = MOST_COPIES, seed: str = SEED) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies (long).
+    """One row per document: doc_id, mark (hash of the text), source, size, source_size, target, copies (long).
 
     The driver gets one row per source (name, words): weights are stated per
     source, so that table is as small as the statement itself.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    text = F.col(text_col).cast("string")
+    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"))
+    # written: the exchange by range reads its input twice, and the words are counted once
+    base = cut(base, "mix-sizes")
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = cut(base.repartitionByRange(parts, F.col("source"), F.col("size"), F.col("doc_id")).withColumn("range", F.spark_partition_id()), "mix")
+    dealt = cut(base.repartitionByRange(parts, F.col("source"), F.col("size"), F.col("doc_id"), F.col("mark")).withColumn("range", F.spark_partition_id()), "mix")
     counts = dealt.groupBy("source", "range").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     counts = cut(counts, "mix-counts")
     found = sorted(((r["source"], r["words"]) for r in counts.groupBy("source").agg(F.sum("words").alias("words")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
@@ -82,26 +87,30 @@ def copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("source", "range", before.alias("before"))
     starts = starts.alias("a").join(plan.alias("p"), F.expr("a.source <=> p.source")).select("a.source", "a.range", "before", "source_size", "target")
-    own = F.row_number().over(Window.partitionBy("range", "source").orderBy("size", "doc_id")).cast("long")
-    ranked = dealt.select("doc_id", "source", "range", "size", own.alias("own"))
-    out = ranked.alias("r").join(starts.alias("s"), F.expr("r.range = s.range and r.source <=> s.source")).select("r.doc_id", "r.source", "r.size", "s.source_size", "s.target", (F.col("r.own") + F.col("s.before")).alias("rank"))
+    own = F.row_number().over(Window.partitionBy("range", "source").orderBy("size", "doc_id", "mark")).cast("long")
+    ranked = dealt.select("doc_id", "mark", "source", "range", "size", own.alias("own"))
+    out = ranked.alias("r").join(starts.alias("s"), F.expr("r.range = s.range and r.source <=> s.source")).select("r.doc_id", "r.mark", "r.source", "r.size", "s.source_size", "s.target", (F.col("r.own") + F.col("s.before")).alias("rank"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     u = offset(F.col("source"), seed)
     got = F.floor(rate * F.col("rank") + u) - F.floor(rate * (F.col("rank") - 1) + u)
-    return out.select("doc_id", "source", "size", "source_size", "target", F.least(got, F.lit(cap)).cast("long").alias("copies"))
+    return out.select("doc_id", "mark", "source", "size", "source_size", "target", F.least(got, F.lit(cap)).cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixture: every document that is taken, its columns unchanged, once per copy.
 
-    Ids must be unique for the copies to be told apart; rows that share an id
-    with equal size are given the same number of copies, the larger one.
+    Rows that share id and text can't be told apart: each is given the larger
+    of their numbers of copies, which differ by one at most if they share the
+    source too.
     """
-    id_col = options.get("id_col", "doc_id")
-    plan = copies(docs, **options).filter("copies > 0").groupBy("doc_id", "size").agg(F.max("copies").alias("copies"))
-    sized = docs.withColumn("__size", word_count(F.col(options.get("text_col", "text"))))
-    picked = sized.alias("d").join(plan.alias("p"), F.col(f"d.{id_col}").eqNullSafe(F.col("p.doc_id")) & (F.col("d.__size") == F.col("p.size")))
-    return picked.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("p.copies").cast("int")))).select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    plan = copies(docs, **options).filter("copies > 0").groupBy("doc_id", "mark").agg(F.max("copies").alias("copies"))
+    mark, copy = unused(docs.columns, "mark_of_text"), unused(docs.columns, "number_of_copy")
+    marked = docs.withColumn(mark, F.xxhash64(quoted(text_col).cast("string")))
+    plan = plan.select(F.col("doc_id").alias("plan_id"), F.col("mark").alias("plan_mark"), F.col("copies").alias("plan_copies"))
+    picked = marked.alias("d").join(plan.alias("p"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("p.plan_id")) & (F.col(f"d.`{mark}`") == F.col("p.plan_mark")))
+    kept = [F.col("d.`" + c.replace("`", "``") + "`") for c in docs.columns]
+    return picked.select(*kept, F.explode(F.sequence(F.lit(1), F.col("p.plan_copies").cast("int"))).alias(copy)).drop(copy)
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
