@@ -15,7 +15,8 @@ never straddle a shard, and numbered: the rows before a piece are known from
 the same exact counts.
 
 Defined cases: null text has 0 bytes (size 16) and the checksum of the empty
-text; null ids order first; an empty table gives an empty result; rows that are
+text; very long texts are measured whole; ids that aren't whole numbers are
+ordered by a hash of their text; null ids order first; an empty table gives an empty result; rows that are
 equal in text and id are kept together; other columns are not read.
 """
 
@@ -135,7 +136,8 @@ def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     flip = F.lit(-(1 << 63)).cast("long")
-    ident = F.coalesce(F.col(id_col).cast("long"), flip)
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    ident = F.coalesce(F.col(id_col).cast("long") if whole else F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("string"))), flip)
     base = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("k1"), ident.bitwiseXOR(flip).alias("k2"))
     keyed = cut(base, "shard")
     edges, counts, _ = splitters(keyed, shards, tolerance, pieces)

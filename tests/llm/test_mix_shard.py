@@ -112,6 +112,21 @@ def test_shard_odd(spark):
     assert len(H.shard(same_rows, shards=3).collect()) == 50
 
 
+def test_shard_ids_that_are_text(spark):
+    rows = spark.createDataFrame([(f"id-{i}", f"text {i % 30}") for i in range(300)] + [(None, "x"), ("12.5", None)], "doc_id string, text string")
+    out = H.shard(rows, shards=3).collect()
+    assert len(out) == 302 and {r["doc_id"] for r in out} == {r["doc_id"] for r in rows.collect()}
+    shards(out)
+
+
+def test_mix_tells_texts_of_one_id_apart(spark):
+    docs = spark.createDataFrame([(1, f"w{i} " * 5, "a", "c", "c") for i in range(40)] + [(2, "x y", "b", "c", "c")] * 3, "doc_id long, text string, source string, mark_of_text string, plan_copies string")
+    plan = M.copies(docs).collect()
+    got = collections.Counter(r["text"] for r in M.mix(docs).collect())
+    assert M.mix(docs).columns == docs.columns
+    assert sum(n for t, n in got.items() if t.startswith("w")) == sum(r["copies"] for r in plan if r["doc_id"] == 1)
+
+
 def test_splitters_count_exactly(spark):
     rows = spark.range(5000).select(F.xxhash64("id").alias("k1"), F.col("id").alias("k2"), (F.col("id") % 37 + 1).alias("size")).cache()
     edges, counts, rounds = H.splitters(rows, 8, 0.001)
