@@ -15,11 +15,12 @@ independent only for a given number of coordinates in which a pair agrees: the
 miss is the mean of (1 - survival) ** runs over that number's distribution.
 
 What the leaves found are candidate links.  Their connected components, found
-by joins, are small, and each is sent once to a task that forms the exact
-shingle sets and compares all pairs within it as integers; a component above
-``BLOCK`` sets is cut into blocks and every pair of blocks is a task of its own,
-so a task's memory is bounded however large a group of near copies is.  A task
-returns one count for each set and a spanning forest of the links that it
+by joins, are small; the exact shingle sets of their members are formed once, as
+hashes of 64 bits, and all pairs within a component are compared by integers.  A
+component above ``BLOCK`` sets or ``BLOCK_SHINGLES`` shingles is cut into blocks
+and every pair of blocks is a task of its own, and small components share a task
+up to that number of shingles, so a task's memory is bounded however large a
+group of near copies is, and however long its texts.  A task returns one count for each set and a spanning forest of the links that it
 confirmed, never the pairs.
 
 Texts with equal shingle sets are one set with a number of copies from the
@@ -28,8 +29,9 @@ start, so groups of exact copies of any size cost one aggregate.
 Defined cases: null texts and texts without a word link with nothing and keep
 themselves; texts of one to four words are one shingle of all their words, and
 link with equal ones alone; rows that repeat link like other copies; null ids
-take part and are never the name of a class unless all ids in it are null; an
-empty table gives an empty result; other columns are not read.
+take part and are never the name of a class unless all ids in it are null; very
+long texts are read whole; an empty table gives an empty result; other columns
+are not read, and :func:`representatives` keeps them.
 """
 
 from __future__ import annotations
@@ -41,10 +43,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, table
+from .common import bounded_batches, cut, quoted, table, unused
 from .components import connected_components, forest
 
 WORDS = 5
@@ -58,6 +61,8 @@ LEAF = 64
 LEAST_AGREED = 0.6
 #: Sets in a block of the exact comparison.
 BLOCK = 1024
+#: Shingles in a block, or in the small components that share a task, about.
+BLOCK_SHINGLES = 1 << 20
 SEED = 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -304,22 +309,33 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
     bounded_batches(spark)
     rows = cut(_sets(docs, id_col, text_col), "sets")
     pick = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
-    sets = rows.filter("set is not null").groupBy("set").agg(F.count(F.lit(1)).alias("copies"), pick.alias("one"), F.first("sig").alias("sig"))
-    sets = cut(sets.select("set", "copies", F.col("one.doc_id").alias("doc_id"), F.col("one.mark").alias("mark"), "sig"), "distinct")
+    sets = rows.filter("set is not null").groupBy("set").agg(F.count(F.lit(1)).alias("copies"), pick.alias("one"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    sets = cut(sets.select("set", "copies", F.col("one.doc_id").alias("doc_id"), F.col("one.mark").alias("mark"), "n", "sig"), "distinct")
     parts = connected_components(_candidates(sets, threshold, recall, depth, leaf)).withColumnRenamed("node", "set")
-    parts = cut(parts, "candidates")
-    size = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    chosen = parts.join(size, "component").join(sets.select("set", "copies", "doc_id", "mark"), "set")
-    # a component up to the block size shares a task with others; a larger one is dealt as pairs of blocks
-    bundles = max(1, math.ceil(parts.count() / block))
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("set"), blocks).cast("int")
-    chosen = chosen.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    group = F.when(F.col("size") <= block, F.pmod(F.xxhash64("component"), F.lit(bundles))).otherwise(F.xxhash64("component"))
-    chosen = chosen.select("doc_id", "mark", "set", "component", "copies", "own", group.alias("group"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    parts = cut(parts.join(sets.select("set", "copies", "doc_id", "mark", "n"), "set"), "candidates")
+    size = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+    # a small component shares a task with others; a larger one is dealt as pairs of blocks
+    bundles = max(1, math.ceil((parts.agg(F.sum("n")).first()[0] or 0) / BLOCK_SHINGLES))
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    group = F.when(blocks == 1, F.pmod(F.xxhash64("component"), F.lit(bundles))).otherwise(F.xxhash64("component"))
+    chosen = parts.join(size, "component").select("doc_id", "mark", "set", "component", "copies", blocks.alias("blocks"), group.alias("group"))
+    # written: if it is small the planner broadcasts it, and only the texts that are compared are exchanged
+    chosen = cut(chosen, "chosen")
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    dealt = chosen.alias("c").join(texts.alias("t"), F.expr("c.doc_id <=> t.doc_id and c.mark = t.mark")).select("c.group", "c.i", "c.j", "c.component", "c.set", "c.own", "c.copies", "t.text")
+    dealt = chosen.alias("c").join(texts.alias("t"), F.expr("c.doc_id <=> t.doc_id and c.mark = t.mark")).select("c.group", "c.component", "c.set", "c.blocks", "c.copies", "t.text")
+
+    def shingled(batches):
+        for batch in batches:
+            sets = shingle_sets(batch.column(5))
+            cuts = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], names=["group", "component", "set", "blocks", "copies", "shingles"])
+
+    hashed = dealt.mapInArrow(shingled, "group bigint, component binary, set binary, blocks int, copies bigint, shingles array<bigint>")
+    own = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
+    hashed = hashed.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    hashed = hashed.select("group", "component", "set", "copies", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "shingles")
 
     def verify(table: pa.Table) -> pa.Table:
         names = table.column("set").to_pylist()
@@ -329,8 +345,10 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
         copies = table.column("copies").to_numpy()
         own = table.column("own").to_numpy()
         cross = bool(len(names)) and table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        sets = table.column("text").combine_chunks()
-        sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) and sets.num_chunks == 1 else sets
+        flat = [c.flatten().to_numpy().view(np.uint64) for c in table.column("shingles").chunks]
+        flat = np.concatenate(flat) if flat else np.zeros(0, np.uint64)
+        end = np.cumsum(pa.compute.list_value_length(table.column("shingles")).to_numpy()).tolist()
+        sets = [flat[a:b] for a, b in zip([0, *end], end, strict=False)]
         out_set, out_links, out_root = [], [], []
         k = 0
         while k < len(at):
@@ -341,7 +359,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
             k = end
             if len(members) < 2:
                 continue
-            left, right = exact_links(shingle_sets(sets.take(pa.array(members))), own[members], cross, threshold)
+            left, right = exact_links([sets[m] for m in members], own[members], cross, threshold)
             if not len(left):
                 continue
             links = np.bincount(left, copies[members[right]], len(members)) + np.bincount(right, copies[members[left]], len(members))
@@ -355,7 +373,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
                 out_root.append(names[members[r]])
         return pa.table({"set": pa.array(out_set, pa.binary()), "links": pa.array(out_links, pa.int64()), "root": pa.array(out_root, pa.binary())})
 
-    found = cut(dealt.groupBy("group", "i", "j").applyInArrow(verify, "set binary, links bigint, root binary"), "links")
+    found = cut(hashed.groupBy("group", "i", "j").applyInArrow(verify, "set binary, links bigint, root binary"), "links")
     links = found.groupBy("set").agg(F.sum("links").alias("links"))
     classes = connected_components(found.filter("set <> root"), "set", "root").withColumnRenamed("node", "set")
     summary = sets.select("set", "copies", "doc_id", "mark").join(links, "set", "left").join(classes, "set", "left").withColumn("component", F.coalesce("component", "set"))
@@ -371,9 +389,10 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """The rows of ``docs`` without all but one document of each class; rows equal in id and text count as one."""
     found = join(docs, id_col=id_col, text_col=text_col, **options)
     stay = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("mark") == F.col("class_mark"))).select("doc_id", "mark")
-    marked = docs.withColumn("__mark", F.xxhash64(F.col(text_col).cast("string")))
-    kept = marked.alias("d").join(stay.alias("s"), F.col(f"d.{id_col}").eqNullSafe(F.col("s.doc_id")) & (F.col("d.__mark") == F.col("s.mark")), "left_semi")
-    return kept.dropDuplicates([id_col, "__mark"]).select(*docs.columns)
+    mark = unused(docs.columns, "mark_of_text")
+    marked = docs.withColumn(mark, F.xxhash64(quoted(text_col).cast("string")))
+    kept = marked.alias("d").join(stay.alias("s"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("s.doc_id")) & (F.col(f"d.`{mark}`") == F.col("s.mark")), "left_semi")
+    return kept.dropDuplicates([id_col, mark]).select(*map(quoted, docs.columns))
 
 
 def op1_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:

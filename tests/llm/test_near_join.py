@@ -58,6 +58,27 @@ def test_against_brute_force(spark, options):
     assert sum(got[i][0] == want[i][0] for i in want) >= 0.999 * len(want)
 
 
+@pytest.mark.parametrize("options", [{}, {"leaf": 1}])
+def test_recall_at_the_threshold(spark, options):
+    """Pairs of similarity 0.8 exactly, by leaves and by nodes at full depth: about one of 1,400 may be missed."""
+    rows = []
+    for k in range(700):
+        shared = [f"s{k}x{i}" for i in range(44)]
+        rows += [(2 * k + b, " ".join(shared + [f"t{k}x{b}x{i}" for i in range(5)])) for b in range(2)]
+    out = N.join(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()
+    found = sum(r["n_links"] for r in out) / 2
+    assert found >= 0.994 * 700 and all(r["class_id"] // 2 == r["doc_id"] // 2 for r in out)
+
+
+def test_blocks_by_shingles(spark, monkeypatch):
+    """Long texts make small blocks."""
+    monkeypatch.setattr(N, "BLOCK_SHINGLES", 300)
+    rows = corpus(5, groups=4)
+    want = brute(rows)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in N.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_hot_group_is_not_expanded(spark):
     """A large group of near copies: counts are right, and no stage makes rows for its pairs."""
     rng = random.Random(3)
