@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..storage import cut, discard, shared_dir  # noqa: F401
 
@@ -31,6 +32,12 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def map_arrow(docs: DataFrame, run: Callable, schema: StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any name: within ``run`` they are c0, c1 and so on, before and after."""
+    numbered = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).mapInArrow(run, numbered).toDF(*schema.names)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of bounded bytes: rows can be very long texts."""
     for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", "4194304"), ("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")):

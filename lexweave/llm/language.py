@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-from .common import bounded_batches, quoted, table, unused
+from .common import bounded_batches, map_arrow, quoted, table, unused
 from .pieces import slices
 
 UNDETERMINED = "und"
@@ -224,19 +224,19 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", added: tup
     shared = spark.sparkContext.broadcast((model.languages, model.log_p))
     text = unused(docs.columns, "text_to_read")
     docs = docs.select(*[quoted(c) for c in docs.columns if c.lower() not in {a.lower() for a in added}], quoted(text_col).cast("string").alias(text))
-    names = docs.columns[:-1]
+    width = len(docs.columns) - 1
 
     def run(batches):
         cache: dict = {}
         own = Model(*shared.value)
         for batch in batches:
-            texts = batch.column(len(names)).to_pylist()
+            texts = batch.column(width).to_pylist()
             for a, b in slices(texts, BATCH_CHARS):
                 lang, score, share = own.predict(texts[a:b], cache)
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(lang, pa.string()), pa.array(score), pa.array(list(share), pa.list_(pa.float64()))], names=[*names, *added])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(lang, pa.string()), pa.array(score), pa.array(list(share), pa.list_(pa.float64()))], names=[f"c{i}" for i in range(width + 3)])
 
     schema = StructType([*docs.schema.fields[:-1], StructField(added[0], StringType()), StructField(added[1], DoubleType()), StructField(added[2], ArrayType(DoubleType()))])
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def held_out(doc_id):

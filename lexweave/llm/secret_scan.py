@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, span_sql, table
+from .common import bounded_batches, map_arrow, span_sql, table
 from .pieces import slices
 
 BATCH_CHARS = 1 << 20
@@ -319,7 +319,6 @@ def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None =
     names = docs.columns
     at = names.index(text_col)
     size_at = names.index(length_col) if length_col in names else None
-    schema = docs.schema
 
     def run(batches):
         scanner = Scanner(rules)
@@ -342,7 +341,7 @@ def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None =
                 columns[size_at] = pa.array([n if t == o else len(t) for n, t, o in zip(old, out, texts, strict=True)], batch.schema.field(size_at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def digest(scanned: DataFrame) -> DataFrame:
