@@ -8,6 +8,14 @@ left into ids.  Every stage but the last returns the columns of documents.
 
 SQL can't express the first stage's mixture inference, so there is no SQL for
 the result; tests hold the stages against brute force on small tables.
+
+Defined cases, of every stage: documents with null or empty texts have no
+determined language and go in the first stage; null ids, languages, sources and
+counts stay as they are; very long texts are processed whole; rows equal in id
+and text are one document after the second stage, and documents that tie for a
+class are told apart by id; an empty table gives an empty result of the same
+columns; columns that documents doesn't have are kept, whatever their names, by
+all stages but the last.
 """
 
 from __future__ import annotations
@@ -16,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm import language, mixing, near_join, pieces, secret_scan
-from lexweave.llm.common import cut, table
+from lexweave.llm.common import cut, quoted, table, unused
 
 #: A document stays if this share of its words, at least, is in its language.
 LEAST_LANGUAGE_SHARE = 0.35
@@ -24,9 +32,9 @@ LEAST_LANGUAGE_SHARE = 0.35
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those in which no language holds the share."""
-    names = docs.columns
-    found = language.predict(docs, language.train(docs))
-    return found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SHARE)).select(*names)
+    lang, score, shares = (unused(docs.columns, name) for name in language.ADDED)
+    found = language.predict(docs, language.train(docs), added=(lang, score, shares))
+    return found.filter((F.col(lang) != language.UNDETERMINED) & (F.col(score) >= LEAST_LANGUAGE_SHARE)).select(*map(quoted, docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
