@@ -2,11 +2,13 @@
 
 They are written as Parquet below the folder that the session names in
 ``spark.checkpoint.dir``, which the driver and all executors share, so a lost
-executor only costs the tasks that ran on it.
+executor only costs the tasks that ran on it.  A session that names none gets a
+temporary folder if it runs on one machine, and an error on a cluster.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,10 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables; a temporary one only where the setting is unset (tests)."""
+    """The folder for intermediate tables; a temporary one only for a local session without the setting."""
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
         base = tempfile.mkdtemp(prefix="lexweave-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
