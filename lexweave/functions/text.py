@@ -21,7 +21,15 @@ DISCLAIMER = r"(?i)免責条項|disclaimer"
 REFERENCES = r"関連文書|参考文書|参照文書|適用文書|関係文書"
 CROSS_REF = r"[A-Z]{4}-\d+-\d+(?:-\w+)?"
 FULL_DIGITS, DIGITS = "０１２３４５６７８９", "0123456789"
-UNIT_NUMBER = r"\d+(?:\.\d+)?\s*(?:℃|°C|mm|cm|kg|Hz|kHz|MHz|GHz|dB|V|A|W|Pa|N|s|%)"
+STANDARD = r"(?:JERG|JAXA|JIS|ISO|MIL|IEEE)[- ]?[\p{L}\p{N}_.-]+"
+UNIT_NUMBER = r"\p{Nd}+(?:\.\p{Nd}+)?[\s\p{Z}]*(?:km|m|kg|W|V|A|MHz|GHz|dB|°C|Pa|N)"
+PAGE_HEADER = r"JERG-\p{Nd}+-\p{Nd}+[\p{L}\p{N}_]*[\s\p{Z}]*\n[\s\p{Z}]*(\p{Nd}+)[\s\p{Z}]*\n"
+PAGE_NUMBER = r"(?:^|\n)(\p{Nd}{1,4})(?:\n|\z)"
+WIDE = "\u3000-\u9fff\uff00-\uffef"
+ORGANISATIONS = (r"JAXA|宇宙航空研究開発機構", r"NASA|ESA|CNES|DLR", r"ISO[\s\p{Z}]*\p{Nd}+|JIS[\s\p{Z}]*[A-Z][\s\p{Z}]*\p{Nd}+")
+REGULATIONS = (r"JERG-\p{Nd}{1,2}-\p{Nd}{3}(?:-[A-Z]+\p{Nd}+)?", r"MIL-(?:STD|SPEC)-\p{Nd}+[A-Z]?", r"ECSS-[A-Z]-[A-Z]{2}-\p{Nd}+", r"ISO[\s\p{Z}]*\p{Nd}+(?:-\p{Nd}+)?")
+DEFINITION = r"「([^\n]{2,20})」[はとも]?(?:、|　|[\s\p{Z}])*([^\n]{5,80}?)(?:という|と定義|をいう|である)"
+NUMBERED_HEADING = r"(\p{Nd}+(?:\.\p{Nd}+)+)[\s\p{Z}]+([^\n。]{5,40})"
 
 
 def strip(c: Column) -> Column:
@@ -94,16 +102,18 @@ def section(c: Column) -> Column:
 
 
 def page_number(c: Column) -> Column:
-    """The first line of one to four digits that is a number from 1 to 999."""
-    found = F.filter(F.regexp_extract_all(c, F.lit(r"(?m)^[ \t]*(\d{1,4})[ \t]*$"), F.lit(1)), lambda n: n.cast("int").between(1, 999))
-    return F.get(found, F.lit(0)).cast("int")
+    """The number below a running header, else the first line of one to four digits if it is from 1 to 999."""
+    digits = lambda x: F.translate(x, FULL_DIGITS, DIGITS).try_cast("int")
+    below = digits(F.regexp_extract(c, PAGE_HEADER, 1))
+    line = digits(F.regexp_extract(c, PAGE_NUMBER, 1))
+    return F.coalesce(below, F.when(line.between(1, 999), line))
 
 
 def brief_summary(c: Column, least_line: int = 5, lines: int = 3, most: int = 80) -> Column:
     """The first lines that say something, joined, at most so long."""
     kept = F.filter(F.transform(F.split(c, "\n"), strip), lambda x: (F.length(x) > least_line) & ~F.contains(x, F.lit("......")))
     joined = F.array_join(F.slice(kept, 1, lines), " ")
-    return F.when(F.length(joined) > most, F.concat(F.substring(joined, 1, most), F.lit("…"))).otherwise(joined)
+    return F.when(F.length(joined) > most, F.concat(F.substring(joined, 1, most), F.lit("..."))).otherwise(joined)
 
 
 def context_header(title: Column, section_title: Column, domain: Column, before: Column, after: Column) -> Column:
@@ -112,11 +122,19 @@ def context_header(title: Column, section_title: Column, domain: Column, before:
     return F.concat_ws("\n", part("Document", title), part("Section", section_title), part("Domain", domain), part("Before", before), part("After", after))
 
 
+# Sentences that place a chunk.
+ABOUT_SECTION = ("このチャンクはセクション ", " 「", "」に関する内容です。")
+ABOUT_SENTENCE = ("このチャンクは「", "」に関する内容を含みます。")
+
+
 def context_prefix(c: Column) -> Column:
-    """A heading in the first 200 characters, else the first sentence of the first 100."""
-    head = strip(F.regexp_extract(F.substring(c, 1, 200), r"(?m)^(\d+(?:\.\d+)*\.?[ \t]+\S[^\n]*)$", 1))
-    sentence = strip(F.get(F.split(F.substring(c, 1, 100), r"[。\n.]"), F.lit(0)))
-    return F.when(head != "", head).otherwise(sentence)
+    """A sentence with the number and title of a heading in the first 200 characters, else with the first sentence of the first 100."""
+    heading = r"(?md)^(\p{Nd}+(?:\.\p{Nd}+)*)[\s\p{Z}]+([^\n]+?)$"
+    number, title = (F.regexp_extract(F.substring(c, 1, 200), heading, k) for k in (1, 2))
+    before, between, after = map(F.lit, ABOUT_SECTION)
+    opening, end = map(F.lit, ABOUT_SENTENCE)
+    sentence = F.substring_index(F.substring(c, 1, 100), "。", 1)
+    return F.when(number != "", F.concat(before, number, between, F.substring(title, 1, 50), after)).otherwise(F.concat(opening, sentence, end))
 
 
 def substitute(c: Column, pairs) -> Column:
@@ -126,23 +144,54 @@ def substitute(c: Column, pairs) -> Column:
     return c
 
 
-def rule_keywords(c: Column, standards: str = r"[A-Z]{2,5}[- ]\d{2,6}", most: int = 10) -> Column:
+def rule_keywords(c: Column, standards: str = STANDARD, most: int = 10) -> Column:
     """Standard numbers and numbers with a unit, distinct, sorted, at most so many."""
-    found = F.concat(F.regexp_extract_all(c, F.lit(f"({standards})"), F.lit(1)), F.regexp_extract_all(c, F.lit(f"({UNIT_NUMBER})"), F.lit(1)))
+    found = F.concat(F.regexp_extract_all(c, F.lit(standards), F.lit(0)), F.regexp_extract_all(c, F.lit(UNIT_NUMBER), F.lit(0)))
     return F.slice(F.array_sort(F.array_distinct(found)), 1, most)
 
 
 def short_or_brief(c: Column, least: int = 100, short: int = 50, most: int = 80) -> Column:
-    """The head of a short text, else a longer head with an ellipsis."""
-    return F.when(F.length(c) < least, F.substring(c, 1, short)).otherwise(F.concat(F.substring(c, 1, most), F.lit("…")))
+    """The head of a short text, else a longer head, with three dots if it was cut."""
+    head = F.concat(F.substring(c, 1, most), F.when(F.length(c) > most, "...").otherwise(""))
+    return F.when(F.length(c) < least, F.substring(c, 1, short)).otherwise(head)
+
 
+def _all_of(c: Column, patterns) -> Column:
+    return F.array_sort(F.array_distinct(F.concat(*[F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in patterns])))
 
-def abbreviations(c: Column, least: int = 2, most: int = 6) -> Column:
-    """Distinct words of ASCII capitals, sorted; only ASCII letters and digits count as their surroundings."""
-    found = F.regexp_extract_all(c, F.lit(rf"(?<![A-Za-z0-9_])([A-Z]{{{least},{most}}})(?![A-Za-z0-9_])"), F.lit(1))
+
+def abbreviations(c: Column, least: int = 2) -> Column:
+    """Distinct words of ASCII capitals only, sorted; a word is a run of letters, digits and underscores of any script."""
+    found = F.regexp_extract_all(c, F.lit(rf"(?<![\p{{L}}\p{{N}}_])([A-Z]{{{least},}})(?![\p{{L}}\p{{N}}_])"), F.lit(1))
     return F.array_sort(F.array_distinct(found))
 
 
+def entities(c: Column) -> Column:
+    """Struct of organizations, regulations and abbreviations, sorted, and defined_terms (term, definition) in order."""
+    terms, meanings = (F.regexp_extract_all(c, F.lit(DEFINITION), F.lit(k)) for k in (1, 2))
+    defined = F.zip_with(terms, meanings, lambda t, m: F.struct(strip(t).alias("term"), strip(m).alias("definition")))
+    return F.struct(_all_of(c, ORGANISATIONS).alias("organizations"), _all_of(c, REGULATIONS).alias("regulations"), abbreviations(c).alias("abbreviations"), defined.alias("defined_terms"))
+
+
+def named_entities(c: Column, head: int = 500) -> Column:
+    """(id, name, type, description) of the numbered headings in the head of a text, then of the standards anywhere in it."""
+    numbers, titles = (F.regexp_extract_all(F.substring(c, 1, head), F.lit(NUMBERED_HEADING), F.lit(k)) for k in (1, 2))
+    names = F.zip_with(numbers, titles, lambda n, t: F.concat(n, F.lit(" "), strip(t)))
+    as_entity = lambda kind, said: lambda n: F.struct(entity_id(n).alias("id"), n.alias("name"), F.lit(kind).alias("type"), F.concat(F.lit(said), n).alias("description"))
+    standards = F.regexp_extract_all(c, F.lit(STANDARD), F.lit(0))
+    return F.concat(F.transform(names, as_entity("CONCEPT", "セクション: ")), F.transform(standards, as_entity("STANDARD", "規格文書: ")))
+
+
+# Fixed value: the title of a session in which the user said nothing.
+UNTITLED = "無題セッション"
+
+
+def session_title(c: Column, most: int = 50) -> Column:
+    """The first message of the user on one line, cut with three dots; a fixed title for null."""
+    line = strip(F.replace(c, F.lit("\n"), F.lit(" ")))
+    return F.coalesce(F.concat(F.substring(line, 1, most), F.when(F.length(line) > most, "...").otherwise("")), F.lit(UNTITLED))
+
+
 def entity_id(name: Column) -> Column:
     return F.substring(F.md5(F.lower(name)), 1, 12)
 
@@ -175,24 +224,24 @@ def dedup_key(c: Column) -> Column:
     return F.md5(F.lower(strip(c)))
 
 
-# Version marks in file names, tried in this order.
+# Version marks in file names, tried in this order, and what stands before and after the number that is shown.
 VERSION_PATTERNS = (
-    (r"(?i)(?:^|[^a-z])v(\d+(?:\.\d+)*)", "v"),
-    (r"(?i)[_\s-]?rev(\d+(?:\.\d+)*)", "rev"),
-    (r"第(\d+)版", None),
-    (r"(\d{4}-\d{2}-\d{2})", ""),
-    (r"(?<!\d)(\d{8})(?!\d)", ""),
-    (r"(最終|final)", ""),
-    (r"\((\d+)\)", ""),
+    (r"[Rr][Ee][Vv]\.?(\p{Nd}+)", "rev", ""),
+    (r"[vV](\p{Nd}+(?:\.\p{Nd}+)*)", "v", ""),
+    (r"第(\p{Nd}+)[版改]", "第", "版"),
+    (r"[_\-](最終|final|確定|FINAL)", "最終", None),
+    (r"(\p{Nd}{4}[-_]\p{Nd}{2}[-_]\p{Nd}{2})", "", ""),
+    (r"[_\-\(](\p{Nd}{1,3})[_\-\).]", "", ""),
 )
 
 
 def version_mark(name: Column) -> Column:
-    """The version in a file name, 1.0 if none."""
+    """The version in a file name without its extension, 1.0 if none."""
+    stem = F.regexp_replace(F.regexp_extract(name, r"([^/]*)$", 1), r"(?<=.)\.[^.]+$", "")
     out = F.lit("1.0")
-    for pattern, prefix in reversed(VERSION_PATTERNS):
-        found = F.regexp_extract(name, pattern, 1)
-        shown = F.concat(F.lit("第"), found, F.lit("版")) if prefix is None else F.concat(F.lit(prefix), found)
+    for pattern, before, after in reversed(VERSION_PATTERNS):
+        found = F.regexp_extract(stem, pattern, 1)
+        shown = F.lit(before) if after is None else F.concat(F.lit(before), found, F.lit(after))
         out = F.when(found != "", shown).otherwise(out)
     return out
 
@@ -218,13 +267,53 @@ def html_text(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
 
 
-# Openings of quoted mail.
-QUOTE_PATTERNS = (r"\n>+ ?", r"\n-{3,} ?Original Message ?-{3,}", r"\nOn [^\n]+ wrote:", r"\n-{5,}", r"\n_{5,}", r"\nFrom: ", r"\n差出人: ", r"\n\d{4}年\d{1,2}月\d{1,2}日[^\n]*:")
+# Openings of quoted mail, each a line of its own.
+QUOTE_PATTERNS = (
+    r"^>[^\n]*$",
+    r"^On [^\n]+ wrote:$",
+    r"^-{3,}[^\n]*(?i:Original Message)[^\n]*-{3,}$",
+    r"^_{3,}$",
+    r"^[^\n]*転送メッセージ[^\n]*$",
+    r"^\p{Nd}{4}/\p{Nd}{2}/\p{Nd}{2}[^\n]+のメッセージ:$",
+    r"^----[^\n]*メッセージ[^\n]*----$",
+    r"^-{2,}[\s\p{Z}]*$",
+)
+
+
+def split_quote(c: Column, patterns=QUOTE_PATTERNS) -> Column:
+    """Struct of body and quoted: the text before and from the earliest opening of a quotation, stripped."""
+    before = F.get(F.split(c, "(?md)" + "|".join(f"(?:{p})" for p in patterns), 2), F.lit(0))
+    return F.struct(strip(before).alias("body"), strip(F.substr(c, F.length(before) + 1)).alias("quoted"))
 
 
-def body_without_quote(c: Column, patterns=QUOTE_PATTERNS) -> Column:
-    """The text before the earliest opening of a quotation, stripped."""
-    return strip(F.get(F.split(c, "|".join(f"(?:{p})" for p in patterns), 2), F.lit(0)))
+def html_markdown(c: Column) -> Column:
+    """HTML as Markdown: headings, emphasis, code, links, items and paragraphs; other tags out, entities back, blank runs as one."""
+    for pattern, to in MARKDOWN_RULES:
+        c = F.regexp_replace(c, pattern, to)
+    for entity, char in MARKDOWN_ENTITIES:
+        c = F.replace(c, F.lit(entity), F.lit(char))
+    return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+
+
+# Tags and what they become, in this order; entities, in this order.
+MARKDOWN_RULES = (
+    (r"(?is)<script[^>]*>.*?</script>", ""),
+    (r"(?is)<style[^>]*>.*?</style>", ""),
+    (r"(?is)<h1[^>]*>(.*?)</h1>", "# $1\n"),
+    (r"(?is)<h2[^>]*>(.*?)</h2>", "## $1\n"),
+    (r"(?is)<h3[^>]*>(.*?)</h3>", "### $1\n"),
+    (r"(?is)<strong[^>]*>(.*?)</strong>", "**$1**"),
+    (r"(?is)<b[^>]*>(.*?)</b>", "**$1**"),
+    (r"(?is)<em[^>]*>(.*?)</em>", "*$1*"),
+    (r"(?is)<code[^>]*>(.*?)</code>", "`$1`"),
+    (r"(?is)<pre[^>]*>(.*?)</pre>", "```\n$1\n```"),
+    (r"""(?is)<a[^>]*href=['"]([^'"]*)['"][^>]*>(.*?)</a>""", "[$2]($1)"),
+    (r"(?is)<li[^>]*>(.*?)</li>", "- $1"),
+    (r"(?is)<p[^>]*>(.*?)</p>", "$1\n"),
+    (r"(?i)<br[^>]*>", "\n"),
+    (r"<[^>]+>", ""),
+)
+MARKDOWN_ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "))
 
 
 def address(c: Column) -> Column:
@@ -240,23 +329,27 @@ def subject(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"(?i)^\s*(?:re|fwd?|転送)\s*[:：]\s*", ""))
 
 
-# Words of the four status signals.
+# Phrases of the four status signals.
 SIGNALS = {
-    "done": r"(?i)\b(?:done|finished|completed|fixed|resolved)\b|完了|対応済|終わりました",
-    "cancelled": r"(?i)\b(?:cancel|cancelled|abort|no longer needed)\b|中止|キャンセル",
-    "waiting": r"(?i)\b(?:waiting|pending|on hold|blocked)\b|待ち|保留",
-    "question": r"(?i)\?|確認|教えて",
-}
-
-
-def signals(c: Column, patterns=None) -> Column:
+    "completed": (
+        "完了(しました|いたしました|です)", "対応(しました|いたしました|完了です)", "送付(しました|いたしました)", "提出(しました|いたしました)", "手配(しました|いたしました)",
+        "確認(しました|いたしました|できました)", "承認(します|いたします|しました)", "了解(しました|いたしました|です)", "承知(しました|いたしました)", "手続き(を完了|しました)",
+        "申請(しました|いたしました)", "取り計らいました", "処理(しました|いたしました|完了)", "解決(しました|しております)",
+    ),
+    "rejected": ("対応(できません|不可|難しい状況)", "(お断り|辞退)(させていただきます|いたします)", "難しい(状況|です)", "キャンセル(します|いたします)", "中止(します|になりました)", "取り止め"),
+    "on_hold": ("保留(にします|とさせてください|中)", "一旦(待って|ペンディング)", "確認(中|してから)", "検討(中|します|させてください)", "持ち越し", "ペンディング"),
+    "has_new_tasks": ("追加で", "加えて", r"また(、|。|[\s\p{Z}])", r"なお(、|。|[\s\p{Z}])", "それと", "もう一点", "別途"),
+}
+
+
+def signals(c: Column, phrases=None) -> Column:
     """Struct of one boolean for each signal."""
-    return F.struct(*[c.rlike(p).alias(k) for k, p in (patterns or SIGNALS).items()])
+    return F.struct(*[c.rlike("|".join(p)).alias(k) for k, p in (phrases or SIGNALS).items()])
 
 
 def status_of(found: Column) -> Column:
     """done before cancelled before waiting; null if none."""
-    return F.when(found["done"], "done").when(found["cancelled"], "cancelled").when(found["waiting"], "waiting")
+    return F.when(found["completed"], "done").when(found["rejected"], "cancelled").when(found["on_hold"], "waiting")
 
 
 def deadline(c: Column, now: Column) -> Column:
@@ -295,8 +388,8 @@ def estimate_tokens(c: Column) -> Column:
 
 
 def estimate_message_tokens(c: Column) -> Column:
-    """2 for each CJK character, a quarter for any other, rounded down, and 4; 0 for an empty text."""
-    cjk = F.length(F.regexp_replace(c, f"[^{CJK}]", ""))
+    """2 for each wide character, a quarter for any other, rounded down, and 4; 0 for an empty text."""
+    cjk = F.length(F.regexp_replace(c, f"[^{WIDE}]", ""))
     return F.when(F.length(c) == 0, 0).otherwise(F.floor((8 * cjk + (F.length(c) - cjk)) / 4) + 4).cast("long")
 
 

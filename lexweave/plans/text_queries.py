@@ -80,16 +80,21 @@ def x8(t):
     return t.documents.select("doc_id", s["number"].alias("section_number"), s["title"].alias("section_title"))
 
 
-@query("x9_page_number", r"""
-WITH a AS (SELECT doc_id, list_filter(regexp_extract_all(text || chr(10) || (doc_id * 37 % 1500)::VARCHAR || chr(10) || '0012', '(?m)^[ \t]*(\d{1,4})[ \t]*$', 1), lambda n: n::INT BETWEEN 1 AND 999) AS n FROM documents)
-SELECT doc_id, n[1]::INT AS page_number FROM a""")
+PAGED = "concat(case when doc_id % 3 = 0 then concat('JERG-2-310A \n ', doc_id % 50, '\n') else '' end, text, '\n', doc_id * 37 % 1500, '\n0012')"
+PAGED_DUCK = "(CASE WHEN doc_id % 3 = 0 THEN 'JERG-2-310A ' || chr(10) || ' ' || (doc_id % 50)::VARCHAR || chr(10) ELSE '' END || text || chr(10) || (doc_id * 37 % 1500)::VARCHAR || chr(10) || '0012')"
+
+
+@query("x9_page_number", rf"""
+WITH a AS (SELECT doc_id, {PAGED_DUCK} AS x FROM documents),
+b AS (SELECT doc_id, try_cast(regexp_extract(x, 'JERG-\d+-\d+\w*\s*\n\s*(\d+)\s*\n', 1) AS INT) AS below, try_cast(regexp_extract(x, '(?m)^(\d{{1,4}})$', 1) AS INT) AS line FROM a)
+SELECT doc_id, coalesce(below, CASE WHEN line BETWEEN 1 AND 999 THEN line END) AS page_number FROM b""")
 def x9(t):
-    return t.documents.select("doc_id", X.page_number(F.expr("concat(text, '\n', doc_id * 37 % 1500, '\n0012')")).alias("page_number"))
+    return t.documents.select("doc_id", X.page_number(F.expr(PAGED)).alias("page_number"))
 
 
 @query("x10_brief_summary", r"""
 WITH a AS (SELECT doc_id, array_to_string(list_slice(list_filter(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), lambda l: length(l) > 5 AND NOT contains(l, '......')), 1, 3), ' ') AS j FROM documents)
-SELECT doc_id, CASE WHEN length(j) > 80 THEN substr(j, 1, 80) || '…' ELSE j END AS summary FROM a""")
+SELECT doc_id, CASE WHEN length(j) > 80 THEN substr(j, 1, 80) || '...' ELSE j END AS summary FROM a""")
 def x10(t):
     return t.documents.select("doc_id", X.brief_summary(F.col("text")).alias("summary"))
 
@@ -106,11 +111,12 @@ def x11(t):
 
 
 @query("x12_context_prefix", r"""
-WITH a AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '2.1 Purpose' || chr(10) || text ELSE text END AS x FROM documents),
-b AS (SELECT doc_id, regexp_replace(regexp_extract(substr(x, 1, 200), '(?m)^(\d+(?:\.\d+)*\.?[ \t]+\S[^\n]*)$', 1), '^\s+|\s+$', '', 'g') AS head, regexp_replace(regexp_split_to_array(substr(x, 1, 100), '[。\n.]')[1], '^\s+|\s+$', '', 'g') AS sentence FROM a)
-SELECT doc_id, CASE WHEN head <> '' THEN head ELSE sentence END AS prefix FROM b""")
+WITH a AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '2.1 Purpose of the design and of everything else that it says' || chr(10) || text WHEN 1 THEN '熱制御の設計。' || text ELSE text END AS x FROM documents),
+b AS (SELECT doc_id, regexp_extract(substr(x, 1, 200), '(?m)^(\d+(?:\.\d+)*)\s+([^\n]+?)$', ['number', 'title']) AS h, string_split(substr(x, 1, 100), '。')[1] AS sentence FROM a)
+SELECT doc_id, CASE WHEN h.number <> '' THEN 'このチャンクはセクション ' || h.number || ' 「' || substr(h.title, 1, 50) || '」に関する内容です。' ELSE 'このチャンクは「' || sentence || '」に関する内容を含みます。' END AS prefix FROM b""")
 def x12(t):
-    return t.documents.select("doc_id", X.context_prefix(F.expr("case when doc_id % 2 = 0 then concat('2.1 Purpose\n', text) else text end")).alias("prefix"))
+    x = F.expr("case doc_id % 3 when 0 then concat('2.1 Purpose of the design and of everything else that it says\n', text) when 1 then concat('熱制御の設計。', text) else text end")
+    return t.documents.select("doc_id", X.context_prefix(x).alias("prefix"))
 
 
 PLAIN = (("therefore", "so"), ("shall", "must"), (" the ", " "), ("tion", "shun"))
@@ -122,34 +128,49 @@ def x13(t):
 
 
 @query("x14_rule_keywords", r"""
-WITH a AS (SELECT doc_id, text || ' ISO 9001 and MIL-1553 at ' || (doc_id % 90)::VARCHAR || ' MHz or 3.5 V' AS x FROM documents)
-SELECT doc_id, array_to_string(list_slice(list_sort(list_distinct(list_concat(regexp_extract_all(x, '[A-Z]{2,5}[- ]\d{2,6}'), regexp_extract_all(x, '\d+(?:\.\d+)?\s*(?:℃|°C|mm|cm|kg|Hz|kHz|MHz|GHz|dB|V|A|W|Pa|N|s|%)')))), 1, 10), '|') AS keywords FROM a""")
+WITH a AS (SELECT doc_id, text || ' ISO 9001 and MIL-STD-1553B, JERG-2-310準拠 at ' || (doc_id % 90)::VARCHAR || ' MHz or 3.5V' AS x FROM documents)
+SELECT doc_id, array_to_string(list_slice(list_sort(list_distinct(list_concat(regexp_extract_all(x, '(?:JERG|JAXA|JIS|ISO|MIL|IEEE)[- ]?[\p{L}\p{N}_.-]+'), regexp_extract_all(x, '\d+(?:\.\d+)?\s*(?:km|m|kg|W|V|A|MHz|GHz|dB|°C|Pa|N)')))), 1, 10), '|') AS keywords FROM a""")
 def x14(t):
-    return t.documents.select("doc_id", F.array_join(X.rule_keywords(F.expr("concat(text, ' ISO 9001 and MIL-1553 at ', doc_id % 90, ' MHz or 3.5 V')")), "|").alias("keywords"))
+    return t.documents.select("doc_id", F.array_join(X.rule_keywords(F.expr("concat(text, ' ISO 9001 and MIL-STD-1553B, JERG-2-310準拠 at ', doc_id % 90, ' MHz or 3.5V')")), "|").alias("keywords"))
 
 
-@query("x15_short_or_brief", "SELECT doc_id, CASE WHEN length(text) < 100 THEN substr(text, 1, 50) ELSE substr(text, 1, 80) || '…' END AS summary FROM documents")
+@query("x15_short_or_brief", "SELECT doc_id, CASE WHEN length(text) < 100 THEN substr(text, 1, 50) ELSE substr(text, 1, 80) || CASE WHEN length(text) > 80 THEN '...' ELSE '' END END AS summary FROM documents")
 def x15(t):
     return t.documents.select("doc_id", X.short_or_brief(F.col("text")).alias("summary"))
 
 
-@query("x16_abbreviations", r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text || ' DTR of TCS', '\b([A-Z]{2,6})\b', 1))), ',') AS abbreviations FROM documents")
+NAMED = "concat(case when doc_id % 2 = 0 then '3.2.1 Thermal control of it\n' else '' end, text, ' DTR of TCS, JAXA and ESA: ISO ', doc_id % 11, '00-1, JIS B 8', ', JERG-2-310-HB1, MIL-STD-1553B。「熱制御」とは、温度を保つことをいう。')"
+NAMED_DUCK = "(CASE WHEN doc_id % 2 = 0 THEN '3.2.1 Thermal control of it' || chr(10) ELSE '' END || text || ' DTR of TCS, JAXA and ESA: ISO ' || (doc_id % 11)::VARCHAR || '00-1, JIS B 8' || ', JERG-2-310-HB1, MIL-STD-1553B。「熱制御」とは、温度を保つことをいう。')"
+
+
+@query("x16_entities", rf"""
+WITH a AS (SELECT doc_id, {NAMED_DUCK} AS x FROM documents)
+SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(x, 'JAXA|宇宙航空研究開発機構') || regexp_extract_all(x, 'NASA|ESA|CNES|DLR') || regexp_extract_all(x, 'ISO\s*\d+|JIS\s*[A-Z]\s*\d+'))), '|') AS organizations,
+ array_to_string(list_sort(list_distinct(regexp_extract_all(x, 'JERG-\d{{1,2}}-\d{{3}}(?:-[A-Z]+\d+)?') || regexp_extract_all(x, 'MIL-(?:STD|SPEC)-\d+[A-Z]?') || regexp_extract_all(x, 'ECSS-[A-Z]-[A-Z]{{2}}-\d+') || regexp_extract_all(x, 'ISO\s*\d+(?:-\d+)?'))), '|') AS regulations,
+ array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(x, '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z]{{2,}}')))), '|') AS abbreviations,
+ array_to_string(list_transform(regexp_extract_all(x, '「[^\n]{{2,20}}」[はとも]?(?:、|　|\s)*[^\n]{{5,80}}?(?:という|と定義|をいう|である)'), lambda d: regexp_extract(d, '「([^\n]{{2,20}})」', 1) || '=' || regexp_extract(d, '「[^\n]{{2,20}}」[はとも]?(?:、|　|\s)*([^\n]{{5,80}}?)(?:という|と定義|をいう|である)', 1)), '|') AS defined_terms FROM a""")
 def x16(t):
-    return t.documents.select("doc_id", F.array_join(X.abbreviations(F.concat("text", F.lit(" DTR of TCS"))), ",").alias("abbreviations"))
+    e = F.col("e")
+    rows = t.documents.select("doc_id", X.entities(F.expr(NAMED)).alias("e"))
+    joined = [F.array_join(e[k], "|").alias(k) for k in ("organizations", "regulations", "abbreviations")]
+    return rows.select("doc_id", *joined, F.array_join(F.transform(e["defined_terms"], lambda d: F.concat(d["term"], F.lit("="), d["definition"])), "|").alias("defined_terms"))
 
 
-@query("x17_entities", r"""
-WITH a AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text || ' DTR of ISO ' || (doc_id % 11)::VARCHAR || '00', '\b([A-Z]{2,6}(?: \d+)?)\b', 1))) AS name FROM documents)
-SELECT substr(md5(lower(name)), 1, 12) AS entity_id, min(name) AS name, count(*) AS n_docs FROM a GROUP BY 1""")
+@query("x17_named_entities", rf"""
+WITH a AS (SELECT doc_id, {NAMED_DUCK} AS x FROM documents),
+e AS (SELECT doc_id, 'CONCEPT' AS type, unnest(list_transform(regexp_extract_all(substr(x, 1, 500), '\d+(?:\.\d+)+\s+[^\n。]{{5,40}}'), lambda h: regexp_extract(h, '^\d+(?:\.\d+)+') || ' ' || regexp_replace(regexp_replace(h, '^\d+(?:\.\d+)+', ''), '^\s+|\s+$', '', 'g'))) AS name FROM a
+ UNION ALL SELECT doc_id, 'STANDARD', unnest(regexp_extract_all(x, '(?:JERG|JAXA|JIS|ISO|MIL|IEEE)[- ]?[\p{{L}}\p{{N}}_.-]+')) FROM a)
+SELECT substr(md5(lower(name)), 1, 12) AS entity_id, type, min(CASE type WHEN 'CONCEPT' THEN 'セクション: ' ELSE '規格文書: ' END || name) AS description, count(*) AS mentions, count(DISTINCT doc_id) AS n_docs FROM e GROUP BY 1, 2""")
 def x17(t):
-    names = F.array_distinct(F.regexp_extract_all(F.expr("concat(text, ' DTR of ISO ', doc_id % 11, '00')"), F.lit(r"(?<![A-Za-z0-9_])([A-Z]{2,6}(?: \d+)?)(?![A-Za-z0-9_])"), F.lit(1)))
-    rows = t.documents.select("doc_id", F.explode(names).alias("name"))
-    return rows.groupBy(X.entity_id(F.col("name")).alias("entity_id")).agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("n_docs"))
+    rows = t.documents.select("doc_id", F.explode(X.named_entities(F.expr(NAMED))).alias("e")).select("doc_id", "e.*")
+    # one row for each document first, so a name that all documents hold is counted in parts
+    own = rows.groupBy("doc_id", F.col("id").alias("entity_id"), "type").agg(F.min("description").alias("description"), F.count(F.lit(1)).alias("n"))
+    return own.groupBy("entity_id", "type").agg(F.min("description").alias("description"), F.sum("n").alias("mentions"), F.count(F.lit(1)).alias("n_docs"))
 
 
-@query("x18_language_flag", "SELECT doc_id, CASE WHEN length(x) > 0 AND length(regexp_replace(x, '[^぀-鿿]', '', 'g')) / length(x) > 0.1 THEN 'ja' ELSE 'en' END AS language FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN substr(text, 1, 50) || '熱制御系の温度設計' ELSE text END AS x FROM documents)")
+@query("x18_language_flag", "SELECT doc_id, CASE WHEN length(x) > 0 AND length(regexp_replace(x, '[^぀-鿿]', '', 'g')) / length(x) > 0.1 THEN 'ja' ELSE 'en' END AS language FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text || repeat('熱制御系の温度設計', length(text) // 40 + 1) ELSE text END AS x FROM documents)")
 def x18(t):
-    return t.documents.select("doc_id", X.language_flag(F.expr("case when doc_id % 4 = 0 then concat(substr(text, 1, 50), '熱制御系の温度設計') else text end")).alias("language"))
+    return t.documents.select("doc_id", X.language_flag(F.expr("case when doc_id % 4 = 0 then concat(text, repeat('熱制御系の温度設計', cast(length(text) div 40 + 1 as int))) else text end")).alias("language"))
 
 
 @query("x19_tidy", r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text || '   x' || repeat(chr(10), 5) || 'y  ', '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS tidy_md5 FROM documents")
@@ -167,17 +188,16 @@ def x21(t):
     return t.documents.select("doc_id", X.fingerprint(F.col("text")).alias("fingerprint"), X.dedup_key(F.col("text")).alias("dedup_key"))
 
 
-NAMES = "['plan_v3.2.pdf', 'plan_rev2_20240115.docx', 'permit_2024-03-01.pdf', '誓約書_最終.pdf', 'note(2).xlsx', '通知書_第3版.docx', 'note.pdf']"
+NAMES = "['planV3.2.pdf', 'plan_rev2_20240115.docx', 'Rev.4-v2.pdf', 'permit_2024-03-01.pdf', '誓約書_最終.pdf', 'draft-final.docx', '計画_確定_v.pdf', 'note(2).xlsx', 'note_2.1.pdf', '通知書_第3版.docx', '規程第12改定.doc', 'note.pdf', 'plan_20240115.pdf']"
 
 
 @query("x22_version_mark", rf"""
-WITH n AS (SELECT p_partkey, ({NAMES})[(p_partkey % 7 + 1)::INT] AS f FROM part)
-SELECT p_partkey, CASE WHEN regexp_extract(f, '(?i)(?:^|[^a-z])v(\d+(?:\.\d+)*)', 1) <> '' THEN 'v' || regexp_extract(f, '(?i)(?:^|[^a-z])v(\d+(?:\.\d+)*)', 1)
- WHEN regexp_extract(f, '(?i)[_\s-]?rev(\d+(?:\.\d+)*)', 1) <> '' THEN 'rev' || regexp_extract(f, '(?i)[_\s-]?rev(\d+(?:\.\d+)*)', 1)
- WHEN regexp_extract(f, '第(\d+)版', 1) <> '' THEN '第' || regexp_extract(f, '第(\d+)版', 1) || '版' WHEN regexp_extract(f, '(\d{{4}}-\d{{2}}-\d{{2}})', 1) <> '' THEN regexp_extract(f, '(\d{{4}}-\d{{2}}-\d{{2}})', 1)
- WHEN regexp_extract(f, '(最終|final)', 1) <> '' THEN regexp_extract(f, '(最終|final)', 1) WHEN regexp_extract(f, '\((\d+)\)', 1) <> '' THEN regexp_extract(f, '\((\d+)\)', 1) ELSE '1.0' END AS version FROM n""")
+WITH n AS (SELECT p_partkey, regexp_replace(({NAMES})[(p_partkey % 13 + 1)::INT], '\.[^.]+$', '') AS f FROM part)
+SELECT p_partkey, CASE WHEN regexp_matches(f, '(?i)rev\.?\d') THEN 'rev' || regexp_extract(f, '(?i)rev\.?(\d+)', 1) WHEN regexp_matches(f, '[vV]\d') THEN 'v' || regexp_extract(f, '[vV](\d+(?:\.\d+)*)', 1)
+ WHEN regexp_matches(f, '第\d+[版改]') THEN '第' || regexp_extract(f, '第(\d+)[版改]', 1) || '版' WHEN regexp_matches(f, '[_\-](最終|final|確定|FINAL)') THEN '最終'
+ WHEN regexp_matches(f, '\d{{4}}[-_]\d{{2}}[-_]\d{{2}}') THEN regexp_extract(f, '\d{{4}}[-_]\d{{2}}[-_]\d{{2}}') WHEN regexp_matches(f, '[_\-\(]\d{{1,3}}[_\-\).]') THEN regexp_extract(f, '[_\-\(](\d{{1,3}})[_\-\).]', 1) ELSE '1.0' END AS version FROM n""")
 def x22(t):
-    name = F.expr(f"element_at(array({NAMES[1:-1]}), cast(p_partkey % 7 + 1 as int))")
+    name = F.expr(f"element_at(array({NAMES[1:-1]}), cast(p_partkey % 13 + 1 as int))")
     return t.part.select("p_partkey", X.version_mark(name).alias("version"))
 
 
@@ -208,12 +228,36 @@ def x26(t):
     return t.pages.select("page_id", F.md5(X.html_text(F.col("html"))).alias("text_md5"))
 
 
-@query("x28_body_without_quote", r"""
-SELECT conv_id, turn, md5(regexp_replace(regexp_split_to_array(x, '(?:\n>+ ?)|(?:\n-{3,} ?Original Message ?-{3,})|(?:\nOn [^\n]+ wrote:)|(?:\n-{5,})|(?:\n_{5,})|(?:\nFrom: )|(?:\n差出人: )|(?:\n\d{4}年\d{1,2}月\d{1,2}日[^\n]*:)')[1], '^\s+|\s+$', '', 'g')) AS body_md5
-FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text || chr(10) || '> quoted' WHEN 1 THEN text || chr(10) || 'On Monday A wrote:' || chr(10) || 'x' ELSE text END AS x FROM conversations)""")
+MARKDOWN_SQL = r"SELECT page_id, md5(regexp_replace(regexp_replace(x, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS markdown_md5 FROM x"
+
+
+def _markdown_sql() -> str:
+    """The rules one after the other as SQL."""
+    quote = lambda v: "'" + v.replace("'", "''") + "'"
+    x = "html"
+    for pattern, to in X.MARKDOWN_RULES:
+        x = f"regexp_replace({x}, {quote(pattern)}, {quote(to.replace('$', chr(92)))}, 'g')"
+    for entity, char in X.MARKDOWN_ENTITIES:
+        x = f"replace({x}, {quote(entity)}, {quote(char)})"
+    return f"WITH x AS (SELECT page_id, {x} AS x FROM pages) {MARKDOWN_SQL}"
+
+
+@query("x26_html_markdown", _markdown_sql())
+def x26m(t):
+    return t.pages.select("page_id", F.md5(X.html_markdown(F.col("html"))).alias("markdown_md5"))
+
+
+QUOTED = "case turn % 8 when 0 then concat(text, '\n> quoted\nmore') when 1 then concat(text, '\nOn Monday A wrote:\nx') when 2 then concat('> first\n', text) when 3 then concat(text, '\n--- ORIGINAL message ----\nx') when 4 then concat(text, '\n-- \nA. Writer') when 5 then concat(text, '\n転送メッセージです\nx') when 6 then concat(text, '\n2024/01/31 Aのメッセージ:\nx\n___') else text end"
+QUOTED_DUCK = QUOTED.replace("concat(", "(").replace(", '", " || '").replace("', text)", "' || text)")
+
+
+@query("x28_split_quote", rf"""
+WITH c AS (SELECT conv_id, turn, {QUOTED_DUCK} AS x FROM conversations),
+b AS (SELECT *, regexp_split_to_array(x, '(?m)(?:^>[^\n]*$)|(?:^On [^\n]+ wrote:$)|(?:^-{{3,}}[^\n]*(?i:Original Message)[^\n]*-{{3,}}$)|(?:^_{{3,}}$)|(?:^[^\n]*転送メッセージ[^\n]*$)|(?:^\d{{4}}/\d{{2}}/\d{{2}}[^\n]+のメッセージ:$)|(?:^----[^\n]*メッセージ[^\n]*----$)|(?:^-{{2,}}\s*$)')[1] AS before FROM c)
+SELECT conv_id, turn, md5(regexp_replace(before, '^\s+|\s+$', '', 'g')) AS body_md5, md5(regexp_replace(substr(x, length(before) + 1), '^\s+|\s+$', '', 'g')) AS quoted_md5 FROM b""")
 def x28(t):
-    x = F.expr("case turn % 3 when 0 then concat(text, '\n> quoted') when 1 then concat(text, '\nOn Monday A wrote:\nx') else text end")
-    return t.conversations.select("conv_id", "turn", F.md5(X.body_without_quote(x)).alias("body_md5"))
+    rows = t.conversations.select("conv_id", "turn", X.split_quote(F.expr(QUOTED)).alias("s"))
+    return rows.select("conv_id", "turn", F.md5("s.body").alias("body_md5"), F.md5("s.quoted").alias("quoted_md5"))
 
 
 @query("x30_address", r"SELECT c_custkey, c_name AS name, lower(c_name || '@Mail.example') AS address FROM customer")
@@ -222,16 +266,17 @@ def x30(t):
     return t.customer.select("c_custkey", a["name"].alias("name"), a["address"].alias("address"))
 
 
-SIGNAL_TEXT = "concat(text, element_at(array(' done', ' please cancel', ' waiting for it', ' why?', ''), cast((conv_id + turn) % 5 + 1 as int)))"
-SIGNAL_DUCK = "(text || ([' done', ' please cancel', ' waiting for it', ' why?', ''])[((conv_id + turn) % 5 + 1)::INT])"
+SAID = "'手配しました', '確認しました', '確認中です', '対応できません', '難しい状況です', '一旦待ってください', '追加でお願いします', 'また、よろしく', '保留中', ''"
 
 
 @query("x31_status_signals", rf"""
-WITH s AS (SELECT conv_id, turn, regexp_matches(x, '(?i)\b(?:done|finished|completed|fixed|resolved)\b|完了|対応済|終わりました') AS done, regexp_matches(x, '(?i)\b(?:cancel|cancelled|abort|no longer needed)\b|中止|キャンセル') AS cancelled,
- regexp_matches(x, '(?i)\b(?:waiting|pending|on hold|blocked)\b|待ち|保留') AS waiting, regexp_matches(x, '(?i)\?|確認|教えて') AS question FROM (SELECT conv_id, turn, {SIGNAL_DUCK} AS x FROM conversations))
-SELECT *, CASE WHEN done THEN 'done' WHEN cancelled THEN 'cancelled' WHEN waiting THEN 'waiting' END AS status FROM s""")
+WITH x AS (SELECT conv_id, turn, text || ([{SAID}])[((conv_id + 3 * turn) % 10 + 1)::INT] AS x FROM conversations),
+s AS (SELECT conv_id, turn, regexp_matches(x, '{"|".join(X.SIGNALS["completed"])}') AS completed, regexp_matches(x, '{"|".join(X.SIGNALS["rejected"])}') AS rejected,
+ regexp_matches(x, '{"|".join(X.SIGNALS["on_hold"])}') AS on_hold, regexp_matches(x, '{"|".join(X.SIGNALS["has_new_tasks"])}') AS has_new_tasks FROM x)
+SELECT *, CASE WHEN completed THEN 'done' WHEN rejected THEN 'cancelled' WHEN on_hold THEN 'waiting' END AS status FROM s""")
 def x31(t):
-    rows = t.conversations.select("conv_id", "turn", X.signals(F.expr(SIGNAL_TEXT)).alias("s"))
+    said = F.expr(f"concat(text, element_at(array({SAID}), cast((conv_id + 3 * turn) % 10 + 1 as int)))")
+    rows = t.conversations.select("conv_id", "turn", X.signals(said).alias("s"))
     return rows.select("conv_id", "turn", "s.*", X.status_of(F.col("s")).alias("status"))
 
 
@@ -248,9 +293,9 @@ def x32(t):
 
 @query("x34_token_estimates", r"""
 SELECT doc_id, ((15 * (length(x) - length(regexp_replace(x, '[^\x00-\x7f]', '', 'g'))) + 3 * length(regexp_replace(x, '[^\x00-\x7f]', '', 'g'))) // 10)::BIGINT AS tokens,
- (CASE WHEN length(x) = 0 THEN 0 ELSE (8 * length(regexp_replace(x, '[^぀-鿿]', '', 'g')) + length(x) - length(regexp_replace(x, '[^぀-鿿]', '', 'g'))) // 4 + 4 END)::BIGINT AS message_tokens FROM (SELECT doc_id, text || '熱制御' AS x FROM documents)""")
+ (CASE WHEN length(x) = 0 THEN 0 ELSE (8 * length(regexp_replace(x, '[^　-鿿＀-￯]', '', 'g')) + length(x) - length(regexp_replace(x, '[^　-鿿＀-￯]', '', 'g'))) // 4 + 4 END)::BIGINT AS message_tokens FROM (SELECT doc_id, text || '熱制御。ＴＣＳ' AS x FROM documents)""")
 def x34(t):
-    x = F.concat("text", F.lit("熱制御"))
+    x = F.concat("text", F.lit("熱制御。ＴＣＳ"))
     return t.documents.select("doc_id", X.estimate_tokens(x).alias("tokens"), X.estimate_message_tokens(x).alias("message_tokens"))
 
 
@@ -272,14 +317,14 @@ def x36(t):
     return t.benchmark.select("item_id", X.alpaca(i, p, o).alias("a"), m.alias("messages"), X.turn_text(i, p, o).alias("turns")).select("item_id", "a.*", "messages", "turns")
 
 
-@query("x37_subject", "SELECT conv_id, turn, regexp_replace(substr(text, 1, 30), '^\\s+|\\s+$', '', 'g') AS subject FROM conversations")
+@query("x37_subject", "SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS subject FROM conversations")
 def x37(t):
-    return t.conversations.select("conv_id", "turn", X.subject(F.expr("concat(element_at(array('Re: ', 'FW:', 'Fwd:  ', '転送：'), cast(turn % 4 + 1 as int)), substr(text, 1, 30))")).alias("subject"))
+    return t.conversations.select("conv_id", "turn", X.subject(F.expr("concat(element_at(array('Re: ', 'FW:', 'Fwd:  ', '転送：'), cast(turn % 4 + 1 as int)), text)")).alias("subject"))
 
 
 @query("x38_searchable", """
-SELECT doc_id, md5(array_to_string(list_filter(['[' || source || ']', CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 40) ELSE text END, lang || ' ' || source, CASE WHEN doc_id % 3 = 0 THEN 'sum' ELSE '' END], lambda x: x <> ''), chr(10))) AS searchable_md5 FROM documents""")
+SELECT doc_id, md5(array_to_string(list_filter(['[' || source || ']', CASE WHEN doc_id % 2 = 0 THEN 'Plainly: ' || text ELSE text END, lang || ' ' || source, CASE WHEN doc_id % 3 = 0 THEN 'sum' ELSE '' END], lambda x: x <> ''), chr(10))) AS searchable_md5 FROM documents""")
 def x38(t):
-    plain = F.expr("case when doc_id % 2 = 0 then substr(text, 1, 40) else '\n\n' end")
+    plain = F.expr("case when doc_id % 2 = 0 then concat('Plainly: ', text) else '\n\n' end")
     s = X.searchable(F.col("source"), plain, F.col("text"), F.array("lang", "source"), F.expr("case when doc_id % 3 = 0 then 'sum' else '' end"))
     return t.documents.select("doc_id", F.md5(s).alias("searchable_md5"))

@@ -85,11 +85,65 @@ def test_ids(spark):
     assert one(spark, X.dedup_key(F.lit(" A  b\n"))) == "b5cf57e329bd2a219a57cd31692c2d69"
 
 
-@pytest.mark.parametrize("name, want", [("マニフェストv3.pdf", "v3"), ("申請書_rev2_20240115.docx", "rev2"), ("許可証_2024-03-01.pdf", "2024-03-01"), ("誓約書_最終.pdf", "最終"), ("内部稟議書(2).xlsx", "2"), ("受領通知書_第3版.docx", "第3版"), ("稟議書.pdf", "1.0")])
+VERSIONS = [
+    ("マニフェストv3.pdf", "v3"), ("申請書_rev2_20240115.docx", "rev2"), ("許可証_2024-03-01.pdf", "2024-03-01"), ("誓約書_最終.pdf", "最終"), ("内部稟議書(2).xlsx", "2"), ("受領通知書_第3版.docx", "第3版"), ("稟議書.pdf", "1.0"),
+    ("plan-final.docx", "最終"), ("計画_確定.pdf", "最終"), ("Rev.4_v2.pdf", "rev4"), ("規程第12改定.doc", "第12版"), ("plan_20240115.pdf", "1.0"), ("note_2.1.pdf", "2"), ("final.pdf", "1.0"), ("dir.v2/plan.pdf", "1.0"), ("2024_03_01", "2024_03_01"),
+]
+
+
+@pytest.mark.parametrize("name, want", VERSIONS)
 def test_version_mark(spark, name, want):
     assert one(spark, X.version_mark(F.col("x")), x=name) == want
 
 
+@pytest.mark.parametrize("x, body, quoted", [
+    ("> a\nb", "", "> a\nb"), ("よろしく\n\n> a", "よろしく", "> a"), ("a\n--\nA. Writer", "a", "--\nA. Writer"), ("a\n-----Original message-----\nb", "a", "-----Original message-----\nb"),
+    ("a\n__\nb", "a\n__\nb", ""), ("a\n___\nb", "a", "___\nb"), ("a On Monday wrote:", "a On Monday wrote:", ""), ("a\nOn Monday B wrote:\n", "a", "On Monday B wrote:"), ("a\nFw: 転送メッセージ x", "a", "Fw: 転送メッセージ x"),
+    ("a\n2024/01/02 10:00 Bのメッセージ:\nb", "a", "2024/01/02 10:00 Bのメッセージ:\nb"), ("no quote", "no quote", ""),
+])
+def test_split_quote(spark, x, body, quoted):
+    assert tuple(one(spark, X.split_quote(F.col("x")), x=x)) == (body, quoted)
+
+
+@pytest.mark.parametrize("x, want, status", [
+    ("手配いたしました。また、来週確認します。", (True, False, False, True), "done"), ("確認しました", (True, False, False, False), "done"), ("確認中です", (False, False, True, False), "waiting"),
+    ("対応できません。検討中", (False, True, True, False), "cancelled"), ("確認をお願いします?", (False, False, False, False), None),
+])
+def test_status_signals(spark, x, want, status):
+    found = X.signals(F.col("x"))
+    assert tuple(one(spark, found, x=x)) == want and one(spark, X.status_of(found), x=x) == status
+
+
+def test_entities(spark):
+    e = one(spark, X.entities(F.col("x")), x="JAXAのNASA, ESA: TCS A1 AB_C ISO 9001-2 JIS B 8265。「熱制御」とは、温度を保つことをいう。 MIL-STD-1553B ECSS-E-ST-31 JERG-2-310-HB3")
+    assert e["organizations"] == ["ESA", "ISO 9001", "JAXA", "JIS B 8265", "NASA"] and e["abbreviations"] == ["ECSS", "ESA", "ISO", "JERG", "JIS", "MIL", "ST", "STD", "TCS"]
+    assert e["regulations"] == ["ECSS-E-ST-31", "ISO 9001-2", "JERG-2-310-HB3", "MIL-STD-1553B"] and [tuple(d) for d in e["defined_terms"]] == [("熱制御", "は、温度を保つこと")]
+    named = one(spark, X.named_entities(F.col("x")), x="3.2.1　熱制御の設計 \nと JERG-2-310準拠 ISO9001。" + "x" * 500 + " 4.1 見出しではない")
+    assert [(n["type"], n["name"], n["description"]) for n in named] == [("CONCEPT", "3.2.1 熱制御の設計", "セクション: 3.2.1 熱制御の設計"), ("STANDARD", "JERG-2-310準拠", "規格文書: JERG-2-310準拠"), ("STANDARD", "ISO9001", "規格文書: ISO9001")]
+
+
+@pytest.mark.parametrize("x, want", [("JERG-2-310A\n 24 \nx\n7\n", 24), ("a\n12\nb", 12), ("a\n1200\n7\n", None), (" 12\n", None), ("a", None), ("x\n0", None), ("JERG-2-310\n２４\n", 24)])
+def test_page_number(spark, x, want):
+    assert one(spark, X.page_number(F.col("x")), x=x) == want
+
+
+def test_context_and_summaries(spark):
+    f = lambda c, x: one(spark, c(F.col("x")), x=x)
+    assert f(X.context_prefix, "序\n3.1 熱制御\n本文") == "このチャンクはセクション 3.1 「熱制御」に関する内容です。"
+    assert f(X.context_prefix, "温度を保つ。次の文") == "このチャンクは「温度を保つ」に関する内容を含みます。"
+    assert f(X.brief_summary, "x" * 90) == "x" * 80 + "..." and f(X.brief_summary, "abcdef\nab\nghijkl ......\nmnopqr") == "abcdef mnopqr"
+    assert f(X.short_or_brief, "y" * 99) == "y" * 50 and f(X.short_or_brief, "y" * 100) == "y" * 80 + "..."
+    assert f(X.rule_keywords, "ISO9001準拠の 5 kg と 3.5V、90 MHz、12 cm、MIL STD") == ["3.5V", "5 kg", "90 MHz", "ISO9001準拠の", "MIL STD"]
+    assert f(X.session_title, " 熱\n制御 ") == "熱 制御" and f(X.session_title, "z" * 51) == "z" * 50 + "..."
+    assert one(spark, X.session_title(F.lit(None).cast("string"))) == "無題セッション"
+    assert f(X.estimate_message_tokens, "。ＴＣＳ") == 12 and f(X.estimate_message_tokens, "é") == 4
+
+
+def test_html_markdown(spark):
+    html = "<html><style>a{}</style><h1 class='x'>T</h1><p>a <b>b</b> <em>c</em> <a href=\"u\">l</a></p><ul><li>i</li></ul><pre><code>x</code></pre><br/>&lt;&quot;&#39;&nbsp;&amp;"
+    assert one(spark, X.html_markdown(F.col("x")), x=html) == "# T\na **b** *c* [l](u)\n- i```\n`x`\n```\n<\"' &"
+
+
 @pytest.mark.parametrize("x, want", [("3月15日まで", "2024-03-15 00:00"), ("3月1日", "2025-03-01 00:00"), ("明日", "2024-03-14 17:00"), ("今週中", "2024-03-15 17:00"), ("来週金曜", "2024-03-22 17:00"), ("月末", "2024-03-31 17:00"), ("来月末", "2024-04-30 17:00"), ("3日以内", "2024-03-16 10:00"), ("2024年5月6日", "2024-05-06 00:00")])
 def test_deadline(spark, x, want):
     now = F.lit("2024-03-13 10:00:00").cast("timestamp_ntz")
