@@ -9,30 +9,48 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _lines(old: pd.Series, new: pd.Series):
-    return ((a.splitlines(), b.splitlines()) for a, b in zip(old.fillna(""), new.fillna(""), strict=True))
+# Words of a summary, and the names of the two versions.
+ADDED, REMOVED, CHANGED, SAME, ALIKE = "追加 {} 行", "削除 {} 行", "[変更] 旧: {} → 新: {}", "変更なし", "類似度 {:.1%}"
+MAIN_CHANGES, FURTHER = "主な変更点:", "... 他 {} 件"
+OLD, NEW = "旧バージョン", "新バージョン"
+
+
+def differences(old: str, new: str, shown: int = 5, lines: int = 2) -> dict:
+    """added, removed and replaced lines, the share of matching lines and a summary, by the longest matching blocks.
+
+    Blocks are those of the standard library's matcher with its rule for very
+    frequent lines; its time may grow with the square of the lines.
+    """
+    x, y = old.splitlines(), new.splitlines()
+    matcher = difflib.SequenceMatcher(None, x, y)
+    spans = [(op, x[a:b], y[c:d]) for op, a, b, c, d in matcher.get_opcodes() if op != "equal"]
+    out = {"added": [v for _, _, n in spans for v in n], "removed": [v for _, o, _ in spans for v in o], "changed": [CHANGED.format(" / ".join(o[:lines]), " / ".join(n[:lines])) for op, o, n in spans if op == "replace"], "ratio": matcher.ratio()}
+    told = [text.format(len(out[k])) for k, text in (("added", ADDED), ("removed", REMOVED)) if out[k]] or [SAME]
+    summary = [" / ".join([*told, ALIKE.format(out["ratio"])])]
+    if out["changed"]:
+        summary += [MAIN_CHANGES, *out["changed"][:shown]]
+    if len(out["changed"]) > shown:
+        summary.append(FURTHER.format(len(out["changed"]) - shown))
+    return out | {"summary": "\n".join(summary)}
 
 
 def line_diff(old: Column, new: Column) -> Column:
-    """Struct of lines added, removed and changed, and the share of matching lines; null is the empty text."""
+    """Struct of lines added, removed and changed, the share of matching lines and a summary; null is the empty text."""
 
-    @F.pandas_udf("struct<added:int,removed:int,changed:int,ratio:double>")
+    @F.pandas_udf("struct<added:array<string>,removed:array<string>,changed:array<string>,ratio:double,summary:string>")
     def run(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-        out = []
-        for x, y in _lines(old, new):
-            m = difflib.SequenceMatcher(None, x, y, autojunk=False)
-            spans = [(op, j - i, n - k) for op, i, j, k, n in m.get_opcodes()]
-            total = lambda op, f: sum(f(a, b) for o, a, b in spans if o == op)
-            out.append((total("insert", lambda a, b: b), total("delete", lambda a, b: a), total("replace", max), m.ratio()))
-        return pd.DataFrame(out, columns=["added", "removed", "changed", "ratio"])
+        return pd.DataFrame([differences(a, b) for a, b in zip(old.fillna(""), new.fillna(""), strict=True)], columns=["added", "removed", "changed", "ratio", "summary"])
 
     return run(old, new)
 
 
-def unified_diff(old: Column, new: Column) -> Column:
+def unified_diff(old: Column, new: Column, context: int = 3) -> Column:
+    """The differences as a patch with so many lines around each; line ends are kept."""
+
     @F.pandas_udf("string")
     def run(old: pd.Series, new: pd.Series) -> pd.Series:
-        return pd.Series(["\n".join(difflib.unified_diff(x, y, "old", "new", lineterm="")) for x, y in _lines(old, new)])
+        texts = ((a.splitlines(keepends=True), b.splitlines(keepends=True)) for a, b in zip(old.fillna(""), new.fillna(""), strict=True))
+        return pd.Series(["".join(difflib.unified_diff(a, b, OLD, NEW, n=context)) for a, b in texts])
 
     return run(old, new)
 

@@ -78,8 +78,8 @@ def detect_domains(queries: DataFrame, domains: DataFrame, glossary: DataFrame |
 
 
 def route(queries: DataFrame, rules: DataFrame, default: str, key: str = "query_id") -> DataFrame:
-    """(key, role, confidence): the role with the largest weight of matching patterns (role, pattern, weight), ties by role."""
-    hits = queries.crossJoin(small(rules)).filter(F.regexp_like("text", F.col("pattern"))).groupBy(key, "role").agg(F.sum("weight").alias("w"))
+    """(key, role, confidence): the role with the largest weight of patterns (role, pattern, weight) that match whatever the case, ties by role."""
+    hits = queries.crossJoin(small(rules)).filter(F.regexp_like(F.lower("text"), F.concat(F.lit("(?i)"), F.col("pattern")))).groupBy(key, "role").agg(F.sum("weight").alias("w"))
     w = Window.partitionBy(key).orderBy(F.desc("w"), "role")
     best = hits.withColumn("k", F.row_number().over(w)).groupBy(key).agg(F.max(F.when(F.col("k") == 1, F.col("role"))).alias("role"), F.max(F.when(F.col("k") == 1, F.col("w"))).alias("a"), F.coalesce(F.max(F.when(F.col("k") == 2, F.col("w"))), F.lit(0.0)).alias("b"))
     rows = queries.join(best, key, "left")

@@ -13,9 +13,10 @@ from .dimension import small
 
 
 def latest(log: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The last row of each key in the given order: an upsert of an event log."""
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return log.withColumn("__k", F.row_number().over(w)).filter("__k = 1").drop("__k")
+    """The last row of each key in the given order: an upsert of an event log; partly aggregated before the exchange."""
+    rows = log.withColumn("__row", F.struct(*log.columns))
+    last = rows.groupBy(*keys).agg(F.max_by("__row", F.struct(*order)).alias("__row"))
+    return last.select("__row.*")
 
 
 def like_any(columns: list[str], text: str) -> Column:
@@ -66,19 +67,25 @@ def completion(status: Column) -> Column:
     return F.coalesce(F.avg(F.when(status == "done", 1.0).otherwise(0.0)), F.lit(0.0))
 
 
-def alerts(tasks: DataFrame, as_of: Column, task: str = "task_id") -> DataFrame:
-    """(task, kind, level) of four rules in one pass over the tasks; needs status, due and updated."""
-    days = F.date_diff("due", as_of)
-    idle = F.date_diff(as_of, F.col("updated"))
-    open_ = F.col("status") != "done"
+def alerts(tasks: DataFrame, as_of: Column, task: str = "task_id", soon: int = 3, idle: int = 7) -> DataFrame:
+    """(task, kind, level, days) of four rules; needs refreshed status, due, updated and depends_on.
+
+    critical: overdue; else warning: due within ``soon`` days, or past on hold;
+    warning: doing, but not updated for more than ``idle`` days; info: blocked
+    and not on hold.  Done tasks have none.  days are those that the kind is
+    about: until the due date, or since the update.
+    """
+    days, since = F.date_diff("due", as_of), F.date_diff(as_of, F.col("updated"))
+    late = F.col("status") == "overdue"
     rules = (
-        (open_ & (days < 0), "overdue", "critical"),
-        (open_ & days.between(0, 3), "due_soon", "warning"),
-        ((F.col("status") == "doing") & (idle > 7), "stale", "warning"),
-        (open_ & F.col("due").isNull(), "no_due_date", "info"),
+        (late, "overdue", "critical", F.abs(days)),
+        (~late & (days <= soon), "due_soon", "warning", days),
+        ((F.col("status") == "doing") & (since > idle), "stale", "warning", since),
+        (F.col("__blocked") & (F.col("status") != "hold"), "blocked", "info", F.lit(None).cast("int")),
     )
-    found = F.filter(F.array(*[F.when(c, F.struct(F.lit(k).alias("kind"), F.lit(v).alias("level"))) for c, k, v in rules]), lambda x: x.isNotNull())
-    return tasks.select(task, F.explode(found).alias("a")).select(task, "a.*")
+    rows = tasks.filter("status <> 'done'").join(blocked(tasks, task).withColumn("__blocked", F.lit(True)), task, "left").withColumn("__blocked", F.coalesce("__blocked", F.lit(False)))
+    found = F.filter(F.array(*[F.when(c, F.struct(F.lit(k).alias("kind"), F.lit(v).alias("level"), d.alias("days"))) for c, k, v, d in rules]), lambda x: x.isNotNull())
+    return rows.select(task, F.explode(found).alias("a")).select(task, "a.*")
 
 
 def gantt(tasks: DataFrame, start: Column, weeks: int, task: str = "task_id") -> DataFrame:

@@ -7,6 +7,7 @@ over sections are set-based.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -15,9 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..batches import bounded_batches
+
 SIZE, OVERLAP = 800, 100
 #: Boundaries that a piece of a long text prefers, best first.
 BOUNDARIES = ("。\n", "。", "\n", "、")
+#: Characters in an output batch, about.
+BATCH_CHARS = 1 << 20
 
 
 def greedy_chunks(text: str, size: int = SIZE, overlap: int = OVERLAP, ends: str = "。\n") -> Iterator[str]:
@@ -34,70 +39,137 @@ def greedy_chunks(text: str, size: int = SIZE, overlap: int = OVERLAP, ends: str
         yield held.strip()
 
 
-def paragraph_chunks(text: str, size: int = SIZE, overlap: int = 128, least: int = 50) -> Iterator[str]:
-    """Paragraphs gathered up to ``size``; a paragraph of over twice that is cut at sentence ends first."""
+# First lines that are headings, noise lines, and the characters that make a text Japanese.
+HEADING_STARTS = (r"(\d+\.)+\d*\s+\S", r"第\d+[章節]\s+\S", r"(?i:SECTION|CHAPTER|APPENDIX)\s+\d", r"\d+\.\d+\s+[A-Z]", r"#{1,4}\s+\S")
+PAGE_LINE = r"(?m)^\s*-?\s*\d+\s*-?\s*$"
+RUNNING_HEAD = r"(?m)^(JAXA|NASA|ESA)\s+(技術参照文書|Technical Report)\s*$"
+JAPANESE = "[\u3040-\u9fff]"
+_HEADING = re.compile("|".join(HEADING_STARTS))
+
+
+def _gathered(parts, size: int) -> Iterator[str]:
+    """Parts laid end to end as long as they stay within the size."""
+    held: list[str] = []
+    length = 0
+    for p in parts:
+        if length and length + len(p) > size:
+            yield "".join(held)
+            held, length = [], 0
+        held.append(p)
+        length += len(p)
+    if length:
+        yield "".join(held)
+
+
+def tidy_chunk(text: str) -> str:
+    """A chunk without blank runs, page numbers and running heads."""
+    for pattern, to in ((r"\n{3,}", "\n\n"), (PAGE_LINE, ""), (RUNNING_HEAD, "")):
+        text = re.sub(pattern, to, text)
+    return text.strip()
+
+
+def paragraph_chunks(text: str, size: int = SIZE, overlap: int = 128, least: int = 50) -> Iterator[tuple[str, str]]:
+    """(section, text): paragraphs gathered up to ``size``; one of over twice that is cut at sentence ends first.
+
+    A chunk begins with the tail of the one before.  Its section is the last
+    heading up to the paragraph that closed it, in 80 characters.
+    """
+    if len(text) < least:
+        return
     parts: list[str] = []
-    for p in re.split(r"\n\s*\n", text):
-        p = p.strip()
-        if len(p) > 2 * size:
-            parts += [s for s in re.split(r"(?<=[。.!?])\s*", p) if s]
-        elif p:
-            parts.append(p)
-    held = ""
+    for p in filter(None, (p.strip() for p in re.split(r"\n\s*\n", text))):
+        parts += _gathered(re.split(r"(?<=[。．.!?])\s*", p), size) if len(p) > 2 * size else [p]
+    section = held = ""
     for p in parts:
-        if held and len(held) + len(p) + 1 > size:
-            if len(held) >= least:
-                yield held
-            held = held[-overlap:] + "\n" + p if overlap else p
-        else:
-            held = f"{held}\n{p}" if held else p
+        if _HEADING.match(p.strip()):
+            section = p.strip()[:80]
+        if held and len(held) + len(p) > size:
+            yield section, tidy_chunk(held)
+            held = held[-overlap:]
+        held = f"{held}\n{p}" if held else p
     if len(held) >= least:
-        yield held
+        yield section, tidy_chunk(held)
 
 
 def overlapping_pieces(text: str, size: int = 400, overlap: int = 50) -> Iterator[str]:
-    """Windows of ``size`` characters that end at the last boundary of the best kind.
+    """Windows of ``size`` characters that end behind the last boundary of the best kind.
 
-    A boundary within ``overlap`` characters of the start would move the next
-    window backwards and isn't taken, so every window moves forward.
+    The ends of all boundaries are listed once for each kind; a window looks up
+    the last of them that it holds.  An end within ``overlap`` characters of the
+    start would move the next window backwards and isn't taken, so every window
+    moves forward.
     """
-    start = 0
-    while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            for b in BOUNDARIES:
-                at = text.rfind(b, start, end)
-                if at + len(b) - overlap > start:
-                    end = at + len(b)
-                    break
-        if piece := text[start:end].strip():
+    ends = [[m.end() for m in re.finditer(f"(?={re.escape(b)})", text)] for b in BOUNDARIES]
+    ends = [[e + len(b) for e in kind] for kind, b in zip(ends, BOUNDARIES, strict=True)]
+    start = stop = 0
+    while stop < len(text):
+        stop = start + size
+        if stop < len(text):
+            last = (kind[at - 1] for kind in ends if (at := bisect.bisect_right(kind, stop)))
+            stop = next((e for e in last if e > start + overlap), stop)
+        piece = text[start:stop].strip()
+        if piece:
             yield piece
-        if end >= len(text):
-            return
-        start = max(end - overlap, start + 1)  # the sum matters only where size <= overlap
+        start = max(stop - overlap, start + 1)  # the sum matters only where size <= overlap
 
 
-def chunk(docs: DataFrame, cut: Callable[[str], Iterator[str]] = greedy_chunks, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, chunk_idx, chunk_id, text) of every chunk; null and blank texts have none."""
+def cut_rows(docs: DataFrame, cut: Callable[[str], Iterator[tuple]], fields: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, chunk_idx, *fields) of every tuple that ``cut`` gives for a text; null and empty texts have none."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
+    out = docs.sparkSession.createDataFrame([], f"`{id_col}` {kind.simpleString()}, chunk_idx int, {fields}").schema
+    types = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
+    own = [types[f.dataType.simpleString()] for f in out.fields[2:]]
 
     def run(batches):
         for batch in batches:
-            ids, numbers, texts = [], [], []
+            ids: list = []
+            numbers: list[int] = []
+            rows: list[tuple] = []
+            chars = 0
+
+            def told(ids=ids, numbers=numbers, rows=rows, batch=batch):
+                columns = list(zip(*rows, strict=True)) if rows else [()] * len(own)
+                made = pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(numbers, pa.int32()), *(pa.array(c, t) for c, t in zip(columns, own, strict=True))], names=out.names)
+                for part in (ids, numbers, rows):
+                    part.clear()
+                return made
+
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for n, c in enumerate(cut(text) if text else ()):
+                for n, row in enumerate(cut(text) if text else ()):
                     ids.append(i)
                     numbers.append(n)
-                    texts.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], names=[id_col, "chunk_idx", "text"])
+                    rows.append(row)
+                    chars += sum(len(v) for v in row if isinstance(v, str))
+                    if chars >= BATCH_CHARS:
+                        yield told()
+                        chars = 0
+            yield told()
+
+    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
+
 
-    rows = docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, chunk_idx int, text string")
+def chunk(docs: DataFrame, cut: Callable[[str], Iterator[str]] = greedy_chunks, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, chunk_idx, chunk_id, text) of every chunk; null and blank texts have none."""
+    rows = cut_rows(docs, lambda text: ((c,) for c in cut(text)), "text string", id_col=id_col, text_col=text_col)
     return rows.select(id_col, "chunk_idx", F.concat_ws("_", F.col(id_col).cast("string"), F.col("chunk_idx").cast("string")).alias("chunk_id"), "text")
 
 
-def chunk_key(doc: str, n: int, text: str) -> str:
+def chunk_key(doc: Column, n: Column, text: Column) -> Column:
     """A chunk id that changes with the head of its text."""
-    return f"{doc}_{n}_{hashlib.md5(text[:100].encode()).hexdigest()[:6]}"
+    return F.concat_ws("_", doc.cast("string"), n.cast("string"), F.substring(F.md5(F.substring(text, 1, 100)), 1, 6))
+
+
+def section_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, overlap: int = 128, least: int = 50) -> DataFrame:
+    """(id, chunk_idx, chunk_id, section, language, text) of the paragraph chunks that still have ``least`` characters when tidied."""
+
+    def cut(text):
+        return (c for c in paragraph_chunks(text, size, overlap, least) if len(c[1]) >= least)
+
+    rows = cut_rows(docs, cut, "section string, text string", id_col=id_col, text_col=text_col)
+    japanese = F.length("text") - F.length(F.regexp_replace("text", JAPANESE, ""))
+    # the id hashes the head of the chunk after it was tidied
+    return rows.select(id_col, "chunk_idx", chunk_key(F.col(id_col), F.col("chunk_idx"), F.col("text")).alias("chunk_id"), "section", F.when(japanese / F.length("text") > 0.1, "ja").otherwise("en").alias("language"), "text")
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 30) -> DataFrame:
@@ -107,18 +179,59 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.filter(F.length("p") >= least).select(id_col, (F.col("n") + 1).alias("number"), title.alias("title"), F.col("p").alias("text"))
 
 
-#: Heading patterns and the depth that each gives.
-HEADINGS = ((r"第\d+章[^\n]*", 1), (r"第\d+節[^\n]*", 2), (r"\d+\.\d+\.\d+\.?[ \t]+[^\n]+", 3), (r"\d+\.\d+\.?[ \t]+[^\n]+", 2), (r"\d+\.[ \t]+[^\n]+", 1), (r"[（(]\d+[)）][^\n]*", 4))
+# Heading patterns (number, title), and the depth that each gives.
+HEADINGS = ((r"(\d+)\.\s+(.+)", 1), (r"(\d+\.\d+)\s+(.+)", 2), (r"(\d+\.\d+\.\d+)\s+(.+)", 3), (r"(\d+\.\d+\.\d+\.\d+)\s+(.+)", 4), (r"第(\d+)章\s+(.+)", 1), (r"\((\d+)\)\s+(.+)", 3))
+# Headings of the structure of a text, marks of a line of contents, and the title of a text without headings.
+STRUCTURE = (r"(\d+(?:\.\d+){0,3})\s+(.{2,50})", r"(第\s*\d+\s*[章節条項])\s+(.{1,40})", r"[（(](\d+)[）)]\s+(.{1,40})")
+CONTENTS_MARK = r"\.{5,}|…{3,}"
+WHOLE_TEXT = ("1", "本文")
 
 
-def sections(text: str, headings=HEADINGS, most_title: int = 100, least: int = 20) -> Iterator[tuple[int, str, str]]:
-    """(depth, title, body) of the sections of a text."""
-    pattern = re.compile("|".join(f"(?P<h{k}>^{p}$)" for k, (p, _) in enumerate(headings)), re.M)
-    found = [(m.start(), m.end(), headings[int(m.lastgroup[1:])][1], m[0].strip()) for m in pattern.finditer(text) if len(m[0].strip()) <= most_title and not re.search(r"\.{4,}|…", m[0])]
-    for k, (_, end, depth, title) in enumerate(found):
-        body = text[end : found[k + 1][0] if k + 1 < len(found) else len(text)].strip()
-        if len(title) + len(body) >= least:
-            yield depth, title, body
+def _headings(text: str, patterns) -> Iterator[tuple[int, int, int, str, str]]:
+    """(start, end, pattern, number, title) of the headings at line starts, by start.
+
+    All patterns are looked for ahead of each line start in one pass; a heading
+    whose title runs on into the next line hides one of its own kind there.
+    """
+    ahead = re.compile("^(?=" + "|".join(f"(?P<k{k}>{p})" for k, p in enumerate(patterns)) + ")", re.M)
+    kinds = ahead.groupindex
+    hidden = [0] * len(patterns)
+    for m in ahead.finditer(text):
+        k = next(k for k in range(len(patterns)) if m.start(f"k{k}") >= 0)
+        group = kinds[f"k{k}"]
+        if m.start() >= hidden[k]:
+            hidden[k] = m.end(group)
+            yield m.start(), m.end(group), k, m[group + 1], m[group + 2]
+
+
+def sections(text: str, headings=HEADINGS, most_title: int = 100, least: int = 20) -> Iterator[tuple[str, str, int, int, str]]:
+    """(number, title, depth, start, text) of the sections of a text, the heading included; longer titles aren't headings, shorter sections are left out."""
+    found = [(start, number, title.strip(), headings[k][1]) for start, _, k, number, title in _headings(text, [p for p, _ in headings]) if len(title.strip()) <= most_title]
+    stops = [start for start, *_ in found[1:]] + [len(text)]
+    for (start, number, title, depth), stop in zip(found, stops, strict=False):
+        if len(own := text[start:stop].strip()) >= least:
+            yield number, title, depth, start, own
+
+
+def structure(text: str) -> Iterator[tuple[str, str, int, str, str, str]]:
+    """(section_id, title, level, parent_id, breadcrumb, text) of the sections of a text; the whole text is one if it has no heading.
+
+    A heading in a line of contents doesn't count.  The parent is the nearest
+    section above with a lower level.
+    """
+    found = [(start, number.strip(), title.strip()) for start, end, _, number, title in _headings(text, STRUCTURE) if not re.search(CONTENTS_MARK, text[max(0, start - 5) : end])]
+    if not found:
+        number, title = WHOLE_TEXT
+        yield number, title, 1, "", f"{number} {title}", text.strip()
+        return
+    open_: dict[int, tuple[str, str]] = {}
+    for (start, number, title), stop in zip(found, [s for s, _, _ in found[1:]] + [len(text)], strict=True):
+        level = 1 + (0 if number.startswith("第") else number.count("."))
+        open_ = {k: v for k, v in open_.items() if k < level}
+        parent, path = open_[max(open_)] if open_ else ("", "")
+        path = f"{path} > {number} {title}" if path else f"{number} {title}"
+        open_[level] = (number, path)
+        yield number, title, level, parent, path, text[start:stop].strip()
 
 
 def parents(rows: DataFrame, doc: str = "doc_id", pos: str = "pos", depth: str = "depth", deepest: int = 6) -> DataFrame:

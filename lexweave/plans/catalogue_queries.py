@@ -122,15 +122,6 @@ def s6(t):
     return t.pages.select("page_id", F.sha2(F.encode("html", "UTF-8"), 256).alias("sha256"), F.lower(F.regexp_extract("url", r"\.([A-Za-z0-9]+)$", 1)).alias("extension"), F.octet_length("html").alias("size"))
 
 
-@query("t3_sections")
-def t3(t):
-    def cut(text):
-        return (f"{depth}|{title}|{len(body)}" for depth, title, body in S.sections(text))
-
-    outline = F.concat(F.lit("1. Scope\n"), "text", F.lit("\n1.1 Purpose of the document\n"), "text")
-    return S.chunk(t.documents.select("doc_id", outline.alias("text")), cut).select("doc_id", "chunk_idx", F.col("text").alias("section"))
-
-
 @query("z3_task_documents", f"WITH {TASKS_SQL} SELECT assignee, md5(string_agg(title || ' [' || status || ']', chr(10) ORDER BY task_id)) AS listing_md5 FROM u GROUP BY assignee")
 def z3(t):
     rows = F.array_sort(F.collect_list(F.struct("task_id", F.concat("title", F.lit(" ["), "status", F.lit("]")).alias("x"))))

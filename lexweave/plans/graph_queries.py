@@ -168,10 +168,10 @@ def j9(t):
 
 
 @query("r24_router", """
-WITH w AS (SELECT item_id, CASE WHEN regexp_matches(text, 'the') THEN 2.0 ELSE 0 END + CASE WHEN regexp_matches(text, 'and') THEN 1.0 ELSE 0 END AS a, CASE WHEN regexp_matches(text, 'que|les') THEN 2.5 ELSE 0 END AS b FROM benchmark)
+WITH w AS (SELECT item_id, CASE WHEN regexp_matches(lower(text), '(?i)The') THEN 2.0 ELSE 0 END + CASE WHEN regexp_matches(lower(text), '(?i)AND') THEN 1.0 ELSE 0 END AS a, CASE WHEN regexp_matches(lower(text), '(?i)que|les') THEN 2.5 ELSE 0 END AS b FROM benchmark)
 SELECT item_id AS query_id, CASE WHEN a = 0 AND b = 0 THEN 'general' WHEN a >= b THEN 'english' ELSE 'romance' END AS role, round(CASE WHEN a = 0 AND b = 0 THEN 0.3 ELSE least(1.0, 0.4 + 0.1 * abs(a - b)) END, 6)::DOUBLE AS confidence FROM w""")
 def r24(t):
-    rules = t.spark.createDataFrame([("english", "the", 2.0), ("english", "and", 1.0), ("romance", "que|les", 2.5)], "role string, pattern string, weight double")
+    rules = t.spark.createDataFrame([("english", "The", 2.0), ("english", "AND", 1.0), ("romance", "que|les", 2.5)], "role string, pattern string, weight double")
     return E.route(t.benchmark.select(F.col("item_id").alias("query_id"), "text"), rules, "general").withColumn("confidence", F.round("confidence", 6))
 
 

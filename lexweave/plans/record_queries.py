@@ -147,9 +147,9 @@ def w8(t):
     return top.select("task_id", F.row_number().over(Window.orderBy(*keys)).alias("position"))
 
 
-@query("w9_alerts", f"""WITH {TASKS_SQL}, z AS (SELECT *, date_diff('day', DATE '1998-01-01', due) AS days FROM u)
-SELECT task_id, 'overdue' AS kind, 'critical' AS level FROM z WHERE status <> 'done' AND days < 0 UNION ALL SELECT task_id, 'due_soon', 'warning' FROM z WHERE status <> 'done' AND days BETWEEN 0 AND 3
-UNION ALL SELECT task_id, 'stale', 'warning' FROM z WHERE status = 'doing' AND date_diff('day', updated, DATE '1998-01-01') > 7 UNION ALL SELECT task_id, 'no_due_date', 'info' FROM z WHERE status <> 'done' AND due IS NULL""")
+@query("w9_alerts", f"""WITH {TASKS_SQL}, z AS (SELECT *, date_diff('day', DATE '1998-01-01', due)::INT AS days, date_diff('day', updated, DATE '1998-01-01')::INT AS since FROM u WHERE status <> 'done')
+SELECT task_id, 'overdue' AS kind, 'critical' AS level, abs(days) AS days FROM z WHERE status = 'overdue' UNION ALL SELECT task_id, 'due_soon', 'warning', days FROM z WHERE status <> 'overdue' AND days <= 3
+UNION ALL SELECT task_id, 'stale', 'warning', since FROM z WHERE status = 'doing' AND since > 7 UNION ALL SELECT task_id, 'blocked', 'info', NULL FROM z JOIN bl USING (task_id) WHERE status <> 'hold'""")
 def w9(t):
     return R.alerts(tasks(t), F.lit(AS_OF).cast("date"))
 

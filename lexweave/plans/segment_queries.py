@@ -20,13 +20,23 @@ f AS (SELECT doc_id, list_reduce(list_transform(p, lambda x: {'held': x, 'made':
 c AS (SELECT doc_id, unnest(list_append(f.made, f.held)) AS c, generate_subscripts(list_append(f.made, f.held), 1) - 1 AS k FROM f)
 SELECT doc_id, k::INT AS chunk_idx, doc_id::VARCHAR || '_' || k::VARCHAR AS chunk_id, md5(regexp_replace(c, '^\s+|\s+$', '', 'g')) AS text_md5 FROM c"""
 
-PARAGRAPH_SQL = r"""
-WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents),
-s AS (SELECT doc_id, flatten(list_transform(p, lambda x: CASE WHEN length(x) > 1600 THEN regexp_extract_all(x, '\s*([^。.!?]*[。.!?]|[^。.!?]+)', 1) ELSE [x] END)) AS s FROM p),
-f AS (SELECT doc_id, list_reduce(list_transform(s, lambda x: {'held': x, 'made': []::VARCHAR[]}), lambda a, x: CASE WHEN length(a.held) + length(x.held) + 1 > 800
-  THEN {'held': right(a.held, 128) || chr(10) || x.held, 'made': CASE WHEN length(a.held) >= 50 THEN list_append(a.made, a.held) ELSE a.made END} ELSE {'held': a.held || chr(10) || x.held, 'made': a.made} END) AS f FROM s WHERE len(s) > 0),
-l AS (SELECT doc_id, CASE WHEN length(f.held) >= 50 THEN list_append(f.made, f.held) ELSE f.made END AS l FROM f)
-SELECT doc_id, (generate_subscripts(l, 1) - 1)::INT AS chunk_idx, md5(unnest(l)) AS text_md5 FROM l"""
+TECH = "concat(case when doc_id % 2 = 0 then '第1章 総則\n\n' else '' end, text, '\n\n2.1 Control of heat\n\n', replace(text, '. ', '.\n\n'), '\n - 12 - \n\nNASA Technical Report\n\nCHAPTER 3 ', text, case when doc_id % 5 = 0 then concat('\n\n', repeat('熱制御系の温度設計。', 200)) else '' end)"
+TECH_DUCK = "((CASE WHEN doc_id % 2 = 0 THEN '第1章 総則\n\n' ELSE '' END) || text || '\n\n2.1 Control of heat\n\n' || replace(text, '. ', '.\n\n') || '\n - 12 - \n\nNASA Technical Report\n\nCHAPTER 3 ' || text || CASE WHEN doc_id % 5 = 0 THEN '\n\n' || repeat('熱制御系の温度設計。', 200) ELSE '' END)"
+SECTION_SQL = rf"""
+WITH x AS (SELECT doc_id, {TECH_DUCK} AS x FROM documents),
+p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(x, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM x WHERE length(x) >= 50),
+q AS (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS p FROM p),
+g AS (SELECT doc_id, i, CASE WHEN length(p) > 1600 THEN list_reduce(list_transform(regexp_extract_all(p, '[^。．.!?]*[。．.!?]\s*|[^。．.!?]+'), lambda y: {{'held': regexp_replace(y, '([。．.!?])\s+$', '\1'), 'made': []::VARCHAR[]}}),
+  lambda a, y: CASE WHEN length(a.held) + length(y.held) > 800 THEN {{'held': y.held, 'made': list_append(a.made, a.held)}} ELSE {{'held': a.held || y.held, 'made': a.made}} END) ELSE {{'held': p, 'made': []::VARCHAR[]}} END AS g FROM q),
+s AS (SELECT doc_id, flatten(list(list_append(g.made, g.held) ORDER BY i)) AS s FROM g GROUP BY doc_id),
+f AS (SELECT doc_id, list_reduce(list_transform(s, lambda y: {{'held': y, 'made': []::STRUCT(section VARCHAR, c VARCHAR)[], 'section': CASE WHEN regexp_matches(y, '^(?:(\d+\.)+\d*\s+\S|第\d+[章節]\s+\S|(?i:SECTION|CHAPTER|APPENDIX)\s+\d|\d+\.\d+\s+[A-Z]|#{{1,4}}\s+\S)') THEN substr(y, 1, 80) ELSE '' END}}),
+  lambda a, y: CASE WHEN length(a.held) + length(y.held) > 800 THEN {{'held': right(a.held, 128) || chr(10) || y.held, 'made': list_append(a.made, {{'section': CASE WHEN y.section <> '' THEN y.section ELSE a.section END, 'c': a.held}}), 'section': CASE WHEN y.section <> '' THEN y.section ELSE a.section END}}
+  ELSE {{'held': a.held || chr(10) || y.held, 'made': a.made, 'section': CASE WHEN y.section <> '' THEN y.section ELSE a.section END}} END) AS f FROM s),
+l AS (SELECT doc_id, CASE WHEN length(f.held) >= 50 THEN list_append(f.made, {{'section': f.section, 'c': f.held}}) ELSE f.made END AS l FROM f),
+c AS (SELECT doc_id, generate_subscripts(l, 1) AS k, unnest(l) AS m FROM l),
+d AS (SELECT doc_id, k, m.section AS section, regexp_replace(regexp_replace(regexp_replace(regexp_replace(m.c, '\n{{3,}}', chr(10) || chr(10), 'g'), '(?m)^\s*-?\s*\d+\s*-?\s*$', '', 'g'), '(?m)^(JAXA|NASA|ESA)\s+(技術参照文書|Technical Report)\s*$', '', 'g'), '^\s+|\s+$', '', 'g') AS t FROM c),
+e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS n FROM d WHERE length(t) >= 50)
+SELECT doc_id, n::INT AS chunk_idx, doc_id::VARCHAR || '_' || n::VARCHAR || '_' || substr(md5(substr(t, 1, 100)), 1, 6) AS chunk_id, section, CASE WHEN (length(t) - length(regexp_replace(t, '[぀-鿿]', '', 'g'))) / length(t) > 0.1 THEN 'ja' ELSE 'en' END AS language, md5(t) AS text_md5 FROM e"""
 
 
 @query("t1_greedy_chunks", GREEDY_SQL)
@@ -34,9 +44,45 @@ def t1(t):
     return S.chunk(t.documents).select("doc_id", "chunk_idx", "chunk_id", F.md5("text").alias("text_md5"))
 
 
-@query("t2_paragraph_chunks", PARAGRAPH_SQL)
+@query("t2_section_chunks", SECTION_SQL)
 def t2(t):
-    return S.chunk(t.documents, S.paragraph_chunks).select("doc_id", "chunk_idx", F.md5("text").alias("text_md5"))
+    rows = S.section_chunks(t.documents.select("doc_id", F.expr(TECH).alias("text")))
+    return rows.select("doc_id", "chunk_idx", "chunk_id", "section", "language", F.md5("text").alias("text_md5"))
+
+
+OUTLINED = "concat('1. Scope of this\n', text, '\n1.1 Purpose of the document\n', text, '\n1.1.2 Use\n', substr(text, 1, 200), '\n1.1.2.1 Limits\nshort\n第2章 熱制御\n', text, '\n(3) Remarks\n', substr(text, 1, 100), '\n2.1 Contents ........ 12\n3.4 x\n')"
+OUTLINED_DUCK = OUTLINED.replace("concat(", "(").replace(", text, ", " || text || ").replace("', substr", "' || substr").replace("), '", ") || '")
+LINES_SQL = f"""x AS (SELECT doc_id, {OUTLINED_DUCK} AS x FROM documents),
+l AS (SELECT doc_id, x, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS k FROM x),
+o AS (SELECT *, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1)::BIGINT AS start FROM l)"""
+
+
+@query("t3_sections", rf"""
+WITH {LINES_SQL}, h AS (
+  SELECT doc_id, x, start, regexp_extract(line, '^[第(]?(\d+(?:\.\d+)*)', 1) AS number, regexp_replace(regexp_extract(line, '^(?:\d+\.|\d+(?:\.\d+){{1,3}}|第\d+章|\(\d+\))\s+(.+)$', 1), '^\s+|\s+$', '', 'g') AS title,
+   CASE WHEN regexp_matches(line, '^\d+\.\s+.') THEN 1 WHEN regexp_matches(line, '^\d+\.\d+\s+.') THEN 2 WHEN regexp_matches(line, '^\d+\.\d+\.\d+\s+.') THEN 3 WHEN regexp_matches(line, '^\d+(\.\d+){{3}}\s+.') THEN 4 WHEN regexp_matches(line, '^第\d+章\s+.') THEN 1 WHEN regexp_matches(line, '^\(\d+\)\s+.') THEN 3 END AS depth FROM o),
+n AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), length(x)) AS stop FROM h WHERE depth IS NOT NULL AND length(title) <= 100),
+s AS (SELECT doc_id, number, title, depth::INT AS depth, start, regexp_replace(substr(x, start + 1, stop - start), '^\s+|\s+$', '', 'g') AS t FROM n)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INT AS chunk_idx, number, title, depth, start, md5(t) AS text_md5 FROM s WHERE length(t) >= 20""")
+def t3(t):
+    rows = S.cut_rows(t.documents.select("doc_id", F.expr(OUTLINED).alias("text")), S.sections, "number string, title string, depth int, start bigint, text string")
+    return rows.select("doc_id", "chunk_idx", "number", "title", "depth", "start", F.md5("text").alias("text_md5"))
+
+
+@query("t7_structure", rf"""
+WITH {LINES_SQL}, h AS (
+  SELECT doc_id, x, start, CASE WHEN regexp_matches(line, '^\d+(?:\.\d+){{0,3}}\s+.{{2}}') THEN regexp_extract(line, '^(\d+(?:\.\d+){{0,3}})\s', 1) WHEN regexp_matches(line, '^第\s*\d+\s*[章節条項]\s+.') THEN regexp_extract(line, '^(第\s*\d+\s*[章節条項])', 1)
+    WHEN regexp_matches(line, '^[（(]\d+[）)]\s+.') THEN regexp_extract(line, '^[（(](\d+)', 1) END AS id,
+   CASE WHEN regexp_matches(line, '^\d') THEN regexp_extract(line, '^\d+(?:\.\d+){{0,3}}\s+(.{{2,50}})', 1) ELSE regexp_extract(line, '^(?:第\s*\d+\s*[章節条項]|[（(]\d+[）)])\s+(.{{1,40}})', 1) END AS title FROM o),
+n AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), length(x)) AS stop, CASE WHEN id LIKE '第%' THEN 1 ELSE 1 + length(id) - length(replace(id, '.', '')) END AS level FROM h WHERE id IS NOT NULL AND NOT regexp_matches(substr(x, greatest(start - 5, 0) + 1, least(start, 5)) || id || ' ' || title, '\.{{5,}}|…{{3,}}')),
+u AS (SELECT *, id || ' ' || regexp_replace(title, '^\s+|\s+$', '', 'g') AS name FROM n),
+p AS (SELECT a.*, (SELECT max(b.start) FROM u b WHERE b.doc_id = a.doc_id AND b.start < a.start AND b.level < a.level) AS up FROM u a)
+SELECT a.doc_id, (row_number() OVER (PARTITION BY a.doc_id ORDER BY a.start) - 1)::INT AS chunk_idx, a.id AS section_id, regexp_replace(a.title, '^\s+|\s+$', '', 'g') AS title, a.level::INT AS level, coalesce(b.id, '') AS parent_id,
+ coalesce(d.name || ' > ', '') || coalesce(c.name || ' > ', '') || coalesce(b.name || ' > ', '') || a.name AS breadcrumb, md5(regexp_replace(substr(a.x, a.start + 1, a.stop - a.start), '^\s+|\s+$', '', 'g')) AS text_md5
+FROM p a LEFT JOIN p b ON b.doc_id = a.doc_id AND b.start = a.up LEFT JOIN p c ON c.doc_id = b.doc_id AND c.start = b.up LEFT JOIN p d ON d.doc_id = c.doc_id AND d.start = c.up""")
+def t7(t):
+    rows = S.cut_rows(t.documents.select("doc_id", F.expr(OUTLINED).alias("text")), S.structure, "section_id string, title string, level int, parent_id string, breadcrumb string, text string")
+    return rows.select("doc_id", "chunk_idx", "section_id", "title", "level", "parent_id", "breadcrumb", F.md5("text").alias("text_md5"))
 
 
 _AT = "CASE WHEN strpos(x, {0}) > 0 THEN length(x) - strpos(reverse(x), reverse({0})) - length({0}) + 1 ELSE -1 END"
@@ -154,7 +200,8 @@ def z17(t):
 def x24(t):
     d = t.documents.select("doc_id", "text")
     new = F.regexp_replace("text", r"\n", "\nx\n")
-    return d.select("doc_id", V.line_diff(F.col("text"), new).alias("d")).select("doc_id", "d.added", "d.removed", "d.changed", F.round("d.ratio", 6).alias("ratio"))
+    rows = d.select("doc_id", V.line_diff(F.col("text"), new).alias("d"), V.unified_diff(F.col("text"), new).alias("patch"))
+    return rows.select("doc_id", F.size("d.added").alias("added"), F.size("d.removed").alias("removed"), F.size("d.changed").alias("changed"), F.round("d.ratio", 6).alias("ratio"), "d.summary", F.md5("patch").alias("patch_md5"))
 
 
 @query("x24_line_sets", "SELECT doc_id, len(list_filter(list_distinct(string_split(text || chr(10) || 'new line', chr(10))), lambda x: NOT list_contains(string_split(text, chr(10)), x)))::INT AS added, 0::INT AS removed FROM documents")

@@ -59,13 +59,14 @@ def j15(t):
     return same.select("conv_id", "turn", "n_nationkey").unionByName(words.select("conv_id", "turn", "n_nationkey"))
 
 
-@query("a18_session_metadata", """
-SELECT conv_id, count(*) AS n_messages, coalesce(arg_min(CASE WHEN length(text) > 50 THEN substr(text, 1, 50) || '…' ELSE text END, turn) FILTER (role = 'user'), '') AS title,
- sum(CASE WHEN length(text) = 0 THEN 0 ELSE (8 * length(regexp_replace(text, '[^぀-鿿]', '', 'g')) + length(text) - length(regexp_replace(text, '[^぀-鿿]', '', 'g'))) // 4 + 4 END)::BIGINT AS tokens FROM conversations GROUP BY conv_id""")
+@query("a18_session_metadata", r"""
+WITH t AS (SELECT *, regexp_replace(replace(text, chr(10), ' '), '^\s+|\s+$', '', 'g') AS line, length(text) - length(regexp_replace(text, '[^\x00-\x7f]', '', 'g')) AS wide FROM conversations)
+SELECT conv_id, count(*) AS n_messages, coalesce(arg_min(substr(line, 1, 50) || CASE WHEN length(line) > 50 THEN '...' ELSE '' END, turn) FILTER (role = 'user'), '無題セッション') AS title,
+ sum((15 * wide + 3 * (length(text) - wide)) // 10)::BIGINT AS tokens FROM t GROUP BY conv_id""")
 def a18(t):
-    title = F.when(F.length("text") > 50, F.concat(F.substring("text", 1, 50), F.lit("…"))).otherwise(F.col("text"))
     user = F.col("role") == "user"
-    return t.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_messages"), F.coalesce(F.min_by(F.when(user, title), F.when(user, F.col("turn"))), F.lit("")).alias("title"), F.sum(X.estimate_message_tokens(F.col("text"))).alias("tokens"))
+    said = F.min_by(F.when(user, F.col("text")), F.when(user, F.col("turn")))
+    return t.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_messages"), X.session_title(said).alias("title"), F.sum(X.estimate_tokens(F.col("text"))).alias("tokens"))
 
 
 @query("w12_working_memory", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events) WHERE k <= 20")
@@ -79,10 +80,10 @@ def w13(t):
     return T.within_budget(t.conversations, ["conv_id"], ["turn"], F.length("text"), 1500).select("conv_id", "turn")
 
 
-@query("z11_memory_context", "SELECT conv_id, role, string_agg(substr(text, 1, 20), chr(10) ORDER BY turn) AS part FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id, role ORDER BY turn) AS s FROM conversations) WHERE s <= 400 GROUP BY ALL")
+@query("z11_memory_context", "SELECT conv_id, role, string_agg(text, chr(10) ORDER BY turn) AS part FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id, role ORDER BY turn) AS s FROM conversations) WHERE s <= 400 GROUP BY ALL")
 def z11(t):
     kept = T.within_budget(t.conversations, ["conv_id", "role"], ["turn"], F.length("text"), 400)
-    return kept.groupBy("conv_id", "role").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 20).alias("x")))), lambda s: s["x"]), "\n").alias("part"))
+    return kept.groupBy("conv_id", "role").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("x")))), lambda s: s["x"]), "\n").alias("part"))
 
 
 @query("w14_packed_context", """

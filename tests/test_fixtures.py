@@ -1,12 +1,14 @@
 """Small inputs with results worked out by hand or restated independently."""
 
 import datetime as dt
+import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as X
-from lexweave.operators import expand, graph, records, search, segment, threads
+from lexweave.operators import diff, expand, graph, records, search, segment, threads
 
 
 def one(spark, column, **values):
@@ -74,8 +76,82 @@ def test_overlapping_pieces_end():
 
 
 def test_sections():
-    out = list(segment.sections("1. 総則\nこの文書は熱制御の設計について定めるものである。\n1.1 目的\nここに目的を書く。これは長い本文である。\n"))
-    assert [(d, t) for d, t, _ in out] == [(1, "1. 総則"), (2, "1.1 目的")]
+    text = "1. 総則\nこの文書は熱制御の設計について定めるものである。\n1.1 目的\nここに目的を書く。これは長い本文である。\n1.1.1.1 細目\n短い。\n(2) 備考\nこれは備考であり、十分に長い文である。はい。\n第3章　運用\n" + "運" * 30
+    assert [(n, t, d) for n, t, d, _, _ in segment.sections(text)] == [("1", "総則", 1), ("1.1", "目的", 2), ("2", "備考", 3), ("3", "運用", 1)]
+    assert all(own.startswith(text[start : start + 3]) for _, _, _, start, own in segment.sections(text))
+    assert list(segment.sections("1. " + "x" * 101 + "\nno heading")) == []
+    # a title may stand on the next line, and hides a heading of its own kind there, but not of another
+    assert [(n, t) for n, t, *_ in segment.sections("1.\n2. " + "y" * 30 + "\n3. " + "z" * 30)] == [("1", "2. " + "y" * 30), ("3", "z" * 30)]
+    assert [n for n, *_ in segment.sections("1.\n2.1 " + "y" * 30 + "\n")] == ["2.1"]
+
+
+def test_structure():
+    text = "3 概要\n本文\n3.2 安全管理\n本文\n3.2.4 緊急時対応手順\n本文\n目次 ..... 3\n3.3 続き …… 4\n第 4 章 運用\n（2） 備考\nend"
+    out = list(segment.structure(text))
+    assert [(i, t, n, p) for i, t, n, p, _, _ in out] == [("3", "概要", 1, ""), ("3.2", "安全管理", 2, "3"), ("3.2.4", "緊急時対応手順", 3, "3.2"), ("3.3", "続き …… 4", 2, "3"), ("第 4 章", "運用", 1, ""), ("2", "備考", 1, "")]
+    assert out[2][4] == "3 概要 > 3.2 安全管理 > 3.2.4 緊急時対応手順" and out[0][5] == "3 概要\n本文" and out[-1][5] == "（2） 備考\nend"
+    assert list(segment.structure(" plain text ")) == [("1", "本文", 1, "", "1 本文", "plain text")]
+    assert [i for i, *_ in segment.structure("1.1 Scope ........ 3\n1.2 Real one\n")] == ["1.2"]
+
+
+def test_section_chunks(spark):
+    long = "。".join("文" * 60 for _ in range(40)) + "。"
+    text = "1.1 Scope\n\n" + "a" * 700 + "\n\n第2章 運用\n\n" + long + "\n\n- 12 -\n\n" + "b" * 60
+    out = segment.section_chunks(spark.createDataFrame([(7, text), (8, "short"), (9, None)], "doc_id long, text string")).orderBy("chunk_idx").collect()
+    assert {r["doc_id"] for r in out} == {7} and [r["chunk_idx"] for r in out] == list(range(len(out)))
+    assert out[0]["section"] == "第2章 運用" and out[0]["text"].startswith("1.1 Scope\naaa") and out[0]["language"] == "en" and out[1]["language"] == "ja"
+    assert all(r["chunk_id"] == f"7_{r['chunk_idx']}_{hashlib.md5(r['text'][:100].encode()).hexdigest()[:6]}" for r in out)
+    assert "- 12 -" not in "".join(r["text"] for r in out) and out[-1]["text"].endswith("b" * 60)
+    assert all(len(r["text"]) <= 800 + 130 for r in out)
+
+
+def test_line_differences(spark):
+    old = "マニフェストNo: A-001\n廃棄物種類: 廃プラスチック\n数量: 100kg\n"
+    new = "マニフェストNo: A-001\n廃棄物種類: 廃プラスチック\n数量: 150kg\n処理方法: 焼却\n"
+    d = one(spark, diff.line_diff(F.col("a"), F.col("b")), a=old, b=new)
+    assert (d["added"], d["removed"]) == (["数量: 150kg", "処理方法: 焼却"], ["数量: 100kg"]) and round(d["ratio"], 6) == round(4 / 7, 6)
+    assert d["changed"] == ["[変更] 旧: 数量: 100kg → 新: 数量: 150kg / 処理方法: 焼却"]
+    assert d["summary"] == "追加 2 行 / 削除 1 行 / 類似度 57.1%\n主な変更点:\n[変更] 旧: 数量: 100kg → 新: 数量: 150kg / 処理方法: 焼却"
+    assert one(spark, diff.line_diff(F.lit("x\ny"), F.lit("x\ny")))["summary"] == "変更なし / 類似度 100.0%"
+    assert one(spark, diff.line_diff(F.lit(None).cast("string"), F.lit("x")))["added"] == ["x"]
+    assert one(spark, diff.unified_diff(F.lit("a\nb\n"), F.lit("a\nc\n"))) == "--- 旧バージョン\n+++ 新バージョン\n@@ -1,2 +1,2 @@\n a\n-b\n+c\n"
+    many = diff.differences("\n".join(f"k{i}\nx{i}" for i in range(8)), "\n".join(f"k{i}\ny{i}" for i in range(8)))
+    assert many["summary"].endswith("... 他 3 件") and len(many["changed"]) == 8
+
+
+def test_alerts(spark):
+    day = lambda n: dt.date(2024, 1, 10) + dt.timedelta(days=n)
+    rows = [(1, "overdue", day(-2), day(0), []), (2, "todo", day(3), day(0), [1]), (3, "doing", None, day(-8), []), (4, "hold", day(-1), day(-30), [1]), (5, "done", day(-5), day(-30), [1]), (6, "todo", day(4), day(0), [5, 99])]
+    out = records.alerts(spark.createDataFrame(rows, "task_id int, status string, due date, updated date, depends_on array<int>"), F.lit(day(0)))
+    assert sorted(tuple(r)[:3] for r in out.collect()) == [(1, "overdue", "critical"), (2, "blocked", "info"), (2, "due_soon", "warning"), (3, "stale", "warning"), (4, "due_soon", "warning")]
+
+
+def test_latest(spark):
+    log = spark.createDataFrame([(1, 1, "a"), (1, 3, "b"), (1, 2, None), (2, 5, "c")], "k int, at int, v string")
+    assert sorted(map(tuple, records.latest(log, ["k"], ["at"]).collect())) == [(1, 3, "b"), (2, 5, "c")]
+
+
+def test_overlapping_pieces_against_plain_search():
+    def plain(text, size, overlap):
+        start = 0
+        while start < len(text):
+            end = min(start + size, len(text))
+            if end < len(text):
+                for b in segment.BOUNDARIES:
+                    at = max((k for k in range(start, end) if text.startswith(b, k) and k + len(b) <= end), default=-1)
+                    if at >= 0 and at + len(b) - overlap > start:
+                        end = at + len(b)
+                        break
+            if text[start:end].strip():
+                yield text[start:end].strip()
+            if end >= len(text):
+                return
+            start = max(end - overlap, start + 1)
+
+    rng = random.Random(1)
+    for _ in range(200):
+        text = "".join(rng.choice("ab。。\n、") for _ in range(rng.randint(0, 300)))
+        assert list(segment.overlapping_pieces(text, 40, 7)) == list(plain(text, 40, 7))
 
 
 def test_ids(spark):
