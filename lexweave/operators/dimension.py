@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a dictionary, a rule table or a set of questions, at most.
-MOST_ROWS = 100_000
+#: Bytes and rows of a dictionary, a rule table or a set of questions that is broadcast, at most.
+MOST_BYTES = 16 << 20
+MOST_ROWS = 200_000
 
 
-def small(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
-    """``df``, marked for broadcast; refuses one of more rows than ``most``."""
-    if len(df.select(F.lit(1)).limit(most + 1).collect()) > most:
-        raise ValueError(f"a dimension of more than {most} rows can't be broadcast; join it by a key instead")
-    return F.broadcast(df)
+def small(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if it is small; else as it is, for a join that exchanges both sides.
+
+    The size is counted, as estimates of planners don't know how long texts are:
+    at most ``MOST_ROWS`` rows are looked at, and their bytes as JSON are summed.
+    """
+    own = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, size = df.select(own.alias("b")).limit(MOST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return F.broadcast(df) if n <= MOST_ROWS and size <= MOST_BYTES else df

@@ -18,6 +18,22 @@ def contained(queries: DataFrame, terms: DataFrame, text: str = "text", term: st
     return queries.crossJoin(small(terms)).filter(F.contains(F.col(text), F.col(term)))
 
 
+def contained_by_index(texts: DataFrame, terms: DataFrame, key: list[str], text: str = "text", term: str = "term", gram: int = 8) -> DataFrame:
+    """As :func:`contained`, for dictionaries of any size: an equi-join on the first characters of the terms.
+
+    A term is looked up by its first ``gram`` characters, or all if it has
+    fewer, among the stretches of that length in the texts; what is found is
+    then compared whole.  Empty terms are contained in nothing.
+    """
+    heads = terms.filter(F.length(term) > 0).withColumn("__head", F.substring(term, 1, gram))
+    lengths = [r["n"] for r in heads.select(F.length("__head").alias("n")).distinct().collect()]
+    stretches = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(F.col(text), i, F.lit(n)))
+    own = [F.when(F.length(text) >= n, F.array_distinct(stretches(n))).otherwise(F.array().cast("array<string>")) for n in sorted(lengths)]
+    found = texts.select(*key, F.explode(F.flatten(F.array(*own)) if own else F.array().cast("array<string>")).alias("__head"))
+    hits = found.join(heads.select("__head").distinct(), "__head", "left_semi").join(heads, "__head")
+    return hits.drop("__head").join(texts, key).filter(F.contains(F.col(text), F.col(term)))
+
+
 def expand_synonyms(queries: DataFrame, synonyms: DataFrame, key: str = "query_id") -> DataFrame:
     """(key, expanded): the query and the sorted distinct synonyms (term, synonyms) of its terms."""
     found = contained(queries, synonyms).select(key, F.explode("synonyms").alias("s")).groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("s")), " ").alias("s"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dimension import small
@@ -81,5 +81,5 @@ def parse_plan(text: Column) -> Column:
 
 def latest_by_version(files: DataFrame, doc: str, parts: str, modified: str) -> DataFrame:
     """The row of each document with the largest version parts, then the latest change."""
-    w = Window.partitionBy(doc).orderBy(F.desc(parts), F.desc(modified))
-    return files.withColumn("__k", F.row_number().over(w)).filter("__k = 1").drop("__k")
+    last = F.max_by(F.struct(*files.columns), F.struct(parts, modified))
+    return files.groupBy(F.col(doc).alias("__doc")).agg(last.alias("__row")).select("__row.*")

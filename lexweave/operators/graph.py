@@ -7,7 +7,7 @@ a vertex may have very many.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut, discard
@@ -109,6 +109,14 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return after.drop("moved")
 
 
+def rollup(rows: DataFrame, head: int, node: str = "node", component: str = "component") -> DataFrame:
+    """(component, n, summary): the size and the first nodes of each component; only those are gathered."""
+    sizes = rows.groupBy(component).agg(F.count(F.lit(1)).alias("n"))
+    first = rows.withColumn("__k", F.row_number().over(Window.partitionBy(component).orderBy(node))).filter(F.col("__k") <= head)
+    named = first.groupBy(component).agg(F.array_join(F.transform(F.array_sort(F.collect_list(node)), lambda x: x.cast("string")), ", ").alias("summary"))
+    return sizes.join(named, component)
+
+
 def communities(edges: DataFrame, nodes: DataFrame, small: int = 5) -> DataFrame:
     """(node, community): a component of at most ``small`` nodes is one community; a larger one is halved by degree.
 

@@ -1,73 +1,106 @@
 """Keyword and vector retrieval, fusion and reranking.
 
 Queries come as a table (query_id, terms), so that many questions are answered
-in one job.  Statistics need the whole corpus, but postings are formed only for
-terms that some query names: the scan's stage reduces a chunk to its length and
-its query-term counts, and what is shuffled grows with the matches.  The set of
-query terms is a dimension and must fit in a filter (``MOST_TERMS``); larger
-query sets go through a join instead.
+in one job.  A corpus is tokenised in one pass, whose postings are written and
+give all statistics.  Where the vocabulary as a whole doesn't matter, the pass
+keeps the queries' terms only, so what is written and exchanged grows with the
+matches.  Up to ``MOST_TERMS`` of them are a filter of the scan; more go through
+a join.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..batches import bounded_batches
+from ..storage import cut
 from .dimension import small
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 MOST_TERMS = 2000
 
 
-def term_counts(chunks: DataFrame, queries: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
-    """(key, dl, term, tf) for the terms of the queries; dl is the chunk's length in tokens."""
-    wanted = queries.select(F.explode("terms").alias("term")).distinct()
-    found = [r["term"] for r in wanted.limit(MOST_TERMS + 1).collect()]
-    if len(found) <= MOST_TERMS:
-        own = F.filter(tokens, lambda x: x.isin(found) if found else F.lit(False))
-        rows = chunks.select(key, F.size(tokens).alias("dl"), F.explode(own).alias("term"))
-    else:
-        rows = chunks.select(key, F.size(tokens).alias("dl"), F.explode(tokens).alias("term")).join(wanted, "term", "left_semi")
-    return rows.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+def _counted(tokens: Column) -> Column:
+    """(term, tf) of the distinct tokens: runs in the sorted array."""
+    at = lambda x, i: F.get(x, i)
+
+    def runs(x):
+        n = F.size(x)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (at(x, i) != at(x, i - 1)))
+        ends = F.concat(F.slice(starts, F.lit(2), n), F.array(n))
+        return F.zip_with(starts, ends, lambda i, j: F.struct(at(x, i).alias("term"), (j - i).cast("long").alias("tf")))
+
+    counted = F.get(F.transform(F.array(F.sort_array(tokens)), runs), F.lit(0))
+    return F.when(F.size(tokens) > 0, counted).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
 
 
-def corpus_statistics(chunks: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """One row: chunks with a token and their mean length."""
-    return chunks.filter(F.size(tokens) > 0).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens)).alias("avgdl"))
+def postings(chunks: DataFrame, key: str, tokens: str = "tokens", wanted: DataFrame | None = None) -> DataFrame:
+    """(key, dl, term, tf), written: the distinct terms of every chunk, or only those in ``wanted`` (term).
+
+    dl is the chunk's length in tokens; every chunk has a row with a null term.
+    """
+    own = F.col(tokens)
+    found = None
+    if wanted is not None:
+        found = [r["term"] for r in wanted.distinct().limit(MOST_TERMS + 1).collect()]
+        if len(found) <= MOST_TERMS:
+            own = F.filter(tokens, lambda x: x.isin(found) if found else F.lit(False))
+    head = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("tf")))
+    rows = chunks.select(key, F.size(tokens).alias("dl"), F.explode(F.concat(head, _counted(own))).alias("p")).select(key, "dl", "p.term", "p.tf")
+    if found is not None and len(found) > MOST_TERMS:
+        rows = rows.filter("term is null").unionByName(rows.join(wanted.select("term").distinct(), "term", "left_semi").select(*rows.columns))
+    return cut(rows, "postings")
 
 
-def document_frequencies(chunks: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """(term, df) of the whole vocabulary."""
-    return chunks.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def corpus_statistics(posted: DataFrame, blank: bool = False) -> DataFrame:
+    """One row: chunks and their mean length; those without a token count only if ``blank``."""
+    rows = posted.filter("term is null" if blank else "term is null and dl > 0")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def document_frequencies(posted: DataFrame) -> DataFrame:
+    """(term, df) of the posted terms."""
+    return posted.filter("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def _weight(tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Column:
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+
+
 def bm25_plus_one(chunks: DataFrame, queries: DataFrame, *, key: str = "chunk_id", tokens: str = "tokens", keep_zero: bool = True, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, key, score) with idf ln((N - df + .5) / (df + .5) + 1); chunks without a match score 0 if kept."""
-    tf = term_counts(chunks, queries, key, tokens)
-    stats = corpus_statistics(chunks, tokens)
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    rows = tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))
+    posted = postings(chunks, key, tokens, queries.select(F.explode("terms").alias("term")))
+    stats = corpus_statistics(posted)
+    rows = posted.filter("term is not null").join(small(document_frequencies(posted)), "term").join(small(_asked(queries)), "term").crossJoin(F.broadcast(stats))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     scored = rows.groupBy("query_id", key).agg(F.sum(F.col("times") * idf * _weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("score"))
     if not keep_zero:
         return scored
-    every = chunks.filter(F.size(tokens) > 0).select(key).crossJoin(small(queries.select("query_id")))
+    every = posted.filter("term is null and dl > 0").select(key).crossJoin(small(queries.select("query_id")))
     return every.join(scored, ["query_id", key], "left").select("query_id", key, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def bm25_okapi(chunks: DataFrame, queries: DataFrame, *, key: str = "chunk_id", tokens: str = "tokens", k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
     """(query_id, key, score) above 0 with idf ln(N - df + .5) - ln(df + .5), where a negative idf is epsilon times the vocabulary's mean."""
-    stats = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens)).alias("avgdl"))
-    vocabulary = document_frequencies(chunks, tokens).crossJoin(F.broadcast(stats)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    posted = postings(chunks, key, tokens)
+    stats = corpus_statistics(posted, blank=True)
+    asked = _asked(queries)
+    # one row for each term, far less than postings, and read twice
+    frequencies = cut(document_frequencies(posted), "frequencies")
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    vocabulary = frequencies.crossJoin(F.broadcast(stats)).withColumn("raw", raw)
     floor = vocabulary.agg((epsilon * F.avg("raw")).alias("floor"))
-    asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    idf = vocabulary.join(asked, "term").crossJoin(F.broadcast(floor)).select("query_id", "term", "times", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    rows = term_counts(chunks, queries, key, tokens).join(idf, "term")
+    idf = vocabulary.join(small(asked), "term").crossJoin(F.broadcast(floor)).select("query_id", "term", "times", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    rows = posted.join(small(idf), "term")
     scored = rows.groupBy("query_id", key).agg(F.sum(F.col("times") * F.col("idf") * _weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("score"))
     return scored.filter("score > 0")
 
@@ -101,10 +134,74 @@ def cosine(a: Column, b: Column, kind: str = "each") -> Column:
     return F.when((norm(a) == 0) | (norm(b) == 0), 0.0).otherwise(dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0)))
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: str = "embedding", kind: str = "each", threshold: float | None = None) -> DataFrame:
-    """(query_id, key, score) of all vectors against the query vectors (query_id, q), which are few and are broadcast."""
-    rows = vectors.select(key, vector).crossJoin(small(queries)).select("query_id", key, cosine(F.col(vector), F.col("q"), kind).alias("score"))
-    return rows if threshold is None else rows.filter(F.col("score") >= threshold)
+#: Components of the vectors in a block of the search, about.
+BLOCK_COMPONENTS = 1 << 19
+#: What single products may be off by.
+_MARGIN = 1e-6
+
+
+def _cosines(x: np.ndarray, q: np.ndarray, kind: str) -> np.ndarray:
+    """Row by row, in the three forms of :func:`cosine`."""
+    d, a, b = np.einsum("ij,ij->i", x, q), np.sqrt(np.einsum("ij,ij->i", x, x)), np.sqrt(np.einsum("ij,ij->i", q, q))
+    if kind == "each":
+        return d / ((a + 1e-10) * (b + 1e-10))
+    if kind == "product":
+        return d / (a * b + 1e-8)
+    return np.where((a == 0) | (b == 0), 0.0, d / np.where(a * b == 0, 1.0, a * b))
+
+
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int, *, key: str = "vec_id", vector: str = "embedding", kind: str = "each", threshold: float | None = None, block: int | None = None) -> DataFrame:
+    """(query_id, key, score, rank): the best k vectors of each query (query_id, q), ties by key, and a score from the threshold on if there is one.
+
+    Blocks of queries meet blocks of vectors, each pair in a task of its own
+    that keeps k for each query; so neither side is broadcast or gathered.
+    Vectors of other lengths than a query's, and null ones, don't meet it.
+    """
+    bounded_batches(vectors.sparkSession)
+    kinds = vectors.schema[key].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    # written once: the sizes decide the number of blocks
+    v = cut(vectors.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x")), "search-vectors")
+    q = cut(queries.filter("q is not null").select(F.col("query_id").alias("id"), F.col("q").cast("array<double>").alias("x")), "search-queries")
+
+    def blocks(df):
+        total = df.agg(F.coalesce(F.sum(F.size("x")), F.lit(0))).first()[0]
+        return max(1, math.ceil(total / (block or BLOCK_COMPONENTS)))
+
+    n_v, n_q = blocks(v), blocks(q)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = v.select("id", "x", F.size("x").alias("n"), F.pmod(F.xxhash64("x"), F.lit(n_v)).cast("int").alias("a"), every(n_q).alias("b"))
+    right = q.select("id", "x", F.size("x").alias("n"), every(n_v).alias("a"), F.pmod(F.xxhash64("x"), F.lit(n_q)).cast("int").alias("b"))
+
+    def join(x: pa.Table, y: pa.Table) -> pa.Table:
+        x, y = x.combine_chunks(), y.combine_chunks()
+        names = x.column("id").combine_chunks(), y.column("id").combine_chunks()
+        out_q, out_v, out_s = [], [], []
+        if x.num_rows and y.num_rows:
+            m, w = (t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t in (x, y))
+            m, w = np.nan_to_num(m), np.nan_to_num(w)
+            length = np.sqrt(np.einsum("ij,ij->i", m, m))
+            unit = m / np.where(length == 0, 1.0, length)[:, None]
+            for i in range(0, len(w), 256):
+                rough = w[i : i + 256] @ unit.T
+                for r, own in enumerate(rough):
+                    size = float(np.sqrt(w[i + r] @ w[i + r])) or 1.0
+                    # all that may be among the best by the exact score, whose order then decides
+                    least = np.partition(own, len(own) - k)[len(own) - k] if len(own) > k else -np.inf
+                    at = np.flatnonzero(own >= least - _MARGIN * size)
+                    score = _cosines(m[at], np.broadcast_to(w[i + r], (len(at), w.shape[1])), kind)
+                    if threshold is not None:
+                        at, score = at[score >= threshold], score[score >= threshold]
+                    # equal scores at the end all stay: the key decides between them
+                    if len(at) > k:
+                        stay = score >= np.partition(score, len(score) - k)[len(score) - k]
+                        at, score = at[stay], score[stay]
+                    out_q += [i + r] * len(at)
+                    out_v += at.tolist()
+                    out_s += score.tolist()
+        return pa.table({"query_id": names[1].take(pa.array(out_q, pa.int64())), key: names[0].take(pa.array(out_v, pa.int64())), "score": pa.array(out_s, pa.float64())})
+
+    hits = left.groupBy("a", "b", "n").cogroup(right.groupBy("a", "b", "n")).applyInArrow(join, f"query_id {kinds[1]}, `{key}` {kinds[0]}, score double")
+    return top_k(hits, k, key)
 
 
 def reciprocal_rank_fusion(rankings: DataFrame, *, k: int = 60, key: str = "chunk_id") -> DataFrame:
@@ -126,8 +223,8 @@ def weighted_fusion(hits: DataFrame, *, key: str = "chunk_id", methods=METHODS)
     """
     order = F.create_map(*[x for i, (m, _) in enumerate(methods) for x in (F.lit(m), F.lit(i))])
     weight = F.create_map(*[x for m, w in methods for x in (F.lit(m), F.lit(w))])
-    best = F.max("score").over(Window.partitionBy("query_id", "method", "batch"))
-    rows = hits.withColumn("best", best).filter("best > 0 or method = 'vector'")
+    best = hits.groupBy("query_id", "method", "batch").agg(F.max("score").alias("best"))
+    rows = hits.join(best, ["query_id", "method", "batch"]).filter("best > 0 or method = 'vector'")
     share = F.when(F.col("method") == "vector", F.col("score")).otherwise(F.col("score") / F.col("best")) * weight[F.col("method")]
     rows = rows.select("query_id", key, F.struct(order[F.col("method")].alias("o"), "batch", "method", share.alias("s")).alias("h"))
     lists = rows.groupBy("query_id", key).agg(F.array_sort(F.collect_list("h")).alias("h"))

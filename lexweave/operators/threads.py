@@ -32,8 +32,11 @@ def resolve_threads(messages: DataFrame, *, key: str = "message_id", reply: str
 
 def thread_statistics(messages: DataFrame, as_of: Column, *, thread: str = "thread", sender: str = "sender", to: str = "recipients", at: str = "at", stale_days: int = 7) -> DataFrame:
     """Count, participants, senders with their counts, begin, end, holder of the ball, and whether it is stale."""
-    people = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_union(F.array(F.col(sender)), F.col(to))))))
-    base = messages.groupBy(thread).agg(F.count(F.lit(1)).alias("n_messages"), people.alias("participants"), F.min(at).alias("started"), F.max(at).alias("last"), F.max_by(sender, at).alias("holder"))
+    # each person of a thread once before they are gathered
+    named = messages.select(thread, F.explode(F.array_union(F.array(F.col(sender)), F.col(to))).alias("__who")).distinct()
+    people = named.groupBy(thread).agg(F.array_sort(F.collect_list("__who")).alias("participants"))
+    base = messages.groupBy(thread).agg(F.count(F.lit(1)).alias("n_messages"), F.min(at).alias("started"), F.max(at).alias("last"), F.max_by(sender, at).alias("holder"))
+    base = base.join(people, thread)
     return base.withColumn("stale", F.date_diff(as_of, F.to_date("last")) > stale_days)
 
 

@@ -88,11 +88,11 @@ def r18(t):
     return G.category_score(asked(t), abbreviations(t), terms(t))
 
 
-@query("r20_community_search", "SELECT source AS community, round(contains(lower(string_agg(substr(text, 1, 20), ' ' ORDER BY doc_id)), 'the')::INT + contains(lower(string_agg(substr(text, 1, 20), ' ' ORDER BY doc_id)), 'de')::INT + 0.5 * count(DISTINCT lang) FILTER (contains(lang, 'e')), 6)::DOUBLE AS score FROM documents GROUP BY source ORDER BY score DESC, community LIMIT 5")
+@query("r20_community_search", "SELECT doc_id // 8 AS community, round(contains(lower(string_agg(text, ' ' ORDER BY doc_id)), 'the')::INT + contains(lower(string_agg(text, ' ' ORDER BY doc_id)), 'que')::INT + 0.5 * count(DISTINCT lang) FILTER (contains(lang, 'e')), 6)::DOUBLE AS score FROM documents GROUP BY 1 ORDER BY score DESC, community LIMIT 5")
 def r20(t):
-    heads = F.array_sort(F.collect_list(F.struct("doc_id", F.substring("text", 1, 20).alias("x"))))
-    c = t.documents.groupBy(F.col("source").alias("community")).agg(F.array_join(F.transform(heads, lambda s: s["x"]), " ").alias("summary"), F.collect_set("lang").alias("keywords"))
-    return G.community_score(c, ["the", "de"], "e").select("community", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "community").limit(5)
+    texts = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
+    c = t.documents.groupBy(F.expr("doc_id div 8").alias("community")).agg(F.array_join(F.transform(texts, lambda s: s["text"]), " ").alias("summary"), F.collect_set("lang").alias("keywords"))
+    return G.community_score(c, ["the", "que"], "e").select("community", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "community").limit(5)
 
 
 @query("w5_latest_by_version", "SELECT p_brand AS doc, max((p_size % 5, p_size, p_partkey))[3]::BIGINT AS p_partkey FROM part GROUP BY p_brand".replace("max((p_size % 5, p_size, p_partkey))[3]::BIGINT", "arg_max(p_partkey, [p_size % 5, p_size, p_partkey])"))

@@ -50,11 +50,11 @@ def a1(t):
     return t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("chunk_count"), F.min("doc_id").alias("first_chunk"))
 
 
-@query("a4_section_entries", "SELECT source, md5(string_agg(substr(text, 1, 30), chr(10) || chr(10) ORDER BY doc_id)) AS text_md5, string_agg(DISTINCT lang, ',' ORDER BY lang) AS keywords, arg_min(substr(text, 1, 20), doc_id) AS title, count(*) AS n_chunks FROM documents GROUP BY source")
+@query("a4_section_entries", "SELECT doc_id // 5 AS section, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS text_md5, string_agg(DISTINCT lang, ',' ORDER BY lang) AS keywords, arg_min(source, doc_id) AS title, count(*) AS n_chunks FROM documents GROUP BY 1")
 def a4(t):
-    parts = F.array_sort(F.collect_list(F.struct("doc_id", F.substring("text", 1, 30).alias("x"))))
-    out = t.documents.groupBy("source").agg(parts.alias("p"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("keywords"), F.min_by(F.substring("text", 1, 20), "doc_id").alias("title"), F.count(F.lit(1)).alias("n_chunks"))
-    return out.select("source", F.md5(F.array_join(F.transform("p", lambda s: s["x"]), "\n\n")).alias("text_md5"), "keywords", "title", "n_chunks")
+    parts = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
+    out = t.documents.groupBy(F.expr("doc_id div 5").alias("section")).agg(parts.alias("p"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("keywords"), F.min_by("source", "doc_id").alias("title"), F.count(F.lit(1)).alias("n_chunks"))
+    return out.select("section", F.md5(F.array_join(F.transform("p", lambda s: s["text"]), "\n\n")).alias("text_md5"), "keywords", "title", "n_chunks")
 
 
 @query("a5_level_statistics", "SELECT lang, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM documents GROUP BY lang ORDER BY n DESC LIMIT 5")

@@ -39,8 +39,8 @@ def _round(df, *names):
 
 @query("a3_corpus_statistics", f"WITH {BASE_SQL} SELECT term, df, n, round(avgdl, 6) AS avgdl FROM f CROSS JOIN s")
 def a3(t):
-    c = chunks(t)
-    return S.document_frequencies(c).crossJoin(small(S.corpus_statistics(c))).select("term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
+    posted = S.postings(chunks(t), "doc_id")
+    return S.document_frequencies(posted).crossJoin(F.broadcast(S.corpus_statistics(posted))).select("term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query("r1_bm25_okapi", f"WITH {BASE_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM okapi WHERE score > 0) WHERE rank <= 10")
@@ -75,29 +75,32 @@ def r4(t):
     return t.documents.select("doc_id", S.keyword_count(F.col("text"), ["the", "mit", "que", "the"]).alias("score")).filter("score > 0")
 
 
-COS = "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS q FROM e WHERE vec_id < 5), c AS (SELECT query_id, vec_id, label, list_inner_product(v, q) AS d, sqrt(list_inner_product(v, v)) AS a, sqrt(list_inner_product(q, q)) AS b FROM e CROSS JOIN q)"
+COS = "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS q FROM e WHERE vec_id % 50 = 0), c AS (SELECT query_id, vec_id, label, list_inner_product(v, q) AS d, sqrt(list_inner_product(v, v)) AS a, sqrt(list_inner_product(q, q)) AS b FROM e CROSS JOIN q)"
 
 
 def vector_queries(t):
-    return t.embeddings.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+TOP = " SELECT query_id, vec_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ({}){}) WHERE rank <= 10"
 
 
-@query("r5_cosine_topk", COS + " SELECT query_id, vec_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT query_id, vec_id, d / ((a + 1e-10) * (b + 1e-10)) AS score FROM c) WHERE score >= 0.3) WHERE rank <= 10")
+@query("r5_cosine_topk", COS + TOP.format("SELECT query_id, vec_id, d / ((a + 1e-10) * (b + 1e-10)) AS score FROM c", " WHERE score >= 0.3"))
 def r5(t):
-    return _round(S.top_k(S.vector_search(t.embeddings, vector_queries(t), threshold=0.3), 10, "vec_id"))
+    return _round(S.vector_search(t.embeddings, vector_queries(t), 10, threshold=0.3))
 
 
-@query("r6_cosine_product", COS + " SELECT query_id, vec_id, round(d / (a * b + 1e-8), 6) AS score FROM c")
+@query("r6_cosine_product", COS + TOP.format("SELECT query_id, vec_id, d / (a * b + 1e-8) AS score FROM c", ""))
 def r6(t):
-    return _round(S.vector_search(t.embeddings, vector_queries(t), kind="product"))
+    return _round(S.vector_search(t.embeddings, vector_queries(t), 10, kind="product"))
 
 
-@query("r7_cosine_zero", COS + " SELECT query_id, vec_id, round(CASE WHEN a = 0 OR b = 0 THEN 0 ELSE d / (a * b) END, 6) AS score FROM c")
+@query("r7_cosine_zero", COS + TOP.format("SELECT query_id, vec_id, CASE WHEN a = 0 OR b = 0 THEN 0 ELSE d / (a * b) END AS score FROM c", ""))
 def r7(t):
-    return _round(S.vector_search(t.embeddings, vector_queries(t), kind="zero"))
+    return _round(S.vector_search(t.embeddings, vector_queries(t), 10, kind="zero"))
 
 
-RANKS_SQL = f"""WITH {BASE_SQL}, e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), qv AS (SELECT vec_id AS query_id, v AS q FROM e WHERE vec_id BETWEEN 1 AND 3),
+RANKS_SQL = f"""WITH {BASE_SQL}, e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), qv AS (SELECT vec_id // 50 AS query_id, v AS q FROM e WHERE vec_id IN (50, 100, 150)),
 c AS (SELECT query_id, vec_id AS doc_id, list_inner_product(v, q) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(q, q)) + 1e-8) AS score FROM e CROSS JOIN qv),
 ranks AS (SELECT query_id, 'bm25' AS list, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM plus UNION ALL SELECT query_id, 'vector', doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) FROM c),
 rrf AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS rrf FROM ranks WHERE rank <= 50 GROUP BY 1, 2)"""
@@ -105,8 +108,9 @@ rrf AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS rrf FROM ranks WHERE
 
 def rankings(t, k=50):
     sparse = S.top_k(S.bm25_plus_one(chunks(t), questions(t), key="doc_id", keep_zero=False), k, "doc_id").withColumn("list", F.lit("bm25"))
-    dense = S.vector_search(t.embeddings, t.embeddings.filter("vec_id between 1 and 3").select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("q")), kind="product")
-    dense = S.top_k(dense.withColumnRenamed("vec_id", "doc_id"), k, "doc_id").withColumn("list", F.lit("vector"))
+    # the vector of each question is a row of its own
+    asked = t.embeddings.filter(F.col("vec_id").isin(50, 100, 150)).select(F.expr("cast(vec_id div 50 as int)").alias("query_id"), F.col("embedding").alias("q"))
+    dense = S.vector_search(t.embeddings, asked, k, kind="product").withColumnRenamed("vec_id", "doc_id").withColumn("list", F.lit("vector"))
     return sparse.unionByName(dense)
 
 
@@ -132,12 +136,12 @@ PAIRS = "list_filter(list_distinct(list_transform(range(1, length({0})), lambda
 
 
 @query("r11_pair_overlap", f"""
-WITH x AS (SELECT item_id, doc_id, {PAIRS.format("b.text")} AS q, {PAIRS.format("substr(d.text, 1, 500)")} AS p FROM benchmark b CROSS JOIN documents d)
+WITH x AS (SELECT item_id, doc_id, {PAIRS.format("b.text")} AS q, {PAIRS.format("substr(d.text, 1, 500)")} AS p FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 20)
 SELECT item_id, doc_id, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, p)) / len(q) END, 6) AS overlap FROM x""")
 def r11(t):
     q = t.benchmark.select("item_id", S.pairs_of(F.col("text")).alias("q"))
-    d = t.documents.select("doc_id", S.pairs_of(F.substring("text", 1, 500)).alias("p"))
-    return d.crossJoin(small(q)).select("item_id", "doc_id", F.round(S.pair_share(F.col("q"), F.col("p")), 6).alias("overlap"))
+    d = t.documents.select("doc_id", (F.col("doc_id") % 20).alias("item_id"), S.pairs_of(F.substring("text", 1, 500)).alias("p"))
+    return d.join(small(q), "item_id").select("item_id", "doc_id", F.round(S.pair_share(F.col("q"), F.col("p")), 6).alias("overlap"))
 
 
 RERANK = RANKS_SQL + f""", base AS (SELECT query_id, doc_id, rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS rank FROM rrf),
@@ -168,11 +172,12 @@ def r14(t):
     return _round(S.top_k(S.reciprocal_rank_fusion(rankings(t, 150), key="doc_id"), 10, "doc_id", "rrf"), "rrf")
 
 
-@query("r15_multi_representation", COS + """, r AS (SELECT query_id, vec_id // 4 AS doc_id, CASE label % 4 WHEN 0 THEN 'original' WHEN 1 THEN 'summary' WHEN 2 THEN 'keywords' ELSE 'paraphrase' END AS rep_type, CASE WHEN a = 0 OR b = 0 THEN 0 ELSE d / (a * b) END AS s FROM c),
-b AS (SELECT query_id, doc_id, rep_type, max(s * CASE rep_type WHEN 'original' THEN 1.0 WHEN 'summary' THEN 0.8 WHEN 'keywords' THEN 0.7 ELSE 0.9 END) AS s FROM r GROUP BY 1, 2, 3)
-SELECT query_id, doc_id, round(max(s) + 0.05 * (count(*) - 1), 6) AS score, max_by(rep_type, (s, rep_type)) AS matched_via FROM b GROUP BY 1, 2""".replace("max_by(rep_type, (s, rep_type))", "arg_max(rep_type, s)"))
+@query("r15_multi_representation", COS + """, r AS (SELECT query_id, vec_id // 4 AS doc_id, CASE label % 4 WHEN 0 THEN 'original' WHEN 1 THEN 'summary' WHEN 2 THEN 'keywords' ELSE 'paraphrase' END AS rep_type, CASE WHEN a = 0 OR b = 0 THEN 0 ELSE d / (a * b) END AS s, vec_id FROM c),
+t AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= 50),
+b AS (SELECT query_id, doc_id, rep_type, max(s * CASE rep_type WHEN 'original' THEN 1.0 WHEN 'summary' THEN 0.8 WHEN 'keywords' THEN 0.7 ELSE 0.9 END) AS s FROM t GROUP BY 1, 2, 3)
+SELECT query_id, doc_id, round(max(s) + 0.05 * (count(*) - 1), 6) AS score, arg_max(rep_type, s) AS matched_via FROM b GROUP BY 1, 2""")
 def r15(t):
-    s = S.vector_search(t.embeddings, vector_queries(t), kind="zero").join(t.embeddings.select("vec_id", "label"), "vec_id")
+    s = S.vector_search(t.embeddings, vector_queries(t), 50, kind="zero").join(t.embeddings.select("vec_id", "label"), "vec_id")
     rep = F.element_at(F.array(*map(F.lit, ("original", "summary", "keywords", "paraphrase"))), (F.col("label") % 4 + 1).cast("int"))
     rows = s.select("query_id", F.expr("vec_id div 4").alias("doc_id"), rep.alias("rep_type"), F.col("score").alias("cosine"))
     return _round(S.multi_representation(rows, {"original": 1.0, "summary": 0.8, "keywords": 0.7, "paraphrase": 0.9}))

@@ -255,9 +255,50 @@ def test_levels_with_cycle(spark):
 
 
 def test_plans_do_not_multiply(spark, data):
-    """A search shuffles no texts, and reads only the columns that it names."""
+    """A search reads texts once, for postings; what is left reads those and multiplies nothing."""
     from lexweave import registry
 
     plan = registry.queries()["r1_bm25_okapi"](spark, data)._jdf.queryExecution().toString()
-    assert "CartesianProduct" not in plan
-    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan or "ReadSchema: struct<text:string>" in plan
+    assert "CartesianProduct" not in plan and "text:string" not in plan
+
+
+def test_postings(spark):
+    chunks = spark.createDataFrame([("a", ["x", "y", "x", "z", "x"]), ("b", []), ("c", ["y"])], "k string, tokens array<string>")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    every = search.postings(chunks, "k")
+    assert rows(every) == sorted([("a", 5, None, None), ("a", 5, "x", 3), ("a", 5, "y", 1), ("a", 5, "z", 1), ("b", 0, None, None), ("c", 1, None, None), ("c", 1, "y", 1)], key=repr)
+    wanted = spark.createDataFrame([("x",), ("q",), ("x",)], "term string")
+    few = [("a", 5, None, None), ("a", 5, "x", 3), ("b", 0, None, None), ("c", 1, None, None)]
+    assert rows(search.postings(chunks, "k", wanted=wanted)) == sorted(few, key=repr)
+    many = wanted.unionByName(spark.range(2100).selectExpr("concat('t', id) as term"))
+    assert rows(search.postings(chunks, "k", wanted=many)) == sorted(few, key=repr)
+    assert search.corpus_statistics(every).first()["avgdl"] == 3.0 and search.corpus_statistics(every, blank=True).first()["avgdl"] == 2.0
+
+
+@pytest.mark.parametrize("kind", ["each", "product", "zero"])
+@pytest.mark.parametrize("block", [None, 60])
+def test_vector_search_in_blocks(spark, kind, block):
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randint(-2, 2)) for _ in range(4)]) for i in range(120)] + [(500, None), (501, [1.0])]
+    v = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
+    q = spark.createDataFrame([(i, x) for i, x in rows[:30]], "query_id int, q array<double>")
+    plain = v.filter("size(embedding) = 4").crossJoin(q).select("query_id", "vec_id", search.cosine(F.col("embedding"), F.col("q"), kind).alias("score")).filter("score >= 0.2")
+    want = sorted((r["query_id"], r["vec_id"], r["rank"], round(r["score"], 9)) for r in search.top_k(plain.withColumn("score", F.round("score", 12)), 7, "vec_id").collect())
+    got = search.vector_search(v, q, 7, kind=kind, threshold=0.2, block=block).collect()
+    assert [x[3] for x in sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got)] == [x[3] for x in sorted((a, c, b, d) for a, b, c, d in want)]
+    assert {(r["query_id"], r["rank"]) for r in got} == {(a, c) for a, _, c, _ in want}
+
+
+def test_dimension(spark):
+    from lexweave.operators import dimension
+
+    assert "broadcast" in dimension.small(spark.createDataFrame([(1, "x")], "k int, v string"))._jdf.queryExecution().analyzed().toString().lower()
+    wide = spark.range(100).selectExpr("id", "repeat('x', 400000) as v")
+    assert "broadcast" not in dimension.small(wide)._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_contained_by_index(spark):
+    texts = spark.createDataFrame([(1, "see the long title here"), (2, "ab"), (3, ""), (4, None), (5, "the long ti")], "k int, text string")
+    terms = spark.createDataFrame([("the long title",), ("ab",), ("b",), ("",), (None,), ("zz",)], "term string")
+    assert sorted((r["k"], r["term"]) for r in expand.contained_by_index(texts, terms, ["k"]).collect()) == [(1, "the long title"), (2, "ab"), (2, "b")]
+    assert expand.contained_by_index(texts, terms.limit(0), ["k"]).count() == 0
