@@ -39,7 +39,7 @@ def strip(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Runs of letters and digits in lower case, longer than one character or not ASCII."""
-    return F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda t: (F.length(t) > 1) | (F.octet_length(t) > 1))
+    return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]{2,}+|[[\p{L}\p{N}]&&[^\x00-\x7f]]"), F.lit(0))
 
 
 def mixed_tokens(c: Column) -> Column:

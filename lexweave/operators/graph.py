@@ -76,21 +76,30 @@ def paths(edges: DataFrame, seeds: DataFrame, hops: int, types: list[str] | None
     return seen.filter("distance > 0")
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, *, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """(node, rank); weights of dangling nodes are spread over all."""
+def pagerank(edges: DataFrame, nodes: DataFrame, *, rounds: int = 100, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """(node, rank); weights of dangling nodes are spread over all.
+
+    Ends when the ranks together change by less than ``tolerance`` for each
+    node, or after so many rounds; a tolerance of 0 runs all rounds.
+    """
     n = nodes.count()
     e = cut(edges.select("from", "to").distinct(), "pagerank")
     out = e.groupBy("from").agg(F.count(F.lit(1)).alias("deg"))
     links = cut(e.join(out, "from"), "pagerank")
-    ranks = cut(nodes.select("node", F.lit(1.0 / max(n, 1)).alias("rank")), "pagerank")
+    # nodes know whether they send; so a round reads the ranks, not the edges, for what is lost
+    start = nodes.join(out.select(F.col("from").alias("node"), F.lit(True).alias("sends")), "node", "left")
+    ranks = cut(start.select("node", F.coalesce("sends", F.lit(False)).alias("sends"), F.lit(1.0 / max(n, 1)).alias("rank")), "pagerank")
     for _ in range(rounds):
         sent = links.join(ranks, links["from"] == ranks["node"]).groupBy(F.col("to").alias("node")).agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
-        dangling = ranks.join(out, ranks["node"] == out["from"], "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        after = ranks.select("node").join(sent, "node", "left").crossJoin(F.broadcast(dangling))
-        after = cut(after.select("node", (F.lit((1 - damping) / max(n, 1)) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank")), "pagerank")
+        dangling = ranks.filter("not sends").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+        after = ranks.join(sent, "node", "left").crossJoin(F.broadcast(dangling))
+        new = F.lit((1 - damping) / max(n, 1)) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)
+        after = cut(after.select("node", "sends", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")), "pagerank")
         discard(ranks)
         ranks = after
-    return ranks
+        if tolerance and (ranks.agg(F.sum("change")).first()[0] or 0.0) < tolerance * n:
+            break
+    return ranks.select("node", "rank")
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -25,42 +25,36 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 MOST_TERMS = 2000
 
 
-def _counted(tokens: Column) -> Column:
-    """(term, tf) of the distinct tokens: runs in the sorted array."""
-    at = lambda x, i: F.get(x, i)
+def _few_terms(queries: DataFrame) -> list[str] | None:
+    """The distinct terms of the queries; None if they are more than ``MOST_TERMS``."""
+    found = [r["term"] for r in queries.select(F.explode("terms").alias("term")).distinct().limit(MOST_TERMS + 1).collect()]
+    return found if len(found) <= MOST_TERMS else None
 
-    def runs(x):
-        n = F.size(x)
-        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (at(x, i) != at(x, i - 1)))
-        ends = F.concat(F.slice(starts, F.lit(2), n), F.array(n))
-        return F.zip_with(starts, ends, lambda i, j: F.struct(at(x, i).alias("term"), (j - i).cast("long").alias("tf")))
 
-    counted = F.get(F.transform(F.array(F.sort_array(tokens)), runs), F.lit(0))
-    return F.when(F.size(tokens) > 0, counted).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+def _checked(df: DataFrame, few: list[str] | None) -> DataFrame:
+    """A table with a row for each of few terms is broadcast; of many it is if it turns out to be small."""
+    return small(df) if few is None else F.broadcast(df)
 
 
-def postings(chunks: DataFrame, key: str, tokens: str = "tokens", wanted: DataFrame | None = None) -> DataFrame:
-    """(key, dl, term, tf), written: the distinct terms of every chunk, or only those in ``wanted`` (term).
+def postings(chunks: DataFrame, queries: DataFrame, key: str, tokens: str = "tokens", few: list[str] | None = None) -> DataFrame:
+    """(key, dl, term, tf), written: the queries' terms in every chunk; ``few`` are those terms, if they are few.
 
     dl is the chunk's length in tokens; every chunk has a row with a null term.
     """
-    own = F.col(tokens)
-    found = None
-    if wanted is not None:
-        found = [r["term"] for r in wanted.distinct().limit(MOST_TERMS + 1).collect()]
-        if len(found) <= MOST_TERMS:
-            own = F.filter(tokens, lambda x: x.isin(found) if found else F.lit(False))
-    head = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("tf")))
-    rows = chunks.select(key, F.size(tokens).alias("dl"), F.explode(F.concat(head, _counted(own))).alias("p")).select(key, "dl", "p.term", "p.tf")
-    if found is not None and len(found) > MOST_TERMS:
-        rows = rows.filter("term is null").unionByName(rows.join(wanted.select("term").distinct(), "term", "left_semi").select(*rows.columns))
+    own = F.array_distinct(tokens) if few is None else F.array_intersect(tokens, F.array(*map(F.lit, few)).cast("array<string>"))
+    kind = "array<struct<term:string,tf:bigint>>"
+    head = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("tf"))).cast(kind)
+    listed = F.transform(own, lambda t: F.struct(t.alias("term"), (F.size(tokens) - F.size(F.array_remove(tokens, t))).cast("long").alias("tf"))).cast(kind)
+    rows = chunks.select(key, F.size(tokens).alias("dl"), F.explode(F.concat(head, listed)).alias("p")).select(key, "dl", "p.term", "p.tf")
+    if few is None:
+        wanted = queries.select(F.explode("terms").alias("term")).distinct()
+        rows = rows.filter("term is null").unionByName(rows.join(wanted, "term", "left_semi").select(*rows.columns))
     return cut(rows, "postings")
 
 
-def corpus_statistics(posted: DataFrame, blank: bool = False) -> DataFrame:
-    """One row: chunks and their mean length; those without a token count only if ``blank``."""
-    rows = posted.filter("term is null" if blank else "term is null and dl > 0")
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+def corpus_statistics(posted: DataFrame) -> DataFrame:
+    """One row: the chunks with a token, and their mean length."""
+    return posted.filter("term is null and dl > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def document_frequencies(posted: DataFrame) -> DataFrame:
@@ -68,6 +62,20 @@ def document_frequencies(posted: DataFrame) -> DataFrame:
     return posted.filter("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def vocabulary(chunks: DataFrame, tokens: str = "tokens") -> tuple[DataFrame, DataFrame]:
+    """((term, df) of all terms, one row of n, filled and total: chunks, those with a token, and all tokens), from one pass.
+
+    The pass gives each chunk a null term beside its distinct ones, which
+    carries the counts of chunks through the same aggregate.
+    """
+    marked = chunks.select(F.size(tokens).alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct(tokens))).alias("term"))
+    counted = marked.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.count_if((F.col("term").isNull()) & (F.col("dl") > 0)).alias("filled"), F.sum(F.when(F.col("term").isNull(), F.col("dl").cast("long"))).alias("total"))
+    counted = cut(counted, "vocabulary")
+    # a table of chunks that is empty has no such row
+    sizes = counted.filter("term is null").agg(F.coalesce(F.max("df"), F.lit(0)).alias("n"), F.coalesce(F.max("filled"), F.lit(0)).alias("filled"), F.max("total").alias("total"))
+    return counted.filter("term is not null").select("term", "df"), sizes
+
+
 def _weight(tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Column:
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
@@ -78,9 +86,10 @@ def _asked(queries: DataFrame) -> DataFrame:
 
 def bm25_plus_one(chunks: DataFrame, queries: DataFrame, *, key: str = "chunk_id", tokens: str = "tokens", keep_zero: bool = True, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, key, score) with idf ln((N - df + .5) / (df + .5) + 1); chunks without a match score 0 if kept."""
-    posted = postings(chunks, key, tokens, queries.select(F.explode("terms").alias("term")))
+    few = _few_terms(queries)
+    posted = postings(chunks, queries, key, tokens, few)
     stats = corpus_statistics(posted)
-    rows = posted.filter("term is not null").join(small(document_frequencies(posted)), "term").join(small(_asked(queries)), "term").crossJoin(F.broadcast(stats))
+    rows = posted.filter("term is not null").join(_checked(document_frequencies(posted), few), "term").join(small(_asked(queries)), "term").crossJoin(F.broadcast(stats))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     scored = rows.groupBy("query_id", key).agg(F.sum(F.col("times") * idf * _weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("score"))
     if not keep_zero:
@@ -91,16 +100,14 @@ def bm25_plus_one(chunks: DataFrame, queries: DataFrame, *, key: str = "chunk_id
 
 def bm25_okapi(chunks: DataFrame, queries: DataFrame, *, key: str = "chunk_id", tokens: str = "tokens", k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
     """(query_id, key, score) above 0 with idf ln(N - df + .5) - ln(df + .5), where a negative idf is epsilon times the vocabulary's mean."""
-    posted = postings(chunks, key, tokens)
-    stats = corpus_statistics(posted, blank=True)
-    asked = _asked(queries)
-    # one row for each term, far less than postings, and read twice
-    frequencies = cut(document_frequencies(posted), "frequencies")
+    few = _few_terms(queries)
+    terms, sizes = vocabulary(chunks, tokens)
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    vocabulary = frequencies.crossJoin(F.broadcast(stats)).withColumn("raw", raw)
-    floor = vocabulary.agg((epsilon * F.avg("raw")).alias("floor"))
-    idf = vocabulary.join(small(asked), "term").crossJoin(F.broadcast(floor)).select("query_id", "term", "times", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    rows = posted.join(small(idf), "term")
+    weighed = terms.crossJoin(F.broadcast(sizes)).withColumn("raw", raw)
+    floor = weighed.agg((epsilon * F.avg("raw")).alias("floor"))
+    idf = F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw"))
+    idf = weighed.join(small(_asked(queries)), "term").crossJoin(F.broadcast(floor)).select("query_id", "term", "times", (F.col("total") / F.col("n")).alias("avgdl"), idf.alias("idf"))
+    rows = postings(chunks, queries, key, tokens, few).filter("term is not null").join(_checked(idf, few), "term")
     scored = rows.groupBy("query_id", key).agg(F.sum(F.col("times") * F.col("idf") * _weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("score"))
     return scored.filter("score > 0")
 

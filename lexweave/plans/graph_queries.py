@@ -75,7 +75,7 @@ PR_ROUND = "r{i} AS MATERIALIZED (SELECT s_suppkey AS node, 0.15 / (SELECT count
 
 @query("g5_pagerank", f"WITH {EDGES_SQL.replace('e AS (', 'e AS MATERIALIZED (')}, o AS MATERIALIZED (SELECT a, count(*) AS deg FROM e GROUP BY a), r0 AS MATERIALIZED (SELECT s_suppkey AS node, 1.0::DOUBLE / (SELECT count(*) FROM supplier) AS rank FROM supplier), " + ", ".join(PR_ROUND.format(i=i, p=i - 1) for i in range(1, 21)) + " SELECT node, round(rank, 8) AS rank FROM r20")
 def g5(t):
-    return G.pagerank(edges(t), nodes(t)).select("node", F.round("rank", 8).alias("rank"))
+    return G.pagerank(edges(t), nodes(t), rounds=20, tolerance=0).select("node", F.round("rank", 8).alias("rank"))
 
 
 SPARSE_SQL = "e AS (SELECT DISTINCT o_custkey AS a, o_custkey + 7 AS b FROM orders), n AS (SELECT c_custkey AS node FROM customer), s AS (SELECT a, b FROM e JOIN n ON n.node = b UNION SELECT b, a FROM e JOIN n ON n.node = b), r(node, other) AS (SELECT node, node FROM n UNION SELECT r.node, s.b FROM r JOIN s ON r.other = s.a), c AS (SELECT node, min(other) AS component FROM r GROUP BY node)"

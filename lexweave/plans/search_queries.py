@@ -39,8 +39,8 @@ def _round(df, *names):
 
 @query("a3_corpus_statistics", f"WITH {BASE_SQL} SELECT term, df, n, round(avgdl, 6) AS avgdl FROM f CROSS JOIN s")
 def a3(t):
-    posted = S.postings(chunks(t), "doc_id")
-    return S.document_frequencies(posted).crossJoin(F.broadcast(S.corpus_statistics(posted))).select("term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
+    terms, sizes = S.vocabulary(chunks(t))
+    return terms.crossJoin(F.broadcast(sizes)).select("term", "df", F.col("filled").alias("n"), F.round(F.col("total") / F.col("filled"), 6).alias("avgdl"))
 
 
 @query("r1_bm25_okapi", f"WITH {BASE_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM okapi WHERE score > 0) WHERE rank <= 10")

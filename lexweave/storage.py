@@ -8,6 +8,7 @@ temporary folder if it runs on one machine, and an error on a cluster.
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -33,12 +34,32 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` as a Parquet table in the shared folder and reads it back; the session's end deletes it."""
+@contextlib.contextmanager
+def _few_files(spark: SparkSession, few: bool):
+    """Small exchanges are coalesced to the advised size, not spread over all cores, while a table is written."""
+    key = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    before = spark.conf.get(key)
+    if few:
+        spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        if few:
+            spark.conf.set(key, before)
+
+
+def cut(df: DataFrame, label: str, few_files: bool = False) -> DataFrame:
+    """Writes ``df`` as a Parquet table in the shared folder and reads it back; the session's end deletes it.
+
+    ``few_files`` is for tables that are mostly small and cheap to compute, such
+    as those of a loop: exchanges before them end in partitions of the advised
+    size even where that leaves cores idle.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexweave/{label}-{uuid.uuid4().hex}"
     # nothing waits for a marker of success: the table is read by its own path only after the write has returned
-    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    with _few_files(spark, few_files):
+        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     p, fs = _path(spark, path)
     fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)

@@ -265,14 +265,16 @@ def test_plans_do_not_multiply(spark, data):
 def test_postings(spark):
     chunks = spark.createDataFrame([("a", ["x", "y", "x", "z", "x"]), ("b", []), ("c", ["y"])], "k string, tokens array<string>")
     rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
-    every = search.postings(chunks, "k")
-    assert rows(every) == sorted([("a", 5, None, None), ("a", 5, "x", 3), ("a", 5, "y", 1), ("a", 5, "z", 1), ("b", 0, None, None), ("c", 1, None, None), ("c", 1, "y", 1)], key=repr)
-    wanted = spark.createDataFrame([("x",), ("q",), ("x",)], "term string")
     few = [("a", 5, None, None), ("a", 5, "x", 3), ("b", 0, None, None), ("c", 1, None, None)]
-    assert rows(search.postings(chunks, "k", wanted=wanted)) == sorted(few, key=repr)
-    many = wanted.unionByName(spark.range(2100).selectExpr("concat('t', id) as term"))
-    assert rows(search.postings(chunks, "k", wanted=many)) == sorted(few, key=repr)
-    assert search.corpus_statistics(every).first()["avgdl"] == 3.0 and search.corpus_statistics(every, blank=True).first()["avgdl"] == 2.0
+    asked = spark.createDataFrame([(1, ["x", "q"]), (2, ["x"])], "query_id int, terms array<string>")
+    posted = search.postings(chunks, asked, "k", few=search._few_terms(asked))
+    assert rows(posted) == sorted(few, key=repr)
+    many = asked.unionByName(spark.range(2100).selectExpr("3 as query_id", "array(concat('t', id)) as terms"))
+    assert search._few_terms(many) is None and rows(search.postings(chunks, many, "k")) == sorted(few, key=repr)
+    terms, sizes = search.vocabulary(chunks)
+    assert rows(terms) == [("x", 1), ("y", 2), ("z", 1)] and tuple(sizes.first()) == (3, 2, 6)
+    assert search.corpus_statistics(posted).first()["avgdl"] == 3.0
+    assert rows(search.vocabulary(chunks.limit(0))[0]) == []
 
 
 @pytest.mark.parametrize("kind", ["each", "product", "zero"])
@@ -302,3 +304,22 @@ def test_contained_by_index(spark):
     terms = spark.createDataFrame([("the long title",), ("ab",), ("b",), ("",), (None,), ("zz",)], "term string")
     assert sorted((r["k"], r["term"]) for r in expand.contained_by_index(texts, terms, ["k"]).collect()) == [(1, "the long title"), (2, "ab"), (2, "b")]
     assert expand.contained_by_index(texts, terms.limit(0), ["k"]).count() == 0
+
+
+def test_pagerank_converges(spark):
+    """Against a plain power iteration to the same tolerance."""
+    rng = random.Random(5)
+    edges = sorted({(rng.randrange(30), rng.randrange(30)) for _ in range(60)})
+    nodes = range(32)
+    rank = dict.fromkeys(nodes, 1 / 32)
+    while True:
+        lost = sum(rank[v] for v in nodes if not any(a == v for a, _ in edges))
+        new = {v: 0.15 / 32 + 0.85 * (lost / 32 + sum(rank[a] / sum(x == a for x, _ in edges) for a, b in edges if b == v)) for v in nodes}
+        change = sum(abs(new[v] - rank[v]) for v in nodes)
+        rank = new
+        if change < 32e-6:
+            break
+    got = graph.pagerank(spark.createDataFrame(edges, "`from` int, `to` int"), spark.createDataFrame([(v,) for v in nodes], "node int"))
+    assert all(abs(r["rank"] - rank[r["node"]]) < 1e-9 for r in got.collect()) and abs(sum(rank.values()) - 1) < 1e-9
+    early = graph.pagerank(spark.createDataFrame(edges, "`from` int, `to` int"), spark.createDataFrame([(v,) for v in nodes], "node int"), rounds=1)
+    assert max(abs(r["rank"] - rank[r["node"]]) for r in early.collect()) > 1e-4
