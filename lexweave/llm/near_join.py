@@ -319,8 +319,6 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
     blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     group = F.when(blocks == 1, F.pmod(F.xxhash64("component"), F.lit(bundles))).otherwise(F.xxhash64("component"))
     chosen = parts.join(size, "component").select("doc_id", "mark", "set", "component", "copies", blocks.alias("blocks"), group.alias("group"))
-    # written: if it is small the planner broadcasts it, and only the texts that are compared are exchanged
-    chosen = cut(chosen, "chosen")
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     dealt = chosen.alias("c").join(texts.alias("t"), F.expr("c.doc_id <=> t.doc_id and c.mark = t.mark")).select("c.group", "c.component", "c.set", "c.blocks", "c.copies", "t.text")
