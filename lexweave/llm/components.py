@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     neighbours is never gathered.  Each round is a written table.
     """
     pairs = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct()
-    now = cut(pairs, "edges")
+    now = cut(pairs, "edges", few_files=True)
     before = None
     while True:
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -29,14 +29,14 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         before = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written, so that both sides of the join below come from exchanges of their own and a hot node can be split
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", few_files=True)
         # large star: neighbours above u go to the smallest around u
         large = now.select(F.col("v").alias("c"), F.col("u").alias("w")).join(least.withColumnRenamed("u", "c"), "c").select(F.col("w").alias("u"), F.col("m").alias("v"))
-        large = cut(large.distinct(), "edges")
+        large = cut(large.distinct(), "edges", few_files=True)
         # small star: u and its neighbours below go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        after = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges", few_files=True)
         for old in (now, least, large):
             discard(old)
         now = after

@@ -211,12 +211,12 @@ def _candidates(sets: DataFrame, threshold: float, recall: float, depth: int, le
     stars = None
     for d in range(1, depth + 1):
         # written: small sizes are then broadcast without an exchange of the paths, large ones joined with a hot node split
-        size = cut(level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
+        size = cut(level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes", few_files=True)
         sized = cut(level.join(size, "node"), "paths")
         leaves.append(sized.filter(F.col("size") <= leaf).select("node", "set"))
         large = sized.filter(F.col("size") > leaf).select("node", "set")
         if d == depth:
-            least = cut(large.groupBy("node").agg(F.min("set").alias("v")), "least")
+            least = cut(large.groupBy("node").agg(F.min("set").alias("v")), "least", few_files=True)
             stars = large.join(least, "node").select(F.col("set").alias("u"), "v").filter("u <> v").distinct()
         elif large.isEmpty():
             break
@@ -376,7 +376,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
     classes = connected_components(found.filter("set <> root"), "set", "root").withColumnRenamed("node", "set")
     summary = sets.select("set", "copies", "doc_id", "mark").join(links, "set", "left").join(classes, "set", "left").withColumn("component", F.coalesce("component", "set"))
     # written, so that a large class can be split in the join
-    named = cut(summary.groupBy("component").agg(pick.alias("one")).select("component", F.col("one.doc_id").alias("class_id"), F.col("one.mark").alias("class_mark")), "named")
+    named = cut(summary.groupBy("component").agg(pick.alias("one")).select("component", F.col("one.doc_id").alias("class_id"), F.col("one.mark").alias("class_mark")), "named", few_files=True)
     summary = summary.join(named, "component").select("set", "class_id", "class_mark", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = rows.select("doc_id", "mark", "set").join(summary, "set", "left")
     alone = F.col("set").isNull()

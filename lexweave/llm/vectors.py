@@ -211,7 +211,7 @@ def link(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
     parts = connected_components(found.filter("node <> root"), "node", "root")
     summary = nodes.select("node", "copies", "least").join(links, "node", "left").join(parts.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     # written, so that a large component can be split in the join
-    named = cut(summary.groupBy("root").agg(F.min("least").alias("component_id")), "named")
+    named = cut(summary.groupBy("root").agg(F.min("least").alias("component_id")), "named", few_files=True)
     summary = summary.join(named, "root").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = keyed.select("vec_id", "node").join(summary, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
