@@ -42,6 +42,12 @@ CACHE_WORDS = 150_000
 _NO_RANK = np.int64(1) << 31
 _SHIFT = 21
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MARK_BITS = 20
+
+
+def _mark(keys: np.ndarray) -> np.ndarray:
+    return ((keys.view(np.uint64) * _MIX) >> np.uint64(64 - _MARK_BITS)).astype(np.int64)
 
 
 def _fields(data: bytes):
@@ -143,10 +149,7 @@ class Codec:
                     keys.append(u << _SHIFT | v)
                     merged.append(i)
                     rank.append(ranks[i])
-        order = np.argsort(np.array(keys, np.int64), kind="stable")
-        self.keys = np.append(np.array(keys, np.int64)[order], np.int64(1) << 62)
-        self.merged = np.append(np.array(merged, np.int64)[order], -1)
-        self.rank = np.append(np.array(rank, np.int64)[order], _NO_RANK)
+        self._hash_pairs(np.array(keys, np.int64), np.array(merged, np.int64), np.array(rank, np.int64))
         self.small, self.inner = self._neighbours([p for p in ids if len(p) > 1])
         # what each piece adds to a decoded text, as bytes
         surface = []
@@ -165,24 +168,55 @@ class Codec:
 
     # -- merging ---------------------------------------------------------
 
+    def _hash_pairs(self, keys, merged, rank):
+        """A table of pairs with open addressing, at most an eighth full."""
+        self.shift = np.uint64(64 - max(4, (8 * len(keys)).bit_length()))
+        size = 1 << int(np.uint64(64) - self.shift)
+        self.slot_key = np.full(size, -1, np.int64)
+        self.slot_rank = np.full(size, _NO_RANK)
+        self.slot_made = np.full(size, -1, np.int64)
+        at = self._slot(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            free = self.slot_key[at[left]] == -1
+            one = left[free][np.unique(at[left[free]], return_index=True)[1]]
+            self.slot_key[at[one]], self.slot_rank[at[one]], self.slot_made[at[one]] = keys[one], rank[one], merged[one]
+            left = left[self.slot_key[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) % size
+
+    def _slot(self, q):
+        return ((q.view(np.uint64) * _MIX) >> self.shift).astype(np.int64)
+
     def _pairs(self, left, right):
         """(rank, merged symbol) of symbol pairs."""
         q = (left << _SHIFT) | right
-        i = np.searchsorted(self.keys, q)
-        hit = self.keys[i] == q
-        return np.where(hit, self.rank[i], _NO_RANK), self.merged[i]
+        at = self._slot(q)
+        key = self.slot_key[at]
+        off = np.flatnonzero((key != q) & (key != -1))
+        while len(off):
+            at[off] = (at[off] + 1) % len(self.slot_key)
+            key = self.slot_key[at[off]]
+            off = off[(key != q[off]) & (key != -1)]
+        # where the search ended in an empty slot there is no pair, and that slot says so
+        return self.slot_rank[at], self.slot_made[at]
+
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        """All pairs: key to (rank, merged symbol)."""
+        at = np.flatnonzero(self.slot_key >= 0)
+        return {int(k): (int(r), int(m)) for k, r, m in zip(self.slot_key[at], self.slot_rank[at], self.slot_made[at], strict=True)}
 
     @staticmethod
     def _neighbours(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the pieces of two characters, and of all three characters side by side in a piece."""
-        small, inner = [], []
-        for p in pieces:
-            c = list(map(ord, p))
-            if len(c) == 2:
-                small.append(c[0] << _SHIFT | c[1])
-            inner += [c[k] << 2 * _SHIFT | c[k + 1] << _SHIFT | c[k + 2] for k in range(len(c) - 2)]
-        end = np.int64((1 << 63) - 1)
-        return np.append(np.unique(np.array(small, np.int64)), end), np.append(np.unique(np.array(inner, np.int64)), end)
+        """Marks of the pieces of two characters, and of all three characters side by side in a piece.
+
+        A mark is a bit at a hash; others that share it only make runs longer.
+        """
+        out = np.zeros((2, 1 << _MARK_BITS), bool)
+        small = [ord(p[0]) << _SHIFT | ord(p[1]) for p in pieces if len(p) == 2]
+        inner = [ord(p[k]) << 2 * _SHIFT | ord(p[k + 1]) << _SHIFT | ord(p[k + 2]) for p in pieces for k in range(len(p) - 2)]
+        for marks, keys in zip(out, (small, inner), strict=True):
+            marks[_mark(np.array(keys, np.int64))] = True
+        return out[0], out[1]
 
     def _runs(self, char: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The number of each character's run: a run ends with its word, or where no piece crosses."""
@@ -190,12 +224,11 @@ class Codec:
             return word
         within = word[1:] == word[:-1]
         two = char[:-1] << _SHIFT | char[1:]
-        three = char[:-2] << 2 * _SHIFT | two[1:]
-        is_small = self.small[np.searchsorted(self.small, two)] == two
-        is_inner = (self.inner[np.searchsorted(self.inner, three)] == three) & within[:-1] & within[1:] if len(three) else np.zeros(0, bool)
-        crossed = is_small.copy()
-        crossed[1:] |= is_inner
-        crossed[:-1] |= is_inner
+        inner = self.inner[_mark(char[:-2] << 2 * _SHIFT | two[1:])]
+        inner &= within[:-1] & within[1:]
+        crossed = self.small[_mark(two)]
+        crossed[1:] |= inner
+        crossed[:-1] |= inner
         return np.concatenate([[0], np.cumsum(~(crossed & within))])
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -49,7 +49,7 @@ def one_at_a_time(sym, table):
 
 def test_rounds_are_one_merge_at_a_time():
     rng = random.Random(4)
-    table = {int(k): (int(r), int(m)) for k, r, m in zip(CODEC.keys[:-1], CODEC.rank[:-1], CODEC.merged[:-1], strict=True)}
+    table = CODEC.pairs()
     words = ["▁" + "".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for letters in ("thereandinof", "aab", "anananbnb", "e0x1", "-=*") for _ in range(100)]
     sym, at = CODEC.merge(words)
     for w, a, b in zip(words, at, at[1:], strict=False):
@@ -64,9 +64,7 @@ def test_rounds_with_ranks_that_are_not_monotone():
         kinds = [P._UNKNOWN, *[P._NORMAL] * (3 + len(pieces))]
         model = P.Model(["<unk>", "a", "b", "c", *pieces], np.array([0, 0, 0, 0, *(-float(rng.randint(1, 12)) for _ in pieces)], np.float32), kinds)
         codec = P.Codec(model)
-        table = {}
-        for k, r, m in zip(codec.keys[:-1].tolist(), codec.rank[:-1].tolist(), codec.merged[:-1].tolist(), strict=True):
-            table[k] = (r, m)
+        table = codec.pairs()
         words = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 40))) for _ in range(40)]
         sym, at = codec.merge(words)
         for w, a, b in zip(words, at, at[1:], strict=False):
