@@ -1,32 +1,86 @@
-"""Row numbers without a task that sees a whole group."""
+"""What a row's place in its group says, without a task that sees a whole group.
+
+Rows are dealt by range of (group, order) and written, so a group with a third
+of all rows lies in many ranges.  What a window needs from outside of a row's
+range comes from a table of one row for each group and range.  Rows that tie in
+the order are in one range, in any order; nulls come first; a null is a group
+like any other; an empty group list makes all rows one group.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut
 
 
-def numbered(rows: DataFrame, group: list[str], order: list, name: str = "k") -> DataFrame:
-    """rows with a number from 1 in each group, by the order's columns.
-
-    Rows are dealt by range of (group, order) and written; a row's number is its
-    place in its range plus the rows of its group in earlier ranges, which are
-    counted in a table of one row for each group and range.  An empty group list
-    numbers all rows.
-    """
-    spark = rows.sparkSession
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    group = list(group)
-    keyed = rows.withColumns({f"__o{i}": o if not isinstance(o, str) else F.col(o) for i, o in enumerate(order)})
+def _dealt(rows: DataFrame, group: list[str], order: list) -> tuple[DataFrame, list[str]]:
+    """The rows by range, written, with __range and the order as columns, and the names of those."""
+    parts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = rows.withColumns({f"__o{i}": F.col(o) if isinstance(o, str) else o for i, o in enumerate(order)})
     keys = [f"__o{i}" for i in range(len(order))]
-    dealt = cut(keyed.repartitionByRange(parts, *group, *keys).withColumn("__range", F.spark_partition_id()), "ranges")
-    counts = cut(dealt.groupBy(*group, "__range").agg(F.count(F.lit(1)).alias("__n")), "counts")
-    w = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)], F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
-    own = dealt.withColumn("__own", F.row_number().over(Window.partitionBy("__range", *group).orderBy(*keys)))
+    return cut(keyed.repartitionByRange(parts, *group, *keys).withColumn("__range", F.spark_partition_id()), "ranges"), keys
+
+
+def _own(group: list[str], keys: list[str]):
+    return Window.partitionBy("__range", *group).orderBy(*keys)
+
+
+def _ranges(group: list[str]):
+    return Window.partitionBy(*group).orderBy("__range")
+
+
+def _earlier(group: list[str]):
+    return _ranges(group).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _told(own: DataFrame, facts: DataFrame, group: list[str]) -> DataFrame:
+    """The rows with the facts of their group and range."""
+    names = {c: f"__g{i}" for i, c in enumerate(group)}
     on = F.col("__range") == F.col("__r")
-    for i, c in enumerate(group):
-        on = on & F.col(c).eqNullSafe(F.col(f"__g{i}"))
-    return own.join(starts, on).select(*rows.columns, (F.col("__own") + F.col("__before")).cast("long").alias(name))
+    for c, g in names.items():
+        on = on & F.col(c).eqNullSafe(F.col(g))
+    return own.join(facts.withColumnsRenamed(names | {"__range": "__r"}), on)
+
+
+def numbered(rows: DataFrame, group: list[str], order: list, name: str = "k", size: str | None = None) -> DataFrame:
+    """rows with a number from 1 in each group, by the order's columns, and the group's number of rows if ``size`` names it."""
+    dealt, keys = _dealt(rows, group, order)
+    counts = cut(dealt.groupBy(*group, "__range").agg(F.count(F.lit(1)).alias("__n")), "counts")
+    facts = counts.select(*group, "__range", F.coalesce(F.sum("__n").over(_earlier(group)), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy(*group)).alias("__size"))
+    own = dealt.withColumn("__own", F.row_number().over(_own(group, keys)))
+    more = [F.col("__size").alias(size)] if size else []
+    return _told(own, facts, group).select(*rows.columns, (F.col("__own") + F.col("__before")).cast("long").alias(name), *more)
+
+
+def running_total(rows: DataFrame, group: list[str], order: list, value: Column, name: str = "total") -> DataFrame:
+    """rows with the sum of the value up to the row; null as long as all values are."""
+    dealt, keys = _dealt(rows.withColumn("__v", value), group, order)
+    sums = cut(dealt.groupBy(*group, "__range").agg(F.sum("__v").alias("__s")), "sums")
+    facts = sums.select(*group, "__range", F.sum("__s").over(_earlier(group)).alias("__before"))
+    own = dealt.withColumn("__own", F.sum("__v").over(_own(group, keys).rowsBetween(Window.unboundedPreceding, 0)))
+    total = F.coalesce(F.col("__own") + F.col("__before"), "__own", "__before")
+    return _told(own, facts, group).select(*rows.columns, total.alias(name))
+
+
+def earlier_largest(rows: DataFrame, group: list[str], order: list, values: dict[str, Column]) -> DataFrame:
+    """rows with the largest of each named value in earlier rows of the group; null if there is none."""
+    dealt, keys = _dealt(rows.withColumns(values), group, order)
+    most = cut(dealt.groupBy(*group, "__range").agg(*[F.max(v).alias(f"__m{i}") for i, v in enumerate(values)]), "largest")
+    facts = most.select(*group, "__range", *[F.max(f"__m{i}").over(_earlier(group)).alias(f"__b{i}") for i in range(len(values))])
+    before = _own(group, keys).rowsBetween(Window.unboundedPreceding, -1)
+    own = dealt.withColumns({f"__w{i}": F.max(v).over(before) for i, v in enumerate(values)})
+    return _told(own, facts, group).select(*rows.columns, *[F.greatest(f"__w{i}", f"__b{i}").alias(v) for i, v in enumerate(values)])
+
+
+def neighbours(rows: DataFrame, group: list[str], order: list, value: Column, previous: str = "previous", following: str = "next") -> DataFrame:
+    """rows with the value of the row before and of the row behind in the group; null at its ends."""
+    # in a struct, so that a neighbour's null isn't taken for a missing neighbour
+    dealt, keys = _dealt(rows.withColumn("__v", F.struct(value.alias("v"))), group, order)
+    at = F.struct(*keys)
+    ends = cut(dealt.groupBy(*group, "__range").agg(F.min_by("__v", at).alias("__first"), F.max_by("__v", at).alias("__last")), "ends")
+    facts = ends.select(*group, "__range", F.lag("__last").over(_ranges(group)).alias("__before"), F.lead("__first").over(_ranges(group)).alias("__after"))
+    own = dealt.withColumns({"__p": F.lag("__v").over(_own(group, keys)), "__n": F.lead("__v").over(_own(group, keys))})
+    out = _told(own, facts, group)
+    return out.select(*rows.columns, F.coalesce("__p", "__before")["v"].alias(previous), F.coalesce("__n", "__after")["v"].alias(following))

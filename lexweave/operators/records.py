@@ -6,10 +6,11 @@ latest row of each key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dimension import small
+from .ranking import numbered
 
 
 def latest(log: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -29,9 +30,8 @@ def like_any(columns: list[str], text: str) -> Column:
 
 def number_versions(versions: DataFrame, doc: str, order: list[str]) -> DataFrame:
     """version_seq from 1 in each document and is_latest."""
-    w = Window.partitionBy(doc).orderBy(*order)
-    rows = versions.withColumn("version_seq", F.row_number().over(w))
-    return rows.withColumn("is_latest", F.col("version_seq") == F.max("version_seq").over(Window.partitionBy(doc)))
+    rows = numbered(versions, [doc], order, "version_seq", size="__size")
+    return rows.withColumns({"version_seq": F.col("version_seq").cast("int"), "is_latest": F.col("version_seq") == F.col("__size")}).drop("__size")
 
 
 def attach_tags(docs: DataFrame, bridge: DataFrame, tags: DataFrame, doc: str, tag: str, name: str) -> DataFrame:

@@ -13,10 +13,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..batches import bounded_batches
+from .ranking import earlier_largest, neighbours
 
 SIZE, OVERLAP = 800, 100
 #: Boundaries that a piece of a long text prefers, best first.
@@ -236,13 +237,14 @@ def structure(text: str) -> Iterator[tuple[str, str, int, str, str, str]]:
 
 def parents(rows: DataFrame, doc: str = "doc_id", pos: str = "pos", depth: str = "depth", deepest: int = 6) -> DataFrame:
     """rows with parent_pos: the nearest earlier row of the document that is shallower."""
-    w = Window.partitionBy(doc).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    nearest = [F.max(F.when(F.col(depth) == d, F.col(pos))).over(w) for d in range(deepest)]
+    names = [f"__nearest{d}" for d in range(deepest)]
+    out = earlier_largest(rows, [doc], [pos], {n: F.when(F.col(depth) == d, F.col(pos)) for d, n in enumerate(names)})
+    nearest = [F.col(n) for n in names]
     best = F.lit(None).cast("int")
     for d in range(deepest):
         above = F.greatest(*nearest[:d]) if d > 1 else nearest[0] if d == 1 else F.lit(None)
         best = F.when(F.col(depth) == d, above.cast("int")).otherwise(best)
-    return rows.withColumn("parent_pos", best)
+    return out.withColumn("parent_pos", best).drop(*names)
 
 
 def section_id(doc: Column, name: str = "root") -> Column:
@@ -273,6 +275,5 @@ def navigation(rows: DataFrame, doc: str = "doc_id", number: str = "number") ->
     """(doc, number, parent, n_children, previous, next) among sections with the same parent."""
     up = rows.select(doc, number, parent_number(F.col(number)).alias("parent"))
     children = up.groupBy(doc, F.col("parent").alias(number)).agg(F.count(F.lit(1)).alias("n_children"))
-    w = Window.partitionBy(doc, "parent").orderBy(contents_key(F.col(number)))
-    out = up.withColumn("previous", F.lag(number).over(w)).withColumn("next", F.lead(number).over(w))
+    out = neighbours(up, [doc, "parent"], [contents_key(F.col(number))], F.col(number))
     return out.join(children, [doc, number], "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)).cast("long"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import cut, discard
+from .ranking import neighbours, running_total
 
 
 def resolve_threads(messages: DataFrame, *, key: str = "message_id", reply: str = "in_reply_to", references: str = "references", rounds: int = 32) -> DataFrame:
@@ -42,9 +43,10 @@ def thread_statistics(messages: DataFrame, as_of: Column, *, thread: str = "thre
 
 def mean_reply_hours(messages: DataFrame, *, thread: str = "thread", at: str = "at", order: list[str] | None = None) -> DataFrame:
     """The mean of the positive gaps between consecutive messages; null if there is none."""
-    w = Window.partitionBy(thread).orderBy(*(order or [at]))
-    gap = (F.unix_seconds(F.col(at).cast("timestamp")) - F.unix_seconds(F.lag(at).over(w).cast("timestamp"))) / 3600.0
-    return messages.withColumn("__gap", gap).groupBy(thread).agg(F.avg(F.when(F.col("__gap") > 0, F.col("__gap"))).alias("mean_hours"))
+    order = order or [at]
+    rows = neighbours(messages.select(*dict.fromkeys([thread, at, *order])), [thread], order, F.col(at), "__before", "__after")
+    gap = (F.unix_seconds(F.col(at).cast("timestamp")) - F.unix_seconds(F.col("__before").cast("timestamp"))) / 3600.0
+    return rows.withColumn("__gap", gap).groupBy(thread).agg(F.avg(F.when(F.col("__gap") > 0, F.col("__gap"))).alias("mean_hours"))
 
 
 def unanswered(messages: DataFrame, *, key: str = "message_id", references: str = "references") -> DataFrame:
@@ -54,8 +56,7 @@ def unanswered(messages: DataFrame, *, key: str = "message_id", references: str
 
 def within_budget(rows: DataFrame, partition: list[str], order: list, length: Column, budget: int) -> DataFrame:
     """The longest prefix of each partition, in order, whose lengths add up to at most the budget."""
-    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("__sum", F.sum(length).over(w)).filter(F.col("__sum") <= budget).drop("__sum")
+    return running_total(rows, partition, order, length, "__sum").filter(F.col("__sum") <= budget).drop("__sum")
 
 
 def packed_context(texts: Column, budget: int) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import expand as E
 from ..operators import glossary as G
+from ..operators import ranking
 from ..operators import segment as S
 from ..operators.dimension import small
 from ..registry import query
@@ -103,7 +103,7 @@ def w5(t):
 
 @query("w7_version_history", f"SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(ORDER)})::INT AS seq, l_shipdate FROM lineitem")
 def w7(t):
-    return t.lineitem.withColumn("seq", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORDER))).select("l_orderkey", "seq", "l_shipdate")
+    return ranking.numbered(t.lineitem.select("l_orderkey", *ORDER), ["l_orderkey"], ORDER, "seq").select("l_orderkey", F.col("seq").cast("int").alias("seq"), "l_shipdate")
 
 
 @query("f3_threshold", "SELECT doc_id, n_chars / 1000 AS score FROM documents WHERE n_chars / 1000 >= 3")

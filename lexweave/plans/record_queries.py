@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import ranking
 from ..operators import records as R
 from ..operators.dimension import small
 from ..registry import query
@@ -124,9 +125,12 @@ def a9(t):
 SELECT assignee, count(*) AS total, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'overdue') AS overdue, string_agg(title, ', ' ORDER BY k) FILTER (k <= 3) || CASE WHEN count(*) > 3 THEN ' (+' || (count(*) - 3)::VARCHAR || ')' ELSE '' END AS preview FROM k GROUP BY assignee""")
 def a10(t):
     w = Window.partitionBy("assignee").orderBy("priority", "due", "task_id")
-    rows = tasks(t).withColumn("k", F.row_number().over(w))
-    few = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= 3, F.struct("k", "title")))), lambda x: x["title"]), ", ")
-    out = rows.groupBy("assignee").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "done").alias("done"), F.count_if(F.col("status") == "overdue").alias("overdue"), few.alias("few"))
+    rows = tasks(t)
+    # the first three of each are found before the exchange
+    first = rows.withColumn("k", F.row_number().over(w)).filter("k <= 3")
+    few = first.groupBy(F.col("assignee").alias("who")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "title"))), lambda x: x["title"]), ", ").alias("few"))
+    out = rows.groupBy("assignee").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "done").alias("done"), F.count_if(F.col("status") == "overdue").alias("overdue"))
+    out = out.join(few, F.col("assignee").eqNullSafe(F.col("who"))).drop("who")
     return out.select("assignee", "total", "done", "overdue", F.concat("few", F.when(F.col("total") > 3, F.concat(F.lit(" (+"), (F.col("total") - 3).cast("string"), F.lit(")"))).otherwise("")).alias("preview"))
 
 
@@ -187,7 +191,8 @@ def z25(t):
 
 @query("g10_dependency_chain", f"WITH {TASKS_SQL} SELECT task_id, lag(task_id) OVER (PARTITION BY project, phase ORDER BY task_id) AS depends_on FROM u")
 def g10(t):
-    return tasks(t).select("task_id", F.lag("task_id").over(Window.partitionBy("project", "phase").orderBy("task_id")).alias("depends_on"))
+    rows = tasks(t).select("task_id", "project", "phase")
+    return ranking.neighbours(rows, ["project", "phase"], ["task_id"], F.col("task_id"), "depends_on").select("task_id", "depends_on")
 
 
 @query("j14_resolve_titles", f"WITH {TASKS_SQL}, n AS (SELECT title, max(task_id) AS id FROM u GROUP BY title), d AS (SELECT task_id, unnest(['task ' || (task_id - 1)::VARCHAR, 'unknown ' || task_id::VARCHAR]) AS want FROM u) SELECT d.task_id, coalesce(n.id::VARCHAR, want) AS resolved FROM d LEFT JOIN n ON n.title = want")

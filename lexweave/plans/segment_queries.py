@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import diff as V
+from ..operators import ranking
 from ..operators import segment as S
 from ..operators.dimension import small
 from ..registry import query
@@ -120,8 +121,8 @@ OUTLINE_SQL = "s AS (SELECT source AS doc_id, (row_number() OVER (PARTITION BY s
 
 @query("t5_hierarchy", f"WITH {OUTLINE_SQL} SELECT doc_id, pos, depth, (SELECT max(p.pos) FROM s p WHERE p.doc_id = s.doc_id AND p.pos < s.pos AND p.depth < s.depth)::INT AS parent_pos FROM s")
 def t5(t):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    rows = t.documents.select(F.col("source").alias("doc_id"), (F.row_number().over(w) - 1).alias("pos"), (F.col("doc_id") % 4).cast("int").alias("depth"))
+    rows = ranking.numbered(t.documents.select("source", F.col("doc_id").alias("id")), ["source"], ["id"], "n")
+    rows = rows.select(F.col("source").alias("doc_id"), (F.col("n") - 1).cast("int").alias("pos"), (F.col("id") % 4).cast("int").alias("depth"))
     return S.parents(rows).select("doc_id", "pos", "depth", "parent_pos")
 
 
@@ -146,7 +147,8 @@ def t9(t):
 
 @query("w10_contents_order", f"WITH {NUMBERS_SQL} SELECT doc_id, number, row_number() OVER (PARTITION BY doc_id ORDER BY list_transform(string_split(number, '.'), lambda x: x::INT))::INT AS position FROM n")
 def w10(t):
-    return numbered(t).select("doc_id", "number", F.row_number().over(Window.partitionBy("doc_id").orderBy(S.contents_key(F.col("number")))).alias("position"))
+    rows = ranking.numbered(numbered(t).select("doc_id", "number"), ["doc_id"], [S.contents_key(F.col("number"))], "position")
+    return rows.withColumn("position", F.col("position").cast("int"))
 
 
 @query("j18_navigation", f"""WITH {NUMBERS_SQL}, u AS (SELECT *, CASE WHEN contains(number, '.') THEN regexp_replace(number, '\\.[^.]*$', '') ELSE '' END AS parent, list_transform(string_split(number, '.'), lambda x: x::INT) AS k FROM n)
@@ -174,8 +176,7 @@ def t12(t):
 
 @query("j17_neighbours", "SELECT doc_id, lag(doc_id) OVER w AS previous, lead(doc_id) OVER w AS next FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)")
 def j17(t):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return t.documents.select("doc_id", F.lag("doc_id").over(w).alias("previous"), F.lead("doc_id").over(w).alias("next"))
+    return ranking.neighbours(t.documents.select("doc_id", "source"), ["source"], ["doc_id"], F.col("doc_id")).drop("source")
 
 
 @query("j19_referenced_sections", "SELECT n_nationkey, s_suppkey, k::INT AS k FROM nation JOIN (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier) ON s_nationkey = (n_nationkey + 1) % 25 WHERE k <= 5")

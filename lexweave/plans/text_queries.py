@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import ranking
 from ..registry import query
 
 TOKENS_SQL = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda t: length(t) > 1 OR strlen(t) > 1)"
@@ -103,10 +104,7 @@ def x10(t):
 WITH a AS (SELECT doc_id, source, lang, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS p, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)
 SELECT doc_id, 'Document: ' || source || chr(10) || 'Domain: ' || lang || coalesce(chr(10) || 'Before: ' || p::VARCHAR, '') || coalesce(chr(10) || 'After: ' || n::VARCHAR, '') AS header FROM a""")
 def x11(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source").orderBy("doc_id")
-    rows = t.documents.select("doc_id", "source", "lang", F.lag("doc_id").over(w).cast("string").alias("p"), F.lead("doc_id").over(w).cast("string").alias("n"))
+    rows = ranking.neighbours(t.documents.select("doc_id", "source", "lang"), ["source"], ["doc_id"], F.col("doc_id").cast("string"), "p", "n")
     return rows.select("doc_id", X.context_header(F.col("source"), F.lit(""), F.col("lang"), F.col("p"), F.col("n")).alias("header"))
 
 

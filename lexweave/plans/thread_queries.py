@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import ranking
 from ..operators import threads as T
 from ..operators.dimension import small
 from ..registry import query
@@ -106,12 +107,12 @@ def w15(t):
 @query("w16_last_messages", "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role = 'system' ORDER BY turn DESC) AS k FROM conversations) WHERE k <= CASE WHEN role = 'system' THEN 1 ELSE 3 END")
 def w16(t):
     w = Window.partitionBy("conv_id", F.col("role") == "system").orderBy(F.desc("turn"))
-    return t.conversations.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= F.when(F.col("role") == "system", 1).otherwise(3)).select("conv_id", "turn")
+    return t.conversations.withColumn("k", F.row_number().over(w)).filter((F.col("k") <= 3) & (F.col("k") <= F.when(F.col("role") == "system", 1).otherwise(3))).select("conv_id", "turn")
 
 
 @query("z23_thread_sample", "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations) WHERE total <= 5 OR n <= 2 OR n > total - 3")
 def z23(t):
-    rows = t.conversations.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("conv_id")))
+    rows = ranking.numbered(t.conversations.select("conv_id", "turn"), ["conv_id"], ["turn"], "n", size="total")
     return rows.filter(T.dense_sample("n", "total", most=5)).select("conv_id", "turn")
 
 

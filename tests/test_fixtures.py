@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as X
-from lexweave.operators import diff, expand, graph, records, search, segment, threads
+from lexweave.operators import diff, expand, graph, ranking, records, search, segment, threads
 
 
 def one(spark, column, **values):
@@ -323,3 +323,36 @@ def test_pagerank_converges(spark):
     assert all(abs(r["rank"] - rank[r["node"]]) < 1e-9 for r in got.collect()) and abs(sum(rank.values()) - 1) < 1e-9
     early = graph.pagerank(spark.createDataFrame(edges, "`from` int, `to` int"), spark.createDataFrame([(v,) for v in nodes], "node int"), rounds=1)
     assert max(abs(r["rank"] - rank[r["node"]]) for r in early.collect()) > 1e-4
+
+
+def in_groups(seed, n=300):
+    """(g, o, v): one group holds most rows, one is null, and values may be null."""
+    rng = random.Random(seed)
+    return [(rng.choice(["hot"] * 6 + ["a", "b", None]), o, rng.choice([None, *range(9)])) for o in rng.sample(range(10 * n), n)]
+
+
+def by_group(rows):
+    out = {}
+    for r in sorted(rows, key=lambda r: r[1]):
+        out.setdefault(r[0], []).append(r)
+    return out
+
+
+@pytest.mark.parametrize("n", [0, 1, 300])
+def test_places_in_groups(spark, n):
+    rows = in_groups(3, n)
+    df = spark.createDataFrame(rows, "g string, o int, v int")
+    v = F.col("v")
+    want_number, want_total, want_near, want_large = set(), set(), set(), set()
+    for own in by_group(rows).values():
+        for i, (g, o, x) in enumerate(own):
+            upto, before = [r[2] for r in own[: i + 1] if r[2] is not None], [r[2] for r in own[:i] if r[2] is not None]
+            want_number.add((g, o, x, i + 1, len(own)))
+            want_total.add((g, o, x, sum(upto) if upto else None))
+            want_near.add((g, o, x, own[i - 1][2] if i else None, own[i + 1][2] if i + 1 < len(own) else None))
+            want_large.add((g, o, x, max(before) if before else None))
+    assert {tuple(r) for r in ranking.numbered(df, ["g"], ["o"], size="size").collect()} == want_number
+    assert {tuple(r) for r in ranking.running_total(df, ["g"], ["o"], v).collect()} == want_total
+    assert {tuple(r) for r in ranking.neighbours(df, ["g"], ["o"], v).collect()} == want_near
+    assert {tuple(r) for r in ranking.earlier_largest(df, ["g"], ["o"], {"m": v}).collect()} == want_large
+    assert sorted(r["k"] for r in ranking.numbered(df, [], ["o"]).collect()) == list(range(1, n + 1))
