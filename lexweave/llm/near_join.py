@@ -331,6 +331,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], names=["group", "component", "set", "blocks", "copies", "shingles"])
 
     hashed = dealt.mapInArrow(shingled, "group bigint, component binary, set binary, blocks int, copies bigint, shingles array<bigint>")
+    # rows that repeat are one row, partly before the exchange
+    hashed = hashed.dropDuplicates(["set"])
     own = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
     hashed = hashed.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
     hashed = hashed.select("group", "component", "set", "copies", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "shingles")
@@ -338,8 +340,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
     def verify(table: pa.Table) -> pa.Table:
         names = table.column("set").to_pylist()
         part = table.column("component").to_pylist()
-        first = {x: k for k, x in reversed(list(enumerate(names)))}  # a row that repeats counts once
-        at = sorted(first.values(), key=lambda k: (part[k], k))
+        at = sorted(range(len(names)), key=lambda k: (part[k], k))
         copies = table.column("copies").to_numpy()
         own = table.column("own").to_numpy()
         cross = bool(len(names)) and table.column("i")[0].as_py() != table.column("j")[0].as_py()

@@ -132,3 +132,12 @@ def test_word_hashes_match_split():
         start, h = N.word_hashes(data)
         words = text.encode().split()
         assert len(start) == len(words) and len(set(h.tolist())) == len(set(words))
+
+
+def test_a_row_repeated_very_often_is_compared_once(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words))] * 500 + [(2, " ".join(words[1:]))] * 3 + [(None, " ".join(words))] * 2 + [(4, "other words that stand for themselves alone")]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in N.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 504), 2: (1, 504), None: (1, 504), 4: (4, 0)}
+    kept = N.representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
