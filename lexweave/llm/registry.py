@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, language, mixing, near_join, pieces, pii, quality, secret_scan, sharding, vectors
+from . import chat, language, lexical, mixing, near_join, pieces, pii, quality, secret_scan, sharding, vectors
 
 QUERIES = {
     "op1_near_join": near_join.op1_near_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mix": mixing.op8_mix,
     "op9_shard": sharding.op9_shard,
     "op10_vectors": vectors.op10_vectors,
+    "op11_search": lexical.op11_search,
 }
 
 SQL = {
@@ -24,4 +25,5 @@ SQL = {
     "op7_chat": chat.SQL,
     "op8_mix": mixing.SQL,
     "op10_vectors": vectors.SQL,
+    "op11_search": lexical.SQL,
 }
