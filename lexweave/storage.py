@@ -48,9 +48,12 @@ def _few_files(spark: SparkSession, few: bool):
             spark.conf.set(key, before)
 
 
-def cut(df: DataFrame, label: str, few_files: bool = False) -> DataFrame:
+def cut(df: DataFrame, label: str, few_files: bool = False, by: str | None = None) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back; the session's end deletes it.
 
+    With ``by``, a folder holds the rows of each value of that column, so a
+    reader of one value reads no other.
+
     ``few_files`` is for tables that are mostly small and cheap to compute, such
     as those of a loop: exchanges before them end in partitions of the advised
     size even where that leaves cores idle.
@@ -59,7 +62,7 @@ def cut(df: DataFrame, label: str, few_files: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/lexweave/{label}-{uuid.uuid4().hex}"
     # nothing waits for a marker of success: the table is read by its own path only after the write has returned
     with _few_files(spark, few_files):
-        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").partitionBy(*[by] if by else []).parquet(path)
     p, fs = _path(spark, path)
     fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
@@ -71,5 +74,10 @@ def discard(df: DataFrame) -> None:
     """Deletes a table made by :func:`cut` that nothing will read again."""
     path = getattr(df, "_cut_path", None)
     if path:
-        p, fs = _path(df.sparkSession, path)
-        fs.delete(p, True)
+        discard_path(df.sparkSession, path)
+
+
+def discard_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one."""
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
