@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, language, lexical, mixing, near_join, pieces, pii, quality, secret_scan, sharding, vectors
+from . import chat, language, lexical, line_dedup, mixing, near_join, pieces, pii, quality, secret_scan, sharding, trie, vectors
 
 QUERIES = {
     "op1_near_join": near_join.op1_near_join,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_shard": sharding.op9_shard,
     "op10_vectors": vectors.op10_vectors,
     "op11_search": lexical.op11_search,
+    "op12_trie": trie.op12_trie,
+    "op13_lines": line_dedup.op13_lines,
 }
 
 SQL = {
@@ -26,4 +28,6 @@ SQL = {
     "op8_mix": mixing.SQL,
     "op10_vectors": vectors.SQL,
     "op11_search": lexical.SQL,
+    "op12_trie": trie.SQL,
+    "op13_lines": line_dedup.SQL,
 }
