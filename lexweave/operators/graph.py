@@ -118,14 +118,6 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return after.drop("moved")
 
 
-def rollup(rows: DataFrame, head: int, node: str = "node", component: str = "component") -> DataFrame:
-    """(component, n, summary): the size and the first nodes of each component; only those are gathered."""
-    sizes = rows.groupBy(component).agg(F.count(F.lit(1)).alias("n"))
-    first = rows.withColumn("__k", F.row_number().over(Window.partitionBy(component).orderBy(node))).filter(F.col("__k") <= head)
-    named = first.groupBy(component).agg(F.array_join(F.transform(F.array_sort(F.collect_list(node)), lambda x: x.cast("string")), ", ").alias("summary"))
-    return sizes.join(named, component)
-
-
 def communities(edges: DataFrame, nodes: DataFrame, small: int = 5) -> DataFrame:
     """(node, community): a component of at most ``small`` nodes is one community; a larger one is halved by degree.
 
@@ -155,11 +147,3 @@ def levels(tasks: DataFrame, depends: DataFrame) -> DataFrame:
         open_ = cut(open_.join(ready, "task", "left_anti"), "levels")
         level += 1
     return done if done is not None else tasks.select("task", F.lit(0).alias("level"))
-
-
-def cypher(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One MERGE statement for each node and edge."""
-    quote = lambda c: F.concat(F.lit("'"), F.replace(F.col(c).cast("string"), F.lit("'"), F.lit("\\'")), F.lit("'"))
-    a = nodes.select(F.concat(F.lit("MERGE (:"), "type", F.lit(" {id: "), quote("node"), F.lit("});")).alias("statement"))
-    b = edges.select(F.concat(F.lit("MATCH (a {id: "), quote("from"), F.lit("}), (b {id: "), quote("to"), F.lit("}) MERGE (a)-[:"), "type", F.lit("]->(b);")).alias("statement"))
-    return a.unionByName(b)

@@ -86,9 +86,9 @@ def d2(t):
     return D.keep_first(rows, F.col("fp"), ["doc_id"]).select("doc_id", "source")
 
 
-@query("d1_concat_sources", "SELECT doc_id AS id, text, 'documents' AS origin FROM documents WHERE lang = 'es' UNION ALL SELECT item_id, text, 'benchmark' FROM benchmark")
+@query("d1_concat_sources", "SELECT doc_id AS id, text, 'documents' AS origin FROM documents UNION ALL SELECT item_id, text, 'benchmark' FROM benchmark")
 def d1(t):
-    a = t.documents.filter("lang = 'es'").select(F.col("doc_id").alias("id"), "text", F.lit("documents").alias("origin"))
+    a = t.documents.select(F.col("doc_id").alias("id"), "text", F.lit("documents").alias("origin"))
     return a.unionByName(t.benchmark.select(F.col("item_id").alias("id"), "text", F.lit("benchmark").alias("origin")), allowMissingColumns=True)
 
 

@@ -51,17 +51,6 @@ def g2(t):
     return G.paths(e, nodes(t).filter("node = 3"), 2, ["A", "R"])
 
 
-@query("g3_graph_build", """
-SELECT 'Document' AS type, source AS node FROM documents GROUP BY source UNION ALL SELECT 'Section', source || '#' || lang FROM documents GROUP BY source, lang UNION ALL SELECT 'Concept', lang FROM documents GROUP BY lang
-UNION ALL SELECT 'CONTAINS', source || '>' || source || '#' || lang FROM documents GROUP BY source, lang UNION ALL SELECT 'MENTIONS', source || '#' || lang || '>' || lang FROM documents GROUP BY source, lang""")
-def g3(t):
-    pairs = t.documents.select("source", "lang").distinct()
-    row = lambda df, kind, c: df.select(F.lit(kind).alias("type"), c.alias("node")).distinct()
-    section = F.concat("source", F.lit("#"), "lang")
-    out = row(pairs, "Document", F.col("source")).unionByName(row(pairs, "Section", section)).unionByName(row(pairs, "Concept", F.col("lang")))
-    return out.unionByName(row(pairs, "CONTAINS", F.concat("source", F.lit(">"), section))).unionByName(row(pairs, "MENTIONS", F.concat(section, F.lit(">"), "lang")))
-
-
 @query("g4_concept_network", f"WITH {EDGES_SQL} SELECT a AS \"from\", b AS \"to\" FROM e WHERE a <= 10 OR b <= 10")
 def g4(t):
     concepts = nodes(t).filter("node <= 10")
@@ -99,23 +88,12 @@ def g6c(t):
     return G.communities(e, n)
 
 
-@query("a15_community_rollup", f"WITH RECURSIVE {SPARSE_SQL} SELECT component, count(*) AS n, array_to_string(list_slice(list_sort(list(node)), 1, 5), ', ') AS summary FROM c GROUP BY component")
-def a15(t):
-    e, n = sparse(t)
-    return G.rollup(G.components(e, n), 5)
-
-
 @query("g9_levels", "SELECT n_nationkey AS task, (n_nationkey // 5)::INT AS level FROM nation")
 def g9(t):
     tasks = t.nation.select(F.col("n_nationkey").alias("task"))
     return G.levels(tasks, t.nation.select(F.col("n_nationkey").alias("task"), (F.col("n_nationkey") - 5).alias("on")))
 
 
-@query("k5_cypher", "SELECT 'MERGE (:Nation {id: ''' || n_nationkey::VARCHAR || '''});' AS statement FROM nation UNION ALL SELECT 'MATCH (a {id: ''' || n_nationkey::VARCHAR || '''}), (b {id: ''' || n_regionkey::VARCHAR || '''}) MERGE (a)-[:IN]->(b);' FROM nation")
-def k5(t):
-    return G.cypher(t.nation.select(F.col("n_nationkey").alias("node"), F.lit("Nation").alias("type")), t.nation.select(F.col("n_nationkey").alias("from"), F.col("n_regionkey").alias("to"), F.lit("IN").alias("type")))
-
-
 @query("j7_prefix_resolution", "WITH r AS (SELECT DISTINCT substr(p_name, 1, 6) AS ref FROM part), d AS (SELECT DISTINCT p_name AS doc FROM part) SELECT ref, arg_min(doc, (-length(doc), doc)) AS doc FROM r JOIN d ON starts_with(doc, ref) OR starts_with(ref, doc) WHERE ref <> '' GROUP BY ref")
 def j7(t):
     return G.resolve_prefix(t.part.select(F.substring("p_name", 1, 6).alias("ref")), t.part.select(F.col("p_name").alias("doc")))
@@ -127,13 +105,6 @@ def r10(t):
     return G.reach(edges(t), found, 1).select("node").distinct().join(found, "node", "left_anti").orderBy("node").limit(5)
 
 
-@query("g7_entity_index", f"WITH {EDGES_SQL} SELECT node, count(*) AS degree FROM (SELECT a AS node, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b) GROUP BY node")
-def g7(t):
-    e = edges(t).filter("`from` <> `to`")
-    both = e.unionByName(e.select(F.col("to").alias("from"), F.col("from").alias("to"))).distinct()
-    return both.groupBy(F.col("from").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
-
-
 SYN = [("the", ["a", "one"]), ("mit", ["with", "und"]), ("que", ["which"])]
 SYN_SQL = "(VALUES ('the', 'a'), ('the', 'one'), ('mit', 'with'), ('mit', 'und'), ('que', 'which')) s(term, synonym)"
 
@@ -179,17 +150,12 @@ def r25(t):
     return t.benchmark.select("item_id", E.is_complex(F.col("text"), ["the", "ing"], 300).alias("is_complex"))
 
 
-@query("j16_merge_indexes", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN b.s ELSE a.s + 0.5 * coalesce(b.s, 0) END AS score FROM (SELECT doc_id, n_chars::DOUBLE AS s FROM documents WHERE lang = 'en') a FULL JOIN (SELECT doc_id, quality::DOUBLE AS s FROM labels) b ON a.doc_id = b.doc_id")
+@query("j16_merge_indexes", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN b.s ELSE a.s + 0.5 * coalesce(b.s, 0) END AS score FROM (SELECT doc_id, n_chars::DOUBLE AS s FROM documents) a FULL JOIN (SELECT doc_id, quality::DOUBLE AS s FROM labels) b ON a.doc_id = b.doc_id")
 def j16(t):
-    a = t.documents.filter("lang = 'en'").select("doc_id", F.col("n_chars").cast("double").alias("score"))
+    a = t.documents.select("doc_id", F.col("n_chars").cast("double").alias("score"))
     return E.merge_indexes(a, t.labels.select("doc_id", F.col("quality").cast("double").alias("score")), "doc_id")
 
 
-@query("r19_entity_search", "SELECT p_partkey, round(contains(lower(p_name), 'blue')::INT * 2 + contains(lower(p_type), 'blue')::INT + 0.5 * contains(lower(p_name), 'blue')::INT, 6)::DOUBLE AS score FROM part")
-def r19(t):
-    return t.part.select("p_partkey", E.entity_score(F.lit("Blue"), F.col("p_name"), F.col("p_type")).alias("score"))
-
-
 @query("j10_titles_in_mail", "SELECT conv_id, turn, item_id FROM conversations c JOIN (SELECT item_id, array_to_string(string_split(text, ' ')[1:2], ' ') AS term FROM benchmark) b ON term <> '' AND contains(c.text || CASE WHEN conv_id % 3 = 0 THEN ' re: ' || (SELECT array_to_string(string_split(text, ' ')[1:2], ' ') FROM benchmark WHERE item_id = 1) ELSE '' END, term)")
 def j10(t):
     title = F.array_join(F.slice(F.split("text", " "), 1, 2), " ")
