@@ -98,8 +98,11 @@ def bm25_plus_one(chunks: DataFrame, queries: DataFrame, *, key: str = "chunk_id
     return every.join(scored, ["query_id", key], "left").select("query_id", key, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def bm25_okapi(chunks: DataFrame, queries: DataFrame, *, key: str = "chunk_id", tokens: str = "tokens", k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
-    """(query_id, key, score) above 0 with idf ln(N - df + .5) - ln(df + .5), where a negative idf is epsilon times the vocabulary's mean."""
+def bm25_okapi(chunks: DataFrame, queries: DataFrame, *, key: str = "chunk_id", tokens: str = "tokens", k1: float = K1, b: float = B, epsilon: float = EPSILON, allowed: DataFrame | None = None) -> DataFrame:
+    """(query_id, key, score) above 0 with idf ln(N - df + .5) - ln(df + .5), where a negative idf is epsilon times the vocabulary's mean.
+
+    With ``allowed`` (query_id, key) only those pairs are scored; statistics are of all chunks.
+    """
     few = _few_terms(queries)
     terms, sizes = vocabulary(chunks, tokens)
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
@@ -108,6 +111,8 @@ def bm25_okapi(chunks: DataFrame, queries: DataFrame, *, key: str = "chunk_id",
     idf = F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw"))
     idf = weighed.join(small(_asked(queries)), "term").crossJoin(F.broadcast(floor)).select("query_id", "term", "times", (F.col("total") / F.col("n")).alias("avgdl"), idf.alias("idf"))
     rows = postings(chunks, queries, key, tokens, few).filter("term is not null").join(_checked(idf, few), "term")
+    if allowed is not None:
+        rows = rows.join(allowed, ["query_id", key], "left_semi")
     scored = rows.groupBy("query_id", key).agg(F.sum(F.col("times") * F.col("idf") * _weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("score"))
     return scored.filter("score > 0")
 
@@ -257,6 +262,18 @@ def pair_share(query: Column, text: Column) -> Column:
     return F.when(F.size(query) == 0, 0.0).otherwise(F.size(F.array_intersect(query, text)) / F.size(query))
 
 
+def shared_pairs(queries: DataFrame, texts: DataFrame, query_key: str, key: str) -> DataFrame:
+    """(query_key, key, overlap) above 0, of queries (query_key, q) and texts (key, p) by their shares of common pairs.
+
+    Both sides meet by their pairs; those of a text lie together, so counts are
+    mostly complete before they are exchanged, and what has nothing in common
+    never meets.
+    """
+    own = queries.select(query_key, F.size("q").alias("n"), F.explode("q").alias("pair"))
+    met = texts.select(key, F.explode("p").alias("pair")).join(small(own), "pair")
+    return met.groupBy(query_key, key, "n").agg(F.count(F.lit(1)).alias("shared")).select(query_key, key, (F.col("shared") / F.col("n")).alias("overlap"))
+
+
 def pair_overlap(query: Column, text: Column, most: int = 500) -> Column:
     """The share of the query's character pairs that the head of the text has; 0 without pairs.
 
@@ -285,10 +302,5 @@ def multi_representation(scored: DataFrame, weights: dict[str, float], *, key: s
     return best.groupBy("query_id", key).agg(top.alias("t"), F.count(F.lit(1)).alias("n")).select("query_id", key, (F.col("t.s") + 0.05 * (F.col("n") - 1)).alias("score"), F.col("t.rep_type").alias("matched_via"))
 
 
-def with_fallback(filtered: DataFrame, unfiltered: DataFrame) -> DataFrame:
-    """The filtered hits of each query, and the unfiltered ones of queries that have none."""
-    return filtered.unionByName(unfiltered.join(filtered.select("query_id").distinct(), "query_id", "left_anti"))
-
-
 def confidence(score: Column) -> Column:
     return F.when(score >= 5, "high").when(score >= 3, "medium").otherwise("low")

@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import guided as D
 from ..operators import search as S
-from ..operators.dimension import small
 from ..registry import query
 from .text_queries import TOKENS_SQL
 
@@ -100,17 +100,23 @@ def r7(t):
     return _round(S.vector_search(t.embeddings, vector_queries(t), 10, kind="zero"))
 
 
-RANKS_SQL = f"""WITH {BASE_SQL}, e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), qv AS (SELECT vec_id // 50 AS query_id, v AS q FROM e WHERE vec_id IN (50, 100, 150)),
+#: Every document whose id is divisible by 50 asks with its first words, and with the vector of that id.
+ASKED_SQL = f"SELECT doc_id AS query_id, list_slice({TOKENS_SQL}, 1, 6) AS terms FROM documents WHERE doc_id % 50 = 0"
+RANKS_SQL = f"""WITH {BASE_SQL.replace(f"SELECT * FROM {QUESTIONS_SQL}", f"SELECT query_id, unnest(terms) AS term FROM ({ASKED_SQL})")}, e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), qv AS (SELECT vec_id AS query_id, v AS q FROM e WHERE vec_id % 50 = 0),
 c AS (SELECT query_id, vec_id AS doc_id, list_inner_product(v, q) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(q, q)) + 1e-8) AS score FROM e CROSS JOIN qv),
-ranks AS (SELECT query_id, 'bm25' AS list, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM plus UNION ALL SELECT query_id, 'vector', doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) FROM c),
+hit AS (SELECT query_id, 'bm25' AS list, doc_id, round(score, 9) AS score FROM plus UNION ALL SELECT query_id, 'vector', doc_id, round(score, 9) FROM c), ranks AS (SELECT query_id, list, doc_id, score, row_number() OVER (PARTITION BY query_id, list ORDER BY score DESC, doc_id) AS rank FROM hit),
 rrf AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS rrf FROM ranks WHERE rank <= 50 GROUP BY 1, 2)"""
 
 
+def asking(t):
+    return t.documents.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.slice(X.tokens(F.col("text")), 1, 6).alias("terms"))
+
+
 def rankings(t, k=50):
-    sparse = S.top_k(S.bm25_plus_one(chunks(t), questions(t), key="doc_id", keep_zero=False), k, "doc_id").withColumn("list", F.lit("bm25"))
-    # the vector of each question is a row of its own
-    asked = t.embeddings.filter(F.col("vec_id").isin(50, 100, 150)).select(F.expr("cast(vec_id div 50 as int)").alias("query_id"), F.col("embedding").alias("q"))
-    dense = S.vector_search(t.embeddings, asked, k, kind="product").withColumnRenamed("vec_id", "doc_id").withColumn("list", F.lit("vector"))
+    # sums of equal terms in another order are equal, so copies of a text tie
+    sparse = S.bm25_plus_one(chunks(t), asking(t), key="doc_id", keep_zero=False).withColumn("score", F.round("score", 9))
+    sparse = S.top_k(sparse, k, "doc_id").withColumn("list", F.lit("bm25"))
+    dense = S.vector_search(t.embeddings, vector_queries(t), k, kind="product").withColumn("score", F.round("score", 9)).withColumnRenamed("vec_id", "doc_id").withColumn("list", F.lit("vector"))
     return sparse.unionByName(dense)
 
 
@@ -136,17 +142,17 @@ PAIRS = "list_filter(list_distinct(list_transform(range(1, length({0})), lambda
 
 
 @query("r11_pair_overlap", f"""
-WITH x AS (SELECT item_id, doc_id, {PAIRS.format("b.text")} AS q, {PAIRS.format("substr(d.text, 1, 500)")} AS p FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 20)
-SELECT item_id, doc_id, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, p)) / len(q) END, 6) AS overlap FROM x""")
+WITH q AS (SELECT item_id, {PAIRS.format("text")} AS q FROM benchmark), p AS (SELECT doc_id, {PAIRS.format("substr(text, 1, 500)")} AS p FROM documents)
+SELECT item_id, doc_id, round(len(list_intersect(q, p)) / len(q), 6) AS overlap FROM q CROSS JOIN p WHERE len(list_intersect(q, p)) > 0""")
 def r11(t):
     q = t.benchmark.select("item_id", S.pairs_of(F.col("text")).alias("q"))
-    d = t.documents.select("doc_id", (F.col("doc_id") % 20).alias("item_id"), S.pairs_of(F.substring("text", 1, 500)).alias("p"))
-    return d.join(small(q), "item_id").select("item_id", "doc_id", F.round(S.pair_share(F.col("q"), F.col("p")), 6).alias("overlap"))
+    d = t.documents.select("doc_id", S.pairs_of(F.substring("text", 1, 500)).alias("p"))
+    return S.shared_pairs(q, d, "item_id", "doc_id").withColumn("overlap", F.round("overlap", 6))
 
 
 RERANK = RANKS_SQL + f""", base AS (SELECT query_id, doc_id, rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS rank FROM rrf),
-texts AS (SELECT doc_id, {PAIRS.format("substr(text, 1, 500)")} AS p FROM documents), qt AS (SELECT query_id, {PAIRS.format("(query_id::VARCHAR || ' the onth mit')")} AS g FROM (VALUES (1), (2), (3)) z(query_id)),
-sc AS (SELECT query_id, doc_id, rank, CASE WHEN rank <= 20 THEN 0.5 * rrf + 0.5 * len(list_intersect(g, p)) / len(g) ELSE rrf END AS final FROM base JOIN texts USING (doc_id) JOIN qt USING (query_id)),
+texts AS (SELECT doc_id, {PAIRS.format("substr(text, 1, 500)")} AS p FROM documents), qt AS (SELECT query_id, {PAIRS.format("array_to_string(terms, ' ')")} AS g FROM ({ASKED_SQL})),
+sc AS (SELECT query_id, doc_id, rank, CASE WHEN rank <= 20 THEN 0.5 * rrf + 0.5 * CASE WHEN len(g) = 0 THEN 0 ELSE len(list_intersect(g, p)) / len(g) END ELSE rrf END AS final FROM base JOIN texts USING (doc_id) JOIN qt USING (query_id)),
 pos AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= 20 THEN 0 ELSE 1 END, CASE WHEN rank <= 20 THEN -final ELSE 0 END, rank, doc_id) AS position FROM sc)"""
 
 
@@ -154,7 +160,8 @@ def reranked(t):
     fused = S.reciprocal_rank_fusion(rankings(t), key="doc_id").withColumnRenamed("rrf", "score")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     hits = fused.withColumn("rank", F.row_number().over(w)).join(t.documents.select("doc_id", "text"), "doc_id")
-    return S.blend_rerank(hits, F.concat(F.col("query_id").cast("string"), F.lit(" the onth mit")), F.col("text"), key="doc_id")
+    hits = hits.join(asking(t).select("query_id", F.array_join("terms", " ").alias("question")), "query_id")
+    return S.blend_rerank(hits, F.col("question"), F.col("text"), key="doc_id")
 
 
 @query("r12_blend_rerank", RERANK + " SELECT query_id, doc_id, round(final, 6) AS score, position::INT AS position FROM pos")
@@ -183,12 +190,52 @@ def r15(t):
     return _round(S.multi_representation(rows, {"original": 1.0, "summary": 0.8, "keywords": 0.7, "paraphrase": 0.9}))
 
 
-@query("r17_guided_fallback", f"WITH {BASE_SQL}, h AS (SELECT query_id, doc_id, score, source FROM plus JOIN d USING (doc_id)), fl AS (SELECT * FROM h WHERE source = 'src' || query_id::VARCHAR AND query_id < 3), u AS (SELECT * FROM fl UNION ALL SELECT * FROM h WHERE query_id NOT IN (SELECT query_id FROM fl)) SELECT query_id, doc_id, round(score, 6) AS score, CASE WHEN score >= 5 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM u")
+#: A map of domains over sources; "nowhere" leads to a source that isn't there.
+DOMAINS = [("english", 2, ["the", "and"], ["src1"], ["src2", "src3"]), ("german", 3, ["die", "und"], ["src4"], ["src5"]), ("romance", 4, ["les", "que"], ["src6", "src7"], ["src1"]), ("nowhere", 5, ["onth"], ["src99"], [])]
+SYNONYM = ("the", "und")
+GUIDED_SQL = f"""WITH {BASE_SQL.replace(f"SELECT * FROM {QUESTIONS_SQL}", f"SELECT query_id, unnest(terms) AS term FROM ({ASKED_SQL})")},
+a AS (SELECT query_id, terms, array_to_string(terms, ' ') AS text FROM ({ASKED_SQL})),
+dm AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {s}, {w}, {p}, {r})" for n, s, w, p, r in DOMAINS)}) v(domain, spec, kws, prim, rel)),
+kw AS (SELECT domain, spec, unnest(kws) AS kw FROM dm), f1 AS (SELECT query_id, domain, spec, sum(CASE WHEN NOT contains(text, kw) THEN 0 WHEN length(kw) / length(text) >= 0.5 THEN 4.0 WHEN length(kw) / length(text) >= 0.2 THEN 2.5 ELSE 1.5 END) AS s FROM a CROSS JOIN kw GROUP BY ALL),
+fd AS (SELECT query_id, domain, round((s * (1 + 0.3 * (spec - 1)))::DOUBLE, 2) AS score FROM f1 WHERE s > 0),
+tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, domain) AS rank, max(score) OVER (PARTITION BY query_id) AS best FROM fd) WHERE rank <= 2),
+tg AS (SELECT DISTINCT query_id, unnest(list_concat(prim, CASE WHEN score >= best * 0.7 THEN rel ELSE [] END)) AS target FROM tp JOIN dm USING (domain)),
+al AS (SELECT DISTINCT query_id, d.doc_id FROM tg JOIN d ON contains(d.source, target)),
+sy AS (SELECT query_id, unnest(list_transform(terms, lambda x: CASE WHEN x = '{SYNONYM[0]}' THEN '{SYNONYM[1]}' ELSE x END)) AS term FROM a WHERE list_contains(terms, '{SYNONYM[0]}')),
+ok2 AS (SELECT query_id, doc_id, sum(CASE WHEN raw < 0 THEN (SELECT 0.25 * avg(raw) FROM v) ELSE raw END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(len(tokens)) FROM d)))) AS score FROM sy JOIN tf USING (term) JOIN v USING (term) GROUP BY 1, 2),
+e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), cs AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, list_inner_product(e.v, q.v) / ((sqrt(list_inner_product(e.v, e.v)) + 1e-10) * (sqrt(list_inner_product(q.v, q.v)) + 1e-10)) AS score FROM e JOIN e q ON q.vec_id % 50 = 0 AND q.vec_id IN (SELECT query_id FROM a) AND e.vec_id IN (SELECT doc_id FROM d)),
+h AS (SELECT query_id, 'bm25' AS method, doc_id, score FROM okapi WHERE score > 0 UNION ALL SELECT query_id, 'synonym', doc_id, score FROM ok2 WHERE score > 0 UNION ALL SELECT query_id, 'vector', doc_id, score FROM cs WHERE score >= 0.3),
+g1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, method ORDER BY score DESC, doc_id) AS rank, max(score) OVER (PARTITION BY query_id, method) AS best FROM h SEMI JOIN al USING (query_id, doc_id)),
+g2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, method ORDER BY score DESC, doc_id) AS rank, max(score) OVER (PARTITION BY query_id, method) AS best FROM h WHERE query_id NOT IN (SELECT query_id FROM g1)),
+g AS (SELECT *, true AS guided FROM g1 WHERE rank <= 5 UNION ALL SELECT *, false FROM g2 WHERE rank <= 5),
+p AS (SELECT query_id, doc_id, guided, max(CASE WHEN method = 'bm25' THEN score / best END) AS b, max(CASE WHEN method = 'synonym' THEN 0.8 * score / best END) AS s, max(CASE WHEN method = 'vector' THEN 0.9 * score END) AS v FROM g GROUP BY ALL),
+fu AS (SELECT query_id, doc_id, guided, CASE WHEN b IS NOT NULL THEN b + 0.5 * coalesce(s, 0) + 0.5 * coalesce(v, 0) WHEN s IS NOT NULL THEN s + 0.5 * coalesce(v, 0) ELSE v END AS score, array_to_string(list_filter([CASE WHEN b IS NOT NULL THEN 'bm25' END, CASE WHEN s IS NOT NULL THEN 'synonym' END, CASE WHEN v IS NOT NULL THEN 'vector' END], lambda x: x IS NOT NULL), ',') AS methods FROM p),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fu)
+SELECT query_id, doc_id, round(score, 6) AS score, methods, rank::INT AS rank, guided, (SELECT domain FROM tp WHERE tp.query_id = rk.query_id AND tp.rank = 1) AS domain, CASE WHEN score >= 5 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM rk WHERE rank <= 5"""
+
+
+@query("r17_guided_search", GUIDED_SQL)
 def r17(t):
     c = chunks(t)
-    hits = S.bm25_plus_one(c, questions(t), key="doc_id", keep_zero=False).join(c.select("doc_id", "source"), "doc_id")
-    own = hits.filter((F.col("source") == F.concat(F.lit("src"), F.col("query_id").cast("string"))) & (F.col("query_id") < 3))
-    return S.with_fallback(own, hits).select("query_id", "doc_id", F.round("score", 6).alias("score"), S.confidence(F.col("score")).alias("confidence"))
+    domains = t.spark.createDataFrame(DOMAINS, "domain string, specificity int, keywords array<string>, primary_docs array<string>, related_docs array<string>")
+    asked = asking(t).withColumn("text", F.array_join("terms", " "))
+
+    def ranked(questions, allowed):
+        """BM25, BM25 of the question with a synonym, and vectors of documents; the best five of each."""
+        other = F.transform("terms", lambda x: F.when(x == SYNONYM[0], SYNONYM[1]).otherwise(x))
+        expanded = questions.filter(F.array_contains("terms", SYNONYM[0])).withColumn("terms", other)
+        hits = [S.top_k(S.bm25_okapi(c, q, key="doc_id", allowed=allowed), 5, "doc_id").withColumn("method", F.lit(m)) for m, q in (("bm25", questions), ("synonym", expanded))]
+        v = t.embeddings.join(c.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+        q = vector_queries(t).join(questions.select("query_id"), "query_id", "left_semi")
+        if allowed is None:
+            near = S.vector_search(v, q, 5, threshold=0.3).withColumnRenamed("vec_id", "doc_id")
+        else:
+            near = allowed.join(q, "query_id").join(v.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+            near = S.top_k(near.select("query_id", "doc_id", S.cosine(F.col("embedding"), F.col("q")).alias("score")).filter("score >= 0.3"), 5, "doc_id")
+        return hits[0].unionByName(hits[1]).unionByName(near.withColumn("method", F.lit("vector")).select(*hits[0].columns)).withColumn("batch", F.lit(1))
+
+    out = D.guided_search(asked, c, domains, ranked, k=5, key="doc_id", doc="source")
+    return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.array_join("methods", ",").alias("methods"), "rank", "guided", "domain", S.confidence(F.col("score")).alias("confidence"))
 
 
 @query("w4_per_document_top3", f"WITH {BASE_SQL}, h AS (SELECT query_id, doc_id, source, score, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) AS rank FROM plus JOIN d USING (doc_id)) SELECT query_id, source, doc_id, rank::INT AS rank FROM h WHERE rank <= 3")
