@@ -144,6 +144,19 @@ def substitute(c: Column, pairs) -> Column:
     return c
 
 
+# Phrases of specifications and plainer ones, in order.
+PLAIN_PHRASES = (
+    ("当該", "この"), ("に係る", "に関する"), ("に関し", "について"), ("における", "での"), ("のための", "のための"), ("実施する", "行う"), ("確保する", "保証する"), ("及び", "および"), ("並びに", "また"),
+    ("従って", "そのため"), ("ものとする", "こととする"), ("得る", "できる"), ("行うこと", "行う"), ("有する", "持つ"), ("を要する", "が必要"), ("当然のことながら", ""), ("なお、", "また、"),
+)
+
+
+def dual_records(chunk_id: Column, original: Column, simplified: Column, summary: Column, keywords: Column) -> Column:
+    """The two records of a chunk: the plain text, to be searched, and the original, to be quoted; both name the chunk."""
+    record = lambda kind, text: F.struct(F.concat(chunk_id, F.lit(f"_{kind}")).alias("chunk_id"), text.alias("text"), text.alias("search_text"), chunk_id.alias("original_chunk_id"), F.lit(kind).alias("index_type"), summary.alias("summary"), keywords.alias("keywords"))
+    return F.array(record("simplified", simplified), record("original", original))
+
+
 def rule_keywords(c: Column, standards: str = STANDARD, most: int = 10) -> Column:
     """Standard numbers and numbers with a unit, distinct, sorted, at most so many."""
     found = F.concat(F.regexp_extract_all(c, F.lit(standards), F.lit(0)), F.regexp_extract_all(c, F.lit(UNIT_NUMBER), F.lit(0)))
@@ -393,6 +406,12 @@ def estimate_message_tokens(c: Column) -> Column:
     return F.when(F.length(c) == 0, 0).otherwise(F.floor((8 * cjk + (F.length(c) - cjk)) / 4) + 4).cast("long")
 
 
+def message_tokens(content: Column, tool_calls: Column | None = None) -> Column:
+    """4 for a message, its content, and its tool calls (as JSON) if it has any."""
+    own = F.lit(4) + estimate_message_tokens(F.coalesce(content, F.lit("")))
+    return own if tool_calls is None else own + estimate_message_tokens(F.coalesce(tool_calls, F.lit("")))
+
+
 def auto_tags(c: Column, rules: dict[str, list[str]]) -> Column:
     """Names of the rules of which a word occurs in the text, in the order of the rules."""
     low = F.lower(c)

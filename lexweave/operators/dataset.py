@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .ranking import numbered
 
+# Fixed value: what makes an output Japanese.
+JAPANESE = r"[\u3040-\u30ff\u4e00-\u9fff]"
+
 
 def problems(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """(key, problem), one row for each rule that holds."""
@@ -38,6 +41,32 @@ def length_statistics(rows: DataFrame, length: Column) -> DataFrame:
     return total.crossJoin(median)
 
 
+def dataset_statistics(rows: DataFrame) -> DataFrame:
+    """One row about records (instruction, input, output): lengths, shares with code and with Japanese, and repeated instructions.
+
+    Nulls are empty.  Code is a fence, a definition or an import; ratios are in
+    per cent.  A table without rows gives none.
+    """
+    own = rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("instruction", "input", "output")])
+    out = F.col("output")
+    code = F.contains(out, F.lit("```")) | F.contains(out, F.lit("def ")) | F.contains(out, F.lit("import "))
+    counts = own.agg(F.avg(F.length("input")).alias("input_len_avg"), F.count_if(code).alias("code_block_count"), F.count_if(out.rlike(JAPANESE)).alias("japanese_output_count"))
+    repeated = own.groupBy("instruction").agg(F.count(F.lit(1)).alias("k")).agg(F.count_if(F.col("k") > 1).alias("duplicate_instructions_count"))
+    lengths = length_statistics(own, F.length("output")).filter("n > 0")
+    # a row each
+    whole = lengths.crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(repeated))
+    return whole.select(
+        F.col("n").alias("total_records"), F.col("least").alias("output_len_min"), F.col("most").alias("output_len_max"), F.col("mean").alias("output_len_avg"), F.col("median").alias("output_len_median"),
+        "input_len_avg", "code_block_count", (F.col("code_block_count") / F.col("n") * 100).alias("code_block_ratio_pct"), "japanese_output_count", (F.col("japanese_output_count") / F.col("n") * 100).alias("japanese_output_ratio_pct"), "duplicate_instructions_count",
+    )
+
+
+def repeated_instructions(rows: DataFrame, position: str, most: int = 5) -> DataFrame:
+    """(instruction, n) of the first instructions that occur more than once, in the order of their first rows."""
+    counted = rows.groupBy(F.coalesce("instruction", F.lit("")).alias("instruction")).agg(F.count(F.lit(1)).alias("n"), F.min(position).alias("first"))
+    return counted.filter("n > 1").orderBy("first").limit(most).select("instruction", "n")
+
+
 def split_parts(rows: DataFrame, key: Column, shares: tuple[float, ...] = (0.85, 0.10), names: tuple[str, ...] = ("train", "val", "test"), seed: str = "42") -> DataFrame:
     """A split column; sizes are the floors of the shares of n and the rest, in the order of a seeded digest.
 

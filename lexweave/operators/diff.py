@@ -61,6 +61,26 @@ def line_sets(old: Column, new: Column) -> Column:
     return F.struct(F.array_except(b, a).alias("added"), F.array_except(a, b).alias("removed"))
 
 
+# Phrases of business mail and what stands for them, in order; $ is the end of a line.
+MAIL_PHRASES = (
+    (r"お世話になっております[。、]?\s*", ""),
+    (r"いつもお世話になっております[。、]?\s*", ""),
+    (r"ご確認のほど、?よろしく(お願いいたします|お願い申し上げます)[。]?\s*", "【確認依頼】"),
+    (r"ご対応(のほど)?、?よろしく(お願いいたします|お願い申し上げます)[。]?\s*", "【対応依頼】"),
+    (r"以上、?よろしく(お願いいたします|お願い申し上げます)[。]?\s*$", ""),
+    (r"何卒よろしくお願い(いたします|申し上げます)[。]?\s*$", ""),
+)
+
+
+def normalise_mail(text: Column) -> Column:
+    """A mail in compatibility composition without its greetings, requests as marks, at most one blank line in a row."""
+    out = nfkc(text)
+    for pattern, mark in MAIL_PHRASES:
+        # white space of any script, as the text may hold some; only line feeds end a line
+        out = F.regexp_replace(out, "(?md)" + pattern.replace(r"\s", r"[\s\p{Z}]"), mark)
+    return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^[\s\p{Z}]+|[\s\p{Z}]+\z", "")
+
+
 def nfkc(text: Column) -> Column:
     """Unicode compatibility composition."""
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from .dimension import small
+from .expand import contained_by_index
 
 
 def abbreviations_in(texts: DataFrame, abbreviations: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -14,12 +16,37 @@ def abbreviations_in(texts: DataFrame, abbreviations: DataFrame, key: str, text:
     return texts.crossJoin(small(abbreviations)).filter(F.contains(F.col(text), F.col("abbr")) & F.regexp_like(F.col(text), pattern)).select(key, "abbr", "full")
 
 
+def matching_terms(queries: DataFrame, terms: DataFrame, key: str = "query_id") -> DataFrame:
+    """(key, position, english): terms of which a name contains the query, or whose abbreviation it is, whatever the case.
+
+    ``terms`` has position, name, english, abbr and synonyms (array); of one
+    English name the first term counts.  Blank queries match nothing.
+    """
+    low = queries.select(key, F.lower("text").alias("low"))
+    asked = low.select(F.col("low").alias("term")).distinct()
+    names = terms.select("position", F.explode(F.array_compact(F.array_union(F.array("name", "english"), F.coalesce("synonyms", F.array().cast("array<string>"))))).alias("name"))
+    names = names.select("position", F.lower("name").alias("low")).distinct()
+    inside = contained_by_index(names, asked, ["position", "low"], "low").select("position", "term")
+    exact = terms.select("position", F.lower("abbr").alias("term")).filter("term <> ''").join(asked, "term").select("position", "term")
+    hits = inside.unionByName(exact).distinct().join(low.withColumnRenamed("low", "term"), "term").join(small(terms.select("position", "english")), "position")
+    return hits.groupBy(key, "english").agg(F.min("position").alias("position"))
+
+
 def enhance(queries: DataFrame, abbreviations: DataFrame, terms: DataFrame, key: str = "query_id", most: int = 2) -> DataFrame:
-    """(key, enhanced): the query, ``ABBR: full`` of its abbreviations, and up to ``most`` English terms that it doesn't hold yet."""
-    a = abbreviations_in(queries, abbreviations, key).groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(F.concat("abbr", F.lit(": "), "full"))), " ").alias("a"))
-    hit = queries.crossJoin(small(terms)).filter(F.contains("text", F.col("term")) & ~F.contains(F.lower("text"), F.lower(F.col("english"))))
-    b = hit.groupBy(key).agg(F.array_join(F.slice(F.array_sort(F.collect_set("english")), 1, most), " ").alias("b"))
-    return queries.join(a, key, "left").join(b, key, "left").select(key, F.concat_ws(" ", "text", "a", "b").alias("enhanced"))
+    """(key, enhanced): the query, ``ABBR: full`` of its abbreviations in the order of the dictionary, and the English names of its first terms.
+
+    The first ``most`` matching terms are taken, then those left out whose name
+    the text holds by then, whatever the case.
+    """
+    order = small(abbreviations.select("abbr", F.col("position").alias("at")))
+    found = abbreviations_in(queries, abbreviations, key).join(order, "abbr").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", F.concat("abbr", F.lit(": "), "full").alias("x")))).alias("a"))
+    w = Window.partitionBy(key).orderBy("position")
+    first = matching_terms(queries, terms, key).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most)
+    first = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "english"))).alias("t"))
+    rows = queries.join(found, key, "left").join(first, key, "left")
+    start = F.when(F.col("a").isNull(), F.col("text")).otherwise(F.concat("text", F.lit(" "), F.array_join(F.transform("a", lambda x: x["x"]), "; ")))
+    step = lambda acc, x: F.when(F.contains(F.lower(acc), F.lower(x["english"])), acc).otherwise(F.concat(acc, F.lit(" "), x["english"]))
+    return rows.select(key, F.when(F.col("t").isNull(), start).otherwise(F.aggregate("t", start, step)).alias("enhanced"))
 
 
 def lookup(names: DataFrame, abbreviations: DataFrame, key: str = "name") -> DataFrame:
@@ -70,13 +97,28 @@ def first_available(candidates: DataFrame, group: str, fallback: str) -> DataFra
 
 
 def parse_plan(text: Column) -> Column:
-    """Struct of goal, criteria and steps (description, search, expect) of a plan with GOAL, SUCCESS_CRITERIA and STEPS sections."""
-    part = lambda name: F.trim(F.regexp_extract(text, rf"(?s){name}:\s*(.*?)(?=\n[A-Z_]+:|$)", 1))
-    lines = F.filter(F.split(part("STEPS"), "\n"), lambda x: F.trim(x) != "")
-    field = lambda x, name: F.trim(F.regexp_extract(x, rf"\|\s*{name}:\s*([^|]*)", 1))
-    step = lambda x: F.struct(F.trim(F.regexp_replace(F.regexp_extract(x, r"^([^|]*)", 1), r"^\s*(?:\d+\.|-)\s*", "")).alias("description"), field(x, "SEARCH").alias("search"), field(x, "EXPECT").alias("expect"))
-    criteria = F.filter(F.transform(F.split(part("SUCCESS_CRITERIA"), "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*-\s*", ""))), lambda x: x != "")
-    return F.struct(part("GOAL").alias("goal"), criteria.alias("criteria"), F.transform(lines, step).alias("steps"))
+    """Struct of goal, success_criteria and steps (description, search, expect) of a plan in lines.
+
+    Of several GOAL or SUCCESS_CRITERIA lines the last counts.  Behind the first
+    STEPS line, lines that begin with a digit or a dash are steps, without
+    number or bullet; their parts follow bars, by names in either case.  A search
+    for NONE is none (null), an expectation that is missing is empty.
+    """
+    lines = F.filter(F.transform(F.split(X.strip(text), "\n"), X.strip), lambda x: x != "")
+    starts = lambda x, name: F.startswith(x, F.lit(name))
+    behind = lambda x, name: X.strip(F.substr(x, F.lit(len(name) + 1)))
+    last = lambda xs: F.try_element_at(xs, F.lit(-1))
+    head = lambda name: F.coalesce(last(F.transform(F.filter(lines, lambda x: starts(x, name)), lambda x: behind(x, name))), F.lit(""))
+    opened = F.array_position(F.transform(lines, lambda x: starts(x, "STEPS:")), True)
+    listed = F.when(opened > 0, F.filter(F.slice(lines, opened.cast("int") + 1, F.size(lines)), lambda x: F.regexp_like(x, F.lit(r"^[\p{Nd}-]")))).otherwise(F.array().cast("array<string>"))
+
+    def step(line: Column) -> Column:
+        parts = F.transform(F.split(F.regexp_replace(line, r"^[0-9.\-) ]+", ""), r"\|"), X.strip)
+        named = lambda name: F.transform(F.filter(F.slice(parts, 2, F.size(parts)), lambda p: starts(F.upper(p), name)), lambda p: behind(p, name))
+        search = last(F.filter(named("SEARCH:"), lambda v: F.upper(v) != "NONE"))
+        return F.struct(F.get(parts, F.lit(0)).alias("description"), search.alias("search"), F.coalesce(last(named("EXPECT:")), F.lit("")).alias("expect"))
+
+    return F.struct(head("GOAL:").alias("goal"), head("SUCCESS_CRITERIA:").alias("success_criteria"), F.transform(listed, step).alias("steps"))
 
 
 def latest_by_version(files: DataFrame, doc: str, parts: str, modified: str) -> DataFrame:

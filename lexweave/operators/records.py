@@ -95,3 +95,26 @@ def gantt(tasks: DataFrame, start: Column, weeks: int, task: str = "task_id") ->
     inside = (F.col("begin") <= F.date_add(first, 6)) & (F.col("due") >= first)
     symbol = F.when(~inside, ".").when(F.col("status") == "done", "x").when(F.col("status") == "overdue", "!").otherwise("#")
     return grid.select(task, "week", symbol.alias("symbol"))
+
+
+def document_domains(domains: DataFrame) -> DataFrame:
+    """(doc_id, domain, name, expert_note, keywords, is_primary): the first domain of a map that names the document.
+
+    ``domains`` has position, domain, name, expert_note, keywords, primary_docs
+    and related_docs (arrays; what follows a # is a remark).  Domains come in
+    their order, each with its primary documents before its related ones.
+    """
+    named = lambda c, kind: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda d, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), F.trim(F.regexp_replace(d, r"#.*", "")).alias("doc_id")))
+    rows = domains.select("position", "domain", F.coalesce("name", "domain").alias("name"), F.trim(F.coalesce("expert_note", F.lit(""))).alias("expert_note"), "keywords", F.explode(F.concat(named("primary_docs", 0), named("related_docs", 1))).alias("d"))
+    first = F.min_by(F.struct("domain", "name", "expert_note", "keywords", (F.col("d.kind") == 0).alias("is_primary")), F.struct("position", "d.kind", "d.at"))
+    return rows.groupBy("d.doc_id").agg(first.alias("f")).select("doc_id", "f.*")
+
+
+def with_domain(chunks: DataFrame, documents: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """chunks with domain, domain_name and is_primary_doc of the document, else of its id without an edition at the end (a capital and digits)."""
+    own = lambda n: small(documents.select(F.col("doc_id").alias(f"__d{n}"), F.struct("domain", "name", "is_primary").alias(f"__f{n}")))
+    base = F.regexp_replace(F.col(doc), r"[A-Z]\p{Nd}*$", "")
+    met = chunks.join(own(1), F.col(doc) == F.col("__d1"), "left").join(own(2), base == F.col("__d2"), "left")
+    f = F.coalesce("__f1", "__f2")
+    told = {"domain": F.coalesce(f["domain"], F.lit("")), "domain_name": F.coalesce(f["name"], F.lit("")), "is_primary_doc": F.coalesce(f["is_primary"], F.lit(False))}
+    return met.withColumns(told).drop("__d1", "__f1", "__d2", "__f2")

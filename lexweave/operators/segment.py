@@ -12,32 +12,57 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..batches import bounded_batches
+from ..storage import cut
 from .ranking import earlier_largest, neighbours
 
 SIZE, OVERLAP = 800, 100
 #: Boundaries that a piece of a long text prefers, best first.
 BOUNDARIES = ("。\n", "。", "\n", "、")
+#: Fixed value: what a child is called in its hierarchy.
+CHILD_TITLE = "段落 "
 #: Characters in an output batch, about.
 BATCH_CHARS = 1 << 20
 
 
+def cut_spans(ends: np.ndarray, size: int, overlap: int, whole_short: bool = False) -> Iterator[tuple[int, int, int]]:
+    """(from, to, number of pieces so far) of chunks over a text whose pieces end at ``ends``, increasing.
+
+    A chunk reaches to the last end within ``size`` of its begin, or takes the
+    next piece whatever its length.  The one behind it begins ``overlap`` before
+    its end; one no longer than that is repeated whole or, by default, not at
+    all.  Cuts are found by searching the ends.
+    """
+    begin = taken = 0
+    while taken < len(ends):
+        taken = max(int(np.searchsorted(ends, begin + size, side="right")), taken + 1)
+        end = int(ends[taken - 1])
+        yield begin, end, taken
+        if end - begin > overlap:
+            begin = end - overlap
+        elif not whole_short:
+            begin = end
+
+
+def _ends(pieces: list[str], gap: int = 0) -> np.ndarray:
+    """Where the pieces end when they are joined with so many characters between them."""
+    return np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + gap) - gap
+
+
 def greedy_chunks(text: str, size: int = SIZE, overlap: int = OVERLAP, ends: str = "。\n") -> Iterator[str]:
-    """Sentences gathered up to ``size`` characters; each further chunk begins with the tail of the one before."""
-    held = ""
-    for piece in re.split(f"(?<=[{ends}])", text):
-        if not piece.strip():
-            continue
-        if held and len(held) + len(piece) > size:
-            yield held.strip()
-            held = held[-overlap:] if overlap else ""
-        held += piece
-    if held.strip():
-        yield held.strip()
+    """Sentences up to ``size`` characters; blank ones are left out.
+
+    A chunk repeats the tail of the one before if that is longer than the tail.
+    """
+    pieces = [p for p in re.findall(f"[^{ends}]*[{ends}]|[^{ends}]+", text) if p.strip()]
+    joined = "".join(pieces)
+    for begin, end, _ in cut_spans(_ends(pieces), size, overlap):
+        yield joined[begin:end].strip()
 
 
 # First lines that are headings, noise lines, and the characters that make a text Japanese.
@@ -48,20 +73,6 @@ JAPANESE = "[\u3040-\u9fff]"
 _HEADING = re.compile("|".join(HEADING_STARTS))
 
 
-def _gathered(parts, size: int) -> Iterator[str]:
-    """Parts laid end to end as long as they stay within the size."""
-    held: list[str] = []
-    length = 0
-    for p in parts:
-        if length and length + len(p) > size:
-            yield "".join(held)
-            held, length = [], 0
-        held.append(p)
-        length += len(p)
-    if length:
-        yield "".join(held)
-
-
 def tidy_chunk(text: str) -> str:
     """A chunk without blank runs, page numbers and running heads."""
     for pattern, to in ((r"\n{3,}", "\n\n"), (PAGE_LINE, ""), (RUNNING_HEAD, "")):
@@ -69,27 +80,39 @@ def tidy_chunk(text: str) -> str:
     return text.strip()
 
 
+def _parts(text: str, size: int) -> Iterator[str]:
+    """The paragraphs of a text; one of over twice the size in stretches that end with sentences."""
+    for p in re.split(r"\n\s*\n", text):
+        p = p.strip()
+        if len(p) <= 2 * size:
+            if p:
+                yield p
+            continue
+        sentences = [s for s in re.split(r"(?<=[。．.!?])\s*", p) if s]
+        joined = "".join(sentences)
+        yield from (joined[a:b] for a, b, _ in cut_spans(_ends(sentences), size, 0))
+
+
 def paragraph_chunks(text: str, size: int = SIZE, overlap: int = 128, least: int = 50) -> Iterator[tuple[str, str]]:
-    """(section, text): paragraphs gathered up to ``size``; one of over twice that is cut at sentence ends first.
+    """(section, text) of chunks of whole paragraphs, each repeating the tail of the one before.
 
-    A chunk begins with the tail of the one before.  Its section is the last
-    heading up to the paragraph that closed it, in 80 characters.
+    The line feed before a paragraph doesn't count against ``size``.  A chunk's
+    section is the last heading up to the paragraph behind it, in 80 characters.
+    The last chunk is left out if it is shorter than ``least``.
     """
     if len(text) < least:
         return
-    parts: list[str] = []
-    for p in filter(None, (p.strip() for p in re.split(r"\n\s*\n", text))):
-        parts += _gathered(re.split(r"(?<=[。．.!?])\s*", p), size) if len(p) > 2 * size else [p]
-    section = held = ""
-    for p in parts:
-        if _HEADING.match(p.strip()):
-            section = p.strip()[:80]
-        if held and len(held) + len(p) > size:
-            yield section, tidy_chunk(held)
-            held = held[-overlap:]
-        held = f"{held}\n{p}" if held else p
-    if len(held) >= least:
-        yield section, tidy_chunk(held)
+    parts = list(_parts(text, size))
+    if not parts:
+        return
+    joined = "\n".join(parts)
+    # the last heading up to each part, and none in front of the first
+    is_heading = np.fromiter((bool(_HEADING.match(p)) for p in parts), bool, len(parts))
+    last = np.maximum.accumulate(np.where(is_heading, np.arange(len(parts)), -1))
+    for begin, end, taken in cut_spans(_ends(parts, 1), size + 1, overlap, whole_short=True):
+        if taken < len(parts) or end - begin >= least:
+            at = last[min(taken, len(parts) - 1)]
+            yield parts[at][:80] if at >= 0 else "", tidy_chunk(joined[begin:end])
 
 
 def overlapping_pieces(text: str, size: int = 400, overlap: int = 50) -> Iterator[str]:
@@ -114,8 +137,52 @@ def overlapping_pieces(text: str, size: int = 400, overlap: int = 50) -> Iterato
         start = max(stop - overlap, start + 1)  # the sum matters only where size <= overlap
 
 
-def cut_rows(docs: DataFrame, cut: Callable[[str], Iterator[tuple]], fields: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, chunk_idx, *fields) of every tuple that ``cut`` gives for a text; null and empty texts have none."""
+def outlined(sections: DataFrame, doc: str = "doc_id", pos: str = "pos", depth: str = "depth", deepest: int = 4) -> DataFrame:
+    """sections (doc, pos, number, title, depth from 1, text) with chunk_id, parent_id and hierarchy.
+
+    The parent is the nearest section before with a smaller depth, else the
+    document; the hierarchy lists the document and the headings down to the
+    section itself.  It is built depth by depth, each one join.
+    """
+    ident = lambda p: F.concat_ws("_", F.col(doc).cast("string"), p.cast("string"))
+    rows = cut(parents(sections.withColumn("__top", F.lit(0)), doc, pos, depth, deepest + 1).drop("__top"), "outline")
+    heading = F.concat_ws(" ", "number", "title")
+    none = F.lit(None).cast("int")
+    known = None
+    for d in range(1, deepest + 1):
+        own = rows.filter(F.col(depth) == d)
+        if known is None:
+            own = own.withColumn("hierarchy", F.array(F.col(doc).cast("string"), heading))
+        else:
+            above = known.select(F.col(doc).alias("__doc"), F.col(pos).alias("__pos"), F.col("hierarchy").alias("__above"))
+            own = own.join(above, (F.col(doc) == F.col("__doc")) & (F.col("parent_pos") == F.col("__pos")), "left")
+            own = own.withColumn("hierarchy", F.concat(F.coalesce("__above", F.array(F.col(doc).cast("string"))), F.array(heading))).drop("__doc", "__pos", "__above")
+        known = own if known is None else known.unionByName(own)
+    parent = F.when(F.col("parent_pos").isNull(), F.col(doc).cast("string")).otherwise(ident(F.coalesce("parent_pos", none)))
+    return known.withColumns({"chunk_id": ident(F.col(pos)), "parent_id": parent}).drop("parent_pos")
+
+
+def child_chunks(sections: DataFrame, size: int = 400, overlap: int = 50) -> DataFrame:
+    """(chunk_id, parent_id, section_number, depth, hierarchy, text) of the pieces of long sections.
+
+    ``sections`` has chunk_id, number, depth, hierarchy and text.  Only sections
+    of more than ``size`` characters that fall into more than one piece have
+    children; a child's hierarchy and number end with its own from 1.
+    """
+
+    def pieces(text):
+        found = list(overlapping_pieces(text, size, overlap))
+        return ((p,) for p in found) if len(found) > 1 else ()
+
+    # null and short sections never reach Python
+    made = cut_rows(sections.filter(F.length("text") > size), pieces, "text string", id_col="chunk_id")
+    own = made.join(sections.select("chunk_id", "number", "depth", "hierarchy"), "chunk_id")
+    n = (F.col("chunk_idx") + 1).cast("string")
+    return own.select(F.concat("chunk_id", F.lit("_child_"), F.col("chunk_idx").cast("string")).alias("chunk_id"), F.col("chunk_id").alias("parent_id"), F.concat("number", F.lit("."), n).alias("section_number"), (F.col("depth") + 1).alias("depth"), F.concat("hierarchy", F.array(F.concat(F.lit(CHILD_TITLE), n))).alias("hierarchy"), "text")
+
+
+def cut_rows(docs: DataFrame, split: Callable[[str], Iterator[tuple]], fields: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, chunk_idx, *fields) of every tuple that ``split`` gives for a text; null and empty texts have none."""
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     out = docs.sparkSession.createDataFrame([], f"`{id_col}` {kind.simpleString()}, chunk_idx int, {fields}").schema
@@ -137,7 +204,7 @@ def cut_rows(docs: DataFrame, cut: Callable[[str], Iterator[tuple]], fields: str
                 return made
 
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for n, row in enumerate(cut(text) if text else ()):
+                for n, row in enumerate(split(text) if text else ()):
                     ids.append(i)
                     numbers.append(n)
                     rows.append(row)
@@ -150,9 +217,9 @@ def cut_rows(docs: DataFrame, cut: Callable[[str], Iterator[tuple]], fields: str
     return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
 
 
-def chunk(docs: DataFrame, cut: Callable[[str], Iterator[str]] = greedy_chunks, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def chunk(docs: DataFrame, split: Callable[[str], Iterator[str]] = greedy_chunks, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, chunk_idx, chunk_id, text) of every chunk; null and blank texts have none."""
-    rows = cut_rows(docs, lambda text: ((c,) for c in cut(text)), "text string", id_col=id_col, text_col=text_col)
+    rows = cut_rows(docs, lambda text: ((c,) for c in split(text)), "text string", id_col=id_col, text_col=text_col)
     return rows.select(id_col, "chunk_idx", F.concat_ws("_", F.col(id_col).cast("string"), F.col("chunk_idx").cast("string")).alias("chunk_id"), "text")
 
 
@@ -164,10 +231,10 @@ def chunk_key(doc: Column, n: Column, text: Column) -> Column:
 def section_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, overlap: int = 128, least: int = 50) -> DataFrame:
     """(id, chunk_idx, chunk_id, section, language, text) of the paragraph chunks that still have ``least`` characters when tidied."""
 
-    def cut(text):
+    def split(text):
         return (c for c in paragraph_chunks(text, size, overlap, least) if len(c[1]) >= least)
 
-    rows = cut_rows(docs, cut, "section string, text string", id_col=id_col, text_col=text_col)
+    rows = cut_rows(docs, split, "section string, text string", id_col=id_col, text_col=text_col)
     japanese = F.length("text") - F.length(F.regexp_replace("text", JAPANESE, ""))
     # the id hashes the head of the chunk after it was tidied
     return rows.select(id_col, "chunk_idx", chunk_key(F.col(id_col), F.col("chunk_idx"), F.col("text")).alias("chunk_id"), "section", F.when(japanese / F.length("text") > 0.1, "ja").otherwise("en").alias("language"), "text")

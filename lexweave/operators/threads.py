@@ -79,3 +79,67 @@ def recall_score(text: Column, words: list[str], weight: Column, factor: float)
 def dense_sample(n: str, total: str, most: int = 8, head: int = 2, tail: int = 3) -> Column:
     """Whether the n-th of ``total`` messages is shown: all up to ``most``, else the first and the last few."""
     return (F.col(total) <= most) | (F.col(n) <= head) | (F.col(n) > F.col(total) - tail)
+
+
+# Fixed value: statuses of tasks that no reply changes.
+CLOSED = ("done", "cancelled")
+
+
+def related_tasks(replies: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(reply, task_id): open tasks of a reply's thread; where there is none, open tasks whose title shares a word with the subject.
+
+    ``replies`` has reply, thread and subject, ``tasks`` task_id, thread, title
+    and status.  Reply and forward marks anywhere in the subject don't count;
+    words are compared as they are.
+    """
+    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, r"[\s\p{Z}]+"), lambda w: w != ""))).alias("word")
+    live = tasks.filter(~F.col("status").isin(*CLOSED))
+    same = replies.select("reply", "thread").join(live.select("thread", "task_id"), "thread").select("reply", "task_id")
+    # written: what has no task in its thread is known before words are met
+    same = cut(same, "thread-tasks")
+    rest = replies.join(same.select("reply").distinct(), "reply", "left_anti")
+    subject = rest.select("reply", words(F.regexp_replace(F.coalesce("subject", F.lit("")), "(?i)Re:|FW:|Fwd:", "")))
+    titles = live.select("task_id", words(F.coalesce("title", F.lit(""))))
+    return same.unionByName(subject.join(titles, "word").select("reply", "task_id").distinct())
+
+
+#: The parts of a memory context in their order, and their heads.
+MEMORY_HEADS = {"working": "[作業記憶]", "semantic": "[ドメイン知識]", "procedural": "[手順パターン]", "episodic": "[関連エピソード]"}
+
+
+def memory_context(questions: DataFrame, lines: dict[str, DataFrame], total: int = 4000) -> DataFrame:
+    """(query_id, context): what the four memories hold for each question, each within a quarter of ``total`` characters.
+
+    ``lines`` has for each memory rows (query_id, rank, line), already cut to its
+    number of results; the working memory is the same for all questions and has
+    no query_id.  A memory without a line is left out; its lines count up to the
+    first that exceeds the budget, its head and line feeds don't.  Parts come in
+    a fixed order with a blank line between them.
+    """
+    out = questions.select("query_id")
+    budget = total // len(MEMORY_HEADS)
+    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("open"), F.array().cast("array<string>").alias("kept"))
+
+    def step(acc, x):
+        fits = acc["open"] & (acc["n"] + F.length(x["line"]) <= budget)
+        return F.struct((acc["n"] + F.when(fits, F.length(x["line"])).otherwise(0)).alias("n"), fits.alias("open"), F.when(fits, F.concat(acc["kept"], F.array(x["line"]))).otherwise(acc["kept"]).alias("kept"))
+
+    for kind, head in MEMORY_HEADS.items():
+        rows = lines[kind]
+        keys = ["query_id"] if kind != "working" else []
+        listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias(f"__{kind}"))
+        out = out.join(listed, keys, "left") if keys else out.crossJoin(F.broadcast(listed))
+        body = F.aggregate(f"__{kind}", start, step, lambda acc: acc["kept"])
+        part = F.when(F.size(f"__{kind}") > 0, F.array_join(F.concat(F.array(F.lit(head)), body), "\n"))
+        out = out.withColumn(f"__{kind}", part)
+    return out.select("query_id", F.concat_ws("\n\n", *[f"__{k}" for k in MEMORY_HEADS]).alias("context"))
+
+
+def sessions(index: DataFrame, *, tags: list[str] | None = None, query: str | None = None, include_archived: bool = False, limit: int = 20) -> DataFrame:
+    """Sessions (session_id, title, tags, archived, updated_at) with one of the tags and the query in their title, newest first, ties by id."""
+    rows = index if include_archived else index.filter("not archived")
+    if tags:
+        rows = rows.filter(F.arrays_overlap("tags", F.array(*map(F.lit, tags))))
+    if query:
+        rows = rows.filter(F.contains(F.lower("title"), F.lit(query.lower())))
+    return rows.orderBy(F.desc("updated_at"), "session_id").limit(limit)

@@ -37,11 +37,24 @@ def q5(t):
     return G.abbreviations_in(asked(t), abbreviations(t).drop("category"), "query_id")
 
 
+SPACE_TERMS = [(1, "熱制御", "Thermal control", "TCS", ["温度管理", "heat control"]), (2, "熱設計", "thermal design", None, ["heat"]), (3, "姿勢", "attitude", "ACS", []), (4, "熱", "thermal", None, None)]
+SPACE_SQL = "(VALUES (1, ['熱制御', 'Thermal control', '温度管理', 'heat control'], 'Thermal control', 'TCS'), (2, ['熱設計', 'thermal design', 'heat'], 'thermal design', ''), (3, ['姿勢', 'attitude'], 'attitude', 'ACS'), (4, ['熱', 'thermal'], 'thermal', '')) v(position, names, english, abbr)"
+SHORT = "case doc_id % 6 when 0 then 'Thermal' when 1 then 'tcs' when 2 then 'heat' when 3 then '熱' when 4 then concat('MIT and AND of ', source) else text end"
+SHORT_SQL = SHORT.replace("concat('MIT and AND of ', source)", "'MIT and AND of ' || source")
+
+
 @query("q6_enhance", f"""
-SELECT query_id, md5(array_to_string(list_filter([text, a, b], lambda x: x IS NOT NULL), ' ')) AS enhanced_md5 FROM (SELECT doc_id AS query_id, text, (SELECT string_agg(DISTINCT abbr || ': ' || full_, ' ' ORDER BY abbr || ': ' || full_) FROM {ABBR_SQL} WHERE {ALONE}) AS a,
- (SELECT array_to_string(list_slice(list_sort(list(DISTINCT english)), 1, 2), ' ') FROM {TERMS_SQL} WHERE contains(text, term) AND NOT contains(lower(text), lower(english))) AS b FROM documents)""")
+WITH q AS (SELECT doc_id AS query_id, {SHORT_SQL} AS text FROM documents),
+a AS (SELECT query_id, text || coalesce(' ' || (SELECT string_agg(abbr || ': ' || full_, '; ' ORDER BY list_position(['MIT', 'THE', 'ER', 'AND'], abbr)) FROM {ABBR_SQL} WHERE {ALONE}), '') AS x, text FROM q),
+m AS (SELECT query_id, english, row_number() OVER (PARTITION BY query_id ORDER BY position) AS k FROM q JOIN {SPACE_SQL} ON len(list_filter(names, lambda n: contains(lower(n), lower(text)))) > 0 OR (abbr <> '' AND lower(abbr) = lower(text))),
+b AS (SELECT a.query_id, CASE WHEN e.english IS NULL OR contains(lower(x), lower(e.english)) THEN x ELSE x || ' ' || e.english END AS x FROM a LEFT JOIN m e ON e.query_id = a.query_id AND e.k = 1),
+c AS (SELECT b.query_id, CASE WHEN e.english IS NULL OR contains(lower(x), lower(e.english)) THEN x ELSE x || ' ' || e.english END AS x FROM b LEFT JOIN m e ON e.query_id = b.query_id AND e.k = 2)
+SELECT query_id, md5(x) AS enhanced_md5 FROM c""")
 def q6(t):
-    return G.enhance(asked(t), abbreviations(t).drop("category"), terms(t)).select("query_id", F.md5("enhanced").alias("enhanced_md5"))
+    asked = t.documents.select(F.col("doc_id").alias("query_id"), F.expr(SHORT).alias("text"))
+    abbr = t.spark.createDataFrame([(i, a, f) for i, (a, f, _) in enumerate(ABBR)], "position int, abbr string, full string")
+    known = t.spark.createDataFrame(SPACE_TERMS, "position int, name string, english string, abbr string, synonyms array<string>")
+    return G.enhance(asked, abbr, known).select("query_id", F.md5("enhanced").alias("enhanced_md5"))
 
 
 @query("q7_lookup", f"SELECT n_name AS name, full_ AS \"full\" FROM (SELECT n_name FROM nation UNION ALL SELECT 'mit' UNION ALL SELECT 'Er') LEFT JOIN {ABBR_SQL} ON abbr = upper(n_name)")
@@ -151,12 +164,13 @@ def z14(t):
     return G.first_available(c, "s_nationkey", "fallback")
 
 
-@query("z15_parse_plan", "SELECT item_id, 'Goal ' || item_id::VARCHAR AS goal, 'c1,c2' AS criteria, 'look>q' || item_id::VARCHAR || '>hits;read>>' AS steps FROM benchmark")
+@query("z15_parse_plan", "SELECT item_id, 'Goal ' || item_id::VARCHAR AS goal, 'good' AS success_criteria, 'look>q' || item_id::VARCHAR || '>hits;read it>-> ;note ' || item_id::VARCHAR || '>-> all' AS steps FROM benchmark")
 def z15(t):
     k = F.col("item_id").cast("string")
-    text = F.concat(F.lit("GOAL: Goal "), k, F.lit("\nSUCCESS_CRITERIA:\n- c1\n- c2\nSTEPS:\n1. look | SEARCH: q"), k, F.lit(" | EXPECT: hits\n2. read\n"))
-    p = G.parse_plan(text)
-    return t.benchmark.select("item_id", p.alias("p")).select("item_id", "p.goal", F.array_join("p.criteria", ",").alias("criteria"), F.array_join(F.transform("p.steps", lambda s: F.concat_ws(">", s["description"], s["search"], s["expect"])), ";").alias("steps"))
+    text = F.concat(F.lit("- not a step\nGOAL: first\nGOAL: Goal "), k, F.lit("\n  SUCCESS_CRITERIA: good\nsteps below\nSTEPS:\n\n1. look | search: q"), k, F.lit(" | Expect: hits\nno step\n2) read it | SEARCH: none\n- note "), k, F.lit(" | SEARCH: NONE | EXPECT: all\n"))
+    p = t.benchmark.select("item_id", G.parse_plan(text).alias("p"))
+    step = lambda s: F.concat(s["description"], F.lit(">"), F.coalesce(s["search"], F.lit("-")), F.lit(">"), F.when(s["search"].isNull(), F.concat(F.lit(" "), s["expect"])).otherwise(s["expect"]))
+    return p.select("item_id", "p.goal", "p.success_criteria", F.array_join(F.transform("p.steps", step), ";").alias("steps"))
 
 
 @query("z16_step_digest", "SELECT conv_id, md5(string_agg(substr(text, 1, 200), chr(10) ORDER BY turn)) AS digest_md5 FROM conversations WHERE role = 'assistant' GROUP BY conv_id")

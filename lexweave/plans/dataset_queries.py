@@ -64,9 +64,26 @@ def a5(t):
     return by.crossJoin(small(total)).select("lang", "n", F.round(100.0 * F.col("n") / F.col("all"), 4).alias("percent")).orderBy(F.desc("n")).limit(5)
 
 
-@query("a6_length_statistics", "SELECT count(*)::BIGINT AS n, min(length(text))::INT AS least, max(length(text))::INT AS most, round(avg(length(text)), 6) AS mean, list_sort(list(length(text)))[(count(*) // 2 + 1)::INT]::INT AS median FROM documents")
+RECORDS_SQL = "SELECT doc_id, 'Q' || (doc_id % 150)::VARCHAR AS instruction, CASE WHEN doc_id % 5 > 0 THEN source || ' ' || lang END AS input, text || CASE WHEN doc_id % 9 = 0 THEN ' ```x```' WHEN doc_id % 7 = 0 THEN ' 熱制御' WHEN doc_id % 11 = 0 THEN ' import os' ELSE '' END AS output FROM documents"
+
+
+def records(t):
+    k = F.col("doc_id")
+    more = F.when(k % 9 == 0, " ```x```").when(k % 7 == 0, " 熱制御").when(k % 11 == 0, " import os").otherwise("")
+    return t.documents.select("doc_id", F.concat(F.lit("Q"), k % 150).alias("instruction"), F.when(k % 5 > 0, F.concat_ws(" ", "source", "lang")).alias("input"), F.concat("text", more).alias("output"))
+
+
+@query("a6_dataset_statistics", f"""WITH r AS ({RECORDS_SQL}), k AS (SELECT *, contains(output, '```') OR contains(output, 'def ') OR contains(output, 'import ') AS code, regexp_matches(output, '[\\x{{3040}}-\\x{{30ff}}\\x{{4e00}}-\\x{{9fff}}]') AS jp FROM r)
+SELECT count(*)::BIGINT AS total_records, min(length(output))::INT AS output_len_min, max(length(output))::INT AS output_len_max, round(avg(length(output)), 6) AS output_len_avg, list_sort(list(length(output)))[(count(*) // 2 + 1)::INT]::INT AS output_len_median, round(avg(length(coalesce(input, ''))), 6) AS input_len_avg,
+ count(*) FILTER (WHERE code) AS code_block_count, round(count(*) FILTER (WHERE code) / count(*) * 100, 6) AS code_block_ratio_pct, count(*) FILTER (WHERE jp) AS japanese_output_count, round(count(*) FILTER (WHERE jp) / count(*) * 100, 6) AS japanese_output_ratio_pct, (SELECT count(*) FROM (SELECT instruction FROM r GROUP BY 1 HAVING count(*) > 1)) AS duplicate_instructions_count FROM k""")
 def a6(t):
-    return D.length_statistics(t.documents, F.length("text")).withColumn("mean", F.round("mean", 6))
+    told = D.dataset_statistics(records(t))
+    return told.withColumns({c: F.round(c, 6) for c, kind in told.dtypes if kind == "double"})
+
+
+@query("a6_repeated_instructions", f"SELECT instruction, count(*) AS n FROM ({RECORDS_SQL}) GROUP BY 1 HAVING count(*) > 1 ORDER BY min(doc_id) LIMIT 5")
+def a6_repeated(t):
+    return D.repeated_instructions(records(t), "doc_id")
 
 
 @query("a7_duplicate_groups", f"SELECT {FP} AS fingerprint, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -112,10 +129,10 @@ def d6(t):
     return D.split_parts(t.documents.select("doc_id"), F.col("doc_id").cast("string")).select("doc_id", "split")
 
 
-@query("s16_grep", "SELECT page_id, n AS line_number, line FROM (SELECT page_id, unnest(string_split(html, chr(10))) AS line, generate_subscripts(string_split(html, chr(10)), 1) AS n FROM pages) WHERE regexp_matches(line, '(?i)href=\"[^\"]*[02468]\"') ORDER BY page_id, line_number LIMIT 50")
+@query("s16_grep", "SELECT page_id, n AS line_number, line FROM (SELECT page_id, unnest(string_split(html, chr(10))) AS line, generate_subscripts(string_split(html, chr(10)), 1) AS n FROM pages) WHERE regexp_matches(line, '(?i)href=\"/(the|que|ch)[^\"]*\"') ORDER BY page_id, line_number LIMIT 50")
 def s16(t):
     rows = t.pages.select("page_id", F.posexplode(F.split("html", "\n")).alias("n", "line"))
-    hit = rows.filter(F.col("line").rlike('(?i)href="[^"]*[02468]"')).select("page_id", (F.col("n") + 1).cast("long").alias("line_number"), "line")
+    hit = rows.filter(F.col("line").rlike('(?i)href="/(the|que|ch)[^"]*"')).select("page_id", (F.col("n") + 1).cast("long").alias("line_number"), "line")
     return hit.orderBy("page_id", "line_number").limit(50)
 
 

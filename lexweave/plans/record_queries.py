@@ -69,18 +69,31 @@ def j4(t):
     return R.attach_tags(docs, bridge, t.region.select(F.col("r_regionkey").alias("tag"), "r_name"), "o_orderkey", "tag", "r_name").select("o_orderkey", F.array_join("tags", ",").alias("tags"))
 
 
-@query("j5_two_step_lookup", "SELECT s_suppkey, coalesce(a.n_name, b.n_name) AS name FROM supplier LEFT JOIN nation a ON a.n_nationkey = s_suppkey LEFT JOIN nation b ON b.n_nationkey = s_suppkey // 10")
+MAP_SQL = """
+m AS (SELECT n_nationkey AS position, n_name AS domain, ['DOC-' || (3 * n_nationkey)::VARCHAR, 'DOC-' || (3 * n_nationkey + 1)::VARCHAR] AS prim, ['DOC-' || (3 * n_nationkey + 3)::VARCHAR, 'DOC-' || (n_nationkey + 70)::VARCHAR] AS rel FROM nation),
+r AS (SELECT position, domain, 0 AS kind, unnest(prim) AS doc_id, generate_subscripts(prim, 1) AS nth FROM m UNION ALL SELECT position, domain, 1, unnest(rel), generate_subscripts(rel, 1) FROM m),
+f AS (SELECT doc_id, arg_min(domain, (position, kind, nth)) AS domain, arg_min(kind, (position, kind, nth)) = 0 AS is_primary FROM r GROUP BY doc_id)"""
+
+
+def domain_map(t):
+    """A domain for each nation, with two primary and two related documents; some are named twice."""
+    n = F.col("n_nationkey")
+    doc = lambda k, note="": F.concat(F.lit("DOC-"), k.cast("string"), F.lit(note))
+    domains = t.nation.select(n.alias("position"), F.col("n_name").alias("domain"), F.lower("n_name").alias("name"), F.lit(" note ").alias("expert_note"), F.array("n_name").alias("keywords"), F.array(doc(3 * n), doc(3 * n + 1, "  # remark")).alias("primary_docs"), F.array(doc(3 * n + 3), doc(n + 70)).alias("related_docs"))
+    return R.document_domains(domains)
+
+
+@query("j5_two_step_lookup", f"""WITH {MAP_SQL}, c AS (SELECT doc_id AS chunk, 'DOC-' || (doc_id % 120)::VARCHAR || CASE doc_id % 4 WHEN 1 THEN 'A' WHEN 2 THEN 'B12' ELSE '' END AS doc FROM documents)
+SELECT chunk, doc, coalesce(a.domain, b.domain, '') AS domain, coalesce(lower(a.domain), lower(b.domain), '') AS domain_name, coalesce(a.is_primary, b.is_primary, false) AS is_primary_doc FROM c LEFT JOIN f a ON a.doc_id = doc LEFT JOIN f b ON b.doc_id = regexp_replace(doc, '[A-Z][0-9]*$', '')""")
 def j5(t):
-    n = t.nation.select("n_nationkey", "n_name")
-    a, b = n.toDF("k1", "first"), n.toDF("k2", "second")
-    rows = t.supplier.join(small(a), F.col("s_suppkey") == F.col("k1"), "left").join(small(b), F.expr("s_suppkey div 10 = k2"), "left")
-    return rows.select("s_suppkey", F.coalesce("first", "second").alias("name"))
+    edition = F.when(F.col("doc_id") % 4 == 1, "A").when(F.col("doc_id") % 4 == 2, "B12").otherwise("")
+    chunks = t.documents.select(F.col("doc_id").alias("chunk"), F.concat(F.lit("DOC-"), F.col("doc_id") % 120, edition).alias("doc"))
+    return R.with_domain(chunks, domain_map(t), "doc")
 
 
-@query("j6_first_domain_wins", "SELECT p_type, min(p_brand) AS first_brand FROM (SELECT p_type, p_brand, row_number() OVER (PARTITION BY p_type ORDER BY p_size, p_brand) AS k FROM part) WHERE k = 1 GROUP BY p_type")
+@query("j6_first_domain_wins", f"WITH {MAP_SQL} SELECT doc_id, domain, lower(domain) AS name, is_primary, 'note' AS expert_note FROM f")
 def j6(t):
-    w = Window.partitionBy("p_type").orderBy("p_size", "p_brand")
-    return t.part.withColumn("k", F.row_number().over(w)).filter("k = 1").select("p_type", F.col("p_brand").alias("first_brand"))
+    return domain_map(t).select("doc_id", "domain", "name", "is_primary", "expert_note")
 
 
 @query("j11_missing_required", "SELECT o_orderkey, r AS required FROM orders CROSS JOIN (VALUES ('A'), ('N'), ('R')) q(r) WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = r)")

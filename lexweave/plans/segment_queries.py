@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import diff as V
 from ..operators import ranking
 from ..operators import segment as S
@@ -17,7 +18,7 @@ from ..streaming import status
 GREEDY_SQL = r"""
 WITH p AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[^。\n]*[。\n]|[^。\n]+'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> '') AS p FROM documents),
 f AS (SELECT doc_id, list_reduce(list_transform(p, lambda x: {'held': x, 'made': []::VARCHAR[]}), lambda a, x: CASE WHEN length(a.held) + length(x.held) > 800
-  THEN {'held': right(a.held, 100) || x.held, 'made': list_append(a.made, a.held)} ELSE {'held': a.held || x.held, 'made': a.made} END) AS f FROM p WHERE len(p) > 0),
+  THEN {'held': CASE WHEN length(a.held) > 100 THEN right(a.held, 100) ELSE '' END || x.held, 'made': list_append(a.made, a.held)} ELSE {'held': a.held || x.held, 'made': a.made} END) AS f FROM p WHERE len(p) > 0),
 c AS (SELECT doc_id, unnest(list_append(f.made, f.held)) AS c, generate_subscripts(list_append(f.made, f.held), 1) - 1 AS k FROM f)
 SELECT doc_id, k::INT AS chunk_idx, doc_id::VARCHAR || '_' || k::VARCHAR AS chunk_id, md5(regexp_replace(c, '^\s+|\s+$', '', 'g')) AS text_md5 FROM c"""
 
@@ -58,12 +59,14 @@ l AS (SELECT doc_id, x, unnest(string_split(x, chr(10))) AS line, generate_subsc
 o AS (SELECT *, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1)::BIGINT AS start FROM l)"""
 
 
-@query("t3_sections", rf"""
-WITH {LINES_SQL}, h AS (
+SECTION_ROWS = rf"""{LINES_SQL}, h AS (
   SELECT doc_id, x, start, regexp_extract(line, '^[第(]?(\d+(?:\.\d+)*)', 1) AS number, regexp_replace(regexp_extract(line, '^(?:\d+\.|\d+(?:\.\d+){{1,3}}|第\d+章|\(\d+\))\s+(.+)$', 1), '^\s+|\s+$', '', 'g') AS title,
    CASE WHEN regexp_matches(line, '^\d+\.\s+.') THEN 1 WHEN regexp_matches(line, '^\d+\.\d+\s+.') THEN 2 WHEN regexp_matches(line, '^\d+\.\d+\.\d+\s+.') THEN 3 WHEN regexp_matches(line, '^\d+(\.\d+){{3}}\s+.') THEN 4 WHEN regexp_matches(line, '^第\d+章\s+.') THEN 1 WHEN regexp_matches(line, '^\(\d+\)\s+.') THEN 3 END AS depth FROM o),
 n AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), length(x)) AS stop FROM h WHERE depth IS NOT NULL AND length(title) <= 100),
-s AS (SELECT doc_id, number, title, depth::INT AS depth, start, regexp_replace(substr(x, start + 1, stop - start), '^\s+|\s+$', '', 'g') AS t FROM n)
+s AS (SELECT doc_id, number, title, depth::INT AS depth, start, regexp_replace(substr(x, start + 1, stop - start), '^\s+|\s+$', '', 'g') AS t FROM n)"""
+
+
+@query("t3_sections", f"""WITH {SECTION_ROWS}
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INT AS chunk_idx, number, title, depth, start, md5(t) AS text_md5 FROM s WHERE length(t) >= 20""")
 def t3(t):
     rows = S.cut_rows(t.documents.select("doc_id", F.expr(OUTLINED).alias("text")), S.sections, "number string, title string, depth int, start bigint, text string")
@@ -108,6 +111,43 @@ def t6(t):
     return S.chunk(t.documents, S.overlapping_pieces).select("doc_id", "chunk_idx", F.md5("text").alias("text_md5"))
 
 
+CHILDREN_SQL = "WITH RECURSIVE " + SECTION_ROWS + """, r AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INT AS pos, number, title, depth, t FROM s WHERE length(t) >= 20),
+u AS (SELECT a.*, (SELECT max(b.pos) FROM r b WHERE b.doc_id = a.doc_id AND b.pos < a.pos AND b.depth < a.depth) AS up FROM r a),
+y AS (SELECT a.*, array_to_string(list_filter([a.doc_id::VARCHAR, d.number || ' ' || d.title, c.number || ' ' || c.title, b.number || ' ' || b.title, a.number || ' ' || a.title], lambda v: v IS NOT NULL), ' > ') AS path
+ FROM u a LEFT JOIN u b ON b.doc_id = a.doc_id AND b.pos = a.up LEFT JOIN u c ON c.doc_id = b.doc_id AND c.pos = b.up LEFT JOIN u d ON d.doc_id = c.doc_id AND d.pos = c.up),
+big AS (SELECT doc_id::VARCHAR || '_' || pos::VARCHAR AS doc_id, t AS text FROM y WHERE length(t) > 400), """ + WINDOW_SQL.split("WITH RECURSIVE ")[1].replace("documents", "big").split("SELECT doc_id, (row_number()")[0] + """, z AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INT AS k, count(*) OVER (PARTITION BY doc_id) AS n, c FROM c WHERE c <> ''),
+kids AS (SELECT z.doc_id || '_child_' || k::VARCHAR AS chunk_id, z.doc_id AS parent_id, number || '.' || (k + 1)::VARCHAR AS section_number, depth + 1 AS depth, path || ' > 段落 ' || (k + 1)::VARCHAR AS hierarchy, c FROM z JOIN y ON y.doc_id::VARCHAR || '_' || y.pos::VARCHAR = z.doc_id WHERE n > 1)"""
+
+
+def sections(t):
+    rows = S.cut_rows(t.documents.select("doc_id", F.expr(OUTLINED).alias("text")), S.sections, "number string, title string, depth int, start bigint, text string")
+    return S.outlined(rows.withColumnRenamed("chunk_idx", "pos").drop("start"))
+
+
+@query("t6_child_chunks", CHILDREN_SQL + " SELECT chunk_id, parent_id, section_number, depth, hierarchy, md5(c) AS text_md5 FROM kids")
+def t6_children(t):
+    return S.child_chunks(sections(t)).select("chunk_id", "parent_id", "section_number", "depth", F.array_join("hierarchy", " > ").alias("hierarchy"), F.md5("text").alias("text_md5"))
+
+
+@query("t6_parent_child_search", CHILDREN_SQL + """, q AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-zà-ÿ]+'), lambda w: length(w) > 9)) AS words FROM benchmark),
+wo AS (SELECT item_id, unnest(words) AS word FROM q), m AS (SELECT chunk_id, parent_id, unnest(list_distinct(regexp_extract_all(lower(c), '[a-zà-ÿ]+'))) AS word FROM kids),
+f AS (SELECT item_id, chunk_id, parent_id, count(*) AS hits FROM m JOIN wo USING (word) GROUP BY ALL),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, chunk_id) AS k FROM f) WHERE k <= 10)
+SELECT b.item_id, b.parent_id, max(hits) AS hits, count(*) AS n_children, md5(any_value(y.t)) AS text_md5 FROM b JOIN y ON y.doc_id::VARCHAR || '_' || y.pos::VARCHAR = b.parent_id GROUP BY 1, 2""")
+def t6_search(t):
+    """The ten children with the most long words of an item, answered by their parents."""
+    from ..storage import cut
+
+    own = cut(sections(t), "sections")
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-zà-ÿ]+"), F.lit(0)))
+    asked = t.benchmark.select("item_id", F.explode(F.filter(words(F.col("text")), lambda w: F.length(w) > 9)).alias("word"))
+    children = S.child_chunks(own).select("chunk_id", "parent_id", F.explode(words(F.col("text"))).alias("word"))
+    hits = children.join(small(asked), "word").groupBy("item_id", "chunk_id", "parent_id").agg(F.count(F.lit(1)).alias("hits"))
+    best = hits.withColumn("k", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("hits"), "chunk_id"))).filter("k <= 10")
+    found = best.groupBy("item_id", "parent_id").agg(F.max("hits").alias("hits"), F.count(F.lit(1)).alias("n_children"))
+    return found.join(own.select(F.col("chunk_id").alias("parent_id"), F.md5("text").alias("text_md5")), "parent_id")
+
+
 @query("t4_paragraphs", r"""
 WITH p AS (SELECT doc_id, unnest(regexp_split_to_array(x, '\n{2,}')) AS p, generate_subscripts(regexp_split_to_array(x, '\n{2,}'), 1) AS number FROM (SELECT doc_id, replace(text, '.' || chr(10), '.' || chr(10) || chr(10)) AS x FROM documents))
 SELECT doc_id, number::INT AS number, CASE WHEN length(p) > 50 THEN substr(p, 1, 50) || '...' ELSE p END AS title, md5(p) AS text_md5 FROM p WHERE length(p) >= 30""")
@@ -163,10 +203,22 @@ def t10(t):
     return rows.select("doc_id", F.array_join(F.transform("s", lambda x: x["number"]), ",").alias("sections"))
 
 
-@query("t11_dual_records", "SELECT doc_id, 'original' AS kind, md5(text) AS text_md5 FROM documents UNION ALL SELECT doc_id, 'simplified', md5(substr(text, 1, 200)) FROM documents")
+SPECIFIED = "concat('当該装置に係る試験を実施するものとする。なお、', text, ' 及び ISO 9001 を要する 12 kg')"
+SPECIFIED_DUCK = "('当該装置に係る試験を実施するものとする。なお、' || text || ' 及び ISO 9001 を要する 12 kg')"
+PLAIN_DUCK = "o"
+for _old, _new in X.PLAIN_PHRASES:
+    PLAIN_DUCK = f"replace({PLAIN_DUCK}, '{_old}', '{_new}')"
+
+
+@query("t11_dual_records", rf"""
+WITH a AS (SELECT doc_id::VARCHAR AS id, {SPECIFIED_DUCK} AS o FROM documents), b AS (SELECT *, {PLAIN_DUCK} AS p, substr(o, 1, 80) || CASE WHEN length(o) > 80 THEN '...' ELSE '' END AS summary,
+ array_to_string(list_slice(list_sort(list_distinct(list_concat(regexp_extract_all(o, '(?:JERG|JAXA|JIS|ISO|MIL|IEEE)[- ]?[\p{{L}}\p{{N}}_.-]+'), regexp_extract_all(o, '\d+(?:\.\d+)?\s*(?:km|m|kg|W|V|A|MHz|GHz|dB|°C|Pa|N)')))), 1, 10), '|') AS keywords FROM a)
+SELECT id || '_simplified' AS chunk_id, id AS original_chunk_id, 'simplified' AS index_type, md5(p) AS text_md5, summary, keywords FROM b UNION ALL SELECT id || '_original', id, 'original', md5(o), summary, keywords FROM b""")
 def t11(t):
-    rows = F.explode(F.array(F.struct(F.lit("original").alias("kind"), F.col("text").alias("x")), F.struct(F.lit("simplified").alias("kind"), F.substring("text", 1, 200).alias("x"))))
-    return t.documents.select("doc_id", rows.alias("r")).select("doc_id", "r.kind", F.md5("r.x").alias("text_md5"))
+    o = F.expr(SPECIFIED)
+    summary = F.concat(F.substring(o, 1, 80), F.when(F.length(o) > 80, "...").otherwise(""))
+    records = X.dual_records(F.col("doc_id").cast("string"), o, X.substitute(o, X.PLAIN_PHRASES), summary, X.rule_keywords(o))
+    return t.documents.select(F.explode(records).alias("r")).select("r.chunk_id", "r.original_chunk_id", "r.index_type", F.md5("r.text").alias("text_md5"), "r.summary", F.array_join("r.keywords", "|").alias("keywords"))
 
 
 @query("t12_representations", "SELECT doc_id, rep_type, md5(x) AS text_md5 FROM (SELECT doc_id, unnest(['original', 'summary', 'keywords', 'paraphrase']) AS rep_type, unnest([text, substr(text, 1, 80), lang || ' ' || source, reverse(substr(text, 1, 40))]) AS x FROM documents)")
@@ -211,9 +263,13 @@ def x24s(t):
     return t.documents.select("doc_id", F.size(s["added"]).alias("added"), F.size(s["removed"]).alias("removed"))
 
 
-@query("x29_normalise", "SELECT item_id, nfc_normalize(text) AS text FROM benchmark")
+@query("x29_normalise", r"""
+WITH m AS (SELECT item_id, 'AB12 いつも' || nfc_normalize(text) || chr(10) || chr(10) || chr(10) || chr(10) || CASE item_id % 3 WHEN 0 THEN '【対応依頼】' WHEN 1 THEN '【確認依頼】' ELSE '' END AS x FROM benchmark) SELECT item_id, regexp_replace(regexp_replace(x, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM m""")
 def x29(t):
-    return t.benchmark.select("item_id", V.nfkc(F.col("text")).alias("text"))
+    """Items as mails with wide characters, a greeting, four line feeds and a request."""
+    tail = F.element_at(F.array(F.lit("ご対応のほど、よろしくお願いいたします。"), F.lit("ご確認のほど、よろしくお願い申し上げます。 \n"), F.lit("以上、よろしくお願いいたします。")), (F.col("item_id") % 3 + 1).cast("int"))
+    mail = F.concat(F.lit("ＡＢ１２　いつもお世話になっております。 "), "text", F.lit("\n\n\n\n"), tail)
+    return t.benchmark.select("item_id", V.normalise_mail(mail).alias("text"))
 
 
 @query("k6_markdown", "SELECT n_regionkey, '## Region ' || n_regionkey::VARCHAR || chr(10) || string_agg('- ' || n_name, chr(10) ORDER BY n_nationkey) AS markdown FROM nation GROUP BY n_regionkey")

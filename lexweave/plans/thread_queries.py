@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import ranking
+from ..operators import expand as E
 from ..operators import threads as T
 from ..operators.dimension import small
 from ..registry import query
@@ -51,13 +52,17 @@ def j12(t):
     return T.unanswered(m).select("conv_id", "turn")
 
 
-@query("j15_reply_tasks", "SELECT conv_id, turn, n_nationkey FROM conversations JOIN nation ON n_nationkey = conv_id % 30 UNION ALL SELECT conv_id, turn, n_nationkey FROM conversations JOIN nation ON conv_id % 30 > 24 AND list_has_any(string_split(lower(role), ' '), string_split(lower(n_name), ' '))")
+@query("j15_reply_tasks", r"""
+WITH k AS (SELECT n_nationkey AS task_id, n_nationkey AS thread, n_name || ' the Report' AS title FROM nation WHERE n_nationkey % 4 > 1),
+r AS (SELECT conv_id, turn, conv_id % 50 AS thread, string_split_regex(regexp_replace('Re: fw:NATION_' || (conv_id % 30)::VARCHAR || ' ' || text, '(?i)Re:|FW:|Fwd:', '', 'g'), '\s+') AS words FROM conversations),
+s AS (SELECT conv_id, turn, task_id FROM r JOIN k USING (thread))
+SELECT * FROM s UNION ALL SELECT conv_id, turn, task_id FROM r JOIN k ON list_has_any(list_filter(words, lambda w: w <> ''), string_split(title, ' ')) WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.conv_id = r.conv_id AND s.turn = r.turn)""")
 def j15(t):
-    c, n = t.conversations.select("conv_id", "turn", "role"), t.nation.select("n_nationkey", "n_name")
-    same = c.join(small(n), F.col("conv_id") % 30 == F.col("n_nationkey"))
-    rest = c.join(small(n.select("n_nationkey")), F.col("conv_id") % 30 == F.col("n_nationkey"), "left_anti")
-    words = rest.join(small(n), F.arrays_overlap(F.split(F.lower("role"), " "), F.split(F.lower("n_name"), " ")))
-    return same.select("conv_id", "turn", "n_nationkey").unionByName(words.select("conv_id", "turn", "n_nationkey"))
+    status = F.when(F.col("n_nationkey") % 4 == 0, "done").when(F.col("n_nationkey") % 4 == 1, "cancelled").otherwise("pending")
+    tasks = t.nation.select(F.col("n_nationkey").alias("task_id"), F.col("n_nationkey").alias("thread"), F.concat("n_name", F.lit(" the Report")).alias("title"), status.alias("status"))
+    subject = F.concat(F.lit("Re: fw:NATION_"), F.col("conv_id") % 30, F.lit(" "), "text")
+    replies = t.conversations.select(F.struct("conv_id", "turn").alias("reply"), (F.col("conv_id") % 50).alias("thread"), subject.alias("subject"))
+    return T.related_tasks(replies, tasks).select("reply.*", "task_id")
 
 
 @query("a18_session_metadata", r"""
@@ -81,10 +86,36 @@ def w13(t):
     return T.within_budget(t.conversations, ["conv_id"], ["turn"], F.length("text"), 1500).select("conv_id", "turn")
 
 
-@query("z11_memory_context", "SELECT conv_id, role, string_agg(text, chr(10) ORDER BY turn) AS part FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id, role ORDER BY turn) AS s FROM conversations) WHERE s <= 400 GROUP BY ALL")
+@query("z11_memory_context", """
+WITH q AS (SELECT s_suppkey AS query_id, CASE s_suppkey % 4 WHEN 0 THEN 'red ring' WHEN 1 THEN 'hot gear' WHEN 2 THEN 'blue' ELSE 'nothing' END AS text FROM supplier),
+w AS (SELECT '- [' || event_type || '] event ' || event_id::VARCHAR AS line, row_number() OVER (ORDER BY value DESC, event_id) AS k FROM events),
+wl AS (SELECT 'a' AS p, k, line FROM w WHERE k <= 20), ws AS (SELECT k, line, sum(length(line)) OVER (ORDER BY k) AS s FROM wl), wp AS (SELECT '[作業記憶]' || coalesce(chr(10) || string_agg(line, chr(10) ORDER BY k) FILTER (WHERE s <= 150), '') AS part FROM ws HAVING count(*) > 0),
+f1 AS (SELECT query_id, p_partkey, '- [' || p_brand || '] ' || p_name || ': ' || p_type || CASE WHEN p_partkey % 3 = 0 THEN ' (出典: JAXA)' ELSE '' END AS line, len(list_filter(string_split(q.text, ' '), lambda x: contains(lower(p_name || p_type), x))) AS n FROM q CROSS JOIN part),
+f2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, p_partkey) AS k FROM f1 WHERE n > 0), f3 AS (SELECT query_id, k, line, sum(length(line)) OVER (PARTITION BY query_id ORDER BY k) AS s FROM f2 WHERE k <= 5),
+fp AS (SELECT query_id, '[ドメイン知識]' || coalesce(chr(10) || string_agg(line, chr(10) ORDER BY k) FILTER (WHERE s <= 150), '') AS part FROM f3 GROUP BY query_id),
+p2 AS (SELECT s_suppkey AS query_id, '- ' || n_name || ': for region ' || n_regionkey::VARCHAR || chr(10) || '  手順: plan → do → check' AS line, row_number() OVER (PARTITION BY s_suppkey ORDER BY n.n_nationkey) AS k FROM supplier JOIN nation n ON n.n_nationkey % 7 = s_suppkey % 9),
+p3 AS (SELECT *, sum(length(line)) OVER (PARTITION BY query_id ORDER BY k) AS s FROM p2 WHERE k <= 2), pp AS (SELECT query_id, '[手順パターン]' || coalesce(chr(10) || string_agg(line, chr(10) ORDER BY k) FILTER (WHERE s <= 150), '') AS part FROM p3 GROUP BY query_id),
+e2 AS (SELECT o_custkey AS query_id, '- order ' || o_orderkey::VARCHAR || chr(10) || '  事実: ' || o_orderpriority || '; ' || o_orderstatus AS line, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders),
+e3 AS (SELECT *, sum(length(line)) OVER (PARTITION BY query_id ORDER BY k) AS s FROM e2 WHERE k <= 3), ep AS (SELECT query_id, '[関連エピソード]' || coalesce(chr(10) || string_agg(line, chr(10) ORDER BY k) FILTER (WHERE s <= 150), '') AS part FROM e3 GROUP BY query_id)
+SELECT q.query_id, array_to_string(list_filter([wp.part, fp.part, pp.part, ep.part], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS context FROM q CROSS JOIN wp LEFT JOIN fp USING (query_id) LEFT JOIN pp USING (query_id) LEFT JOIN ep USING (query_id)""")
 def z11(t):
-    kept = T.within_budget(t.conversations, ["conv_id", "role"], ["turn"], F.length("text"), 400)
-    return kept.groupBy("conv_id", "role").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("x")))), lambda s: s["x"]), "\n").alias("part"))
+    """Suppliers ask events, parts, nations and orders, within 600 characters."""
+    first = lambda df, keys, order, k: df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= k)
+    text = F.element_at(F.array(*map(F.lit, ("red ring", "hot gear", "blue", "nothing"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    questions = t.supplier.select(F.col("s_suppkey").alias("query_id"), text.alias("text"))
+    working = t.events.orderBy(F.desc("value"), "event_id").limit(20).select((-F.col("value")).alias("v"), "event_id", F.concat(F.lit("- ["), "event_type", F.lit("] event "), "event_id").alias("line"))
+    working = working.select(F.struct("v", "event_id").alias("rank"), "line")
+    words = questions.select("query_id", F.explode(F.split("text", " ")).alias("word"))
+    parts = t.part.select("p_partkey", F.lower(F.concat("p_name", "p_type")).alias("low"))
+    hits = E.contained_by_index(parts, words.select(F.col("word").alias("term")).distinct(), ["p_partkey"], "low").select("p_partkey", F.col("term").alias("word")).join(words, "word")
+    hits = first(hits.groupBy("query_id", "p_partkey").agg(F.count(F.lit(1)).alias("n")), ["query_id"], [F.desc("n"), "p_partkey"], 5).join(t.part, "p_partkey")
+    source = F.when(F.col("p_partkey") % 3 == 0, " (出典: JAXA)").otherwise("")
+    semantic = hits.select("query_id", "rank", F.concat(F.lit("- ["), "p_brand", F.lit("] "), "p_name", F.lit(": "), "p_type", source).alias("line"))
+    steps = t.supplier.join(small(t.nation), F.col("n_nationkey") % 7 == F.col("s_suppkey") % 9).select(F.col("s_suppkey").alias("query_id"), "n_nationkey", F.concat(F.lit("- "), "n_name", F.lit(": for region "), "n_regionkey", F.lit("\n  手順: plan → do → check")).alias("line"))
+    procedural = first(steps, ["query_id"], ["n_nationkey"], 2).select("query_id", "rank", "line")
+    told = t.orders.select(F.col("o_custkey").alias("query_id"), "o_totalprice", "o_orderkey", F.concat(F.lit("- order "), "o_orderkey", F.lit("\n  事実: "), "o_orderpriority", F.lit("; "), "o_orderstatus").alias("line"))
+    episodic = first(told, ["query_id"], [F.desc("o_totalprice"), "o_orderkey"], 3).select("query_id", "rank", "line")
+    return T.memory_context(questions, {"working": working, "semantic": semantic, "procedural": procedural, "episodic": episodic}, 600)
 
 
 @query("w14_packed_context", """
@@ -148,9 +179,17 @@ def z10(t):
     return rows.filter(F.col("line").rlike("the|que|est") & (F.length("line") < 150)).withColumn("importance", F.lit(2.0))
 
 
-@query("z12_message_tokens", r"SELECT conv_id, sum((15 * length(regexp_replace(text, '[\x00-\x7f]', '', 'g')) + 3 * (length(text) - length(regexp_replace(text, '[\x00-\x7f]', '', 'g')))) // 10)::BIGINT AS tokens FROM conversations GROUP BY conv_id")
+CALLS = '[{"id": "c1", "name": "検索", "arguments": "x"}]'
+WIDE_DUCK = r"(2 * (length({0}) - length(regexp_replace({0}, '[\x{{3000}}-\x{{9fff}}\x{{ff00}}-\x{{ffef}}]', '', 'g'))) + 0.25 * length(regexp_replace({0}, '[\x{{3000}}-\x{{9fff}}\x{{ff00}}-\x{{ffef}}]', '', 'g')))"
+
+
+@query("z12_message_tokens", f"""
+WITH m AS (SELECT conv_id, text || CASE WHEN turn % 3 = 0 THEN '熱制御' ELSE '' END AS text, CASE WHEN role = 'assistant' THEN '{CALLS}' ELSE '' END AS calls FROM conversations)
+SELECT conv_id, sum(4 + CASE WHEN text = '' THEN 0 ELSE floor({WIDE_DUCK.format("text")}) + 4 END + CASE WHEN calls = '' THEN 0 ELSE floor({WIDE_DUCK.format("calls")}) + 4 END)::BIGINT AS tokens FROM m GROUP BY conv_id""")
 def z12(t):
-    return t.conversations.groupBy("conv_id").agg(F.sum(X.estimate_tokens(F.col("text"))).alias("tokens"))
+    text = F.concat("text", F.when(F.col("turn") % 3 == 0, "熱制御").otherwise(""))
+    calls = F.when(F.col("role") == "assistant", CALLS)
+    return t.conversations.groupBy("conv_id").agg(F.sum(X.message_tokens(text, calls)).cast("long").alias("tokens"))
 
 
 @query("z13_history_text", "SELECT conv_id, md5(string_agg('[' || role || '] ' || substr(text, 1, 300), chr(10) ORDER BY turn)) AS history_md5 FROM conversations WHERE text <> '' GROUP BY conv_id")
@@ -160,10 +199,18 @@ def z13(t):
     return rows.select("conv_id", F.md5(F.array_join(F.transform("h", lambda s: s["x"]), "\n")).alias("history_md5"))
 
 
-@query("f5_session_filter", "SELECT DISTINCT conv_id FROM conversations WHERE contains(lower(text), 'license') OR role = 'system'")
+@query("f5_session_filter", r"""
+WITH t AS (SELECT conv_id, max(contains(lower(text), 'the')::INT) AS a, max((role = 'system')::INT) AS b, max(contains(lower(text), 'que')::INT) AS c, regexp_replace(replace(arg_min(text, turn) FILTER (role = 'user'), chr(10), ' '), '^\s+|\s+$', '', 'g') AS line FROM conversations GROUP BY conv_id),
+s AS (SELECT *, coalesce(substr(line, 1, 50) || CASE WHEN length(line) > 50 THEN '...' ELSE '' END, '無題セッション') AS title FROM t)
+SELECT conv_id AS session_id, title FROM s WHERE (a = 1 OR b = 1) AND contains(lower(title), 'th') AND conv_id % 5 <> 0 ORDER BY (conv_id * 37) % 1000 DESC, conv_id LIMIT 20""")
 def f5(t):
-    tags = F.array(F.when(F.contains(F.lower("text"), F.lit("license")), "license"), F.when(F.col("role") == "system", "system"))
-    return t.conversations.filter(F.arrays_overlap(F.filter(tags, lambda x: x.isNotNull()), F.array(F.lit("license"), F.lit("system")))).select("conv_id").distinct()
+    user = F.col("role") == "user"
+    tag = lambda found, name: F.when(F.max(found), name)
+    low = F.lower("text")
+    own = F.array_compact(F.array(tag(F.contains(low, F.lit("the")), "english"), tag(F.col("role") == "system", "system"), tag(F.contains(low, F.lit("que")), "romance")))
+    index = t.conversations.groupBy(F.col("conv_id").alias("session_id")).agg(X.session_title(F.min_by(F.when(user, F.col("text")), F.when(user, F.col("turn")))).alias("title"), own.alias("tags"))
+    index = index.withColumns({"archived": F.col("session_id") % 5 == 0, "updated_at": F.col("session_id") * 37 % 1000})
+    return T.sessions(index, tags=["english", "system"], query="TH").select("session_id", "title")
 
 
 @query("z8_memory_search", "SELECT event_id, ts FROM events WHERE contains(event_type, 'ch') ORDER BY ts DESC, event_id LIMIT 15")
