@@ -11,11 +11,17 @@ all its neighbours in its home cell, links are counted there, and no pair is
 found twice or sent on: a block returns one count for each vector and a
 spanning forest of the links it saw.
 
-The number of pivots grows with the table: one for every ``CELL`` vectors, or
-the square root of their number where that is less, so that finding the home of
-n vectors and comparing them within their cells both cost about n ** 1.5 if the
-vectors are well separated.  Pivots are drawn by digest and lie more than r
-apart: a dense region gets its share of them, and a group of near copies one.
+Pivots come in two levels of bounded number.  The top ones, at most ``TOP`` of a
+length and ``TOP_COMPONENTS`` components in all, are drawn by the driver and
+broadcast.  A top cell that holds more than ``SPLIT`` times ``CELL`` vectors,
+copies included, is divided again by pivots of its own, at most ``TOP``, which
+one task draws from a sample of the cell; its vectors meet them in groups of
+bounded size.  The argument above holds within the cell, as every neighbour of a
+vector at home there is in it.  So the driver's share doesn't grow with the
+table.  Within a level a cell of n vectors has one pivot for every ``CELL`` of
+them, or the square root of n where that is less.  Pivots are drawn by digest
+and lie more than r apart: a dense region gets its share of them, and a group of
+near copies one.
 
 Equal vectors are one vector with a number of copies before anything else, so
 a very common vector costs nothing.  A cell of any size is cut into blocks of
@@ -44,7 +50,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut, table
@@ -56,6 +62,10 @@ CELL = 4096
 #: Vectors in a block at most (about), and their components; one vector is a block at least.
 BLOCK = 4096
 BLOCK_COMPONENTS = 1 << 19
+#: Pivots of a level at most, and components of all top pivots.
+TOP, TOP_COMPONENTS = 256, 1 << 21
+#: A top cell of more than this many times ``CELL`` vectors is divided again; its vectors meet its pivots so many at a time.
+SPLIT, MEET = 4, 1 << 14
 #: Vectors looked at for each pivot that is wanted.
 _TRIES = 4
 #: Distances in one matrix of the search for homes.
@@ -105,12 +115,71 @@ def spread(candidates: np.ndarray, count: int, radius: float) -> np.ndarray:
     return chosen[:n]
 
 
-def link(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, cell: int = CELL, block: int = BLOCK) -> DataFrame:
+def _wanted(count: int, cell: int, most: int) -> int:
+    """Pivots for so many vectors."""
+    return max(1, min(math.ceil(count / cell), math.isqrt(count), most))
+
+
+def _places(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The home of each row of a matrix, and rows and pivots of the cells that it belongs to."""
+    homes, rows, cells = [], [], []
+    apart = np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 1e-12))
+    step = max(1, _DISTANCES // len(pivots))
+    for k in range(0, len(x), step):
+        square = np.maximum(2 - 2 * (x[k : k + step] @ pivots.T), 0)
+        home = square.argmin(1)
+        own = square[np.arange(len(square)), home]
+        # distance to the plane between the two pivots, and the plain triangle bound
+        near = ((square - own[:, None]) / (2 * apart[home]) <= radius + 1e-9) & (np.sqrt(square) - np.sqrt(own)[:, None] <= 2 * radius + 1e-9)
+        near[np.arange(len(square)), home] = True
+        at, cell = np.nonzero(near)
+        homes.append(home)
+        rows.append(at + k)
+        cells.append(cell)
+    return np.concatenate(homes), np.concatenate(rows), np.concatenate(cells)
+
+
+def _divided(copied: DataFrame, large: dict[int, int], cell: int, radius: float, top: int) -> DataFrame:
+    """The rows (node, copies, x, cell, asks) of large cells, dealt to cells of a second level."""
+    spark = copied.sparkSession
+    big = cut(copied.filter(F.col("cell").isin(list(large))), "vectors-large")
+    # node keys are digests, so the smallest of a cell are a sample; each task keeps no more than that of a cell
+    first = F.row_number().over(Window.partitionBy("cell").orderBy("node"))
+    wanted = F.create_map(*[F.lit(v) for c, n in large.items() for v in (c, _wanted(n, cell, top))])
+    sample = big.select("cell", "node", "x").withColumn("k", first).filter(F.col("k") <= _TRIES * top).withColumn("wanted", wanted[F.col("cell")])
+
+    def draw(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("k").combine_chunks()
+        count = rows.column("wanted")[0].as_py()
+        pivots = spread(_matrix(rows.column("x").chunk(0))[: _TRIES * count], count, radius)
+        return pa.table({"cell": pa.array([rows.column("cell")[0].as_py()], pa.int64()), "pivots": pa.array([pivots.tobytes()], pa.binary())})
+
+    pivots = cut(sample.groupBy("cell").applyInArrow(draw, "cell bigint, pivots binary"), "vectors-pivots", few_files=True)
+    groups = F.create_map(*[F.lit(v) for c, n in large.items() for v in (c, math.ceil(n / MEET))])
+    dealt = big.withColumn("group", F.pmod(F.xxhash64("node"), groups[F.col("cell")]).cast("int"))
+    sent = pivots.withColumn("group", F.explode(F.sequence(F.lit(0), groups[F.col("cell")] - 1)))
+
+    def place(rows: pa.Table, own: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        if not rows.num_rows:
+            return rows.select(["node", "copies", "x", "cell", "asks"])
+        x = _matrix(rows.column("x").chunk(0))
+        p = np.frombuffer(own.column("pivots")[0].as_py(), np.float64).reshape(-1, x.shape[1])
+        home, at, sub = _places(x, p, radius)
+        cells = rows.column("cell").to_numpy()[at] + sub + 1
+        asks = rows.column("asks").to_numpy(zero_copy_only=False)[at] & (home[at] == sub)
+        taken = rows.take(pa.array(at))
+        return pa.table({"node": taken.column("node"), "copies": taken.column("copies"), "x": taken.column("x"), "cell": pa.array(cells), "asks": pa.array(asks)})
+
+    return dealt.groupBy("cell", "group").cogroup(sent.groupBy("cell", "group")).applyInArrow(place, copied.schema)
+
+
+def link(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, cell: int = CELL, block: int = BLOCK, top: int = TOP) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row.
 
-    The driver gets the candidates for pivots, ``_TRIES`` times the pivots in
-    number, and one counter for each cell: a share of the vectors that falls as
-    their number grows.
+    The driver gets the candidates for the top pivots, ``_TRIES`` times their
+    number, one counter for each length, and one for each top cell: all of them
+    bounded, whatever the number of vectors.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
@@ -128,59 +197,45 @@ def link(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
     if not counts:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     # by length: the first of its cells and its pivots; a length of one cell needs no pivot
-    cells_of, sizes = {}, []
+    cells_of, total = {}, 0
     for n, k in counts.items():
-        wanted = max(1, min(math.ceil(k / cell), math.isqrt(k)))
+        wanted = _wanted(k, cell, min(top, max(1, TOP_COMPONENTS // (n * len(counts)))))
         pivots = None
         if wanted > 1:
             # node keys are digests, so the smallest are a sample
             pivots = spread(np.array([r["x"] for r in nodes.filter(F.size("x") == n).orderBy("node").limit(_TRIES * wanted).collect()], np.float64), wanted, radius)
             wanted = len(pivots)
-        cells_of[n] = (len(sizes), pivots)
-        sizes += [max(1, min(block, BLOCK_COMPONENTS // n))] * wanted
+        cells_of[n] = (total, pivots)
+        total += wanted
     shared = spark.sparkContext.broadcast(cells_of)
-
-    def place_some(x, first, pivots):
-        """Home and list of cells of each row of a matrix."""
-        square = np.maximum(2 - 2 * (x @ pivots.T), 0)
-        home = square.argmin(1)
-        own = square[np.arange(len(x)), home]
-        # distance to the plane between the two pivots, and the plain triangle bound
-        apart = np.sqrt(np.maximum(2 - 2 * (pivots[home] @ pivots.T), 1e-12))
-        near = ((square - own[:, None]) / (2 * apart) <= radius + 1e-9) & (np.sqrt(square) - np.sqrt(own)[:, None] <= 2 * radius + 1e-9)
-        near[np.arange(len(x)), home] = True
-        at, cells = np.nonzero(near)
-        return home + first, at, cells + first
-
-    def place_equal(x):
-        first, pivots = shared.value[x.shape[1]]
-        if pivots is None:
-            return np.full(len(x), first), np.arange(len(x)), np.full(len(x), first)
-        step = max(1, _DISTANCES // len(pivots))
-        parts = [(k, *place_some(x[k : k + step], first, pivots)) for k in range(0, len(x), step)]
-        return np.concatenate([h for _, h, _, _ in parts]), np.concatenate([at + k for k, _, at, _ in parts]), np.concatenate([c for _, _, _, c in parts])
+    # a top cell leaves room for the numbers of the cells it is divided into
+    room = top + 1
 
     def place(batches):
         for batch in batches:
             lengths = batch.column(2).value_lengths().to_numpy()
             for n in np.unique(lengths):
                 own = batch if (lengths == n).all() else batch.take(pa.array(np.flatnonzero(lengths == n)))
-                home, at, cells = place_equal(_matrix(own.column(2)))
+                first, pivots = shared.value[int(n)]
+                one = np.zeros(own.num_rows, np.int64)
+                home, at, cells = (one, np.arange(own.num_rows), one) if pivots is None else _places(_matrix(own.column(2)), pivots, radius)
                 cuts = np.searchsorted(at, np.arange(own.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), pa.array(home.astype(np.int32)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(cells.astype(np.int32)))], names=["node", "copies", "x", "home", "cells"])
-
-    placed = cut(nodes.select("node", "copies", "x").mapInArrow(place, "node binary, copies bigint, x array<double>, home int, cells array<int>"), "placed")
-    # one counter for each cell
-    inner = {r["home"]: r["n"] for r in placed.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}
-    outer = {r["c"]: r["n"] for r in placed.select(F.explode("cells").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = lambda rows_in: F.split(F.lit(",".join(str(math.ceil(rows_in.get(c, 0) / size) or 1) for c, size in enumerate(sizes))), ",").cast("array<int>")
-    n_in, n_out = blocks(inner), blocks(outer)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), pa.array((home + first) * room), pa.ListArray.from_arrays(pa.array(cuts), pa.array((cells + first) * room))], names=["node", "copies", "x", "home", "cells"])
+
+    placed = cut(nodes.select("node", "copies", "x").mapInArrow(place, "node binary, copies bigint, x array<double>, home bigint, cells array<bigint>"), "placed")
+    copied = placed.select("node", "copies", "x", "home", F.explode("cells").alias("cell")).select("node", "copies", "x", "cell", (F.col("home") == F.col("cell")).alias("asks"))
+    # one counter for each top cell
+    held = {r["cell"]: r["n"] for r in copied.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    large = {c: n for c, n in held.items() if n > SPLIT * cell and _wanted(n, cell, top) > 1}
+    if large:
+        copied = cut(copied.filter(~F.col("cell").isin(list(large))).unionByName(_divided(copied, large, cell, radius, top)), "vectors-cells")
+    size = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(BLOCK_COMPONENTS) / F.first(F.size("x")))))
+    blocks = copied.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count_if("asks") / size)).cast("int").alias("n_in"), F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n_out"))
     h = F.xxhash64("node")
-    copied = placed.select("node", "copies", "x", "home", F.explode("cells").alias("cell"))
-    copied = copied.withColumns({"own": F.col("home") == F.col("cell"), "a": F.pmod(h, F.element_at(n_in, F.col("cell") + 1)).cast("int"), "b": F.pmod(h, F.element_at(n_out, F.col("cell") + 1)).cast("int")})
+    copied = copied.join(cut(blocks, "vectors-blocks", few_files=True), "cell").withColumns({"a": F.pmod(h, F.col("n_in")).cast("int"), "b": F.pmod(h, F.col("n_out")).cast("int")})
     # to the block pairs of its own block at home, and to all home blocks as a neighbour
-    home_rows = copied.filter("own").select("node", "copies", "x", "cell", "a", F.explode(F.sequence(F.lit(0), F.element_at(n_out, F.col("cell") + 1) - 1)).alias("b"), F.lit(True).alias("asks"))
-    other_rows = copied.select("node", "copies", "x", "cell", F.explode(F.sequence(F.lit(0), F.element_at(n_in, F.col("cell") + 1) - 1)).alias("a"), "b", F.lit(False).alias("asks"))
+    home_rows = copied.filter("asks").select("node", "copies", "x", "cell", "a", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("b"), F.lit(True).alias("asks"))
+    other_rows = copied.select("node", "copies", "x", "cell", F.explode(F.sequence(F.lit(0), F.col("n_in") - 1)).alias("a"), "b", F.lit(False).alias("asks"))
 
     def join(group: pa.Table) -> pa.Table:
         def told(names, links, roots):

@@ -43,6 +43,30 @@ def test_against_brute_force(spark, cell, block):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in out)
 
 
+@pytest.mark.parametrize("meet", [1 << 14, 25])
+def test_two_levels_of_pivots(spark, monkeypatch, meet):
+    """Large cells are divided again; what the driver collects has a bound that the table doesn't move."""
+    monkeypatch.setattr(V, "SPLIT", 1)
+    monkeypatch.setattr(V, "MEET", meet)
+    divided = []
+    plain = V._divided
+    monkeypatch.setattr(V, "_divided", lambda *a: divided.append(len(a[1])) or plain(*a))
+    taken = []
+    first = V.spread
+    monkeypatch.setattr(V, "spread", lambda c, n, r: taken.append(len(c)) or first(c, n, r))
+    rng = np.random.default_rng(7)
+    rows = []
+    for size in (300, 900):
+        while len(rows) < size:
+            base = rng.normal(size=8)
+            rows += [(len(rows) + k, (base + rng.normal(size=8) * rng.choice([0.02, 0.15])).tolist()) for k in range(int(rng.integers(1, 9)))]
+        out = V.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cell=12, block=10, top=5).collect()
+        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out} == brute(rows)
+    assert len(divided) == 2 and min(divided) > 1
+    # candidates of the top pivots only: the second level's are drawn in tasks
+    assert taken == [V._TRIES * 5] * 2
+
+
 @pytest.mark.parametrize("cell, block", [(4096, 4096), (20, 16)])
 def test_each_length_joins_on_its_own(spark, cell, block):
     rng = np.random.default_rng(5)
