@@ -1,8 +1,9 @@
 """Query expansion, domain detection and routing over small dictionaries.
 
-Dictionaries (synonyms, domains, glossary, rules) are dimensions of a stated
-size; a query meets them by containment, which is a nested loop over a
-broadcast dictionary.
+Queries meet dictionaries (synonyms, domains, glossary) by containment: a few
+terms are broadcast and looked for one by one, more are found by an index of
+their first characters, so no dictionary is met row by row whatever its size.
+Rules are patterns, which no index of characters serves; they are few.
 """
 
 from __future__ import annotations
@@ -10,12 +11,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .dimension import small
+from ..storage import cut
+from .dimension import is_small, small
 
 
-def contained(queries: DataFrame, terms: DataFrame, text: str = "text", term: str = "term") -> DataFrame:
-    """Queries with every dictionary term that they contain."""
-    return queries.crossJoin(small(terms)).filter(F.contains(F.col(text), F.col(term)))
+#: Terms of a dictionary that are looked for one by one, at most.
+FEW_TERMS = 200
+
+
+def contained(queries: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", few: int = FEW_TERMS) -> DataFrame:
+    """Queries with every dictionary term that they contain; empty terms are contained in nothing.
+
+    Beyond ``few`` terms, texts meet them by :func:`contained_by_index`, each
+    distinct text once.
+    """
+    known = terms.filter(F.length(term) > 0)
+    if is_small(known, few):
+        return queries.crossJoin(F.broadcast(known)).filter(F.contains(F.col(text), F.col(term)))
+    marked = queries.filter(F.col(text).isNotNull()).withColumn("__mark", F.md5(F.col(text)))
+    texts = marked.select("__mark", F.col(text).alias("__text")).dropDuplicates(["__mark"])
+    found = contained_by_index(texts, known, ["__mark"], "__text", term).drop("__text")
+    return marked.join(found, "__mark").drop("__mark")
 
 
 def contained_by_index(texts: DataFrame, terms: DataFrame, key: list[str], text: str = "text", term: str = "term", gram: int = 8) -> DataFrame:
@@ -70,8 +86,8 @@ def detect_domains(queries: DataFrame, domains: DataFrame, glossary: DataFrame |
     words = domains.select("domain", F.coalesce("specificity", F.lit(default)).alias("spec"), F.explode("keywords").alias("kw"))
     owner = words.groupBy("kw").agg(F.max("spec").alias("top"))
     words = words.join(owner, "kw")
-    longer = words.select("kw").distinct().alias("a").join(words.select("kw").distinct().alias("b"), F.expr("contains(b.kw, a.kw) and length(b.kw) > length(a.kw)")).groupBy("a.kw").agg(F.collect_set("b.kw").alias("longer"))
-    words = words.join(longer, "kw", "left")
+    own = words.select("kw").distinct()
+    longer = contained(own.select(F.col("kw").alias("holder")), own, "holder", "kw").filter("holder <> kw")
     q = queries.select(key, "text")
     if glossary is not None:
         hits = contained(q, glossary.select("term", "formal", F.col("domain").alias("points")))
@@ -79,17 +95,22 @@ def detect_domains(queries: DataFrame, domains: DataFrame, glossary: DataFrame |
         q = q.join(formal, key, "left")
     else:
         q = q.withColumns({"formal": F.lit(None).cast("string"), "points": F.array().cast("array<string>")})
-    rows = q.crossJoin(small(words))
+    # a keyword in the query is also in the query with its formal terms
     text, kw = F.col("text"), F.col("kw")
     literal = F.contains(text, kw)
-    wide = F.contains(F.concat_ws(" ", "text", "formal"), kw)
-    subsumed = F.exists(F.coalesce("longer", F.array().cast("array<string>")), lambda x: F.contains(text, x))
+    rows = cut(contained(q.withColumn("wide", F.concat_ws(" ", "text", "formal")), words, "wide", "kw"), "keywords")
+    said = rows.filter(literal).select(key, "kw").distinct()
+    covered = said.join(longer, "kw").join(said.select(key, F.col("kw").alias("holder")), [key, "holder"], "left_semi").select(key, "kw").distinct()
+    rows = rows.join(covered.withColumn("subsumed", F.lit(True)), [key, "kw"], "left")
     cover = F.length(kw) / F.length(text)
     lost = F.col("top") > F.col("spec")
     by_cover = F.when(cover >= 0.5, F.when(lost, 2.0).otherwise(4.0)).when(cover >= 0.2, F.when(lost, 1.5).otherwise(2.5)).otherwise(F.when(lost, 0.8).otherwise(1.5))
-    score = F.when(literal, F.when(subsumed, 0.1).otherwise(by_cover)).when(wide, 0.5).otherwise(0.0)
-    out = rows.groupBy(key, "domain", "spec").agg(F.sum(score).alias("s"), F.first("points").alias("points"))
-    out = out.withColumn("s", F.col("s") + F.when(F.array_contains(F.coalesce("points", F.array().cast("array<string>")), F.col("domain")), 3.0).otherwise(0.0)).filter("s > 0")
+    score = F.when(literal, F.when(F.col("subsumed"), 0.1).otherwise(by_cover)).otherwise(0.5)
+    none = F.array().cast("array<string>")
+    # a domain that a glossary term points at counts without a keyword too
+    pointed = q.select(key, F.explode(F.coalesce("points", none)).alias("domain")).join(small(domains.select("domain", F.coalesce("specificity", F.lit(default)).alias("spec"))), "domain")
+    out = rows.select(key, "domain", "spec", score.alias("s")).unionByName(pointed.select(key, "domain", "spec", F.lit(3.0).alias("s")))
+    out = out.groupBy(key, "domain", "spec").agg(F.sum("s").alias("s")).filter("s > 0")
     return out.select(key, "domain", F.round(F.col("s") * (1 + 0.3 * (F.col("spec") - 1)), 2).alias("score"))
 
 

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .dimension import small
-from .expand import contained_by_index
+from .expand import contained, contained_by_index
 
 
 def abbreviations_in(texts: DataFrame, abbreviations: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, abbr, full) of dictionary abbreviations that stand alone in the text: no letter before, no letter or digit after."""
     pattern = F.concat(F.lit(r"(?:^|[^A-Za-z])\Q"), F.col("abbr"), F.lit(r"\E(?:$|[^A-Za-z0-9])"))
-    return texts.crossJoin(small(abbreviations)).filter(F.contains(F.col(text), F.col("abbr")) & F.regexp_like(F.col(text), pattern)).select(key, "abbr", "full")
+    return contained(texts.select(key, text), abbreviations, text, "abbr").filter(F.regexp_like(F.col(text), pattern)).select(key, "abbr", "full")
 
 
 def matching_terms(queries: DataFrame, terms: DataFrame, key: str = "query_id") -> DataFrame:
@@ -66,7 +66,7 @@ def grouped_text(entries: DataFrame, group: str, name: str, meaning: str) -> Dat
 def category_score(queries: DataFrame, abbreviations: DataFrame, terms: DataFrame, key: str = "query_id") -> DataFrame:
     """(key, category, score): 2 for each abbreviation of a category in the query, or 1 for each term; terms win where both exist."""
     a = abbreviations_in(queries, abbreviations.select("abbr", F.col("category").alias("full")), key).groupBy(key, F.col("full").alias("category")).agg((2 * F.count(F.lit(1))).alias("a"))
-    t = queries.crossJoin(small(terms)).filter(F.contains("text", F.col("term"))).groupBy(key, "category").agg(F.count(F.lit(1)).alias("t"))
+    t = contained(queries, terms).groupBy(key, "category").agg(F.count(F.lit(1)).alias("t"))
     return a.join(t, [key, "category"], "full_outer").select(key, "category", F.coalesce("t", "a").alias("score"))
 
 

@@ -169,8 +169,9 @@ def r22(t):
 @query("r23_procedures", "SELECT item_id, n_nationkey, len(list_filter(string_split(lower(n_name || ' the onth en'), ' '), lambda w: contains(lower(text), w)))::INT AS score FROM benchmark CROSS JOIN nation WHERE len(list_filter(string_split(lower(n_name || ' the onth en'), ' '), lambda w: contains(lower(text), w))) > 0")
 def r23(t):
     words = F.split(F.lower(F.concat("n_name", F.lit(" the onth en"))), " ")
-    rows = t.benchmark.crossJoin(small(t.nation.select("n_nationkey", words.alias("words"))))
-    return rows.select("item_id", "n_nationkey", F.size(F.filter("words", lambda w: F.contains(F.lower("text"), w))).alias("score")).filter("score > 0")
+    triggers = t.nation.select("n_nationkey", F.explode(words).alias("term"))
+    rows = E.contained(t.benchmark.select("item_id", F.lower("text").alias("text")), triggers)
+    return rows.groupBy("item_id", "n_nationkey").agg(F.count(F.lit(1)).cast("int").alias("score"))
 
 
 @query("z10_decision_lines", r"SELECT conv_id, turn, line, 2.0::DOUBLE AS importance FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations WHERE role = 'assistant') WHERE regexp_matches(line, 'the|que|est') AND length(line) < 150")
