@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import guided as D
+from ..operators import postings as P
 from ..operators import search as S
 from ..registry import query
 from .text_queries import TOKENS_SQL
@@ -45,7 +46,7 @@ def a3(t):
 
 @query("r1_bm25_okapi", f"WITH {BASE_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM okapi WHERE score > 0) WHERE rank <= 10")
 def r1(t):
-    return _round(S.top_k(S.bm25_okapi(chunks(t), questions(t), key="doc_id"), 10, "doc_id"))
+    return _round(P.ranked(P.TextIndex.build(chunks(t), key="doc_id"), questions(t), 10, form="okapi", key="doc_id"))
 
 
 @query("r1_bm25_filter_after", f"WITH {BASE_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM okapi JOIN d USING (doc_id) WHERE score > 0 AND contains(source, 'c1')) WHERE rank <= 10")
@@ -57,7 +58,7 @@ def r1_filter(t):
 
 @query("r2_bm25_topk", f"WITH {BASE_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM plus) WHERE rank <= 10")
 def r2(t):
-    return _round(S.top_k(S.bm25_plus_one(chunks(t), questions(t), key="doc_id", keep_zero=False), 10, "doc_id"))
+    return _round(P.ranked(P.TextIndex.build(chunks(t), key="doc_id"), questions(t), 10, form="plus", key="doc_id"))
 
 
 @query("r2_bm25_all_scores", f"WITH {BASE_SQL} SELECT qq.query_id, d.doc_id, round(coalesce(score, 0), 6) AS score FROM d CROSS JOIN (SELECT DISTINCT query_id FROM q) qq LEFT JOIN plus ON plus.query_id = qq.query_id AND plus.doc_id = d.doc_id WHERE len(tokens) > 0")
@@ -204,7 +205,7 @@ al AS (SELECT DISTINCT query_id, d.doc_id FROM tg JOIN d ON contains(d.source, t
 sy AS (SELECT query_id, unnest(list_transform(terms, lambda x: CASE WHEN x = '{SYNONYM[0]}' THEN '{SYNONYM[1]}' ELSE x END)) AS term FROM a WHERE list_contains(terms, '{SYNONYM[0]}')),
 ok2 AS (SELECT query_id, doc_id, sum(CASE WHEN raw < 0 THEN (SELECT 0.25 * avg(raw) FROM v) ELSE raw END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(len(tokens)) FROM d)))) AS score FROM sy JOIN tf USING (term) JOIN v USING (term) GROUP BY 1, 2),
 e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), cs AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, list_inner_product(e.v, q.v) / ((sqrt(list_inner_product(e.v, e.v)) + 1e-10) * (sqrt(list_inner_product(q.v, q.v)) + 1e-10)) AS score FROM e JOIN e q ON q.vec_id % 50 = 0 AND q.vec_id IN (SELECT query_id FROM a) AND e.vec_id IN (SELECT doc_id FROM d)),
-h AS (SELECT query_id, 'bm25' AS method, doc_id, score FROM okapi WHERE score > 0 UNION ALL SELECT query_id, 'synonym', doc_id, score FROM ok2 WHERE score > 0 UNION ALL SELECT query_id, 'vector', doc_id, score FROM cs WHERE score >= 0.3),
+h AS (SELECT query_id, 'bm25' AS method, doc_id, round(score, 9) AS score FROM okapi WHERE score > 0 UNION ALL SELECT query_id, 'synonym', doc_id, round(score, 9) FROM ok2 WHERE score > 0 UNION ALL SELECT query_id, 'vector', doc_id, round(score, 9) FROM cs WHERE score >= 0.3),
 g1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, method ORDER BY score DESC, doc_id) AS rank, max(score) OVER (PARTITION BY query_id, method) AS best FROM h SEMI JOIN al USING (query_id, doc_id)),
 g2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, method ORDER BY score DESC, doc_id) AS rank, max(score) OVER (PARTITION BY query_id, method) AS best FROM h WHERE query_id NOT IN (SELECT query_id FROM g1)),
 g AS (SELECT *, true AS guided FROM g1 WHERE rank <= 5 UNION ALL SELECT *, false FROM g2 WHERE rank <= 5),
@@ -224,14 +225,15 @@ def r17(t):
         """BM25, BM25 of the question with a synonym, and vectors of documents; the best five of each."""
         other = F.transform("terms", lambda x: F.when(x == SYNONYM[0], SYNONYM[1]).otherwise(x))
         expanded = questions.filter(F.array_contains("terms", SYNONYM[0])).withColumn("terms", other)
-        hits = [S.top_k(S.bm25_okapi(c, q, key="doc_id", allowed=allowed), 5, "doc_id").withColumn("method", F.lit(m)) for m, q in (("bm25", questions), ("synonym", expanded))]
+        even = lambda rows: rows.withColumn("score", F.round("score", 9))
+        hits = [S.top_k(even(S.bm25_okapi(c, q, key="doc_id", allowed=allowed)), 5, "doc_id").withColumn("method", F.lit(m)) for m, q in (("bm25", questions), ("synonym", expanded))]
         v = t.embeddings.join(c.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
         q = vector_queries(t).join(questions.select("query_id"), "query_id", "left_semi")
         if allowed is None:
-            near = S.vector_search(v, q, 5, threshold=0.3).withColumnRenamed("vec_id", "doc_id")
+            near = even(S.vector_search(v, q, 5, threshold=0.3)).withColumnRenamed("vec_id", "doc_id")
         else:
             near = allowed.join(q, "query_id").join(v.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-            near = S.top_k(near.select("query_id", "doc_id", S.cosine(F.col("embedding"), F.col("q")).alias("score")).filter("score >= 0.3"), 5, "doc_id")
+            near = S.top_k(even(near.select("query_id", "doc_id", S.cosine(F.col("embedding"), F.col("q")).alias("score")).filter("score >= 0.3")), 5, "doc_id")
         return hits[0].unionByName(hits[1]).unionByName(near.withColumn("method", F.lit("vector")).select(*hits[0].columns)).withColumn("batch", F.lit(1))
 
     out = D.guided_search(asked, c, domains, ranked, k=5, key="doc_id", doc="source")
