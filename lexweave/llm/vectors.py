@@ -13,10 +13,11 @@ spanning forest of the links it saw.
 
 Pivots come in two levels of bounded number.  The top ones, at most ``TOP`` of a
 length and ``TOP_COMPONENTS`` components in all, are drawn by the driver and
-broadcast.  A top cell that holds more than ``SPLIT`` times ``CELL`` vectors,
-copies included, is divided again by pivots of its own, at most ``TOP``, which
-one task draws from a sample of the cell; its vectors meet them in groups of
-bounded size.  The argument above holds within the cell, as every neighbour of a
+broadcast.  A top cell that is home to more than ``SPLIT`` times ``CELL`` vectors
+is divided again by pivots of its own, at most ``TOP``, which one task draws from
+a sample of the cell; its vectors meet them in groups of bounded size.  Where
+the sample says that a vector would be copied to more than a quarter of the new
+cells, the cell stays whole, as copies would cost more than they save.  The argument above holds within the cell, as every neighbour of a
 vector at home there is in it.  So the driver's share doesn't grow with the
 table.  Within a level a cell of n vectors has one pivot for every ``CELL`` of
 them, or the square root of n where that is less.  Pivots are drawn by digest
@@ -65,7 +66,8 @@ BLOCK_COMPONENTS = 1 << 19
 #: Pivots of a level at most, and components of all top pivots.
 TOP, TOP_COMPONENTS = 256, 1 << 21
 #: A top cell of more than this many times ``CELL`` vectors is divided again; its vectors meet its pivots so many at a time.
-SPLIT, MEET = 4, 1 << 14
+#: New cells for each copy that a division makes, at least.
+SPLIT, MEET, WORTH = 4, 1 << 14, 4
 #: Vectors looked at for each pivot that is wanted.
 _TRIES = 4
 #: Distances in one matrix of the search for homes.
@@ -139,23 +141,26 @@ def _places(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarra
     return np.concatenate(homes), np.concatenate(rows), np.concatenate(cells)
 
 
-def _divided(copied: DataFrame, large: dict[int, int], cell: int, radius: float, top: int) -> DataFrame:
-    """The rows (node, copies, x, cell, asks) of large cells, dealt to cells of a second level."""
+def _divided(copied: DataFrame, large: dict[int, tuple[int, int]], cell: int, radius: float, top: int) -> DataFrame:
+    """The rows (node, copies, x, cell, asks) of large cells, by vectors at home and in all, dealt to cells of a second level."""
     spark = copied.sparkSession
     big = cut(copied.filter(F.col("cell").isin(list(large))), "vectors-large")
     # node keys are digests, so the smallest of a cell are a sample; each task keeps no more than that of a cell
     first = F.row_number().over(Window.partitionBy("cell").orderBy("node"))
-    wanted = F.create_map(*[F.lit(v) for c, n in large.items() for v in (c, _wanted(n, cell, top))])
+    wanted = F.create_map(*[F.lit(v) for c, (n, _) in large.items() for v in (c, _wanted(n, cell, top))])
     sample = big.select("cell", "node", "x").withColumn("k", first).filter(F.col("k") <= _TRIES * top).withColumn("wanted", wanted[F.col("cell")])
 
     def draw(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("k").combine_chunks()
         count = rows.column("wanted")[0].as_py()
-        pivots = spread(_matrix(rows.column("x").chunk(0))[: _TRIES * count], count, radius)
+        x = _matrix(rows.column("x").chunk(0))[: _TRIES * count]
+        pivots = spread(x, count, radius)
+        if WORTH * len(_places(x, pivots, radius)[1]) > len(pivots) * len(x):
+            pivots = pivots[:1]
         return pa.table({"cell": pa.array([rows.column("cell")[0].as_py()], pa.int64()), "pivots": pa.array([pivots.tobytes()], pa.binary())})
 
     pivots = cut(sample.groupBy("cell").applyInArrow(draw, "cell bigint, pivots binary"), "vectors-pivots", few_files=True)
-    groups = F.create_map(*[F.lit(v) for c, n in large.items() for v in (c, math.ceil(n / MEET))])
+    groups = F.create_map(*[F.lit(v) for c, (_, n) in large.items() for v in (c, math.ceil(n / MEET))])
     dealt = big.withColumn("group", F.pmod(F.xxhash64("node"), groups[F.col("cell")]).cast("int"))
     sent = pivots.withColumn("group", F.explode(F.sequence(F.lit(0), groups[F.col("cell")] - 1)))
 
@@ -225,8 +230,8 @@ def link(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
     placed = cut(nodes.select("node", "copies", "x").mapInArrow(place, "node binary, copies bigint, x array<double>, home bigint, cells array<bigint>"), "placed")
     copied = placed.select("node", "copies", "x", "home", F.explode("cells").alias("cell")).select("node", "copies", "x", "cell", (F.col("home") == F.col("cell")).alias("asks"))
     # one counter for each top cell
-    held = {r["cell"]: r["n"] for r in copied.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    large = {c: n for c, n in held.items() if n > SPLIT * cell and _wanted(n, cell, top) > 1}
+    held = copied.groupBy("cell").agg(F.count_if("asks").alias("home"), F.count(F.lit(1)).alias("n")).collect()
+    large = {r["cell"]: (r["home"], r["n"]) for r in held if r["home"] > SPLIT * cell and _wanted(r["home"], cell, top) > 1}
     if large:
         copied = cut(copied.filter(~F.col("cell").isin(list(large))).unionByName(_divided(copied, large, cell, radius, top)), "vectors-cells")
     size = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(BLOCK_COMPONENTS) / F.first(F.size("x")))))

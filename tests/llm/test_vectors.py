@@ -43,11 +43,12 @@ def test_against_brute_force(spark, cell, block):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in out)
 
 
-@pytest.mark.parametrize("meet", [1 << 14, 25])
-def test_two_levels_of_pivots(spark, monkeypatch, meet):
+@pytest.mark.parametrize("meet, worth", [(1 << 14, 0), (25, 0), (25, 4)])
+def test_two_levels_of_pivots(spark, monkeypatch, meet, worth):
     """Large cells are divided again; what the driver collects has a bound that the table doesn't move."""
     monkeypatch.setattr(V, "SPLIT", 1)
     monkeypatch.setattr(V, "MEET", meet)
+    monkeypatch.setattr(V, "WORTH", worth)
     divided = []
     plain = V._divided
     monkeypatch.setattr(V, "_divided", lambda *a: divided.append(len(a[1])) or plain(*a))
