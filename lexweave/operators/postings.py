@@ -58,11 +58,11 @@ class TextIndex:
 
     @classmethod
     def build(cls, chunks: DataFrame, path: str | None = None, *, key: str = "chunk_id", tokens: str = "tokens", shard: int = SHARD) -> TextIndex:
-        """The index of all chunks, kept below ``path``, or for the session.  Null tokens are none; null keys take part."""
+        """The index of all chunks, kept below ``path``, or for the session.  Null tokens are none, nor are null lists; null keys take part."""
         spark = chunks.sparkSession
         bounded_batches(spark)
         kind = chunks.schema[key].dataType.simpleString()
-        rows = chunks.select(F.col(key).alias("key"), F.coalesce(F.col(tokens), F.array().cast("array<string>")).alias("tokens"))
+        rows = chunks.select(F.col(key).alias("key"), F.array_compact(F.coalesce(F.col(tokens), F.array().cast("array<string>"))).alias("tokens"))
 
         def deal(batches):
             task, number = TaskContext.get().partitionId(), 0
@@ -194,6 +194,11 @@ def ranked(index: TextIndex, queries: DataFrame, k: int, *, form: str = "okapi",
 
     best = cut(top_k(scored(head), k, key).drop("rank"), "first-best")
     floor = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("score")).filter(F.col("n") >= k).select("query_id", F.col("score").alias("floor"))
-    rest = shards.join(head, ["query_id", "shard"], "left_anti").join(floor, "query_id", "left").filter(F.col("floor").isNull() | (F.col("bound") * (1 + _ROUNDING) >= F.col("floor")))
+    rest = reaching(shards.join(head, ["query_id", "shard"], "left_anti"), floor)
     return top_k(best.unionByName(scored(rest.select("query_id", "shard"))), k, key)
 
+
+def reaching(shards: DataFrame, floor: DataFrame) -> DataFrame:
+    """The shards (query_id, shard, bound) that can hold a chunk with the floor's score; all of a query without a floor."""
+    return shards.join(floor, "query_id", "left").filter(F.col("floor").isNull() | (F.col("bound") * (1 + _ROUNDING) >= F.col("floor"))).drop("floor")
+
