@@ -338,8 +338,10 @@ def by_group(rows):
     return out
 
 
-@pytest.mark.parametrize("n", [0, 1, 300])
-def test_places_in_groups(spark, n):
+@pytest.mark.parametrize("n,large", [(0, 0), (1, 0), (300, 0), (300, 50), (300, 100_000)])
+def test_places_in_groups(spark, monkeypatch, n, large):
+    """By windows alone, by ranges alone, and by ranges for the large group only."""
+    monkeypatch.setattr(ranking, "LARGE", large)
     rows = in_groups(3, n)
     df = spark.createDataFrame(rows, "g string, o int, v int")
     v = F.col("v")
