@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..batches import bounded_batches  # noqa: F401
 from ..storage import cut, discard, shared_dir  # noqa: F401
 
 #: A word is a maximal run of characters other than ASCII white space.
@@ -38,12 +39,6 @@ def map_arrow(docs: DataFrame, run: Callable, schema: StructType) -> DataFrame:
     return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).mapInArrow(run, numbered).toDF(*schema.names)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of bounded bytes: rows can be very long texts."""
-    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", "4194304"), ("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")):
-        spark.conf.set(key, value)
-
-
 def word_count(text):
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -59,7 +59,7 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?+[0-9]){15,}+", 0.8, r"(?:^|[^a-z])(?:card|visa|mastercard|credit|carte|karte|tarjeta)(?:$|[^a-z])"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, r"(?:^|[^a-z])(?:phone|tel|call|mobile|fax|telefon)(?:$|[^a-z])"),
     Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+[A-Z0-9]?+))[A-Z]{2}[0-9]{2}", 0.8, r"(?:^|[^a-z])(?:iban|bank|account|konto|compte|cuenta)(?:$|[^a-z])", base=False),
-    Kind("ssn", r"[0-9-]{11,}+", 0.3, r"(?:^|[^a-z])(?:ssn|social security)(?:$|[^a-z])", base=False),
+    Kind("ssn", r"[0-9]++(?:-[0-9]++)++", 0.3, r"(?:^|[^a-z])(?:ssn|social security)(?:$|[^a-z])", base=False),
 )
 #: Characters of an account number by country, without spaces.
 ACCOUNT_LENGTHS = {
@@ -193,7 +193,7 @@ _PLAIN = [
     ("card", r"[0-9](?:[ -]?[0-9])+"),
     ("phone", r"\+[0-9][ ().0-9-]+[0-9]"),
     ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}"),
-    ("ssn", r"[0-9-]{11,}"),
+    ("ssn", r"[0-9]+(?:-[0-9]+)+"),
 ]
 _SHOW = "coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY k, b){}, '')"
 SQL = f"""

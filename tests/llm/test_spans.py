@@ -69,6 +69,10 @@ def test_pii_checks_and_context(spark):
     found = [(s["kind"], TEXTS[4][s["start"] : s["end"]]) for s in spans[4] if s["kind"] in ("iban", "ssn")]
     assert ("iban", "DE89 3704 0044 0532 0130 00") in found and ("iban", "DE89 3704 0044 0532 0130 01") not in found
     assert ("ssn", "123-45-6789") in found
+    # hyphens that touch a number don't hide it; a longer number isn't one
+    near = spark.createDataFrame([(0, "SSN 123-45-6789-"), (1, "ssn:-123-45-6789"), (2, "ssn 1-123-45-6789"), (3, "ssn 123-45-67890"), (4, "ssn --123-45-6789--")], "doc_id long, text string")
+    held = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "ssn"] for r in pii.find(near).collect()}
+    assert held == {0: [(4, 15)], 1: [(5, 16)], 2: [], 3: [], 4: [(6, 17)]}
     phone = next(s for s in spans[1] if s["kind"] == "phone")
     assert phone["score"] > next(k.score for k in pii.KINDS if k.name == "phone")
 
