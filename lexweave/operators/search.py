@@ -1,11 +1,12 @@
 """Keyword and vector retrieval, fusion and reranking.
 
 Queries come as a table (query_id, terms), so that many questions are answered
-in one job.  A corpus is tokenised in one pass, whose postings are written and
-give all statistics.  Where the vocabulary as a whole doesn't matter, the pass
-keeps the queries' terms only, so what is written and exchanged grows with the
-matches.  Up to ``MOST_TERMS`` of them are a filter of the scan; more go through
-a join.
+in one job.  Where all scores are wanted, or those of some pairs, texts are
+tokenised for the call: one pass keeps the postings of the queries' terms, so
+what is written and exchanged grows with the matches, and the form whose weights
+need the whole vocabulary takes a second one.  Up to ``MOST_TERMS`` terms are a
+filter of the scan; more go through a join.  For the best k alone,
+:mod:`.postings` keeps an index that is made in one pass.
 """
 
 from __future__ import annotations

@@ -8,7 +8,6 @@ over sections are set-based.
 from __future__ import annotations
 
 import bisect
-import hashlib
 import re
 from collections.abc import Callable, Iterator
 
