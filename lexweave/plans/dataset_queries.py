@@ -121,7 +121,9 @@ def d4(t):
 
 @query("d5_union_of_sets", "SELECT conv_id, string_agg(DISTINCT x, ',' ORDER BY x) AS members FROM (SELECT conv_id, unnest([role, 'turn' || (turn % 2)::VARCHAR]) AS x FROM conversations) GROUP BY conv_id")
 def d5(t):
-    return t.conversations.groupBy("conv_id").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("role", F.concat(F.lit("turn"), (F.col("turn") % 2).cast("string"))))))), ",").alias("members"))
+    # a set, partly formed before the exchange, holds each member once however many turns name it
+    members = t.conversations.select("conv_id", F.explode(F.array("role", F.concat(F.lit("turn"), (F.col("turn") % 2).cast("string")))).alias("x"))
+    return members.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_set("x")), ",").alias("members"))
 
 
 @query("d6_split", "WITH k AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42' || doc_id::VARCHAR)) AS k, count(*) OVER () AS n FROM documents) SELECT doc_id, CASE WHEN k <= floor(n * 0.85) THEN 'train' WHEN k <= floor(n * 0.85) + floor(n * 0.10) THEN 'val' ELSE 'test' END AS split FROM k")

@@ -44,7 +44,7 @@ def documents_as_of(t):
     return L.state(documents(t), ["title"], F.lit(AS_OF).cast("timestamp_ntz")).drop("parent")
 
 
-KEY, SEQ = F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.col("l_partkey") * 1000 + F.col("l_suppkey")
+KEY, SEQ = "l_orderkey * 10 + l_linenumber", "l_partkey * 1000 + l_suppkey"
 
 
 @query("dml_versions_after_cascade", f"""WITH {DOCUMENTS_SQL},
@@ -53,7 +53,7 @@ ce AS (SELECT parent, key, "at", seq, 'insert' AS op, flag AS a, NULL AS b FROM
 {CHILDREN_SQL}, {STATE_SQL.format('c', AS_OF)} SELECT key, any_value(parent) AS parent, max("at") AS "at", arg_max(a, ("at", seq)) FILTER (a IS NOT NULL) AS flag FROM si GROUP BY key""")
 def versions(t):
     """Versions that are there as of a day: those of deleted documents are gone, also where the document came back."""
-    v = t.lineitem.select(F.col("l_orderkey").alias("parent"), KEY.alias("key"), F.col("l_shipdate").alias("at"), SEQ.alias("seq"), F.col("l_returnflag").alias("flag"), "l_quantity")
+    v = t.lineitem.select(F.col("l_orderkey").alias("parent"), F.expr(KEY).alias("key"), F.col("l_shipdate").alias("at"), F.expr(SEQ).alias("seq"), F.col("l_returnflag").alias("flag"), "l_quantity")
     step = lambda rows, days, op, flag: rows.withColumns({"at": _later("at", days), "op": F.lit(op), "flag": flag}).drop("l_quantity")
     out = step(v, 0, "insert", F.col("flag")).unionByName(step(v.filter("l_quantity > 40"), 10, "update", F.lit("X"))).unionByName(step(v.filter("l_quantity < 5"), 15, "delete", F.lit(None).cast("string")))
     return L.state(L.effective(out, documents(t)), ["flag"], F.lit(AS_OF).cast("timestamp_ntz"))
@@ -66,7 +66,7 @@ ce AS (SELECT parent, key, "at", seq, 'insert' AS op, CASE WHEN q > 10 THEN 'pen
 {CHILDREN_SQL}, {STATE_SQL.format('c', AS_OF)} SELECT key, any_value(parent) AS parent, max("at") AS "at", arg_max(a, ("at", seq)) FILTER (a IS NOT NULL) AS relationship, arg_max(b, ("at", seq)) FILTER (b IS NOT NULL) AS notes FROM si GROUP BY key""")
 def approvals(t):
     """Links that ask for approval, are approved or rejected, and undone."""
-    v = t.lineitem.select(F.col("l_orderkey").alias("parent"), KEY.alias("key"), F.col("l_shipdate").alias("at"), SEQ.alias("seq"), "l_suppkey", "l_quantity", "l_linestatus", "l_tax", "l_discount")
+    v = t.lineitem.select(F.col("l_orderkey").alias("parent"), F.expr(KEY).alias("key"), F.col("l_shipdate").alias("at"), F.expr(SEQ).alias("seq"), "l_suppkey", "l_quantity", "l_linestatus", "l_tax", "l_discount")
     none = F.lit(None).cast("string")
     step = lambda rows, days, act, who, note: rows.select("key", "parent", _later("at", days).alias("at"), "seq", act.alias("action"), who.alias("who"), note.alias("note"))
     many = F.col("l_quantity") > 10
