@@ -46,7 +46,7 @@ def a3(t):
 
 @query("r1_bm25_okapi", f"WITH {BASE_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM okapi WHERE score > 0) WHERE rank <= 10")
 def r1(t):
-    return _round(P.ranked(P.TextIndex.build(chunks(t), key="doc_id"), questions(t), 10, form="okapi", key="doc_id"))
+    return _round(S.top_k(S.bm25_okapi(chunks(t), questions(t), key="doc_id"), 10, "doc_id"))
 
 
 @query("r1_bm25_filter_after", f"WITH {BASE_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM okapi JOIN d USING (doc_id) WHERE score > 0 AND contains(source, 'c1')) WHERE rank <= 10")
@@ -58,7 +58,18 @@ def r1_filter(t):
 
 @query("r2_bm25_topk", f"WITH {BASE_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM plus) WHERE rank <= 10")
 def r2(t):
-    return _round(P.ranked(P.TextIndex.build(chunks(t), key="doc_id"), questions(t), 10, form="plus", key="doc_id"))
+    return _round(S.top_k(S.bm25_plus_one(chunks(t), questions(t), key="doc_id", keep_zero=False), 10, "doc_id"))
+
+
+@query("w1_indexed_topk", f"""WITH {BASE_SQL}, a AS (SELECT 'okapi' AS form, query_id, doc_id, round(score, 9) AS score FROM okapi WHERE score > 0 UNION ALL SELECT 'plus', query_id, doc_id, round(score, 9) FROM plus),
+k AS (SELECT *, row_number() OVER (PARTITION BY form, query_id ORDER BY score DESC, doc_id) AS rank FROM a) SELECT form, query_id, doc_id, round(score, 6) AS score FROM k WHERE rank <= 10""")
+def w1_indexed(t):
+    """One index, made in one pass over the texts, answers both forms; 20 are taken, so that equal scores are cut after rounding."""
+    index = P.TextIndex.build(chunks(t), key="doc_id")
+    forms = [P.ranked(index, questions(t), 20, form=f, key="doc_id").drop("rank").withColumns({"form": F.lit(f), "score": F.round("score", 9)}) for f in ("okapi", "plus")]
+    w = Window.partitionBy("form", "query_id").orderBy(F.desc("score"), "doc_id")
+    best = forms[0].unionByName(forms[1]).withColumn("rank", F.row_number().over(w)).filter("rank <= 10")
+    return _round(best.select("form", "query_id", "doc_id", "score"))
 
 
 @query("r2_bm25_all_scores", f"WITH {BASE_SQL} SELECT qq.query_id, d.doc_id, round(coalesce(score, 0), 6) AS score FROM d CROSS JOIN (SELECT DISTINCT query_id FROM q) qq LEFT JOIN plus ON plus.query_id = qq.query_id AND plus.doc_id = d.doc_id WHERE len(tokens) > 0")
