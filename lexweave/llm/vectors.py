@@ -26,12 +26,16 @@ near copies one.
 
 Equal vectors are one vector with a number of copies before anything else, so
 a very common vector costs nothing.  A cell of any size is cut into blocks of
-bounded size, each pair of blocks a task of its own.  Distances are computed in
-single precision with a margin and decided in double precision.
+bounded size, each pair of blocks a task of its own; two blocks at home meet once
+for both.  Vectors are sent as they came (in single precision, if they did),
+once for each block that theirs meets.  Distances are computed in single
+precision with a margin and decided in double precision.
 
 How much is copied depends on the data: well separated vectors stay at home,
-while vectors without any structure in many dimensions lie near most borders;
-then the join approaches one of all blocks with all blocks, which is exact and
+while vectors without any structure in many dimensions lie near most borders.
+Where the vectors of a length belong to more than ``SPREAD`` top cells and one
+in ``DENSE`` of them on average, cells are given up for that length, as they would multiply
+what is sent and save little: all blocks meet all blocks, which is exact and
 bounded in memory but quadratic in work.
 
 Vectors of each length have pivots and cells of their own and join with each
@@ -61,33 +65,46 @@ THRESHOLD = 0.95
 #: Vectors to a cell that are aimed at, as long as the cells are fewer than the square root of the vectors.
 CELL = 4096
 #: Vectors in a block at most (about), and their components; one vector is a block at least.
-BLOCK = 4096
-BLOCK_COMPONENTS = 1 << 19
+BLOCK = 1 << 16
+BLOCK_COMPONENTS = 1 << 22
+#: Blocks that a cell is cut into, about, before they grow beyond ``LEAST_BLOCK`` vectors, so that there are pairs for all cores.
+SPREAD, LEAST_BLOCK = 8, 4096
 #: Pivots of a level at most, and components of all top pivots.
 TOP, TOP_COMPONENTS = 256, 1 << 21
 #: A top cell of more than this many times ``CELL`` vectors is divided again; its vectors meet its pivots so many at a time.
 #: New cells for each copy that a division makes, at least.
 SPLIT, MEET, WORTH = 4, 1 << 14, 4
+#: Vectors that belong to more than one in so many top cells (and to more than ``SPREAD``) have no use of cells.
+DENSE = 2
 #: Vectors looked at for each pivot that is wanted.
 _TRIES = 4
 #: Distances in one matrix of the search for homes.
 _DISTANCES = 1 << 21
+#: Products of a pair of blocks that are held at a time.
+_PRODUCTS = 1 << 24
 #: Covers the rounding of single-precision products.
 _MARGIN = 1e-4
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one: divided by their largest component first, so that squares neither overflow nor vanish."""
+    x = x / np.abs(x).max(1)[:, None]
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
 def _matrix(column) -> np.ndarray:
-    """A list column of equal lengths as a float64 matrix."""
+    """A list column of vectors of equal lengths as a float64 matrix of rows of length one."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    return _unit(flat.reshape(len(column), -1))
 
 
 def _block_links(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a and b whose cosine, in double precision, is at least the threshold; rows have length one."""
     a4, b4 = a.astype(np.float32), b.astype(np.float32)
     left, right = [], []
-    for i in range(0, len(a), 1024):
-        x, y = np.nonzero(a4[i : i + 1024] @ b4.T >= threshold - _MARGIN)
+    step = max(64, _PRODUCTS // max(1, len(b)))
+    for i in range(0, len(a), step):
+        x, y = np.nonzero(a4[i : i + step] @ b4.T >= threshold - _MARGIN)
         for k in range(0, len(x), 1 << 16):
             p, q = x[k : k + (1 << 16)] + i, y[k : k + (1 << 16)]
             ok = np.einsum("ij,ij->i", a[p], b[q]) >= threshold
@@ -97,13 +114,6 @@ def _block_links(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.nda
     return (np.concatenate(left), np.concatenate(right)) if left else (empty, empty)
 
 
-def unit(x, largest):
-    """A vector of length one: divided by its largest component first, so that squares neither overflow nor vanish."""
-    scaled = F.transform(x, lambda v: v / largest)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, v: a + v * v))
-    return F.zip_with(scaled, F.array_repeat(norm, F.size(x)), lambda v, n: v / n)
-
-
 def spread(candidates: np.ndarray, count: int, radius: float) -> np.ndarray:
     """Up to ``count`` of the candidates, in their order, that are more than the radius apart; one at least."""
     chosen = np.empty((count, candidates.shape[1]))
@@ -189,14 +199,15 @@ def link(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
     spark = vectors.sparkSession
     bounded_batches(spark)
     radius = math.sqrt(2 - 2 * threshold)
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
-    sound = F.col("x").isNotNull() & (F.size("x") > 0) & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast(f"array<{'float' if single else 'double'}>").alias("x"))
+    sound = F.col("x").isNotNull() & (F.size("x") > 0) & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v).cast("double") == float("inf")))
     largest = F.array_max(F.transform("x", lambda v: F.abs(v)))
     rows = rows.withColumn("largest", F.when(sound & (largest > 0), largest))
     # equal vectors are one node; its key is a digest of the components
-    node = F.unhex(F.md5(F.to_binary(F.array_join(F.transform("x", lambda v: F.hex((v + 0.0).cast("string"))), ","), F.lit("utf-8"))))
+    node = F.unhex(F.md5(F.to_binary(F.array_join(F.transform("x", lambda v: F.hex((v.cast("double") + 0.0).cast("string"))), ","), F.lit("utf-8"))))
     heard = F.col("largest").isNotNull()
-    keyed = cut(rows.select("vec_id", F.when(heard, node).alias("node"), F.when(heard, unit(F.col("x"), F.col("largest"))).alias("x")), "vectors")
+    keyed = cut(rows.select("vec_id", F.when(heard, node).alias("node"), F.when(heard, F.col("x")).alias("x")), "vectors")
     nodes = cut(keyed.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"), F.first("x").alias("x")), "nodes")
     counts = {r["n"]: r["k"] for r in nodes.groupBy(F.size("x").alias("n")).agg(F.count(F.lit(1)).alias("k")).orderBy("n").collect()}
     if not counts:
@@ -208,7 +219,7 @@ def link(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
         pivots = None
         if wanted > 1:
             # node keys are digests, so the smallest are a sample
-            pivots = spread(np.array([r["x"] for r in nodes.filter(F.size("x") == n).orderBy("node").limit(_TRIES * wanted).collect()], np.float64), wanted, radius)
+            pivots = spread(_unit(np.array([r["x"] for r in nodes.filter(F.size("x") == n).orderBy("node").limit(_TRIES * wanted).collect()], np.float64)), wanted, radius)
             wanted = len(pivots)
         cells_of[n] = (total, pivots)
         total += wanted
@@ -227,46 +238,66 @@ def link(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
                 cuts = np.searchsorted(at, np.arange(own.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), pa.array((home + first) * room), pa.ListArray.from_arrays(pa.array(cuts), pa.array((cells + first) * room))], names=["node", "copies", "x", "home", "cells"])
 
-    placed = cut(nodes.select("node", "copies", "x").mapInArrow(place, "node binary, copies bigint, x array<double>, home bigint, cells array<bigint>"), "placed")
+    placed = cut(nodes.select("node", "copies", "x").mapInArrow(place, f"node binary, copies bigint, x {nodes.schema['x'].dataType.simpleString()}, home bigint, cells array<bigint>"), "placed")
     copied = placed.select("node", "copies", "x", "home", F.explode("cells").alias("cell")).select("node", "copies", "x", "cell", (F.col("home") == F.col("cell")).alias("asks"))
     # one counter for each top cell
     held = copied.groupBy("cell").agg(F.count_if("asks").alias("home"), F.count(F.lit(1)).alias("n")).collect()
+    whole = set()
+    for n, (first, pivots) in cells_of.items():
+        cells = 1 if pivots is None else len(pivots)
+        own = range(first * room, (first + cells) * room)
+        if sum(r["n"] for r in held if r["cell"] in own) > max(SPREAD, cells / DENSE) * counts[n]:
+            whole.add(n)
+            held = [r for r in held if r["cell"] not in own]
+    if whole:
+        # all vectors of such a length are at home in a cell of their own, the first of their cells
+        dense = F.size("x").isin(sorted(whole))
+        start = F.create_map(*[F.lit(v) for n in sorted(whole) for v in (n, cells_of[n][0] * room)])
+        one = placed.filter(dense).select("node", "copies", "x", start[F.size("x")].cast("long").alias("cell"), F.lit(True).alias("asks"))
+        copied = copied.filter(~dense).unionByName(one)
     large = {r["cell"]: (r["home"], r["n"]) for r in held if r["home"] > SPLIT * cell and _wanted(r["home"], cell, top) > 1}
     if large:
         copied = cut(copied.filter(~F.col("cell").isin(list(large))).unionByName(_divided(copied, large, cell, radius, top)), "vectors-cells")
-    size = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(BLOCK_COMPONENTS) / F.first(F.size("x")))))
-    blocks = copied.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count_if("asks") / size)).cast("int").alias("n_in"), F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n_out"))
+    most = F.least(F.lit(block), F.floor(F.lit(BLOCK_COMPONENTS) / F.first(F.size("x"))), F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.count(F.lit(1)) / SPREAD)))
+    size = F.greatest(F.lit(1), most)
+    # blocks at home come first, then those of the cell's other vectors
+    blocks = copied.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count_if("asks") / size)).cast("int").alias("n_in"), F.ceil(F.count_if(~F.col("asks")) / size).cast("int").alias("n_out"))
     h = F.xxhash64("node")
-    copied = copied.join(cut(blocks, "vectors-blocks", few_files=True), "cell").withColumns({"a": F.pmod(h, F.col("n_in")).cast("int"), "b": F.pmod(h, F.col("n_out")).cast("int")})
-    # to the block pairs of its own block at home, and to all home blocks as a neighbour
-    home_rows = copied.filter("asks").select("node", "copies", "x", "cell", "a", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("b"), F.lit(True).alias("asks"))
-    other_rows = copied.select("node", "copies", "x", "cell", F.explode(F.sequence(F.lit(0), F.col("n_in") - 1)).alias("a"), "b", F.lit(False).alias("asks"))
+    number = F.when(F.col("asks"), F.pmod(h, F.col("n_in"))).otherwise(F.col("n_in") + F.pmod(h, F.col("n_out"))).cast("int")
+    copied = copied.join(cut(blocks, "vectors-blocks", few_files=True), "cell").withColumn("block", number)
+    # a block at home meets all blocks, one of the others those at home
+    sent = copied.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_in") + F.when(F.col("asks"), F.col("n_out")).otherwise(0) - 1)))
+    sent = sent.select("node", "copies", "x", "cell", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), (F.col("block") <= F.col("other")).alias("left"), (F.greatest("block", "other") < F.col("n_in")).alias("both"))
 
     def join(group: pa.Table) -> pa.Table:
         def told(names, links, roots):
             return pa.table({"node": names, "links": pa.array(links, pa.int64()), "root": roots})
 
         group = group.combine_chunks()
-        names = pa.array(group.column("node").to_pylist(), pa.binary())
-        asks = group.column("asks").to_numpy()
-        mine, theirs = np.flatnonzero(asks), np.flatnonzero(~asks)
-        column = group.column("x")
-        column = column.chunk(0) if column.num_chunks else pa.array([], pa.list_(pa.float64()))
+        names = group.column("node")
+        names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+        left = group.column("left").to_numpy(zero_copy_only=False)
+        alone = group.num_rows and group.column("a")[0] == group.column("b")[0]
+        mine, theirs = np.flatnonzero(left), np.flatnonzero(left if alone else ~left)
         if not len(mine) or not len(theirs):
             return told(names.slice(0, 0), [], names.slice(0, 0))
-        x = _matrix(column)
+        x = _matrix(group.column("x").combine_chunks())
         keys, code = np.unique(np.array(names.to_pylist(), dtype=object), return_inverse=True)
         p, q = _block_links(x[mine], x[theirs], threshold)
         p, q = mine[p], theirs[q]
         different = code[p] != code[q]
         p, q = p[different], q[different]
-        links = np.bincount(p, weights=group.column("copies").to_numpy()[q], minlength=len(x)).astype(np.int64)
+        copies = group.column("copies").to_numpy()
+        links = np.bincount(p, weights=copies[q], minlength=len(x))
+        if not alone and group.column("both")[0].as_py():
+            links += np.bincount(q, weights=copies[p], minlength=len(x))
+        links = links.astype(np.int64)
         have = np.flatnonzero(links)
         node, root = forest(len(keys), code[p], code[q])
         own = keys[code[have]].tolist()
         return told(pa.array(own + keys[node].tolist(), pa.binary()), np.concatenate([links[have], np.zeros(len(node), np.int64)]), pa.array(own + keys[root].tolist(), pa.binary()))
 
-    found = cut(home_rows.unionByName(other_rows).groupBy("cell", "a", "b").applyInArrow(join, "node binary, links bigint, root binary"), "links")
+    found = cut(sent.groupBy("cell", "a", "b").applyInArrow(join, "node binary, links bigint, root binary"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected_components(found.filter("node <> root"), "node", "root")
     summary = nodes.select("node", "copies", "least").join(links, "node", "left").join(parts.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))

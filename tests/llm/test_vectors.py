@@ -139,3 +139,21 @@ def test_components(spark):
             label[a] = label[b] = low
     out = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert out == {n: c for n, c in label.items() if n in out} and set(label) - set(out) <= {n for n in label if label[n] == n}
+
+
+def test_vectors_without_structure_are_not_copied_to_cells(spark, monkeypatch):
+    """Where all vectors lie near all borders, a vector is sent once for each block, in the precision it came in."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1200, 64)).astype(np.float32)
+    x[1000:] = x[:200] + rng.normal(size=(200, 64)).astype(np.float32) * 0.2
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    told = []
+    plain = V.cut
+    monkeypatch.setattr(V, "cut", lambda df, label, **k: told.append((label, plain(df, label, **k))) or told[-1][1])
+    out = V.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), cell=100, block=300)
+    m = x.astype(np.float64)
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    links = (m @ m.T >= 0.95).sum(1) - 1
+    assert {r["vec_id"]: r["n_links"] for r in out.collect()} == dict(enumerate(links.tolist())) and links.sum() > 100
+    blocks = [(r["n_in"], r["n_out"]) for label, df in told if label == "vectors-blocks" for r in df.collect()]
+    assert blocks == [(4, 0)]
