@@ -126,8 +126,7 @@ def asking(t):
 
 def rankings(t, k=50):
     # sums of equal terms in another order are equal, so copies of a text tie
-    sparse = S.bm25_plus_one(chunks(t), asking(t), key="doc_id", keep_zero=False).withColumn("score", F.round("score", 9))
-    sparse = S.top_k(sparse, k, "doc_id").withColumn("list", F.lit("bm25"))
+    sparse = P.best_by_shard(chunks(t), asking(t), k, key="doc_id").withColumn("list", F.lit("bm25"))
     dense = S.vector_search(t.embeddings, vector_queries(t), k, kind="product").withColumn("score", F.round("score", 9)).withColumnRenamed("vec_id", "doc_id").withColumn("list", F.lit("vector"))
     return sparse.unionByName(dense)
 

@@ -76,3 +76,18 @@ def test_nothing(spark, corpus):
     index = P.TextIndex.build(chunks.limit(0), key="k")
     assert P.ranked(index, queries, 5, key="k").count() == 0
     assert P.ranked(P.TextIndex.build(chunks, key="k"), queries.limit(0), 5, key="k").count() == 0
+
+
+def test_many_questions_meet_shards(spark):
+    """As scoring all pairs, ties by key; no shard hands on more than k rows for a question."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, [words[min(39, int(rng.expovariate(0.12)))] for _ in range(rng.randrange(0, 30))]) for i in range(120)]
+    rows += [(200 + i, rows[i % 7][1]) for i in range(60)] + [(900, None)]
+    rng.shuffle(rows)
+    chunks = spark.createDataFrame(rows, "chunk_id long, tokens array<string>").repartition(3)
+    questions = spark.createDataFrame([(i, [*rng.sample(words, 4), "w0", "w0", "unknown"]) for i in range(25)] + [(50, []), (51, ["unknown"])], "query_id int, terms array<string>")
+    want = S.top_k(S.bm25_plus_one(chunks, questions, keep_zero=False).withColumn("score", F.round("score", 9)), 5)
+    got = P.best_by_shard(chunks, questions, 5, shard=16, block=6)
+    plain = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in df.collect())
+    assert plain(got) == plain(want) and len(plain(want)) == 125
