@@ -15,12 +15,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..batches import bounded_batches
 from ..storage import cut
-from .dimension import small
+from .dimension import is_small, small
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 MOST_TERMS = 2000
@@ -253,8 +255,10 @@ def weighted_fusion(hits: DataFrame, *, key: str = "chunk_id", methods=METHODS)
 
 def pairs_of(text: Column) -> Column:
     """Distinct pairs of adjacent characters in lower case, blank ones left out."""
-    low = F.lower(text)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(2)))
+    # split into characters once: a substring of the text would be looked for from its start for every pair
+    letters = F.split(F.lower(text), "")
+    others = F.size(letters) - 1
+    grams = F.zip_with(F.slice(letters, F.lit(1), others), F.slice(letters, F.lit(2), others), lambda a, b: F.concat(a, b))
     return F.filter(F.array_distinct(grams), lambda g: (F.length(g) == 2) & (F.trim(g) != ""))
 
 
@@ -266,15 +270,57 @@ def pair_share(query: Column, text: Column) -> Column:
 def shared_pairs(queries: DataFrame, texts: DataFrame, query_key: str, key: str) -> DataFrame:
     """(query_key, key, overlap) above 0, of queries (query_key, q) and texts (key, p) by their shares of common pairs.
 
-    Both sides meet by their pairs; those of a text lie together, so counts are
-    mostly complete before they are exchanged, and what has nothing in common
-    never meets.
+    Queries that are few go to every task, where a product of matrices counts
+    what they share with a batch of texts; nothing is exchanged.  Of more, both
+    sides meet by their pairs.
     """
     own = queries.select(query_key, F.size("q").alias("n"), F.explode("q").alias("pair"))
-    met = texts.select(key, F.explode("p").alias("pair")).join(small(own), "pair")
+    if is_small(own):
+        return _counted_pairs(queries.filter("size(q) > 0").select(query_key, "q").collect(), queries, texts, query_key, key)
+    met = texts.select(key, F.explode("p").alias("pair")).join(own, "pair")
     return met.groupBy(query_key, key, "n").agg(F.count(F.lit(1)).alias("shared")).select(query_key, key, (F.col("shared") / F.col("n")).alias("overlap"))
 
 
+#: Pairs times queries of a block, about, and pairs times texts of a step.
+_PAIR_CELLS = 1 << 22
+
+
+def _counted_pairs(asked: list, queries: DataFrame, texts: DataFrame, query_key: str, key: str) -> DataFrame:
+    """:func:`shared_pairs` for queries whose pairs were counted to be few."""
+    bounded_batches(texts.sparkSession)
+    kinds = queries.schema[query_key].dataType.simpleString(), texts.schema[key].dataType.simpleString()
+    names, lists = [r[query_key] for r in asked], [r["q"] for r in asked]
+    kind = to_arrow_type(queries.schema[query_key].dataType)
+    step = max(1, _PAIR_CELLS // max(1, len({p for q in lists for p in q})))
+
+    def count(batches):
+        ids, blocks = pa.array(names, kind), []
+        for at in range(0, len(lists), step):
+            part = lists[at : at + step]
+            known = sorted({p for q in part for p in q})
+            place = {p: i for i, p in enumerate(known)}
+            held = np.zeros((len(known), len(part)), np.float32)
+            for i, q in enumerate(part):
+                held[[place[p] for p in q], i] = 1
+            blocks.append((at, pa.array(known, pa.string()), held, np.array([len(q) for q in part])))
+        for batch in batches:
+            for start, known, held, sizes in blocks:
+                rows = max(1, _PAIR_CELLS // len(known))
+                for i in range(0, batch.num_rows, rows):
+                    own = batch.slice(i, rows)
+                    lengths = pc.fill_null(pc.list_value_length(own.column(1)), 0).to_numpy()
+                    code = pc.index_in(own.column(1).flatten(), known)
+                    code = pc.fill_null(code, -1).to_numpy().astype(np.int64)
+                    row = np.repeat(np.arange(own.num_rows), lengths)
+                    met = np.zeros((own.num_rows, len(known)), np.float32)
+                    met[row[code >= 0], code[code >= 0]] = 1
+                    shared = met @ held
+                    a, b = np.nonzero(shared)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(b + start)), own.column(0).take(pa.array(a)), pa.array(shared[a, b].astype(np.float64) / sizes[b])], names=[query_key, key, "overlap"])
+
+    return texts.select(key, "p").mapInArrow(count, f"`{query_key}` {kinds[0]}, `{key}` {kinds[1]}, overlap double")
+
+
 def pair_overlap(query: Column, text: Column, most: int = 500) -> Column:
     """The share of the query's character pairs that the head of the text has; 0 without pairs.
 

@@ -15,3 +15,10 @@ def plan(df):
 def test_equal_questions_meet_parts_once(spark, data):
     """The memory of parts is ranked for each text, not for each supplier."""
     assert "windowspecdefinition(text" in plan(registry.queries()["z11_memory_context"](spark, data))
+
+
+@pytest.mark.parametrize("text", ["Ab abc  x", "", "a", "😀é ß", None, "zz\nz"])
+def test_pairs_are_the_distinct_neighbours(spark, text):
+    got = spark.createDataFrame([(text,)], "text string").select(S.pairs_of(F.col("text")).alias("p")).first()["p"]
+    low = None if text is None else text.lower()
+    assert got == (None if text is None else list(dict.fromkeys(low[i : i + 2] for i in range(len(low) - 1) if low[i : i + 2].strip(" "))))

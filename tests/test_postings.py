@@ -91,3 +91,14 @@ def test_many_questions_meet_shards(spark):
     got = P.best_by_shard(chunks, questions, 5, shard=16, block=6)
     plain = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in df.collect())
     assert plain(got) == plain(want) and len(plain(want)) == 125
+
+
+def test_pairs_of_few_queries_are_counted_without_an_exchange(spark, monkeypatch):
+    monkeypatch.setattr(S, "_PAIR_CELLS", 40, raising=False)
+    texts = spark.createDataFrame([(1, "Ab abc  x"), (2, ""), (3, None), (4, "zz"), (5, "bcd öü ab")], "doc_id long, text string").select("doc_id", S.pairs_of(F.col("text")).alias("p"))
+    queries = spark.createDataFrame([(f"q{i}", x) for i, x in enumerate(["abcd", "ÖÜ", "", "q", "cab x"])], "item string, text string").select("item", S.pairs_of(F.col("text")).alias("q"))
+    out = S.shared_pairs(queries, texts, "item", "doc_id")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    p, q = ({r[0]: set(r[1] or ()) for r in df.collect()} for df in (texts, queries))
+    want = {(i, d): len(a & b) / len(a) for i, a in q.items() for d, b in p.items() if a & b}
+    assert {(r["item"], r["doc_id"]): r["overlap"] for r in out.collect()} == want and len(want) == 5
