@@ -23,7 +23,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, out_degree, in_degree) of all nodes, isolated ones too."""
     out = edges.groupBy(F.col("from").alias("node")).agg(F.count(F.lit(1)).alias("out_degree"))
     into = edges.groupBy(F.col("to").alias("node")).agg(F.count(F.lit(1)).alias("in_degree"))
-    rows = nodes.join(out, "node", "left").join(into, "node", "left")
+    rows = nodes.join(out.hint("merge"), "node", "left").join(into.hint("merge"), "node", "left")
     return rows.select("node", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("out_degree", "in_degree")])
 
 
@@ -103,14 +103,18 @@ def pagerank(edges: DataFrame, nodes: DataFrame, *, rounds: int = 100, damping:
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, component), the smallest node of each connected component: hooking to the smallest neighbour, then pointer jumping."""
+    """(node, component), the smallest node of each connected component: hooking to the smallest neighbour, then pointer jumping.
+
+    Labels are as many as the nodes and may be written in few bytes, so they are
+    merged and never broadcast: rounds send nothing to the driver.
+    """
     both = cut(edges.select("from", "to").unionByName(edges.select(F.col("to").alias("from"), F.col("from").alias("to"))).distinct(), "components")
     label = cut(nodes.select("node", F.col("node").alias("component")), "components")
     while True:
-        near = both.join(label, both["to"] == label["node"]).groupBy(F.col("from").alias("node")).agg(F.min("component").alias("low"))
-        hooked = label.join(near, "node", "left").select("node", "component", F.least("component", F.coalesce("low", "component")).alias("next"))
+        near = both.join(label.hint("merge"), both["to"] == label["node"]).groupBy(F.col("from").alias("node")).agg(F.min("component").alias("low"))
+        hooked = label.join(near.hint("merge"), "node", "left").select("node", "component", F.least("component", F.coalesce("low", "component")).alias("next"))
         jump = label.select(F.col("node").alias("next"), F.col("component").alias("far"))
-        after = cut(hooked.join(jump, "next").select("node", F.least("next", "far").alias("component"), (F.least("next", "far") != F.col("component")).alias("moved")), "components")
+        after = cut(hooked.join(jump.hint("merge"), "next").select("node", F.least("next", "far").alias("component"), (F.least("next", "far") != F.col("component")).alias("moved")), "components")
         moved = not after.filter("moved").isEmpty()
         discard(label)
         label = after
@@ -126,7 +130,7 @@ def communities(edges: DataFrame, nodes: DataFrame, small: int = 5) -> DataFrame
     deg = degrees(nodes, edges).select("node", (F.col("in_degree") + F.col("out_degree")).alias("degree"))
     rows = cut(components(edges, nodes), "communities")
     size = rows.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    rows = numbered(rows.join(deg, "node"), ["component"], [-F.col("degree"), F.col("node")]).join(size, "component")
+    rows = numbered(rows.join(deg.hint("merge"), "node"), ["component"], [-F.col("degree"), F.col("node")]).join(size.hint("merge"), "component")
     half = F.when((F.col("size") > small) & (F.col("k") > F.expr("size div 2")), 1).otherwise(0)
     return rows.select("node", F.concat(F.col("component").cast("string"), F.lit("/"), half.cast("string")).alias("community"))
 

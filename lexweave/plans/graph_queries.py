@@ -73,7 +73,7 @@ SPARSE_SQL = "e AS (SELECT DISTINCT o_custkey AS a, o_custkey + 7 AS b FROM orde
 def sparse(t):
     n = t.customer.select(F.col("c_custkey").alias("node"))
     e = t.orders.select(F.col("o_custkey").alias("from"), (F.col("o_custkey") + 7).alias("to")).distinct()
-    return e.join(n.withColumnRenamed("node", "to"), "to", "left_semi").join(n.withColumnRenamed("node", "from"), "from", "left_semi").select("from", "to"), n
+    return e.join(n.withColumnRenamed("node", "to").hint("merge"), "to", "left_semi").join(n.withColumnRenamed("node", "from").hint("merge"), "from", "left_semi").select("from", "to"), n
 
 
 @query("g6_components", f"WITH RECURSIVE {SPARSE_SQL} SELECT node, component FROM c")

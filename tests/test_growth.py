@@ -22,3 +22,14 @@ def test_pairs_are_the_distinct_neighbours(spark, text):
     got = spark.createDataFrame([(text,)], "text string").select(S.pairs_of(F.col("text")).alias("p")).first()["p"]
     low = None if text is None else text.lower()
     assert got == (None if text is None else list(dict.fromkeys(low[i : i + 2] for i in range(len(low) - 1) if low[i : i + 2].strip(" "))))
+
+
+def test_graph_rounds_broadcast_nothing(spark, monkeypatch):
+    plans = []
+    plain = G.cut
+    monkeypatch.setattr(G, "cut", lambda df, label, **k: plans.append(plan(df)) or plain(df, label, **k))
+    nodes = spark.range(40).withColumnRenamed("id", "node")
+    edges = spark.range(39).select(F.col("id").alias("from"), (F.col("id") + 1).alias("to")).filter("to % 10 > 0")
+    rows = {r["node"]: r["community"] for r in G.communities(edges, nodes).collect()}
+    assert {rows[n].split("/")[0] for n in range(10, 20)} == {"10"} and len(set(rows.values())) == 8
+    assert not [p for p in plans if "Broadcast" in p]
