@@ -161,7 +161,7 @@ def j10(t):
     title = F.array_join(F.slice(F.split("text", " "), 1, 2), " ")
     one = t.benchmark.filter("item_id = 1").select(title.alias("one"))
     mail = t.conversations.join(F.broadcast(one)).withColumn("text", F.when(F.col("conv_id") % 3 == 0, F.concat("text", F.lit(" re: "), "one")).otherwise(F.col("text")))
-    return E.contained_by_index(mail, t.benchmark.select("item_id", title.alias("term")), ["conv_id", "turn"]).select("conv_id", "turn", "item_id")
+    return E.contained(mail, t.benchmark.select("item_id", title.alias("term"))).select("conv_id", "turn", "item_id")
 
 
 @query("r16_domains", """

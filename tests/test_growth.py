@@ -33,3 +33,8 @@ def test_graph_rounds_broadcast_nothing(spark, monkeypatch):
     rows = {r["node"]: r["community"] for r in G.communities(edges, nodes).collect()}
     assert {rows[n].split("/")[0] for n in range(10, 20)} == {"10"} and len(set(rows.values())) == 8
     assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_few_titles_are_looked_for_without_cutting_texts_up(spark, data):
+    text = plan(registry.queries()["j10_titles_in_mail"](spark, data))
+    assert "Generate" not in text and "Exchange hashpartitioning" not in text
