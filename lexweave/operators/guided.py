@@ -35,19 +35,33 @@ def candidates(targets: DataFrame, chunks: DataFrame, key: str = "chunk_id", doc
     return chunks.select(F.col(key), F.col(doc).alias("doc")).join(pairs, "doc").select("query_id", key)
 
 
-def guided_search(questions: DataFrame, chunks: DataFrame, domains: DataFrame, ranked: Callable[[DataFrame, DataFrame | None], DataFrame], *, k: int = 5, glossary: DataFrame | None = None, key: str = "chunk_id", doc: str = "doc_id") -> DataFrame:
+def named_targets(targets: DataFrame, chunks: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, targets): for each document id that contains a target of any question, those that it contains."""
+    docs = chunks.select(F.col(doc).alias("doc")).distinct()
+    named = contained_by_index(docs.withColumn("text", F.col("doc")), targets.select(F.col("target").alias("term")).distinct(), ["doc"])
+    return named.groupBy("doc").agg(F.array_sort(F.collect_set("term")).alias("targets"))
+
+
+def guided_search(questions: DataFrame, chunks: DataFrame, domains: DataFrame, ranked: Callable[[DataFrame, DataFrame | None], DataFrame], *, k: int = 5, glossary: DataFrame | None = None, key: str = "chunk_id", doc: str = "doc_id", by_target: bool = False) -> DataFrame:
     """(query_id, key, score, methods, rank, domain, guided): the best chunks of each question (query_id, text, ...).
 
     ``ranked(questions, allowed)`` gives the hits of each method (query_id,
     method, batch, key, score) for some questions, scored only among the allowed
     (query_id, key) unless that is None.  The domains' documents are the allowed
     ones; a question whose domains lead to nothing is searched everywhere.
+    Those pairs grow with questions times chunks.  With ``by_target`` none are
+    made: the questions have their ``targets``, the allowed are the documents
+    (doc, targets), and a chunk is allowed where both name a common target.
     ``domain`` is the best domain, ``guided`` whether the documents were chosen by it.
     """
     found = cut(detect_domains(questions.select("query_id", "text"), domains, glossary), "domains")
     targets = cut(target_documents(found, domains), "targets")
-    asked = questions.join(targets.select("query_id").distinct(), "query_id", "left_semi")
-    allowed = cut(candidates(targets, chunks, key, doc), "candidates")
+    if by_target:
+        asked = questions.join(targets.groupBy("query_id").agg(F.array_sort(F.collect_set("target")).alias("targets")), "query_id")
+        allowed = cut(named_targets(targets, chunks, doc), "named-targets", few_files=True)
+    else:
+        asked = questions.join(targets.select("query_id").distinct(), "query_id", "left_semi")
+        allowed = cut(candidates(targets, chunks, key, doc), "candidates")
     first = cut(top_k(weighted_fusion(ranked(asked, allowed), key=key), k, key), "guided")
     rest = questions.join(first.select("query_id").distinct(), "query_id", "left_anti")
     second = top_k(weighted_fusion(ranked(rest, None), key=key), k, key)

@@ -165,18 +165,40 @@ def _cosines(x: np.ndarray, q: np.ndarray, kind: str) -> np.ndarray:
     return np.where((a == 0) | (b == 0), 0.0, d / np.where(a * b == 0, 1.0, a * b))
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int, *, key: str = "vec_id", vector: str = "embedding", kind: str = "each", threshold: float | None = None, block: int | None = None) -> DataFrame:
+class Masks:
+    """Which of n places have one of some tags, from the places of each tag; those of the last lists of tags are kept."""
+
+    def __init__(self, n: int, places: dict[str, np.ndarray], most: int = 64):
+        self.n, self.places, self.most, self.made = n, places, most, {}
+
+    def of(self, tags: list[str]) -> np.ndarray:
+        name = tuple(tags)
+        if name not in self.made:
+            if len(self.made) >= self.most:
+                self.made.pop(next(iter(self.made)))
+            mask = np.zeros(self.n, bool)
+            for t in tags:
+                mask[self.places.get(t, [])] = True
+            self.made[name] = mask
+        return self.made[name]
+
+
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int, *, key: str = "vec_id", vector: str = "embedding", kind: str = "each", threshold: float | None = None, block: int | None = None, tags: str | None = None, digits: int | None = None) -> DataFrame:
     """(query_id, key, score, rank): the best k vectors of each query (query_id, q), ties by key, and a score from the threshold on if there is one.
 
     Blocks of queries meet blocks of vectors, each pair in a task of its own
     that keeps k for each query; so neither side is broadcast or gathered.
-    Vectors of other lengths than a query's, and null ones, don't meet it.
+    Vectors of other lengths than a query's, and null ones, don't meet it.  With
+    ``tags`` (a list of both sides) a query meets only vectors that have one of
+    its tags, and all if its list is null.  With ``digits`` scores are rounded
+    before they are compared, but not before the threshold.
     """
     bounded_batches(vectors.sparkSession)
     kinds = vectors.schema[key].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    marks = (F.col(tags) if tags else F.lit(None)).cast("array<string>").alias("tags")
     # written once: the sizes decide the number of blocks
-    v = cut(vectors.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x")), "search-vectors")
-    q = cut(queries.filter("q is not null").select(F.col("query_id").alias("id"), F.col("q").cast("array<double>").alias("x")), "search-queries")
+    v = cut(vectors.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x"), marks), "search-vectors")
+    q = cut(queries.filter("q is not null").select(F.col("query_id").alias("id"), F.col("q").cast("array<double>").alias("x"), marks), "search-queries")
 
     def blocks(df):
         total = df.agg(F.coalesce(F.sum(F.size("x")), F.lit(0))).first()[0]
@@ -184,8 +206,8 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int, *, key: str =
 
     n_v, n_q = blocks(v), blocks(q)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = v.select("id", "x", F.size("x").alias("n"), F.pmod(F.xxhash64("x"), F.lit(n_v)).cast("int").alias("a"), every(n_q).alias("b"))
-    right = q.select("id", "x", F.size("x").alias("n"), every(n_v).alias("a"), F.pmod(F.xxhash64("x"), F.lit(n_q)).cast("int").alias("b"))
+    left = v.select("id", "x", "tags", F.size("x").alias("n"), F.pmod(F.xxhash64("x"), F.lit(n_v)).cast("int").alias("a"), every(n_q).alias("b"))
+    right = q.select("id", "x", "tags", F.size("x").alias("n"), every(n_v).alias("a"), F.pmod(F.xxhash64("x"), F.lit(n_q)).cast("int").alias("b"))
 
     def join(x: pa.Table, y: pa.Table) -> pa.Table:
         x, y = x.combine_chunks(), y.combine_chunks()
@@ -196,16 +218,28 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int, *, key: str =
             m, w = np.nan_to_num(m), np.nan_to_num(w)
             length = np.sqrt(np.einsum("ij,ij->i", m, m))
             unit = m / np.where(length == 0, 1.0, length)[:, None]
+            asked = y.column("tags").to_pylist()
+            places: dict[str, list[int]] = {}
+            if any(a is not None for a in asked):
+                for at, own in enumerate(x.column("tags").to_pylist()):
+                    for t in own or ():
+                        places.setdefault(t, []).append(at)
+            masks = Masks(len(m), {t: np.array(p) for t, p in places.items()})
             for i in range(0, len(w), 256):
                 rough = w[i : i + 256] @ unit.T
                 for r, own in enumerate(rough):
+                    open_ = None if asked[i + r] is None else np.flatnonzero(masks.of(asked[i + r]))
+                    own = own if open_ is None else own[open_]
                     size = float(np.sqrt(w[i + r] @ w[i + r])) or 1.0
                     # all that may be among the best by the exact score, whose order then decides
                     least = np.partition(own, len(own) - k)[len(own) - k] if len(own) > k else -np.inf
                     at = np.flatnonzero(own >= least - _MARGIN * size)
+                    at = at if open_ is None else open_[at]
                     score = _cosines(m[at], np.broadcast_to(w[i + r], (len(at), w.shape[1])), kind)
                     if threshold is not None:
                         at, score = at[score >= threshold], score[score >= threshold]
+                    if digits is not None:
+                        score = np.round(score, digits)
                     # equal scores at the end all stay: the key decides between them
                     if len(at) > k:
                         stay = score >= np.partition(score, len(score) - k)[len(score) - k]

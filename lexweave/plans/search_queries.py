@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import guided as D
 from ..operators import postings as P
 from ..operators import search as S
+from ..operators.dimension import small
 from ..registry import query
 from .text_queries import TOKENS_SQL
 
@@ -231,22 +232,25 @@ def r17(t):
     domains = t.spark.createDataFrame(DOMAINS, "domain string, specificity int, keywords array<string>, primary_docs array<string>, related_docs array<string>")
     asked = asking(t).withColumn("text", F.array_join("terms", " "))
 
+    shards = []
+
     def ranked(questions, allowed):
         """BM25, BM25 of the question with a synonym, and vectors of documents; the best five of each."""
-        other = F.transform("terms", lambda x: F.when(x == SYNONYM[0], SYNONYM[1]).otherwise(x))
-        expanded = questions.filter(F.array_contains("terms", SYNONYM[0])).withColumn("terms", other)
-        even = lambda rows: rows.withColumn("score", F.round("score", 9))
-        hits = [S.top_k(even(S.bm25_okapi(c, q, key="doc_id", allowed=allowed)), 5, "doc_id").withColumn("method", F.lit(m)) for m, q in (("bm25", questions), ("synonym", expanded))]
-        v = t.embeddings.join(c.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
-        q = vector_queries(t).join(questions.select("query_id"), "query_id", "left_semi")
         if allowed is None:
-            near = even(S.vector_search(v, q, 5, threshold=0.3)).withColumnRenamed("vec_id", "doc_id")
+            questions, own = questions.withColumn("targets", F.lit(None).cast("array<string>")), c.withColumn("targets", F.lit(None).cast("array<string>"))
         else:
-            near = allowed.join(q, "query_id").join(v.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-            near = S.top_k(even(near.select("query_id", "doc_id", S.cosine(F.col("embedding"), F.col("q")).alias("score")).filter("score >= 0.3")), 5, "doc_id")
-        return hits[0].unionByName(hits[1]).unionByName(near.withColumn("method", F.lit("vector")).select(*hits[0].columns)).withColumn("batch", F.lit(1))
-
-    out = D.guided_search(asked, c, domains, ranked, k=5, key="doc_id", doc="source")
+            own = c.join(small(allowed.withColumnRenamed("doc", "source")), "source", "left")
+            shards.append(P.joined_shards(own, key="doc_id", tags="targets"))
+        other = F.transform("terms", lambda x: F.when(x == SYNONYM[0], SYNONYM[1]).otherwise(x))
+        expanded = questions.filter(F.array_contains("terms", SYNONYM[0])).withColumn("terms", other)
+        both = [q.select(F.struct("query_id", F.lit(m).alias("method")).alias("query_id"), "terms", "targets") for m, q in (("bm25", questions), ("synonym", expanded))]
+        worded = P.best_by_shard(own, both[0].unionByName(both[1]), 5, form="okapi", key="doc_id", tags="targets", made=shards[0]).select("query_id.query_id", "query_id.method", "doc_id", "score")
+        v = t.embeddings.join(own.groupBy(F.col("doc_id").alias("vec_id")).agg(F.flatten(F.collect_list("targets")).alias("targets")), "vec_id")
+        q = vector_queries(t).join(questions.select("query_id", "targets").distinct(), "query_id")
+        near = S.vector_search(v, q, 5, threshold=0.3, tags="targets", digits=9).select("query_id", F.lit("vector").alias("method"), F.col("vec_id").alias("doc_id"), "score")
+        return worded.unionByName(near).withColumn("batch", F.lit(1))
+
+    out = D.guided_search(asked, c, domains, ranked, k=5, key="doc_id", doc="source", by_target=True)
     return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.array_join("methods", ",").alias("methods"), "rank", "guided", "domain", S.confidence(F.col("score")).alias("confidence"))
 
 

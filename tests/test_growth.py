@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from lexweave import registry
 from lexweave.operators import graph as G
+from lexweave.operators import guided as D
+from lexweave.operators import postings as P
 from lexweave.operators import search as S
 
 
@@ -38,3 +40,31 @@ def test_graph_rounds_broadcast_nothing(spark, monkeypatch):
 def test_few_titles_are_looked_for_without_cutting_texts_up(spark, data):
     text = plan(registry.queries()["j10_titles_in_mail"](spark, data))
     assert "Generate" not in text and "Exchange hashpartitioning" not in text
+
+
+def test_guided_search_makes_no_pairs_of_questions_and_documents(spark, data, monkeypatch):
+    written = {}
+    plain = D.cut
+    monkeypatch.setattr(D, "cut", lambda df, label, **k: written.setdefault(label, plain(df, label, **k)))
+    registry.queries()["r17_guided_search"](spark, data)
+    assert "candidates" not in written and written["named-targets"].count() <= spark.read.parquet(f"{data}/documents.parquet").select("source").distinct().count()
+
+
+def test_tags_choose_chunks_and_vectors(spark):
+    tags = lambda i: None if i % 7 == 0 else [f"t{i % 3}", f"t{i % 5}"]
+    asked = {1: None, 2: ["t0"], 3: ["t1", "t4"], 4: ["nowhere"], 5: []}
+    chunks = spark.createDataFrame([(i, ["a"] * (i % 4 + 1) + ["b", f"w{i}"], tags(i)) for i in range(60)], "chunk_id int, tokens array<string>, tags array<string>")
+    questions = spark.createDataFrame([(q, ["a", "w8"], t) for q, t in asked.items()], "query_id int, terms array<string>, tags array<string>")
+    for form in ("plus", "okapi"):
+        every = P.best_by_shard(chunks, questions.filter("query_id = 1"), 100, form=form, shard=7).collect()
+        got = P.best_by_shard(chunks, questions, 6, form=form, shard=7, block=2, tags="tags").collect()
+        for q, own in asked.items():
+            best = sorted((-r["score"], r["chunk_id"]) for r in every if own is None or set(own) & set(tags(r["chunk_id"]) or ()))
+            assert [(-r["score"], r["chunk_id"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == best[:6]
+    vectors = spark.createDataFrame([(i, [float(i % 11), 1.0, float(i % 4)], tags(i)) for i in range(60)], "vec_id int, embedding array<double>, tags array<string>")
+    q = spark.createDataFrame([(i, [3.0, 1.0, 2.0], t) for i, t in asked.items()], "query_id int, q array<double>, tags array<string>")
+    every = S.vector_search(vectors, q.filter("query_id = 1"), 100, digits=9).collect()
+    got = S.vector_search(vectors, q, 6, block=30, tags="tags", digits=9).collect()
+    for i, own in asked.items():
+        best = sorted((-r["score"], r["vec_id"]) for r in every if own is None or set(own) & set(tags(r["vec_id"]) or ()))
+        assert [(-r["score"], r["vec_id"]) for r in sorted((r for r in got if r["query_id"] == i), key=lambda r: r["rank"])] == best[:6]
