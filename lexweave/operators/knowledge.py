@@ -135,6 +135,24 @@ def community_rollup(index: EntityIndex, names: int = 5, keywords: int = 10) ->
     return sizes.join(told, "community")
 
 
+def entities_met(texts: DataFrame, listed: Column, entities: DataFrame, k: int) -> DataFrame:
+    """(asked, id): all entities that can be among the ``k`` best of the distinct texts (asked), whose words are ``listed``."""
+    words = cut(texts.select("asked", F.explode(F.array_distinct(listed)).alias("word")), "asked-words", few_files=True)
+    names = entities.select("id", F.lower("name").alias("low"))
+    told = entities.select("id", F.lower("description").alias("low"))
+    term = lambda df, c: df.select(F.col(c).alias("term")).distinct()
+    by_word = contained_by_index(names, term(words, "word"), ["id"], "low").select(F.col("term").alias("word"), "id")
+    by_word = cut(by_word.join(entities.select("id", "first"), "id"), "words-in-names")
+    known = words.join(by_word.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word")
+    place = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("n"), "word"))
+    known = cut(known.withColumn("most", place == 1).select("asked", "word", "most"), "asked-words", few_files=True)
+    common = by_word.join(known.filter("most").select("word").distinct(), "word", "left_semi")
+    common = common.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy("first"))).filter(F.col("rank") <= k)
+    by_word = known.filter("not most").join(by_word, "word").select("asked", "id").unionByName(known.filter("most").join(common, "word").select("asked", "id"))
+    whole = lambda df: contained_by_index(df, term(texts, "asked"), ["id"], "low").select(F.col("term").alias("asked"), "id")
+    return by_word.unionByName(whole(names)).unionByName(whole(told)).distinct()
+
+
 def local_search(questions: DataFrame, index: EntityIndex, k: int = 5, most_neighbours: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The best entities of each question (query_id, text), their neighbours, and their chunks.
 
@@ -142,24 +160,25 @@ def local_search(questions: DataFrame, index: EntityIndex, k: int = 5, most_neig
     does, and 0.5 for each word of the question that its name contains, whatever
     the case; those without a score are left out, ties go to the earlier mention.
     Whatever contains the question or a word of it is found by an index of
-    stretches, so no question meets all entities.  A blank question finds nothing.
+    stretches.  Of a question's words the one in the most names gives its ``k``
+    earliest entities alone: another that has no other word scores no more than
+    those and comes later.  So no word that all questions share meets all
+    entities with each of them, and equal questions are answered once.  Two such
+    words in each of many different questions still do.  A blank question finds nothing.
 
     Gives (query_id, rank, score, id, name, type, description, community),
     (query_id, place, id, name, type) of at most so many neighbours by id, and
     (query_id, chunk_id).
     """
     asked = questions.filter(X.strip(F.col("text")) != "").select("query_id", F.lower("text").alias("asked"))
-    words = asked.select("query_id", "asked", F.explode(F.filter(F.split("asked", r"[\s\p{Z}]+"), lambda w: w != "")).alias("word"))
-    words = words.groupBy("query_id", "asked", "word").agg(F.count(F.lit(1)).alias("times"))
-    names = index.entities.select("id", F.lower("name").alias("low"))
-    texts = index.entities.select("id", F.lower("description").alias("low"))
-    term = lambda df, c: df.select(F.col(c).alias("term")).distinct()
-    by_word = contained_by_index(names, term(words, "word"), ["id"], "low").withColumnRenamed("term", "word").join(words, "word")
-    by_word = by_word.groupBy("query_id", "id").agg((0.5 * F.sum("times")).alias("s"))
-    whole = lambda df, s: contained_by_index(df, term(asked, "asked"), ["id"], "low").withColumnRenamed("term", "asked").join(asked, "asked").select("query_id", "id", F.lit(s).alias("s"))
-    scored = by_word.unionByName(whole(names, 2.0)).unionByName(whole(texts, 1.0)).groupBy("query_id", "id").agg(F.sum("s").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "first")
-    best = scored.join(index.entities, "id").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    listed = F.filter(F.split("asked", r"[\s\p{Z}]+"), lambda w: w != "")
+    met = entities_met(asked.select("asked").distinct(), listed, index.entities, k)
+    low = lambda c: F.lower(F.col(c))
+    holds = lambda c: F.coalesce(F.contains(low(c), F.col("asked")).cast("double"), F.lit(0.0))
+    score = holds("name") * 2 + holds("description") + 0.5 * F.size(F.filter(listed, lambda w: F.contains(low("name"), w)))
+    w = Window.partitionBy("asked").orderBy(F.desc("score"), "first")
+    best = met.join(index.entities, "id").withColumn("score", score).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    best = best.join(asked, "asked")
     best = cut(best.select("query_id", "rank", "score", "id", "name", "type", "description", "community"), "local-search")
     near = best.select("query_id", "id").join(index.neighbours, "id").select("query_id", F.col("other").alias("id")).distinct()
     near = near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).filter(F.col("place") <= most_neighbours)

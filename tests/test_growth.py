@@ -1,11 +1,14 @@
 """What grows with the tables is not sent to the driver, and equal questions are answered once."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from lexweave import registry
 from lexweave.operators import graph as G
 from lexweave.operators import guided as D
+from lexweave.operators import knowledge as K
 from lexweave.operators import postings as P
 from lexweave.operators import search as S
 
@@ -68,3 +71,21 @@ def test_tags_choose_chunks_and_vectors(spark):
     for i, own in asked.items():
         best = sorted((-r["score"], r["vec_id"]) for r in every if own is None or set(own) & set(tags(r["vec_id"]) or ()))
         assert [(-r["score"], r["vec_id"]) for r in sorted((r for r in got if r["query_id"] == i), key=lambda r: r["rank"])] == best[:6]
+
+
+def test_a_word_of_all_questions_does_not_meet_all_entities(spark):
+    rng = random.Random(3)
+    names = [f"{rng.choice(('ISO', 'Iso part', 'JIS'))} {rng.randrange(100, 999)}" for _ in range(120)]
+    entities = spark.createDataFrame([(f"e{i:03}", n, "STANDARD", f"about {n}", i, f"c{i % 3}") for i, n in enumerate(names)], "id string, name string, type string, description string, first int, community string")
+    none = spark.createDataFrame([], "id string, other string"), spark.createDataFrame([], "id string, chunk_id int")
+    asked = {q: " ".join(rng.sample(("iso", "part", "jis", "about"), rng.choice((0, 0, 0, 1))) + ["iso", str(rng.randrange(10, 99))]) for q in range(80)} | {80: "iso", 81: "iso iso", 82: "about jis", 83: "iso"}
+    questions = spark.createDataFrame(list(asked.items()), "query_id int, text string")
+    best, _, _ = K.local_search(questions, K.EntityIndex(entities, none[1], none[0]), k=4)
+    got = sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in best.collect())
+    want = []
+    for q, text in asked.items():
+        scores = [(2.0 * (text in n.lower()) + (text in f"about {n.lower()}") + 0.5 * sum(w in n.lower() for w in text.split()), i) for i, n in enumerate(names)]
+        want += [(q, r, f"e{i:03}", s) for r, (s, i) in enumerate(sorted(((s, i) for s, i in scores if s), key=lambda x: (-x[0], x[1]))[:4], 1)]
+    assert got == sorted(want)
+    same = spark.createDataFrame([(f"iso {n}",) for n in range(1000, 1200)], "asked string")
+    assert K.entities_met(same, F.split("asked", " "), entities, 4).groupBy("asked").count().agg(F.max("count")).first()[0] == 4
