@@ -32,18 +32,21 @@ def effective(events: DataFrame, parents: DataFrame | None = None) -> DataFrame:
     An insert counts if its parent is there (or there are no parents) and
     replaces a row of its key; an update or a delete counts if the row is there.
     """
-    rows = events
+    rows, counted = events, None
     if parents is not None:
         known = parents.select(F.col("key").alias("parent"), "at", "seq", F.col("op").alias("p_op"))
-        marks = known.withColumn("own", F.lit(False)).unionByName(events.withColumn("own", F.lit(True)), allowMissingColumns=True)
+        # only inserts ask for their parent; the others go past this exchange
+        other = F.coalesce(F.col("op") != "insert", F.lit(False))
+        marks = known.withColumn("own", F.lit(False)).unionByName(events.filter(~other).withColumn("own", F.lit(True)), allowMissingColumns=True)
         seen = earlier_largest(marks, ["parent"], ["at", "seq"], {"above": F.when(~F.col("own"), F.struct("at", "seq", "p_op"))}).filter("own")
         there = F.coalesce(F.col("above.p_op") != "delete", F.lit(False))
-        rows = seen.filter((F.col("op") != "insert") | there).select(*events.columns)
+        rows = seen.filter(there).select(*events.columns).unionByName(events.filter(other))
         gone = known.filter("p_op = 'delete'").select("parent", "at", "seq")
-        cascaded = events.filter("op = 'insert'").select("key", "parent").distinct().join(gone, "parent").withColumn("op", F.lit("delete"))
+        cascaded = events.filter("op = 'insert'").select("key", "parent").join(gone, "parent").distinct().withColumn("op", F.lit("delete"))
         rows = rows.unionByName(cascaded, allowMissingColumns=True)
+        counted = events.select("key").unionByName(cascaded.select("key"))
     begun = F.when(F.col("op").isin("insert", "delete"), F.struct("at", "seq", "op"))
-    seen = earlier_largest(rows, ["key"], ["at", "seq"], {"before": begun})
+    seen = earlier_largest(rows, ["key"], ["at", "seq"], {"before": begun}, counted)
     alive = F.coalesce(F.col("before.op") == "insert", F.lit(False))
     return seen.filter((F.col("op") == "insert") | alive).drop("before")
 
@@ -52,13 +55,16 @@ def state(events: DataFrame, fields: list[str], as_of: Column | None = None) ->
     """(key, parent, at, *fields) of the rows that are there as of a time, from effective events.
 
     A field has its last value since the row was inserted; a null in an update
-    leaves it as it is.  ``at`` is the time of the last change.
+    leaves it as it is.  ``at`` is the time of the last change.  All of it is one
+    aggregate: a field whose last value is older than the insert has none since.
     """
     rows = events if as_of is None else events.filter(F.col("at") <= as_of)
-    start = rows.filter("op <> 'update'").groupBy("key").agg(F.max(_order()).alias("start"), F.max_by("op", _order()).alias("begun")).filter("begun = 'insert'")
-    since = rows.join(start, "key").filter(_order() >= F.col("start"))
-    last = [F.max_by(f, F.when(F.col(f).isNotNull(), _order())).alias(f) for f in fields]
-    return since.groupBy("key").agg(F.max_by("parent", _order()).alias("parent"), F.max("at").alias("at"), *last)
+    begins = F.when(F.col("op") != "update", _order())
+    told = [F.when(F.col(f).isNotNull(), _order()) for f in fields]
+    last = [c for i, (f, o) in enumerate(zip(fields, told, strict=True)) for c in (F.max(o).alias(f"__o{i}"), F.max_by(f, o).alias(f"__v{i}"))]
+    folded = rows.groupBy("key").agg(F.max(begins).alias("__start"), F.max_by("op", begins).alias("__begun"), F.max_by("parent", _order()).alias("parent"), F.max("at").alias("at"), *last)
+    since = [F.when(F.col(f"__o{i}") >= F.col("__start"), F.col(f"__v{i}")).alias(f) for i, f in enumerate(fields)]
+    return folded.filter("key is not null and __begun = 'insert'").select("key", "parent", "at", *since)
 
 
 def approvals(actions: DataFrame) -> DataFrame:

@@ -21,17 +21,40 @@ from ..storage import cut
 
 #: Rows of a group that one task sorts, at most.
 LARGE = 100_000
+#: Hashes by which groups are counted first.
+PARTS = 1 << 16
 
 
-def _by_size(rows: DataFrame, group: list[str], plain: Callable[[DataFrame], DataFrame], ranged: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``plain`` of the rows of groups up to ``LARGE``, ``ranged`` of the others; the groups are counted in parts first."""
+def _large(rows: DataFrame, group: list[str]) -> DataFrame | None:
+    """The groups of more than ``LARGE`` rows, written; None if there are none.
+
+    Rows are counted by a hash of their group first, so groups themselves are
+    exchanged only where the rows of a hash are that many.
+    """
+    part = F.pmod(F.xxhash64(*group), F.lit(PARTS))
+    full = rows.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > LARGE).select("__part")
+    # at most PARTS rows
+    full = [r["__part"] for r in full.collect()]
+    if not full:
+        return None
+    within = rows.filter(part.isin(full)) if len(full) <= 1000 else rows
+    counts = within.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > LARGE)
+    large = cut(counts.select(*group), "large-groups", few_files=True)
+    return None if large.isEmpty() else large
+
+
+def _by_size(rows: DataFrame, group: list[str], plain: Callable[[DataFrame], DataFrame], ranged: Callable[[DataFrame], DataFrame], counted: DataFrame | None = None) -> DataFrame:
+    """``plain`` of the rows of groups up to ``LARGE``, ``ranged`` of the others; the groups are counted in parts first.
+
+    ``counted`` has at least a row for each row of a group, if that is cheaper to count.
+    """
     if not group:
         return ranged(rows)
-    names = {c: f"__l{i}" for i, c in enumerate(group)}
-    counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > LARGE)
-    large = cut(counts.select(*[F.col(c).alias(n) for c, n in names.items()]), "large-groups", few_files=True)
-    if large.isEmpty():
+    large = _large(rows if counted is None else counted, group)
+    if large is None:
         return plain(rows)
+    names = {c: f"__l{i}" for i, c in enumerate(group)}
+    large = large.withColumnsRenamed(names)
     on = F.lit(True)
     for c, n in names.items():
         on = on & F.col(c).eqNullSafe(F.col(n))
@@ -100,11 +123,14 @@ def _running_total(rows: DataFrame, group: list[str], order: list, value: Column
     return _told(own, facts, group).select(*rows.columns, total.alias(name))
 
 
-def earlier_largest(rows: DataFrame, group: list[str], order: list, values: dict[str, Column]) -> DataFrame:
-    """rows with the largest of each named value in earlier rows of the group; null if there is none."""
+def earlier_largest(rows: DataFrame, group: list[str], order: list, values: dict[str, Column], counted: DataFrame | None = None) -> DataFrame:
+    """rows with the largest of each named value in earlier rows of the group; null if there is none.
+
+    ``counted`` (the group's columns) has at least a row for each of a group's, if that is cheaper to count.
+    """
     before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     plain = lambda own: own.withColumns({v: F.max(c).over(before) for v, c in values.items()})
-    return _by_size(rows, group, plain, lambda own: _earlier_largest(own, group, order, values))
+    return _by_size(rows, group, plain, lambda own: _earlier_largest(own, group, order, values), counted)
 
 
 def _earlier_largest(rows: DataFrame, group: list[str], order: list, values: dict[str, Column]) -> DataFrame:

@@ -1,11 +1,13 @@
 """What grows with the tables is not sent to the driver, and equal questions are answered once."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexweave import registry
+from lexweave.operators import eventlog as L
 from lexweave.operators import graph as G
 from lexweave.operators import guided as D
 from lexweave.operators import knowledge as K
@@ -89,3 +91,20 @@ def test_a_word_of_all_questions_does_not_meet_all_entities(spark):
     assert got == sorted(want)
     same = spark.createDataFrame([(f"iso {n}",) for n in range(1000, 1200)], "asked string")
     assert K.entities_met(same, F.split("asked", " "), entities, 4).groupBy("asked").count().agg(F.max("count")).first()[0] == 4
+
+
+@pytest.mark.parametrize("name", ["dml_approvals", "dml_versions_after_cascade"])
+def test_the_log_is_folded_in_one_exchange_by_key(spark, data, name):
+    """Documents go by key for inserts and for cascades, events once; the state joins nothing."""
+    text = plan(registry.queries()[name](spark, data))
+    assert len(re.findall(r"Exchange hashpartitioning\(key#", text)) == 3
+    assert not re.search(r"SortMergeJoin \[key#|BroadcastHashJoin \[key#", text)
+
+
+def test_inserts_alone_ask_for_their_parent(spark):
+    docs = L.effective(spark.createDataFrame([("A", None, 1, 0, "insert"), ("A", None, 5, 0, "delete")], "key string, parent string, at int, seq int, op string"))
+    rows = [("v", "A", 2, 0, "insert", "x", None), ("v", "A", 3, 0, "update", None, "n"), ("w", "A", 0, 0, "insert", "x", None), ("v", "B", 6, 0, "update", "y", None), (None, "A", 2, 0, "insert", "x", None), ("u", "A", 2, 0, "insert", "a", "b"), ("u", "A", 3, 0, "insert", None, "c")]
+    made = L.effective(spark.createDataFrame(rows, "key string, parent string, at int, seq int, op string, x string, y string"), docs)
+    now = lambda at: {(r["key"], r["x"], r["y"], r["at"]) for r in L.state(made, ["x", "y"], F.lit(at)).collect()}
+    # an insert that replaces a row doesn't keep its fields
+    assert now(4) == {("v", "x", "n", 3), ("u", None, "c", 3)} and now(9) == set()
