@@ -8,6 +8,7 @@ over sections are set-based.
 from __future__ import annotations
 
 import bisect
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -180,6 +181,25 @@ def child_chunks(sections: DataFrame, size: int = 400, overlap: int = 50) -> Dat
     return own.select(F.concat("chunk_id", F.lit("_child_"), F.col("chunk_idx").cast("string")).alias("chunk_id"), F.col("chunk_id").alias("parent_id"), F.concat("number", F.lit("."), n).alias("section_number"), (F.col("depth") + 1).alias("depth"), F.concat("hierarchy", F.array(F.concat(F.lit(CHILD_TITLE), n))).alias("hierarchy"), "text")
 
 
+def children_of_documents(docs: DataFrame, size: int = 400, overlap: int = 50, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(chunk_id, parent_id, parent_md5, text) of the children that :func:`child_chunks` has for the sections of documents.
+
+    For searches, which ask for no headings: sections and their pieces are cut in
+    one pass, and nothing is written or exchanged.
+    """
+
+    def found(text):
+        for pos, (*_, own) in enumerate(sections(text)):
+            made = list(overlapping_pieces(own, size, overlap)) if len(own) > size else ()
+            if len(made) > 1:
+                mark = hashlib.md5(own.encode()).hexdigest()
+                yield from ((pos, k, mark, p) for k, p in enumerate(made))
+
+    rows = cut_rows(docs, found, "pos int, child int, parent_md5 string, text string", id_col=id_col, text_col=text_col)
+    parent = F.concat_ws("_", F.col(id_col).cast("string"), F.col("pos").cast("string"))
+    return rows.select(F.concat(parent, F.lit("_child_"), F.col("child").cast("string")).alias("chunk_id"), parent.alias("parent_id"), "parent_md5", "text")
+
+
 def cut_rows(docs: DataFrame, split: Callable[[str], Iterator[tuple]], fields: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, chunk_idx, *fields) of every tuple that ``split`` gives for a text; null and empty texts have none."""
     bounded_batches(docs.sparkSession)

@@ -2,6 +2,7 @@
 
 import random
 import re
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from lexweave.operators import guided as D
 from lexweave.operators import knowledge as K
 from lexweave.operators import postings as P
 from lexweave.operators import search as S
+from lexweave.operators import segment as C
+from lexweave.plans import segment_queries as Q
 
 
 def plan(df):
@@ -108,3 +111,14 @@ def test_inserts_alone_ask_for_their_parent(spark):
     now = lambda at: {(r["key"], r["x"], r["y"], r["at"]) for r in L.state(made, ["x", "y"], F.lit(at)).collect()}
     # an insert that replaces a row doesn't keep its fields
     assert now(4) == {("v", "x", "n", 3), ("u", None, "c", 3)} and now(9) == set()
+
+
+def test_children_of_documents_are_those_of_their_sections(spark, data):
+    docs = Q.outlined(SimpleNamespace(documents=spark.createDataFrame([(1, "Words of it. " * 90), (2, "no heading"), (3, None), (4, "熱。" * 500)], "doc_id long, text string")))
+    own = C.outlined(C.cut_rows(docs, C.sections, "number string, title string, depth int, start bigint, text string").withColumnRenamed("chunk_idx", "pos").drop("start"))
+    want = C.child_chunks(own).join(own.select(F.col("chunk_id").alias("parent_id"), F.md5("text").alias("m")), "parent_id")
+    want = sorted(tuple(r) for r in want.select("chunk_id", "parent_id", "m", "text").collect())
+    assert sorted(tuple(r) for r in C.children_of_documents(docs).collect()) == want and len(want) > 10
+    text = plan(registry.queries()["t6_parent_child_search"](spark, data))
+    # hits are exchanged, texts are not
+    assert "SortMergeJoin" not in text and text.count("MapInArrow") == 1
