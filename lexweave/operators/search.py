@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StringType
 
 from ..batches import bounded_batches
 from ..storage import cut
@@ -304,19 +305,57 @@ def pair_share(query: Column, text: Column) -> Column:
 def shared_pairs(queries: DataFrame, texts: DataFrame, query_key: str, key: str) -> DataFrame:
     """(query_key, key, overlap) above 0, of queries (query_key, q) and texts (key, p) by their shares of common pairs.
 
-    Queries that are few go to every task, where a product of matrices counts
-    what they share with a batch of texts; nothing is exchanged.  Of more, both
-    sides meet by their pairs.
+    ``p`` has a text's distinct pairs, or is the whole text.  Queries that are
+    few go to every task, where a product of matrices counts what they share
+    with a batch of texts; nothing is exchanged, and whole texts are searched
+    for the queries' pairs alone.  Of more, both sides meet by their pairs.
     """
+    whole = isinstance(texts.schema["p"].dataType, StringType)
     own = queries.select(query_key, F.size("q").alias("n"), F.explode("q").alias("pair"))
     if is_small(own):
+        texts = texts.withColumn("p", F.lower("p")) if whole else texts
         return _counted_pairs(queries.filter("size(q) > 0").select(query_key, "q").collect(), queries, texts, query_key, key)
-    met = texts.select(key, F.explode("p").alias("pair")).join(own, "pair")
+    met = texts.select(key, F.explode(pairs_of(F.col("p")) if whole else "p").alias("pair")).join(own, "pair")
     return met.groupBy(query_key, key, "n").agg(F.count(F.lit(1)).alias("shared")).select(query_key, key, (F.col("shared") / F.col("n")).alias("overlap"))
 
 
 #: Pairs times queries of a block, about, and pairs times texts of a step.
 _PAIR_CELLS = 1 << 22
+#: Bytes of texts that are searched for pairs at once, 16 at least.
+_TEXT_BYTES = 1 << 20
+
+
+def _places_in_lists(lists: pa.Array, known: list[str]):
+    """(row, place in ``known``) of the pairs in lists of them."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    code = pc.fill_null(pc.index_in(lists.flatten(), pa.array(known, pa.string())), -1).to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(lists)), lengths)
+    yield row[code >= 0], code[code >= 0]
+
+
+def _places_in_texts(texts: pa.Array, known: list[str]):
+    """(row, place in ``known``, which is sorted) of the neighbours in texts, as often as they occur; whole texts, in stretches of bytes."""
+    codes = np.array([ord(a) << 21 | ord(b) for a, b in known], np.int64)
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    _, starts, data = texts.buffers()
+    starts = np.frombuffer(starts, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data or b"", np.uint8)
+    at, end = int(starts[0]), int(starts[-1])
+    while at < end:
+        stop = min(at + _TEXT_BYTES, end)
+        first = at + np.flatnonzero((data[at:stop] & 0xC0) != 0x80)
+        if stop < end:
+            # the last character may go on, and the one before it is the next stretch's first
+            stop, first, at = int(first[-1]), first[:-1], int(first[-2])
+        else:
+            at = end
+        letters = np.frombuffer(data[first[0] : stop].tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+        pairs = letters[:-1] << 21 | letters[1:]
+        place = np.minimum(np.searchsorted(codes, pairs), len(codes) - 1)
+        met = np.flatnonzero(codes[place] == pairs)
+        row = np.searchsorted(starts, first[met], "right") - 1
+        inside = first[met + 1] < starts[row + 1]
+        yield row[inside], place[met][inside]
 
 
 def _counted_pairs(asked: list, queries: DataFrame, texts: DataFrame, query_key: str, key: str) -> DataFrame:
@@ -325,6 +364,7 @@ def _counted_pairs(asked: list, queries: DataFrame, texts: DataFrame, query_key:
     kinds = queries.schema[query_key].dataType.simpleString(), texts.schema[key].dataType.simpleString()
     names, lists = [r[query_key] for r in asked], [r["q"] for r in asked]
     kind = to_arrow_type(queries.schema[query_key].dataType)
+    places = _places_in_texts if isinstance(texts.schema["p"].dataType, StringType) else _places_in_lists
     step = max(1, _PAIR_CELLS // max(1, len({p for q in lists for p in q})))
 
     def count(batches):
@@ -332,22 +372,19 @@ def _counted_pairs(asked: list, queries: DataFrame, texts: DataFrame, query_key:
         for at in range(0, len(lists), step):
             part = lists[at : at + step]
             known = sorted({p for q in part for p in q})
-            place = {p: i for i, p in enumerate(known)}
+            at_pair = {p: i for i, p in enumerate(known)}
             held = np.zeros((len(known), len(part)), np.float32)
             for i, q in enumerate(part):
-                held[[place[p] for p in q], i] = 1
-            blocks.append((at, pa.array(known, pa.string()), held, np.array([len(q) for q in part])))
+                held[[at_pair[p] for p in q], i] = 1
+            blocks.append((at, known, held, np.array([len(q) for q in part])))
         for batch in batches:
             for start, known, held, sizes in blocks:
                 rows = max(1, _PAIR_CELLS // len(known))
                 for i in range(0, batch.num_rows, rows):
                     own = batch.slice(i, rows)
-                    lengths = pc.fill_null(pc.list_value_length(own.column(1)), 0).to_numpy()
-                    code = pc.index_in(own.column(1).flatten(), known)
-                    code = pc.fill_null(code, -1).to_numpy().astype(np.int64)
-                    row = np.repeat(np.arange(own.num_rows), lengths)
                     met = np.zeros((own.num_rows, len(known)), np.float32)
-                    met[row[code >= 0], code[code >= 0]] = 1
+                    for row, place in places(own.column(1), known):
+                        met[row, place] = 1
                     shared = met @ held
                     a, b = np.nonzero(shared)
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(b + start)), own.column(0).take(pa.array(a)), pa.array(shared[a, b].astype(np.float64) / sizes[b])], names=[query_key, key, "overlap"])

@@ -154,11 +154,11 @@ PAIRS = "list_filter(list_distinct(list_transform(range(1, length({0})), lambda
 
 
 @query("r11_pair_overlap", f"""
-WITH q AS (SELECT item_id, {PAIRS.format("text")} AS q FROM benchmark), p AS (SELECT doc_id, {PAIRS.format("substr(text, 1, 500)")} AS p FROM documents)
+WITH q AS (SELECT item_id, {PAIRS.format("text")} AS q FROM benchmark), p AS (SELECT doc_id, {PAIRS.format("text")} AS p FROM documents)
 SELECT item_id, doc_id, round(len(list_intersect(q, p)) / len(q), 6) AS overlap FROM q CROSS JOIN p WHERE len(list_intersect(q, p)) > 0""")
 def r11(t):
     q = t.benchmark.select("item_id", S.pairs_of(F.col("text")).alias("q"))
-    d = t.documents.select("doc_id", S.pairs_of(F.substring("text", 1, 500)).alias("p"))
+    d = t.documents.select("doc_id", F.col("text").alias("p"))
     return S.shared_pairs(q, d, "item_id", "doc_id").withColumn("overlap", F.round("overlap", 6))
 
 

@@ -3,9 +3,11 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lexweave import registry
 from lexweave.operators import postings as P
 from lexweave.operators import search as S
 
@@ -102,3 +104,32 @@ def test_pairs_of_few_queries_are_counted_without_an_exchange(spark, monkeypatch
     p, q = ({r[0]: set(r[1] or ()) for r in df.collect()} for df in (texts, queries))
     want = {(i, d): len(a & b) / len(a) for i, a in q.items() for d, b in p.items() if a & b}
     assert {(r["item"], r["doc_id"]): r["overlap"] for r in out.collect()} == want and len(want) == 5
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_whole_texts_are_searched_for_pairs(spark, monkeypatch, most):
+    """Few queries and many, pairs across stretches of bytes, at the borders of texts and far behind the first characters."""
+    monkeypatch.setattr(S, "is_small", lambda df: df.limit(most + 1).count() <= most)
+    monkeypatch.setattr(S, "_PAIR_CELLS", 60)
+    monkeypatch.setattr(S, "_TEXT_BYTES", 16, raising=False)
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("aBcd  é熱😀ß\n") for _ in range(rng.choice((0, 1, 2, 7, 40, 90))))) for i in range(60)] + [(60, None), (61, "."), (62, "." * 700 + "q"), (63, "q" * 20)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    queries = spark.createDataFrame([(f"q{i}", x) for i, x in enumerate(["ab é熱😀", ".Q", "", "qq", "😀😀d\n", "ßa  b", None, "xyz"])], "item string, text string").select("item", S.pairs_of(F.col("text")).alias("q"))
+    p = {r["doc_id"]: set(r["p"] or ()) for r in texts.select("doc_id", S.pairs_of(F.col("text")).alias("p")).collect()}
+    q = {r["item"]: set(r["q"] or ()) for r in queries.collect()}
+    want = sorted((i, d, len(a & b) / len(a)) for i, a in q.items() for d, b in p.items() if a & b)
+    got = S.shared_pairs(queries, texts.select("doc_id", F.col("text").alias("p")), "item", "doc_id").collect()
+    assert sorted((r["item"], r["doc_id"], r["overlap"]) for r in got) == want and ("q1", 62, 1.0) in want
+
+
+def test_pair_overlap_takes_whole_texts(spark, tmp_path):
+    """A passage behind the first 500 characters counts, in the query and in its SQL."""
+    spark.createDataFrame([(1, "abc")], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "." * 500 + "ABc"), (2, "." * 499 + "abc"), (3, "." * 3000 + "bc"), (4, "." * 600)], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = registry.queries()["r11_pair_overlap"](spark, str(tmp_path)).collect()
+    assert sorted((r["item_id"], r["doc_id"], r["overlap"]) for r in rows) == [(1, 1, 1.0), (1, 2, 1.0), (1, 3, 0.5)]
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(con.execute(registry.oracle_sql()["r11_pair_overlap"]).fetchall()) == [(1, 1, 1.0), (1, 2, 1.0), (1, 3, 0.5)]
